@@ -42,9 +42,10 @@ def attach(rows: DataFrame, scalars: DataFrame, by: Sequence[str], how: str = "l
     """
     by = list(by)
     if not by:
-        if how in ("left", "inner", "cross"):
+        if how in ("inner", "cross"):
             return rows.crossJoin(F.broadcast(scalars))
-        raise ValueError(how)
+        # at most one row on the right; keep the left rows when it is empty
+        return rows.join(F.broadcast(scalars), F.lit(True), how)
     alias = {k: f"__key{i}" for i, k in enumerate(by)}
     s = scalars
     for k, a in alias.items():
