@@ -14,6 +14,17 @@ DATE_FORMATS = [
     "M/d/yyyy", "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
     "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "yyyy.M.d", "yyyy-M-d",
 ]
+# The only string shape each format can parse; a format is tried only when its shape
+# matches, which saves failing parse attempts without changing any result.
+_D = "[0-9]{1,2}"
+_SHAPES = {
+    "M/d/yyyy": f"^{_D}/{_D}/[0-9]{{4}}$", "d/M/yyyy": f"^{_D}/{_D}/[0-9]{{4}}$",
+    "M-d-yyyy": f"^{_D}-{_D}-[0-9]{{4}}$", "d-M-yyyy": f"^{_D}-{_D}-[0-9]{{4}}$",
+    "d.M.yyyy": f"^{_D}[.]{_D}[.][0-9]{{4}}$",
+    "yyyy/M/d": f"^[0-9]{{4}}/{_D}/{_D}$", "yyyy.M.d": f"^[0-9]{{4}}[.]{_D}[.]{_D}$",
+    "yyyy-M-d": f"^[0-9]{{4}}-{_D}-{_D}$",
+}
+_TEXTUAL = "[A-Za-z]"
 _ISO_HEAD = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _NULL_DATE = "(?i)^(null|na)?$"
 _TRIM = "^[\\s\\u00A0\\uFEFF]+|[\\s\\u00A0\\uFEFF]+$"
@@ -41,7 +52,10 @@ def parse_timestamp(c, as_of=None, formats=DATE_FORMATS) -> Column:
     """Parse a date/time string: ISO first, then the listed formats, then the range check."""
     s = F.regexp_replace(col_of(c).cast("string"), _TRIM, "")
     iso = F.when(s.rlike(_ISO_HEAD), F.try_to_timestamp(s))
-    parsed = F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    def attempt(f):
+        shape = _SHAPES.get(f, _TEXTUAL)
+        return F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)))
+    parsed = F.coalesce(iso, *[attempt(f) for f in formats])
     parsed = F.when(s.isNull() | s.rlike(_NULL_DATE), F.lit(None).cast("timestamp")).otherwise(parsed)
     return F.when(in_range(parsed, as_of), parsed)
 

@@ -7,12 +7,12 @@ Instead, for each requested rank:
 1. one partial-aggregated pass gives per group ``count``, ``min``, ``max`` and
    an ``approx_percentile`` bracket ``[q - m, q + m]`` (``m`` = 3 / accuracy,
    three times the sketch's rank-error bound);
-2. a second pass collapses every row to ``(group, spec, side, value)`` where
-   ``side`` is below / inside / above the bracket, keeping the value only
-   inside it, and counts rows per key (map-side combined);
-3. a window over each ``(group, spec)`` (at most the bracket's distinct values
-   plus two rows) accumulates counts in value order and picks the row where
-   the running count first reaches ``rank + 1``.
+2. a second pass counts, per group, the rows below and inside every bracket
+   (one conditional aggregate, no row explosion) and keeps only the rows that
+   fall inside some bracket, collapsed to ``(group, spec, value, count)``;
+3. a window over each ``(group, spec)`` (at most the bracket's distinct values)
+   accumulates counts in value order and picks the value where the running
+   count first passes ``rank - below``.
 
 If a bracket missed its rank (not expected from the sketch's guarantee), that
 (group, spec) is recomputed exactly over the whole group, so the answer never
@@ -81,26 +81,37 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str],
         F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", fracs, acc).alias("_ap"), *(extra_aggs or []))
 
-    structs = []
+    # per-group bounds, one column per spec (no row explosion)
+    bcols = []
     for i, (name, _q, fn) in enumerate(specs):
         lo = F.col("_min") if fracs[2 * i] <= 0.0 else F.col("_ap")[2 * i]
         hi = F.col("_max") if fracs[2 * i + 1] >= 1.0 else F.col("_ap")[2 * i + 1]
         r = F.least(F.greatest(fn(F.col("n")).cast("long"), F.lit(0)), F.col("n") - 1)
-        structs.append(F.struct(F.lit(name).alias("spec"), r.alias("r"), lo.alias("lo"), hi.alias("hi")))
-    bounds = first.select(*by, F.explode(F.array(*structs)).alias("_s")).select(*by, "_s.*")
-
+        bcols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}"), r.alias(f"_r{i}")]
+    bounds = first.select(*by, *bcols)
     joined = attach(base, bounds, by, "inner")
-    side = F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") > F.col("hi"), 2).otherwise(1)
-    counted = (joined.select(*by, "spec", "r", side.alias("side"),
-                             F.when(side == 1, F.col("_v")).alias("v"))
-               .groupBy(*by, "spec", "r", "side", "v").agg(F.count("*").alias("c")))
-    picked = _pick(counted, by + ["spec"])
-    good = picked.where(F.col("side") == 1).select(*by, "spec", "v")
-
-    # Exact path for any bracket that missed its rank.
-    missed = picked.where(F.col("side") != 1).select(*by, "spec").join(
-        bounds.select(*by, "spec", "r"), by + ["spec"]) if by else \
-        picked.where(F.col("side") != 1).select("spec").join(bounds.select("spec", "r"), "spec")
+    v = F.col("_v")
+    inside = [(v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")) for i in range(len(specs))]
+    # pass 2a: rows below / inside each bracket, per group (one row per group)
+    below = joined.groupBy(*by).agg(*[F.count_if(v < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(specs))],
+                                    *[F.count_if(inside[i]).alias(f"_c{i}") for i in range(len(specs))])
+    # pass 2b: only rows inside some bracket, tagged with the specs they serve
+    tags = F.filter(F.array(*[F.when(inside[i], F.lit(i)) for i in range(len(specs))]), lambda x: x.isNotNull())
+    cand = joined.where(F.size(tags) > 0).select(*by, "_v", F.explode(tags).alias("spec")) \
+        .groupBy(*by, "spec", "_v").agg(F.count("*").alias("c"))
+    # per (group, spec): rank, count below, validity of the bracket
+    per_spec = attach(bounds, below, by, "inner")
+    per_spec = per_spec.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("spec"), F.col(f"_r{i}").alias("r"), F.col(f"_b{i}").alias("cb"),
+                 ((F.col(f"_b{i}") <= F.col(f"_r{i}")) & (F.col(f"_b{i}") + F.col(f"_c{i}") > F.col(f"_r{i}"))).alias("ok"))
+        for i in range(len(specs))])).alias("_s")).select(*by, "_s.*")
+    ok_specs = per_spec.where("ok")
+    counted = attach(cand, ok_specs, by + ["spec"], "inner") \
+        .select(*by, "spec", (F.col("r") - F.col("cb")).alias("r"), F.lit(1).alias("side"), F.col("_v").alias("v"), "c")
+    good = _pick(counted, by + ["spec"]).select(*by, "spec", "v")
+
+    # Exact path for any bracket that missed its rank (whole group, that spec only).
+    missed = per_spec.where(~F.col("ok")).select(*by, "spec", "r")
     redo = attach(base, missed, by, "inner") if by else base.crossJoin(F.broadcast(missed))
     redo_counted = redo.groupBy(*by, "spec", "r", "_v").agg(F.count("*").alias("c")) \
         .select(*by, "spec", "r", F.lit(1).alias("side"), F.col("_v").alias("v"), "c")
@@ -108,6 +119,6 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str],
 
     values = good.unionByName(fixed)
     wide = values.groupBy(*by).agg(*[
-        F.max(F.when(F.col("spec") == name, F.col("v"))).alias(name) for name, _q, _fn in specs])
+        F.max(F.when(F.col("spec") == i, F.col("v"))).alias(name) for i, (name, _q, _fn) in enumerate(specs)])
     keep = ["n"] + [c for c in first.columns if c not in set(by) | {"n", "_min", "_max", "_ap"}]
     return attach(first.select(*by, *keep), wide, by, "left")

@@ -41,11 +41,10 @@ def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), a
     executor does not force the dedup/quartile stages to rerun."""
     by = list(by)
     roles = roles or detect_roles(df)
-    facts: Facts = build_facts(df, roles, by, as_of, accuracy=accuracy)
+    facts: Facts = build_facts(df, roles, by, as_of, accuracy=accuracy, land=land)
     cut = (lambda d: d.checkpoint(eager=True)) if land else (lambda d: d)
     if land:
         ensure_checkpoint_dir(df.sparkSession)
-    facts.df = cut(facts.df)
     facts.quality = cut(facts.quality)
     f = facts.df
     judged = cut(judgment(facts, accuracy))

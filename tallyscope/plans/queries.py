@@ -64,7 +64,8 @@ def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf: str, table: str, by=()):
-    return build_facts(load(spark, sf, table), ROLES[table], by, AS_OF)
+    """Cleaned facts of a test table, landed once (see ``build_facts(land=True)``)."""
+    return build_facts(load(spark, sf, table), ROLES[table], by, AS_OF, land=True)
 
 
 # =========================================================================== statistics
