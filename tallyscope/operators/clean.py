@@ -115,7 +115,7 @@ def quality_report(typed: DataFrame, facts: DataFrame, roles: Roles, by: Sequenc
     amount_missing = F.col(AMOUNT).isNull() if roles.revenue else F.lit(False)
     date_missing = (~amount_missing) & F.col(TS).isNull() if roles.date else F.lit(False)
     counts = typed.groupBy(*by).agg(
-        F.sum("_mult").alias("rows_before"),
+        F.coalesce(F.sum("_mult"), F.lit(0)).alias("rows_before"),
         F.count("*").alias("rows_distinct"),
         F.count_if(amount_missing).alias("amount_dropped"),
         F.count_if(date_missing).alias("date_dropped"))
