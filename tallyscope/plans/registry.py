@@ -1,13 +1,8 @@
 """All registered queries: importing the modules fills ``QUERIES`` and ``SQL``."""
 
 from . import queries as _core  # noqa: F401
+from . import queries_io as _io  # noqa: F401
+from . import queries_more as _more  # noqa: F401
 from .queries import QUERIES, SQL
 
-for _mod in ("tallyscope.plans.queries_more",):
-    try:
-        __import__(_mod)
-    except ModuleNotFoundError as e:  # only while a module is not written yet
-        if _mod.rsplit(".", 1)[-1] not in str(e):
-            raise
-
 __all__ = ["QUERIES", "SQL"]
