@@ -15,6 +15,7 @@ from ..functions.dates import to_timestamp_col
 from ..functions.numbers import round_half_up, to_amount
 from ..model import AMOUNT, CATEGORY, IQR_LOWER, IQR_UPPER, OUTLIER, PRODUCT, QTY, TS, USER, Roles
 from ..session import ensure_checkpoint_dir
+from ..session import land as land_table
 from .common import Facts, attach
 from .order_stats import disc, order_statistics
 
@@ -86,7 +87,7 @@ def build_facts(df: DataFrame, roles: Roles, by: Sequence[str] = (), as_of=None,
     """C1-C9 in the reference's order: dedup, amount, date, quantity, IQR flag, diversity, report.
 
     With ``land`` the de-duplicated typed rows and the final fact table are each written
-    once with ``checkpoint()`` into the shared checkpoint folder: the full-row dedup
+    once as Parquet into the shared checkpoint folder (``session.land``): the full-row dedup
     shuffle then runs once instead of once per reader (quartile passes, flag join,
     quality counts, every downstream job), and lineage stays short.
     """
@@ -94,7 +95,7 @@ def build_facts(df: DataFrame, roles: Roles, by: Sequence[str] = (), as_of=None,
     typed = typed_rows(df, roles, by, as_of, dedup)
     if land:
         ensure_checkpoint_dir(df.sparkSession)
-        typed = typed.checkpoint(eager=True)
+        typed = land_table(typed, "typed")
     keep = keep_rows(roles)
     facts = typed.where(keep).drop("_mult")
     if roles.revenue:
@@ -104,7 +105,7 @@ def build_facts(df: DataFrame, roles: Roles, by: Sequence[str] = (), as_of=None,
         facts = facts.withColumn(IQR_LOWER, F.lit(None).cast("double")) \
             .withColumn(IQR_UPPER, F.lit(None).cast("double")).withColumn(OUTLIER, F.lit(False))
     if land:
-        facts = facts.checkpoint(eager=True)
+        facts = land_table(facts, "facts")
     quality = quality_report(typed, facts, roles, by)
     return Facts(facts, quality, roles, by)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_of_col, epoch_micros
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, land
 from ..model import ACTIVITY_TTL_DAYS, BAN_SECONDS, HOURLY_QUOTA, RATE_LIMITS
 
 SEC_US = 1_000_000
@@ -100,7 +100,7 @@ def hourly_quota_bans(log: DataFrame, ts: str = "ts", ip: str = "ip", quota: int
     rows = log.select(F.col(ip).alias("ip"), F.col(ts).alias("ts"), F.col(id_col).alias("id"),
                       epoch_micros(ts).alias("us")).withColumn("hour", F.floor(F.col("us") / hour_us))
     busy = rows.groupBy("ip", "hour").agg(F.count("*").alias("_c")).where(F.col("_c") > quota).drop("_c")
-    cand = rows.join(busy, ["ip", "hour"], "left_semi").checkpoint(eager=True)
+    cand = land(rows.join(busy, ["ip", "hour"], "left_semi"), "quota-candidates")
     bans = None
     state = cand.select("ip").distinct().withColumn("ban_end_us", F.lit(None).cast("long"))
     for _ in range(max_rounds):
@@ -110,13 +110,13 @@ def hourly_quota_bans(log: DataFrame, ts: str = "ts", ip: str = "ip", quota: int
         win = Window.partitionBy("ip", "hour").orderBy("us", "id")
         trig = live.join(first, ["ip", "hour"], "left_semi").withColumn("_rn", F.row_number().over(win)) \
             .where(F.col("_rn") == quota + 1).select("ip", F.col("us").alias("trigger_us"))
-        trig = trig.checkpoint(eager=True)
+        trig = land(trig, "quota-triggers")
         if trig.isEmpty():
             break
         new = trig.select("ip", F.col("trigger_us").alias("ban_start_us"),
                           (F.col("trigger_us") + ban_seconds * SEC_US).alias("ban_end_us"))
         bans = new if bans is None else bans.unionByName(new)
-        state = new.select("ip", "ban_end_us").checkpoint(eager=True)
+        state = land(new.select("ip", "ban_end_us"), "quota-state")
     if bans is None:
         return spark.createDataFrame([], "ip string, ban_start timestamp, ban_end timestamp")
     return bans.select(F.col("ip").cast("string").alias("ip"),

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_key, month_key
-from ..functions.numbers import round_half_up
+from ..functions.numbers import rhu_sql, round_half_up
 from ..model import AMOUNT, CATEGORY, OUTLIER, PRODUCT, TS, USER, THRESHOLDS
 from .common import attach
-from .order_stats import interpolate, linear, order_statistics, rank_spec
+from .order_stats import interpolate_sql, linear, order_statistics, rank_spec
 from .stats import linear_trend, with_index
 
 
@@ -35,13 +35,13 @@ def headline(facts: DataFrame, by: Sequence[str] = (), accuracy: int | None = No
     """M1: revenue (rounded sum), orders (rows), AOV (rounded revenue / rows), median order."""
     by = list(by)
     med = order_statistics(facts, AMOUNT, by, linear("median", 0.5), accuracy,
-                           [F.sum("_v").alias("_sum")])
+                           [F.expr("sum(_v)").alias("_sum")])
     rows = facts.groupBy(*by).agg(F.count("*").alias("orders"))
     j = attach(rows, med, by, "left")
-    revenue = round_half_up(F.col("_sum"))
-    return j.select(*by, revenue.alias("revenue"), "orders",
-                    F.when(F.col("orders") > 0, round_half_up(revenue / F.col("orders"))).alias("aov"),
-                    round_half_up(interpolate("median", 0.5, F.col("n"))).alias("median_order"))
+    revenue = rhu_sql("_sum")
+    return j.selectExpr(*by, f"{revenue} AS revenue", "orders",
+                        f"CASE WHEN orders > 0 THEN {rhu_sql(f'{revenue} / orders')} END AS aov",
+                        f"{rhu_sql(interpolate_sql('median', 0.5))} AS median_order")
 
 
 def headline_without_outliers(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -166,10 +166,10 @@ def pareto_share(facts: DataFrame, by: Sequence[str] = (), top_fraction: float =
     by = list(by)
     totals = facts.where(F.col(USER).isNotNull()).groupBy(*by, USER) \
         .agg(F.sum(F.coalesce(F.col(AMOUNT), F.lit(0.0))).alias("t"))
-    kfn = lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(top_fraction)))
-    kth = order_statistics(totals, "t", by, [rank_spec("tk", 1 - top_fraction, lambda n: n - kfn(n))],
-                           accuracy, [F.sum("_v").alias("total")])
-    kth = kth.withColumn("k", kfn(F.col("n")))
+    k_sql = f"greatest(1L, CAST(floor(n * {top_fraction!r}D) AS BIGINT))"
+    kth = order_statistics(totals, "t", by, [rank_spec("tk", 1 - top_fraction, f"n - {k_sql}")],
+                           accuracy, [F.expr("sum(_v)").alias("total")])
+    kth = kth.withColumn("k", F.expr(k_sql))
     j = attach(totals, kth.select(*by, "tk"), by, "inner")
     above = j.groupBy(*by).agg(F.sum(F.when(F.col("t") > F.col("tk"), F.col("t"))).alias("_sa"),
                                F.count_if(F.col("t") > F.col("tk")).alias("_ca"))

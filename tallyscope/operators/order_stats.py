@@ -31,26 +31,34 @@ from .common import attach
 RankFn = Callable[[Column], Column]
 
 
-def disc(name: str, q: float) -> tuple[str, float, RankFn]:
+def fn_sql(fn) -> str:
+    """Rank functions are SQL text over the group count ``n`` (or a callable returning it)."""
+    return fn if isinstance(fn, str) else fn("n")
+
+
+def disc(name: str, q: float) -> tuple[str, float, str]:
     """Element ``sorted[floor(n*q)]`` (0-based)."""
-    return (name, q, lambda n: F.floor(n * F.lit(q)))
+    return (name, q, f"floor(n * {q!r}D)")
 
 
-def rank_spec(name: str, q: float, fn: RankFn) -> tuple[str, float, RankFn]:
+def rank_spec(name: str, q: float, fn: str) -> tuple[str, float, str]:
+    """A rank given as SQL text over the group count ``n`` (0-based)."""
     return (name, q, fn)
 
 
-def linear(name: str, p: float) -> list[tuple[str, float, RankFn]]:
+def linear(name: str, p: float) -> list[tuple[str, float, str]]:
     """Both neighbours of position ``p*(n-1)`` for linear interpolation."""
-    return [(f"{name}__lo", p, lambda n: F.floor(F.lit(p) * (n - 1))),
-            (f"{name}__hi", p, lambda n: F.ceil(F.lit(p) * (n - 1)))]
+    return [(f"{name}__lo", p, f"floor({p!r}D * (n - 1))"),
+            (f"{name}__hi", p, f"ceil({p!r}D * (n - 1))")]
+
+
+def interpolate(name: str, p: float, n: str = "n") -> Column:
+    return F.expr(interpolate_sql(name, p, n))
 
 
-def interpolate(name: str, p: float, n: Column) -> Column:
-    pos = F.lit(p) * (n - 1)
-    lo = F.col(f"{name}__lo")
-    hi = F.col(f"{name}__hi")
-    return lo + (hi - lo) * (pos - F.floor(pos))
+def interpolate_sql(name: str, p: float, n: str = "n") -> str:
+    pos = f"({p!r}D * ({n} - 1))"
+    return f"({name}__lo + ({name}__hi - {name}__lo) * ({pos} - floor({pos})))"
 
 
 def _pick(counted: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,37 +89,38 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str],
         F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", fracs, acc).alias("_ap"), *(extra_aggs or []))
 
-    # per-group bounds, one column per spec (no row explosion)
-    bcols = []
+    # per-group bounds, one column per spec (no row explosion); SQL text keeps the
+    # driver-side plan construction to a handful of round trips
+    k = len(specs)
+    bexprs = []
     for i, (name, _q, fn) in enumerate(specs):
-        lo = F.col("_min") if fracs[2 * i] <= 0.0 else F.col("_ap")[2 * i]
-        hi = F.col("_max") if fracs[2 * i + 1] >= 1.0 else F.col("_ap")[2 * i + 1]
-        r = F.least(F.greatest(fn(F.col("n")).cast("long"), F.lit(0)), F.col("n") - 1)
-        bcols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}"), r.alias(f"_r{i}")]
-    bounds = first.select(*by, *bcols)
+        lo = "_min" if fracs[2 * i] <= 0.0 else f"_ap[{2 * i}]"
+        hi = "_max" if fracs[2 * i + 1] >= 1.0 else f"_ap[{2 * i + 1}]"
+        r = fn_sql(fn)
+        bexprs += [f"{lo} AS _lo{i}", f"{hi} AS _hi{i}", f"least(greatest(CAST({r} AS BIGINT), 0L), n - 1) AS _r{i}"]
+    bounds = first.selectExpr(*by, *bexprs)
     joined = attach(base, bounds, by, "inner")
-    v = F.col("_v")
-    inside = [(v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")) for i in range(len(specs))]
+    inside = [f"(_v >= _lo{i} AND _v <= _hi{i})" for i in range(k)]
     # pass 2a: rows below / inside each bracket, per group (one row per group)
-    below = joined.groupBy(*by).agg(*[F.count_if(v < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(specs))],
-                                    *[F.count_if(inside[i]).alias(f"_c{i}") for i in range(len(specs))])
+    below = joined.groupBy(*by).agg(*[F.expr(f"count_if(_v < _lo{i})").alias(f"_b{i}") for i in range(k)],
+                                    *[F.expr(f"count_if({inside[i]})").alias(f"_c{i}") for i in range(k)])
     # pass 2b: only rows inside some bracket, tagged with the specs they serve
-    tags = F.filter(F.array(*[F.when(inside[i], F.lit(i)) for i in range(len(specs))]), lambda x: x.isNotNull())
-    cand = joined.where(F.size(tags) > 0).select(*by, "_v", F.explode(tags).alias("spec")) \
+    tags = "filter(array(" + ", ".join(f"CASE WHEN {inside[i]} THEN {i} END" for i in range(k)) + "), x -> x IS NOT NULL)"
+    cand = joined.selectExpr(*by, "_v", f"{tags} AS _tags").where("size(_tags) > 0") \
+        .selectExpr(*by, "_v", "explode(_tags) AS spec") \
         .groupBy(*by, "spec", "_v").agg(F.count("*").alias("c"))
     # per (group, spec): rank, count below, validity of the bracket
     per_spec = attach(bounds, below, by, "inner")
-    per_spec = per_spec.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("spec"), F.col(f"_r{i}").alias("r"), F.col(f"_b{i}").alias("cb"),
-                 ((F.col(f"_b{i}") <= F.col(f"_r{i}")) & (F.col(f"_b{i}") + F.col(f"_c{i}") > F.col(f"_r{i}"))).alias("ok"))
-        for i in range(len(specs))])).alias("_s")).select(*by, "_s.*")
+    structs = ", ".join(f"named_struct('spec', {i}, 'r', _r{i}, 'cb', _b{i}, "
+                        f"'ok', _b{i} <= _r{i} AND _b{i} + _c{i} > _r{i})" for i in range(k))
+    per_spec = per_spec.selectExpr(*by, f"explode(array({structs})) AS _s").selectExpr(*by, "_s.*")
     ok_specs = per_spec.where("ok")
     counted = attach(cand, ok_specs, by + ["spec"], "inner") \
-        .select(*by, "spec", (F.col("r") - F.col("cb")).alias("r"), F.lit(1).alias("side"), F.col("_v").alias("v"), "c")
+        .selectExpr(*by, "spec", "r - cb AS r", "1 AS side", "_v AS v", "c")
     good = _pick(counted, by + ["spec"]).select(*by, "spec", "v")
 
     # Exact path for any bracket that missed its rank (whole group, that spec only).
-    missed = per_spec.where(~F.col("ok")).select(*by, "spec", "r")
+    missed = per_spec.where("NOT ok").select(*by, "spec", "r")
     redo = attach(base, missed, by, "inner") if by else base.crossJoin(F.broadcast(missed))
     redo_counted = redo.groupBy(*by, "spec", "r", "_v").agg(F.count("*").alias("c")) \
         .select(*by, "spec", "r", F.lit(1).alias("side"), F.col("_v").alias("v"), "c")
@@ -119,6 +128,6 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str],
 
     values = good.unionByName(fixed)
     wide = values.groupBy(*by).agg(*[
-        F.max(F.when(F.col("spec") == i, F.col("v"))).alias(name) for i, (name, _q, _fn) in enumerate(specs)])
+        F.expr(f"max(CASE WHEN spec = {i} THEN v END)").alias(name) for i, (name, _q, _fn) in enumerate(specs)])
     keep = ["n"] + [c for c in first.columns if c not in set(by) | {"n", "_min", "_max", "_ap"}]
     return attach(first.select(*by, *keep), wide, by, "left")

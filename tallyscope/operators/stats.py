@@ -7,9 +7,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import is_finite, round_half_up
+from ..functions.numbers import is_finite, rhu_sql, round_half_up
 from ..model import THRESHOLDS
-from .order_stats import interpolate, linear, order_statistics
+from .order_stats import interpolate_sql, linear, order_statistics
 
 PERCENTILES = [5, 10, 25, 75, 90, 95, 99]
 
@@ -19,24 +19,22 @@ def describe_measure(df: DataFrame, value: str, by: Sequence[str] = (),
     """N, sum, mean, median, population std/variance, min, max, skew (3 dp) and
     linearly interpolated p5..p99 at ``p/100*(n-1)``; non-finite values ignored."""
     by = list(by)
-    x = F.col(value).cast("double")
-    clean = df.select(*by, F.when(is_finite(x), x).alias("_x"))
+    clean = df.selectExpr(*by, f"CASE WHEN isnan(CAST({value} AS DOUBLE)) OR abs(CAST({value} AS DOUBLE)) = double('inf') "
+                               f"THEN NULL ELSE CAST({value} AS DOUBLE) END AS _x")
     specs = linear("median", 0.5)
     for p in PERCENTILES:
         specs += linear(f"p{p}", p / 100)
-    extra = [F.sum("_v").alias("sum"), F.avg("_v").alias("mean"),
-             F.stddev_pop("_v").alias("std"), F.var_pop("_v").alias("variance"),
-             F.min("_v").alias("min"), F.max("_v").alias("max"),
-             F.coalesce(F.skewness("_v"), F.lit(0.0)).alias("skew")]
+    extra = [F.expr("sum(_v)").alias("sum"), F.expr("avg(_v)").alias("mean"),
+             F.expr("stddev_pop(_v)").alias("std"), F.expr("var_pop(_v)").alias("variance"),
+             F.expr("min(_v)").alias("min"), F.expr("max(_v)").alias("max"),
+             F.expr("coalesce(skewness(_v), 0.0D)").alias("skew")]
     s = order_statistics(clean, "_x", by, specs, accuracy, extra)
-    r = round_half_up if rounded else (lambda c, d=2: c)
-    out = [F.col(k) for k in by] + [F.col("n"), r(F.col("sum")).alias("sum"), r(F.col("mean")).alias("mean"),
-                                    r(interpolate("median", 0.5, F.col("n"))).alias("median"),
-                                    r(F.col("std")).alias("std"), r(F.col("variance")).alias("variance"),
-                                    r(F.col("min")).alias("min"), r(F.col("max")).alias("max"),
-                                    r(F.when(F.col("std") > 0, F.col("skew")).otherwise(0.0), 3).alias("skew")]
-    out += [r(interpolate(f"p{p}", p / 100, F.col("n"))).alias(f"p{p}") for p in PERCENTILES]
-    return s.select(*out)
+    r = rhu_sql if rounded else (lambda x, d=2: x)
+    out = [*by, "n", f"{r('sum')} AS sum", f"{r('mean')} AS mean",
+           f"{r(interpolate_sql('median', 0.5))} AS median", f"{r('std')} AS std", f"{r('variance')} AS variance",
+           f"{r('min')} AS min", f"{r('max')} AS max", f"{r('CASE WHEN std > 0 THEN skew ELSE 0.0D END', 3)} AS skew"]
+    out += [f"{r(interpolate_sql(f'p{p}', p / 100))} AS p{p}" for p in PERCENTILES]
+    return s.selectExpr(*out)
 
 
 def with_index(series: DataFrame, order_col: str, by: Sequence[str] = (), name: str = "idx") -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators.findings import confidence_grade, ranked_findings
 from ..operators.judge import judgment
 from ..operators.roles import detect_roles
 from ..session import ensure_checkpoint_dir
+from ..session import land as land_table
 
 
 def gate(df: DataFrame, judged: DataFrame, flag: Column, by: Sequence[str]) -> DataFrame:
@@ -36,13 +37,13 @@ def gate(df: DataFrame, judged: DataFrame, flag: Column, by: Sequence[str]) -> D
 def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), as_of=None,
             accuracy: int | None = None, land: bool = True) -> dict[str, DataFrame]:
     """Run the battery.  With ``land`` the fact table (read by ~30 jobs) and the small
-    per-group frames that fan out are written once with ``checkpoint()`` into the
+    per-group frames that fan out are written once as Parquet tables into the
     cluster's shared checkpoint folder: lineage is cut, plans stay small, and a lost
     executor does not force the dedup/quartile stages to rerun."""
     by = list(by)
     roles = roles or detect_roles(df)
     facts: Facts = build_facts(df, roles, by, as_of, accuracy=accuracy, land=land)
-    cut = (lambda d: d.checkpoint(eager=True)) if land else (lambda d: d)
+    cut = (lambda d: land_table(d, "analysis")) if land else (lambda d: d)
     if land:
         ensure_checkpoint_dir(df.sparkSession)
     facts.quality = cut(facts.quality)

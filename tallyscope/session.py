@@ -1,7 +1,7 @@
 """Spark session settings the engine relies on.
 
 Day and month keys are UTC, so every job pins ``spark.sql.session.timeZone``
-to UTC.  Lineage is cut with ``DataFrame.checkpoint()`` into the shared
+to UTC.  Lineage is cut by landing tables (``land``) in the shared
 folder named by ``spark.checkpoint.dir``; a scratch folder is only made when
 that setting is absent (local tests).
 """
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -61,3 +63,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="tallyscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return scratch
+
+
+def land(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but computes the plan once (a reliable RDD
+    checkpoint recomputes it for the write), stores it columnar, and gives AQE real
+    size statistics for later join planning.  Survives executor loss.
+    """
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    t0 = time.time()
+    df.write.mode("overwrite").parquet(path)
+    if os.environ.get("TALLYSCOPE_TIMING"):
+        print(f"[land] {name}: {time.time() - t0:.2f}s", flush=True)
+    return spark.read.parquet(path)
