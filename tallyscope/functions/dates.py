@@ -60,6 +60,25 @@ def parse_timestamp(c, as_of=None, formats=DATE_FORMATS) -> Column:
     return F.when(in_range(parsed, as_of), parsed)
 
 
+def with_parsed_timestamp(df, src: str, out: str, as_of=None, formats=DATE_FORMATS):
+    """DataFrame form of :func:`parse_timestamp` that evaluates each stage once per row.
+
+    The trimmed text and the parsed value are each referenced many times; as separate
+    projections (which Catalyst keeps apart because they are expensive and reused)
+    they are computed once instead of once per reference.
+    """
+    t_s, t_p = f"__{out}_s", f"__{out}_p"
+    df = df.withColumn(t_s, F.regexp_replace(F.col(src).cast("string"), _TRIM, ""))
+    s = F.col(t_s)
+
+    def attempt(f):
+        return F.when(s.rlike(_SHAPES.get(f, _TEXTUAL)), F.try_to_timestamp(s, F.lit(f)))
+    parsed = F.when(s.isNull() | s.rlike(_NULL_DATE), F.lit(None).cast("timestamp")).otherwise(
+        F.coalesce(F.when(s.rlike(_ISO_HEAD), F.try_to_timestamp(s)), *[attempt(f) for f in formats]))
+    df = df.withColumn(t_p, parsed).drop(t_s)
+    return df.withColumn(out, F.when(in_range(F.col(t_p), as_of), F.col(t_p))).drop(t_p)
+
+
 def to_timestamp_col(c, dtype: str, as_of=None) -> Column:
     """Timestamp expression for a source column of Spark type ``dtype``."""
     if dtype in _TIME_TYPES:

@@ -68,6 +68,18 @@ def parse_amount(c) -> Column:
             .when((prefix != "") & is_finite(num), num))
 
 
+def with_parsed_amount(df, src: str, out: str):
+    """DataFrame form of :func:`parse_amount` evaluating the stripped text and the numeric
+    prefix once per row (separate projections instead of repeated sub-expressions)."""
+    t_s, t_n = f"__{out}_s", f"__{out}_n"
+    df = df.withColumn(t_s, F.regexp_replace(F.col(src).cast("string"), _STRIP_CLASS, ""))
+    s = F.col(t_s)
+    prefix = F.regexp_extract(s, _NUM_PREFIX, 1)
+    df = df.withColumn(t_n, F.when(s.isNull() | (s == "") | s.rlike(_NULL_TOKENS), F.lit(None).cast("double"))
+                       .otherwise(F.when(prefix != "", prefix.try_cast("double")))).drop(t_s)
+    return df.withColumn(out, F.when(is_finite(F.col(t_n)), F.col(t_n))).drop(t_n)
+
+
 def to_amount(c, dtype: str) -> Column:
     """Amount expression for a source column of Spark type ``dtype``."""
     if dtype in ("double", "float", "int", "bigint", "smallint", "tinyint") or dtype.startswith("decimal"):

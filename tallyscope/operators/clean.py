@@ -11,8 +11,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import to_timestamp_col
-from ..functions.numbers import round_half_up, to_amount
+from ..functions.dates import to_timestamp_col, with_parsed_timestamp
+from ..functions.numbers import finite_or_null, round_half_up, with_parsed_amount
 from ..model import AMOUNT, CATEGORY, IQR_LOWER, IQR_UPPER, OUTLIER, PRODUCT, QTY, TS, USER, Roles
 from ..session import ensure_checkpoint_dir
 from ..session import land as land_table
@@ -31,9 +31,16 @@ def _nonempty(c: Column) -> Column:
     return F.when(s != "", s)
 
 
+NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
+TIME = ("timestamp", "timestamp_ntz", "date")
+
+
 def typed_rows(df: DataFrame, roles: Roles, by: Sequence[str] = (), as_of=None,
                dedup: bool = True) -> DataFrame:
-    """Distinct source rows (with their multiplicity ``_mult``) and typed role columns."""
+    """Distinct source rows (with their multiplicity ``_mult``) and typed role columns.
+
+    Typed sources (numbers, timestamps) are cast; text sources go through the staged
+    parsers so each parse runs once per row."""
     dtypes = dict(df.dtypes)
     by = list(by)
     if dedup:
@@ -41,11 +48,28 @@ def typed_rows(df: DataFrame, roles: Roles, by: Sequence[str] = (), as_of=None,
     else:
         d = df.withColumn("_mult", F.lit(1).cast("long"))
     null_d = F.lit(None).cast("double")
+
+    def numeric(role, out):
+        nonlocal d
+        if not role:
+            return null_d.alias(out)
+        t = dtypes[role]
+        if t in NUMERIC or t.startswith("decimal"):
+            return finite_or_null(F.col(role)).alias(out)
+        d = with_parsed_amount(d, role, out)
+        return F.col(out)
+
+    amount = numeric(roles.revenue, AMOUNT)
+    qty = numeric(roles.quantity, QTY)
+    if not roles.date:
+        ts = F.lit(None).cast("timestamp").alias(TS)
+    elif dtypes[roles.date] in TIME:
+        ts = to_timestamp_col(roles.date, dtypes[roles.date], as_of).alias(TS)
+    else:
+        d = with_parsed_timestamp(d, roles.date, TS, as_of)
+        ts = F.col(TS)
     cols = [F.col(k) for k in by] + [
-        (to_amount(roles.revenue, dtypes[roles.revenue]) if roles.revenue else null_d).alias(AMOUNT),
-        (to_timestamp_col(roles.date, dtypes[roles.date], as_of) if roles.date
-         else F.lit(None).cast("timestamp")).alias(TS),
-        (to_amount(roles.quantity, dtypes[roles.quantity]) if roles.quantity else null_d).alias(QTY),
+        amount, ts, qty,
         (_nonempty(F.col(roles.user)) if roles.user else F.lit(None).cast("string")).alias(USER),
         (F.col(roles.category).cast("string") if roles.category else F.lit(None).cast("string")).alias(CATEGORY),
         (F.col(roles.product).cast("string") if roles.product else F.lit(None).cast("string")).alias(PRODUCT),

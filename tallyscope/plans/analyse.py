@@ -35,18 +35,19 @@ def gate(df: DataFrame, judged: DataFrame, flag: Column, by: Sequence[str]) -> D
 
 
 def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), as_of=None,
-            accuracy: int | None = None, land: bool = True) -> dict[str, DataFrame]:
+            accuracy: int | None = None, land: bool = True, facts: Facts | None = None) -> dict[str, DataFrame]:
     """Run the battery.  With ``land`` the fact table (read by ~30 jobs) and the small
     per-group frames that fan out are written once as Parquet tables into the
     cluster's shared checkpoint folder: lineage is cut, plans stay small, and a lost
     executor does not force the dedup/quartile stages to rerun."""
     by = list(by)
-    roles = roles or detect_roles(df)
-    facts: Facts = build_facts(df, roles, by, as_of, accuracy=accuracy, land=land)
+    if facts is None:
+        roles = roles or detect_roles(df)
     cut = (lambda d: land_table(d, "analysis")) if land else (lambda d: d)
-    if land:
-        ensure_checkpoint_dir(df.sparkSession)
-    facts.quality = cut(facts.quality)
+    if facts is None:
+        facts = build_facts(df, roles, by, as_of, accuracy=accuracy, land=land)
+        facts.quality = cut(facts.quality)
+    roles, by = facts.roles, list(facts.by)
     f = facts.df
     judged = cut(judgment(facts, accuracy))
     has_amt = bool(roles.revenue)

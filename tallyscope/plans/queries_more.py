@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_timestamp
+from ..functions.dates import with_parsed_timestamp
 from ..functions.display import inr_display
-from ..functions.numbers import parse_amount
+from ..functions.numbers import with_parsed_amount
 from ..functions.text import intent_flags, intent_primary, strip_markup
 from ..model import AMOUNT, COLUMN_ALIASES, DOMAIN_KEYWORDS, INTENT_PATTERNS, Roles
 from ..operators import anomalies as A
@@ -92,8 +92,7 @@ _DIRTY_AMOUNTS_SQL = """(SELECT l_orderkey, l_linenumber,
 
 @register("typed_amounts", f"SELECT l_orderkey, l_linenumber, raw, {amount_sql('raw')} AS amount FROM {_DIRTY_AMOUNTS_SQL} d")
 def q_typed_amounts(spark, sf):
-    d = _dirty_amounts(spark, sf)
-    return d.select("l_orderkey", "l_linenumber", "raw", parse_amount(F.col("raw")).alias("amount"))
+    return with_parsed_amount(_dirty_amounts(spark, sf), "raw", "amount")
 
 
 def _dirty_dates(spark, sf):
@@ -122,8 +121,7 @@ _DIRTY_DATES_SQL = """(SELECT l_orderkey, l_linenumber,
 
 @register("typed_timestamps", f"SELECT l_orderkey, l_linenumber, raw, {timestamp_sql('raw')} AS event_ts FROM {_DIRTY_DATES_SQL} d")
 def q_typed_ts(spark, sf):
-    d = _dirty_dates(spark, sf)
-    return d.select("l_orderkey", "l_linenumber", "raw", parse_timestamp(F.col("raw"), AS_OF).alias("event_ts"))
+    return with_parsed_timestamp(_dirty_dates(spark, sf), "raw", "event_ts", AS_OF)
 
 
 # ---------------------------------------------------------------- C1, C8, C9
@@ -416,8 +414,7 @@ sc AS (SELECT least(100, greatest(0, 100
   - CASE WHEN trend_concentrated THEN 10 ELSE 0 END)) AS score FROM judg)
 SELECT CAST(score AS BIGINT) AS score, CASE WHEN score >= 75 THEN 'HIGH' WHEN score >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM sc""")
 def q_confidence(spark, sf):
-    out = analyse(load(spark, sf, "events"), ROLES["events"], as_of=AS_OF)
-    return out["confidence"]
+    return analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF)["confidence"]
 
 
 @register("ranked_findings", _judgment_sql("events") + ",\n" + _detectors_sql() + f""",
@@ -453,7 +450,7 @@ SELECT CAST(row_number() OVER (ORDER BY magnitude * CASE reliability WHEN 'HIGH'
        {R("magnitude * CASE reliability WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.6 ELSE 0.25 END * CASE urgency WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.7 ELSE 0.4 END")} AS score
 FROM sc QUALIFY rank <= 5""")
 def q_findings(spark, sf):
-    out = analyse(load(spark, sf, "events"), ROLES["events"], as_of=AS_OF)["findings"]
+    out = analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF)["findings"]
     return out.select("rank", "type", "subtype", F.expr("floor(magnitude * 100 + 0.5) / 100").alias("magnitude"),
                       "reliability", "urgency", F.expr("floor(score * 100 + 0.5) / 100").alias("score"))
 
