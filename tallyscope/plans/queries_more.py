@@ -595,6 +595,16 @@ def q_dedup_stream(spark, sf):
     return spark.read.parquet(out).groupBy("day").agg(F.count("*").alias("kept"))
 
 
+@register("hourly_quota_bans_stream")
+def q_quota_stream(spark, sf):
+    ev = load(spark, sf, "events")
+    stream = S.file_stream(spark, f"{sf}/events*.parquet", ev.schema) \
+        .select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("ip"))
+    out = S.run_to_table(S.hourly_quota_stream(stream, quota=2), "quota", "append")
+    return spark.read.parquet(out).select("ip", F.timestamp_micros("ban_start_us").alias("ban_start"),
+                                          F.timestamp_micros("ban_end_us").alias("ban_end"))
+
+
 @register("rapid_repeat_stream", f"""SELECT count(*) AS pairs FROM (
   SELECT epoch_us(event_ts) - lag(epoch_us(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
   FROM {_STREAM_BASE} WHERE user_key IS NOT NULL) WHERE gap < 60000000""")

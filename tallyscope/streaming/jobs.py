@@ -120,3 +120,63 @@ def rapid_repeat_stream(events: DataFrame, gap_seconds: float = 60.0) -> DataFra
     return keyed.groupBy("user_key").transformWithStateInPandas(
         statefulProcessor=_rapid_processor(int(gap_seconds * 1_000_000)), outputStructType=RAPID_OUT,
         outputMode="Update", timeMode="None")
+
+
+QUOTA_OUT = T.StructType([T.StructField("ip", T.StringType()), T.StructField("ban_start_us", T.LongType()),
+                          T.StructField("ban_end_us", T.LongType())])
+QUOTA_STATE = T.StructType([T.StructField("hour", T.LongType()), T.StructField("count", T.LongType()),
+                            T.StructField("ban_end_us", T.LongType())])
+
+
+def _quota_processor(quota: int, ban_us: int):
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    class HourlyQuota(StatefulProcessor):
+        """Per client: current epoch hour, requests counted in it, and the ban end.
+        Requests during a ban are refused and not counted; the (quota+1)-th counted
+        request of an hour starts a ban."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("quota", QUOTA_STATE)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            us = pd.concat([r["us"] for r in rows]).sort_values().to_numpy()
+            hour, count, ban_end = self.state.get() if self.state.exists() else (None, 0, None)
+            starts, ends = [], []
+            for t in us:
+                t = int(t)
+                if ban_end is not None and t < ban_end:
+                    continue
+                h = t // 3_600_000_000
+                if h != hour:
+                    hour, count = h, 0
+                count += 1
+                if count > quota:
+                    ban_end = t + ban_us
+                    starts.append(t)
+                    ends.append(ban_end)
+            self.state.update((hour, count, ban_end))
+            if starts:
+                yield pd.DataFrame({"ip": pd.Series([key[0]] * len(starts), dtype="object"),
+                                    "ban_start_us": pd.Series(starts, dtype="int64"),
+                                    "ban_end_us": pd.Series(ends, dtype="int64")})
+
+        def close(self) -> None:
+            pass
+
+    return HourlyQuota()
+
+
+def hourly_quota_stream(log: DataFrame, quota: int, ban_seconds: int = 86400, ts: str = "ts",
+                        ip: str = "ip") -> DataFrame:
+    """W2 streaming: keyed state per client (hour, count, ban end); emits each ban as it starts.
+
+    Rows are ordered within a micro-batch; a client's batch rows are one group, so the
+    batch size (``maxFilesPerTrigger``) bounds the work per task.
+    """
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                              "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = log.select(F.col(ip).cast("string").alias("ip"), epoch_micros(ts).alias("us"))
+    return keyed.groupBy("ip").transformWithStateInPandas(
+        statefulProcessor=_quota_processor(quota, ban_seconds * 1_000_000), outputStructType=QUOTA_OUT,
+        outputMode="Append", timeMode="None")

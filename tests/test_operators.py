@@ -154,3 +154,11 @@ def test_empty_input(spark):
     q = fx.quality.first()
     assert q["rows_before"] == 0 and q["clean_rate"] == 100.0
     assert M.daily_trend(fx.df).count() == 0
+
+
+def test_quota_stream_equals_batch(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    batch = sorted(tuple(r) for r in q["hourly_quota_bans"](spark, SF).collect())
+    stream = sorted(tuple(r) for r in q["hourly_quota_bans_stream"](spark, SF).collect())
+    assert stream == batch
