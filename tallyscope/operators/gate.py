@@ -49,15 +49,20 @@ def rate_limit_windows(log: DataFrame, ts: str = "ts", ip: str = "ip", type_: st
 def rate_limit_rejections(log: DataFrame, ts: str = "ts", ip: str = "ip", type_: str = "type",
                           id_col: str = "id", window_s: int = 60, limits: dict = RATE_LIMITS,
                           max_requests: int | None = None) -> DataFrame:
-    """W1 row form: the rejected requests themselves.  The allowed ones are the first ``max``
-    of each window (``row_number() <= max`` keeps a partial per-window limit before the
-    shuffle); everything else in an over-limit window is rejected."""
+    """W1 row form: the rejected requests themselves.
+
+    The allowed requests are the first ``max`` of each (type, ip, window): a per-window
+    top-k whose literal bound lets Spark keep only k rows per window in every map task
+    before the shuffle, so a hot client's window never lands whole in one task.  The
+    rejected requests are then every other request (anti join on the request id)."""
+    top = max_requests if max_requests is not None else max(v["max"] for v in limits.values())
     mx = F.lit(max_requests) if max_requests is not None else limit_for(F.col(type_), limits)
     w = F.floor(epoch_micros(ts) / (window_s * SEC_US))
-    keyed = log.withColumn("_w", w).withColumn("_max", mx)
+    keyed = log.select(type_, ip, ts, id_col, w.alias("_w"), mx.alias("_max"))
     win = Window.partitionBy(type_, ip, "_w").orderBy(ts, id_col)
-    ranked = keyed.withColumn("_rn", F.row_number().over(win))
-    return ranked.where(F.col("_rn") > F.col("_max")).drop("_w", "_max", "_rn")
+    allowed = keyed.withColumn("_rn", F.row_number().over(win)).where(F.col("_rn") <= top) \
+        .where(F.col("_rn") <= F.col("_max")).select(id_col)
+    return log.join(allowed, id_col, "left_anti")
 
 
 def apply_manual_bans(log: DataFrame, bans: DataFrame, ts: str = "ts", ip: str = "ip",
@@ -109,7 +114,8 @@ def hourly_quota_bans(log: DataFrame, ts: str = "ts", ip: str = "ip", quota: int
         first = counts.groupBy("ip").agg(F.min("hour").alias("hour"))
         win = Window.partitionBy("ip", "hour").orderBy("us", "id")
         trig = live.join(first, ["ip", "hour"], "left_semi").withColumn("_rn", F.row_number().over(win)) \
-            .where(F.col("_rn") == quota + 1).select("ip", F.col("us").alias("trigger_us"))
+            .where(F.col("_rn") <= quota + 1).where(F.col("_rn") == quota + 1) \
+            .select("ip", F.col("us").alias("trigger_us"))
         trig = land(trig, "quota-triggers")
         if trig.isEmpty():
             break

@@ -85,9 +85,10 @@ def dominance(facts: DataFrame, roles: Roles, by: Sequence[str] = (),
     total = facts.groupBy(*by).agg(F.sum(amt).alias("_total"), F.count("*").alias("_rows"))
     cats = facts.where(F.col(CATEGORY).isNotNull() & (F.col(CATEGORY) != "")) \
         .groupBy(*by, CATEGORY).agg(F.sum(amt).alias("_v"))
-    # the category with the largest sum; ties go to the smallest name
-    w = Window.partitionBy(*by).orderBy(F.col("_v").desc(), F.col(CATEGORY))
-    top = cats.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    # the category with the largest sum, ties to the smallest name: one partial-combined
+    # aggregate over (-sum, name) instead of a sort
+    top = cats.groupBy(*by).agg(F.min(F.struct(F.negative("_v").alias("nv"), F.col(CATEGORY).alias("c"))).alias("_t")) \
+        .select(*by, F.negative("_t.nv").alias("_v"), F.col("_t.c").alias(CATEGORY))
     j = attach(total, top, by, "left")
     share = F.col("_v") / F.col("_total") * 100
     fires = (F.col("_rows") >= 10) & F.col("_v").isNotNull() & (F.col("_total") > 0) & (share > pct)
