@@ -58,9 +58,9 @@ def kpi_table(metrics: DataFrame, stats: DataFrame | None = None, categories: Da
         parts.append(_kpi(s, by, "distribution", 10, "Skewness", sk,
                           F.concat(number_text(sk, 3), F.lit(" ("), label, F.lit(")"))))
     if categories is not None:
-        c = categories.where(F.col("rank") <= 10)
-        tot = c.groupBy(*by).agg(F.sum("val").alias("_tot"))
-        c = attach(c, tot, by, "left")
+        # shares are of the whole breakdown (up to 12 categories); the first 10 are listed
+        tot = categories.groupBy(*by).agg(F.sum("val").alias("_tot"))
+        c = attach(categories.where(F.col("rank") <= 10), tot, by, "left")
         pct = F.when(F.col("_tot") > 0, round_half_up(F.col("val") / F.col("_tot") * 100)).otherwise(0.0)
         parts.append(c.select(*by, F.lit("category").alias("section"), F.col("rank").cast("int").alias("seq"),
                               F.col("name").alias("label"), F.col("val").cast("double").alias("value"),
@@ -85,20 +85,24 @@ def chart_series(categories: DataFrame | None, monthly: DataFrame | None, by: Se
     if categories is not None:
         top = categories.where(F.col("rank") <= 8)
         pt = lambda seq: F.col(seq).cast("int")
-        name = F.substring(F.coalesce(F.col("name"), F.lit("Other")), 1, 20)
+        full = F.coalesce(F.col("name"), F.lit("Other"))
+        name = F.substring(full, 1, 20)
+        # the tag text escapes quotes first and then cuts to 20 characters
+        tag = F.substring(F.regexp_replace(full, '"', '\\\\"'), 1, 20)
         parts.append(top.select(*by, F.lit("bar").alias("chart"), pt("rank").alias("seq"), name.alias("name"),
-                                round_half_up(F.col("val")).alias("val")))
+                                tag.alias("tag_name"), round_half_up(F.col("val")).alias("val")))
         n = categories.groupBy(*by).agg(F.count("*").alias("_n"))
         pie = attach(top, n, by, "left").where(F.col("_n") >= 3)
         parts.append(pie.select(*by, F.lit("pie").alias("chart"), pt("rank").alias("seq"), name.alias("name"),
-                                round_half_up(F.col("val")).alias("val")))
+                                tag.alias("tag_name"), round_half_up(F.col("val")).alias("val")))
     if monthly is not None:
         w = Window.partitionBy(*by).orderBy("month")
         m = monthly.withColumn("_seq", F.row_number().over(w)) \
             .withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
         m = m.where((F.col("_seq") <= 12) & (F.col("_n") >= 2))
-        parts.append(m.select(*by, F.lit("line").alias("chart"), F.col("_seq").alias("seq"),
-                              F.coalesce(F.col("month"), F.lit("")).alias("name"),
+        month = F.coalesce(F.col("month"), F.lit(""))
+        parts.append(m.select(*by, F.lit("line").alias("chart"), F.col("_seq").alias("seq"), month.alias("name"),
+                              F.regexp_replace(month, '"', '\\\\"').alias("tag_name"),
                               round_half_up(F.col("val")).alias("val")))
     out = parts[0]
     for p in parts[1:]:
@@ -107,15 +111,19 @@ def chart_series(categories: DataFrame | None, monthly: DataFrame | None, by: Se
 
 
 def chart_tags(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """F4 as the ``[CHART:kind|title|[points]]`` tags, one row per chart."""
+    """F4 as the ``[CHART:kind|title|[points]]`` tags, one row per chart.  Points are
+    ``{"name":"...","val":N}`` with quotes in names escaped and values printed as plain
+    numbers (``1234``, ``1234.5``), in series order."""
     titles = {"bar": "Revenue by Category", "pie": "Category Distribution", "line": "Revenue Trend"}
     title = F.when(F.col("chart") == "bar", titles["bar"]).when(F.col("chart") == "pie", titles["pie"]) \
         .otherwise(titles["line"])
-    pts = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name", "val"))),
-                                lambda x: F.struct(x["name"].alias("name"), x["val"].alias("val"))))
+    point = F.concat(F.lit('{"name":"'), F.col("tag_name"), F.lit('","val":'),
+                     number_text(F.col("val")), F.lit("}"))
+    pts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))),
+                                   lambda x: x["p"]), ",")
     g = series.groupBy(*by, "chart").agg(pts.alias("_p"))
-    return g.select(*by, "chart", F.concat(F.lit("[CHART:"), F.col("chart"), F.lit("|"), title, F.lit("|"),
-                                           F.col("_p"), F.lit("]")).alias("tag"))
+    return g.select(*by, "chart", F.concat(F.lit("[CHART:"), F.col("chart"), F.lit("|"), title, F.lit("|["),
+                                           F.col("_p"), F.lit("]]")).alias("tag"))
 
 
 SUPPRESS = "(?i)(recommendation|action|next step|should)[^\\n]*"

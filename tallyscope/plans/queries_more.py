@@ -260,21 +260,40 @@ def q_inr_c(spark, sf):
 
 
 # ---------------------------------------------------------------- F4
-@register("chart_series", facts_cte("orders") + f""",
+SQL_CHART_SERIES = facts_cte("orders") + f""",
 cats AS (SELECT CASE WHEN category IS NULL OR category = '' THEN 'Unknown' ELSE category END AS name,
                 sum(coalesce(amount, 0.0)) AS v FROM facts GROUP BY 1),
 ranked AS (SELECT name, {R('v')} AS val, row_number() OVER (ORDER BY v DESC, name) AS seq,
                   count(*) OVER () AS n FROM cats QUALIFY seq <= 12),
 mon AS (SELECT strftime(event_ts, '%Y-%m') AS month, {R('sum(coalesce(amount, 0.0))')} AS val FROM facts GROUP BY 1),
 line AS (SELECT month, val, row_number() OVER (ORDER BY month) AS seq, count(*) OVER () AS n FROM mon)
-SELECT 'bar' AS chart, seq, substr(name, 1, 20) AS name, val FROM ranked WHERE seq <= 8
-UNION ALL SELECT 'pie', seq, substr(name, 1, 20), val FROM ranked WHERE seq <= 8 AND n >= 3
-UNION ALL SELECT 'line', seq, month, val FROM line WHERE seq <= 12 AND n >= 2""")
+SELECT 'bar' AS chart, seq, substr(name, 1, 20) AS name, substr(replace(name, '"', '\\"'), 1, 20) AS tag_name, val FROM ranked WHERE seq <= 8
+UNION ALL SELECT 'pie', seq, substr(name, 1, 20), substr(replace(name, '"', '\\"'), 1, 20), val FROM ranked WHERE seq <= 8 AND n >= 3
+UNION ALL SELECT 'line', seq, month, replace(month, '"', '\\"'), val FROM line WHERE seq <= 12 AND n >= 2"""
+
+
+@register("chart_series", SQL_CHART_SERIES)
 def q_charts(spark, sf):
     f = facts(spark, sf, "orders").df
     return RP.chart_series(M.category_breakdown(f), M.monthly_trend(f))
 
 
+def _chart_tags_sql() -> str:
+    base = SQL_CHART_SERIES.rsplit("SELECT 'bar' AS chart", 1)
+    pt = "'{\"name\":\"' || tag_name || '\",\"val\":' || " + numtext_sql("val") + " || '}'"
+    return base[0].rstrip() + ",\ns AS (SELECT 'bar' AS chart" + base[1] + f""")
+SELECT chart, '[CHART:' || chart || '|' || CASE chart WHEN 'bar' THEN 'Revenue by Category'
+         WHEN 'pie' THEN 'Category Distribution' ELSE 'Revenue Trend' END || '|[' ||
+       string_agg({pt}, ',' ORDER BY seq) || ']]' AS tag
+FROM s GROUP BY chart"""
+
+
+@register("chart_tags", _chart_tags_sql())
+def q_chart_tags(spark, sf):
+    f = facts(spark, sf, "orders").df
+    return RP.chart_tags(RP.chart_series(M.category_breakdown(f), M.monthly_trend(f)))
+
+
 # ---------------------------------------------------------------- composed events battery: SQL pieces
 def _detectors_sql() -> str:
     """A1-A8 over ``facts`` as one CTE ``det`` (type, severity, value, impact, seq)."""
@@ -476,6 +495,54 @@ def q_kpi(spark, sf):
                                          "display", "direction")
 
 
+_KPI_FULL_SQL = facts_cte("events") + ",\n" + describe_sql("facts", "amount") + f""",
+d0 AS (SELECT strftime(event_ts, '%Y-%m-%d') AS day, {R('sum(coalesce(amount, 0.0))')} AS val FROM facts GROUP BY day),
+rn AS (SELECT val, row_number() OVER (ORDER BY day DESC) AS r, count(*) OVER () AS n FROM d0),
+g AS (SELECT CASE WHEN max(n) >= 14 AND sum(CASE WHEN r BETWEEN 8 AND 14 THEN val END) > 0 THEN
+         {R('(sum(CASE WHEN r <= 7 THEN val END) - sum(CASE WHEN r BETWEEN 8 AND 14 THEN val END)) / sum(CASE WHEN r BETWEEN 8 AND 14 THEN val END) * 100')} END AS growth FROM rn),
+m AS (SELECT described.sum AS revenue, (SELECT count(*) FROM facts) AS orders,
+             {R('described.sum / (SELECT count(*) FROM facts)')} AS aov, described.median AS median_order, g.growth
+      FROM described, g),
+cg AS (SELECT CASE WHEN category IS NULL OR category = '' THEN 'Unknown' ELSE category END AS name,
+              sum(coalesce(amount, 0.0)) AS v, count(*) AS cnt FROM facts GROUP BY 1),
+cr AS (SELECT name, {R('v')} AS val, cnt, row_number() OVER (ORDER BY v DESC, name) AS rank FROM cg QUALIFY rank <= 12),
+ct AS (SELECT sum(val) AS tot FROM cr),
+dist AS (SELECT * FROM (SELECT mean, median, std, min, max, max - min AS rng, p25, p75, p75 - p25 AS iqr, skew FROM described)),
+q AS (SELECT CASE WHEN (SELECT rows_before FROM raw_n) > 0 THEN {R('(SELECT count(*) FROM facts) / (SELECT rows_before FROM raw_n) * 100')} ELSE 100.0 END AS cr)
+SELECT 'kpi' AS section, CAST(1 AS BIGINT) AS seq, 'Total Revenue' AS label, revenue AS value, {inr_sql('revenue')} AS display, 'neutral' AS direction FROM m
+UNION ALL SELECT 'kpi', 2, 'Transactions', CAST(orders AS DOUBLE), CAST(orders AS VARCHAR), 'neutral' FROM m
+UNION ALL SELECT 'kpi', 3, 'Avg Order Value', aov, {inr_sql('aov')}, 'neutral' FROM m
+UNION ALL SELECT 'kpi', 4, 'WoW Growth', growth, {numtext_sql('growth')} || '%', CASE WHEN growth >= 0 THEN 'up' ELSE 'down' END FROM m WHERE growth IS NOT NULL
+UNION ALL SELECT 'kpi', 5, 'Median Order', median_order, {inr_sql('median_order')}, 'neutral' FROM m
+UNION ALL SELECT 'distribution', 1, 'Mean', mean, {inr_sql('mean')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 2, 'Median', median, {inr_sql('median')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 3, 'Std Dev', std, {inr_sql('std')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 4, 'Min', min, {inr_sql('min')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 5, 'Max', max, {inr_sql('max')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 6, 'Range', rng, {inr_sql('rng')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 7, 'P25', p25, {inr_sql('p25')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 8, 'P75', p75, {inr_sql('p75')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 9, 'IQR', iqr, {inr_sql('iqr')}, 'neutral' FROM dist
+UNION ALL SELECT 'distribution', 10, 'Skewness', skew,
+   regexp_replace(printf('%.3f', {R('skew', 3)}), '[.]?0+$', '') || ' (' ||
+   CASE WHEN abs(skew) < 0.5 THEN 'approximately normal' WHEN skew > 0 THEN 'right-skewed — outliers pulling mean up' ELSE 'left-skewed' END || ')',
+   'neutral' FROM dist
+UNION ALL SELECT 'category', rank, name, val,
+   {inr_sql('val')} || ' (' || {numtext_sql('CASE WHEN ct.tot > 0 THEN val / ct.tot * 100 ELSE 0.0 END')} || '% share, ' || CAST(cnt AS VARCHAR) || ' transactions)',
+   'neutral' FROM cr, ct WHERE rank <= 10
+UNION ALL SELECT 'quality', 1, 'Data quality verdict', cr,
+   CASE WHEN cr >= 95 THEN 'CLEAN ✓' WHEN cr >= 85 THEN 'MINOR ISSUES' ELSE 'NEEDS ATTENTION' END, 'neutral' FROM q"""
+
+
+@register("kpi_table", _KPI_FULL_SQL)
+def q_kpi_full(spark, sf):
+    fx = facts(spark, sf, "events")
+    f = fx.df
+    metrics = M.headline(f).crossJoin(M.week_over_week(M.daily_trend(f)).select("growth"))
+    out = RP.kpi_table(metrics, describe_measure(f, AMOUNT), M.category_breakdown(f), fx.quality)
+    return out.withColumn("seq", F.col("seq").cast("int"))
+
+
 @register("audit_narratives", facts_cte("events") + f""",
 m AS (SELECT {R('sum(amount)')} AS revenue, count(*) AS orders FROM facts)
 SELECT doc_id,

@@ -162,3 +162,13 @@ def test_quota_stream_equals_batch(spark):
     batch = sorted(tuple(r) for r in q["hourly_quota_bans"](spark, SF).collect())
     stream = sorted(tuple(r) for r in q["hourly_quota_bans_stream"](spark, SF).collect())
     assert stream == batch
+
+
+def test_chart_tags_escape_then_cut(spark):
+    from tallyscope.operators.report import chart_series, chart_tags
+    cats = spark.createDataFrame([(1, 'Big "Q" Category Name!!', 1234.0, 3), (2, "b", 99.5, 1), (3, "c", 0.25, 1)],
+                                 "rank int, name string, val double, count long")
+    tags = {r["chart"]: r["tag"] for r in chart_tags(chart_series(cats, None)).collect()}
+    assert tags["bar"] == ('[CHART:bar|Revenue by Category|[{"name":"Big \\"Q\\" Category N","val":1234},'
+                           '{"name":"b","val":99.5},{"name":"c","val":0.25}]]')
+    assert "pie" in tags
