@@ -118,8 +118,10 @@ def price_volume_contradiction(facts: DataFrame, roles: Roles, by: Sequence[str]
                     "revenue_slope", "quantity_slope", fires.alias("contradiction"))
 
 
-def judgment(facts: Facts, accuracy: int | None = None) -> DataFrame:
-    """J1-J14 for every group: one row with tier, verdict, flags, distortions and permissions."""
+def judgment(facts: Facts, accuracy: int | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """J1-J14 for every group: one row with tier, verdict, flags, distortions and permissions.
+
+    ``stats`` may pass an already computed :func:`describe_measure` of the amounts."""
     f, roles, by = facts.df, facts.roles, list(facts.by)
     q = facts.quality.select(*by, "rows_before", "rows_after", "clean_rate")
     base = f.groupBy(*by).agg(
@@ -131,7 +133,7 @@ def judgment(facts: Facts, accuracy: int | None = None) -> DataFrame:
     rows = F.col("rows")
 
     if roles.revenue:
-        st = describe_measure(f, AMOUNT, by, accuracy).select(
+        st = (stats if stats is not None else describe_measure(f, AMOUNT, by, accuracy)).select(
             *by, F.col("sum").alias("_s_sum"), F.col("mean").alias("_s_mean"),
             F.col("median").alias("_s_median"), F.col("skew").alias("skew"), F.col("p95").alias("_p95"))
         below = attach(f.select(*by, AMOUNT), st.select(*by, "_p95"), by, "inner") \

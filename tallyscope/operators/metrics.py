@@ -44,6 +44,15 @@ def headline(facts: DataFrame, by: Sequence[str] = (), accuracy: int | None = No
                         f"{rhu_sql(interpolate_sql('median', 0.5))} AS median_order")
 
 
+def headline_from_stats(facts: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """M1 from an already computed :func:`describe_measure` (same rounded sum and median)."""
+    by = list(by)
+    rows = facts.groupBy(*by).agg(F.count("*").alias("orders"))
+    j = attach(rows, stats.select(*by, F.col("sum").alias("_rev"), F.col("median").alias("_med")), by, "left")
+    return j.selectExpr(*by, "_rev AS revenue", "orders",
+                        f"CASE WHEN orders > 0 THEN {rhu_sql('_rev / orders')} END AS aov", "_med AS median_order")
+
+
 def headline_without_outliers(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """M2: sum and mean of the amounts not flagged as IQR outliers."""
     by = list(by)

@@ -12,7 +12,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Roles
+from ..model import AMOUNT, Roles
+from ..operators.stats import describe_measure
 from ..operators import anomalies as A
 from ..operators import metrics as M
 from ..operators.clean import build_facts
@@ -49,10 +50,12 @@ def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), a
         facts.quality = cut(facts.quality)
     roles, by = facts.roles, list(facts.by)
     f = facts.df
-    judged = cut(judgment(facts, accuracy))
     has_amt = bool(roles.revenue)
+    # one exact describe of the amounts feeds both the judgment and the headline
+    stats = cut(describe_measure(f, AMOUNT, by, accuracy)) if has_amt else None
+    judged = cut(judgment(facts, accuracy, stats))
 
-    head = M.headline(f, by, accuracy) if has_amt else \
+    head = M.headline_from_stats(f, stats, by) if has_amt else \
         f.groupBy(*by).agg(F.count("*").alias("orders")).select(
             *by, F.lit(None).cast("double").alias("revenue"), "orders",
             F.lit(None).cast("double").alias("aov"), F.lit(None).cast("double").alias("median_order"))
