@@ -39,3 +39,12 @@ def cohort_retention(facts: DataFrame, by: Sequence[str] = (), periods: int = 12
     users = F.coalesce(F.col("users"), F.lit(0))
     return out.select(*by, F.date_format("_c", "yyyy-MM").alias("cohort"), "period", "size",
                       users.alias("users"), round_half_up(users / F.col("size") * 100).alias("pct"))
+
+
+def cohort_matrix(retention: DataFrame, by: Sequence[str] = (), periods: int = 12) -> DataFrame:
+    """H1 matrix view: one row per cohort with ``p0..p11`` retention percentages.
+
+    The period values are listed explicitly, so the pivot needs no extra job to find them."""
+    by = list(by)
+    wide = retention.groupBy(*by, "cohort", "size").pivot("period", list(range(periods))).agg(F.first("pct"))
+    return wide.select(*by, "cohort", "size", *[F.col(f"`{k}`").alias(f"p{k}") for k in range(periods)])

@@ -416,6 +416,17 @@ def q_cohorts(spark, sf):
     return cohort_retention(facts(spark, sf, "orders").df)
 
 
+@register("cohort_matrix", SQL["cohort_retention"].rsplit("SELECT strftime(grid.c", 1)[0].rstrip() + f""",
+long AS (SELECT strftime(grid.c, '%Y-%m') AS cohort, CAST(grid.period AS BIGINT) AS period, grid.size,
+                {R('coalesce(cells.users, 0) / grid.size * 100')} AS pct
+         FROM grid LEFT JOIN cells ON grid.c = cells.c AND grid.period = cells.period)
+SELECT cohort, size, """ + ", ".join(f"max(CASE WHEN period = {k} THEN pct END) AS p{k}" for k in range(12)) + """
+FROM long GROUP BY cohort, size""")
+def q_cohort_matrix(spark, sf):
+    from ..operators.cohorts import cohort_matrix
+    return cohort_matrix(cohort_retention(facts(spark, sf, "orders").df))
+
+
 # =========================================================================== judgments
 @register("temporal_quality", facts_cte("events") + f""",
 ser AS (SELECT strftime(event_ts, '%Y-%m-%d') AS day, sum(CASE WHEN amount IS NULL OR amount = 0 THEN 1.0 ELSE amount END) AS v

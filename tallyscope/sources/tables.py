@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from typing import Sequence
 
@@ -44,13 +45,33 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str | N
 
 def read_json_table(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """A JSON array of objects (or JSON lines); values become strings, null -> '',
-    nested values are kept as JSON text."""
+    nested values are kept as JSON text.
+
+    For JSON lines the columns are the keys of the first object, in its order (read from
+    the first line only); keys that appear only in later objects are dropped.  For a
+    multi-line array Spark's merged key set is kept (the first object is not isolated
+    without reading the whole file)."""
     df = spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(paths)
+    fields = {f.name: f for f in df.schema.fields}
+    names = list(fields)
+    if not multi_line:
+        first = spark.read.text(paths).limit(1).first()
+        if first is not None:
+            try:
+                obj = json.loads(first[0])
+                if isinstance(obj, dict):
+                    names = list(obj.keys())
+            except ValueError:
+                pass
     cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+    for name in names:
+        f = fields.get(name)
+        if f is None:
+            cols.append(F.lit("").alias(name))
+            continue
+        c = F.col(f"`{name}`")
         v = c if isinstance(f.dataType, T.StringType) else F.to_json(c)
-        cols.append(F.coalesce(v, F.lit("")).alias(f.name))
+        cols.append(F.coalesce(v, F.lit("")).alias(name))
     return df.select(*cols)
 
 

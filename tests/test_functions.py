@@ -72,3 +72,22 @@ def test_intent(spark):
     got = [r[0] for r in df.select(intent_primary(fl)).collect()]
     assert got == [p for _, p in qs]
     assert df.select(fl["has_premise"]).first()[0] is True
+
+
+def test_read_json_lines_first_object_keys(spark, tmp_path):
+    from tallyscope.sources.tables import read_json_table
+    p = tmp_path / "t.json"
+    p.write_text('{"b": 1, "a": null, "n": {"x": 2}}\n{"a": "z", "c": 5}\n')
+    df = read_json_table(spark, str(p), multi_line=False)
+    assert df.columns == ["b", "a", "n"]
+    rows = [tuple(r) for r in df.collect()]
+    assert rows == [("1", "", '{"x":"2"}'), ("", "z", "")]
+
+
+def test_read_delimited_separator_and_padding(spark, tmp_path):
+    from tallyscope.sources.tables import read_delimited
+    p = tmp_path / "t.csv"
+    p.write_text('﻿amount;date;"note; x"\n"1,5";2024-01-02;ok\n\n;;\n7;2024-01-03\n')
+    df = read_delimited(spark, str(p))
+    assert df.columns == ["amount", "date", "note; x"]
+    assert [tuple(r) for r in df.collect()] == [("1,5", "2024-01-02", "ok"), ("7", "2024-01-03", "")]
