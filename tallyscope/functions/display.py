@@ -6,26 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import col_of
-from .numbers import is_finite, round_half_up
+from .sqlfns import call, inr_sql, numtext_sql
 
 
 def number_text(c, digits: int = 2) -> Column:
     """Shortest text of a value rounded to ``digits`` places: 1.5 -> '1.5', 2.0 -> '2'."""
-    s = F.regexp_replace(F.format_number(round_half_up(col_of(c), digits), digits), ",", "")
-    if digits == 0:
-        return s
-    return F.regexp_replace(s, "[.]?0+$", "")
+    if isinstance(c, str):
+        return F.expr(numtext_sql(c, digits))
+    return call(f"tally_numtext_{digits}", col_of(c).cast("double"))
 
 
 def inr_display(c) -> Column:
     """Rupee display: >= 1e7 -> '₹1.23Cr', >= 1e5 -> '₹1.23L', >= 1e3 -> '₹12,345', else '₹999.5'."""
-    v = col_of(c).cast("double")
-    a = F.abs(v)
-    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    whole = round_half_up(a, 0)
-    grouped = F.when(whole >= 100000, F.lit("1,00,000")).otherwise(F.format_number(whole, 0))
-    body = (F.when(a >= 1e7, F.concat(F.lit("₹"), number_text(a / 1e7), F.lit("Cr")))
-            .when(a >= 1e5, F.concat(F.lit("₹"), number_text(a / 1e5), F.lit("L")))
-            .when(a >= 1e3, F.concat(F.lit("₹"), grouped))
-            .otherwise(F.concat(F.lit("₹"), number_text(a))))
-    return F.when(is_finite(v), F.concat(sign, body)).otherwise(F.lit("N/A"))
+    if isinstance(c, str):
+        return F.expr(inr_sql(c))
+    return call("tally_inr", col_of(c).cast("double"))

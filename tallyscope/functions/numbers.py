@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import col_of
+from .sqlfns import call, rhu_sql  # noqa: F401  (rhu_sql re-exported)
 
 INF = float("inf")
 
@@ -26,29 +27,23 @@ def finite_or_null(c) -> Column:
     return F.when(is_finite(c), c)
 
 
-def rhu_sql(x: str, digits: int = 2) -> str:
-    """SQL text of :func:`round_half_up` for a SQL expression ``x``."""
-    s = float(10 ** digits)
-    v = f"CAST(({x}) AS DOUBLE)"
-    return (f"(CASE WHEN {v} IS NULL THEN CAST(NULL AS DOUBLE) "
-            f"WHEN isnan({v}) OR abs({v}) = double('inf') THEN 0.0D "
-            f"WHEN abs({v} * {s}D + 0.5D) >= 9.0E15 THEN ({v} * {s}D + 0.5D) / {s}D "
-            f"ELSE CAST(floor({v} * {s}D + 0.5D) AS DOUBLE) / {s}D END)")
-
-
 def round_half_up(c, digits: int = 2) -> Column:
     """Round half toward +infinity (``floor(v*10^d + 0.5) / 10^d``); non-finite -> 0.
 
-    ``F.round`` rounds half away from zero, which differs for negative halves.
-    A string is taken as SQL expression text (one ``F.expr``: far fewer driver
-    round trips than composing Column objects).
+    ``F.round`` rounds half away from zero, which differs for negative halves.  A string
+    is taken as SQL expression text; a Column goes through the session SQL function.
     """
     if isinstance(c, str):
         return F.expr(rhu_sql(c, digits))
-    c = col_of(c).cast("double")
+    if 0 <= digits <= 4:
+        return call(f"tally_rhu_{digits}", col_of(c).cast("double"))
+    return _rhu_column(col_of(c), digits)
+
+
+def _rhu_column(c: Column, digits: int) -> Column:
+    c = c.cast("double")
     scale = float(10 ** digits)
     x = c * F.lit(scale) + F.lit(0.5)
-    # floor() returns BIGINT; values past 2^53 are already integral doubles.
     fl = F.when(F.abs(x) >= F.lit(9.0e15), x).otherwise(F.floor(x).cast("double"))
     return F.when(c.isNull(), F.lit(None).cast("double")) \
         .when(~is_finite(c), F.lit(0.0)) \

@@ -4,32 +4,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import RELIABILITY_WEIGHT, URGENCY_WEIGHT, Roles
 from .common import attach
 
-FINDING_COLS = ["seq", "type", "subtype", "magnitude", "reliability", "actionable", "detail"]
-
-
-def _weight(c: Column, table: dict[str, float], default: float) -> Column:
-    out = None
-    for k, v in table.items():
-        out = (F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v)))
-    return out.otherwise(F.lit(default))
-
-
-def urgency(type_: Column, subtype: Column, reliability: Column) -> Column:
-    return (F.when((type_ == "ANOMALY") & (reliability == "HIGH"), "HIGH")
-            .when(type_ == "CONTRADICTION", "HIGH")
-            .when(type_ == "CONCENTRATION_RISK", "MEDIUM")
-            .when(type_ == "RETENTION", "MEDIUM")
-            .when((type_ == "TREND") & (subtype == "DECLINE"), "HIGH")
-            .when((type_ == "TREND") & (subtype == "GROWTH"), "LOW")
-            .otherwise("LOW"))
-
-
 def ranked_findings(anomalies: DataFrame, judged: DataFrame, metrics: DataFrame,
                     by: Sequence[str] = (), k: int = 5) -> DataFrame:
     """F1.  ``anomalies``: the ranked A9 list; ``judged``: the J frame; ``metrics``: one row per
@@ -42,7 +22,6 @@ def ranked_findings(anomalies: DataFrame, judged: DataFrame, metrics: DataFrame,
     """
     by = list(by)
     jm = attach(judged, metrics, by, "left")
-    rev = F.coalesce(F.col("revenue"), F.lit(0.0))
 
     a = attach(anomalies, metrics.select(*by, "aov"), by, "left") \
         .where((F.col("severity") == "HIGH") | (F.col("impact") > 0))
@@ -53,50 +32,48 @@ def ranked_findings(anomalies: DataFrame, judged: DataFrame, metrics: DataFrame,
                  F.col("severity").alias("reliability"), (F.col("severity") != "LOW").alias("actionable"),
                  F.col("reason").alias("detail"))
 
-    def one(seq: int, cond: Column, type_: str, subtype: Column | str, magnitude: Column,
-            reliability: Column | str, actionable: Column | bool, detail: Column) -> DataFrame:
-        lit = lambda v: F.lit(v) if not isinstance(v, Column) else v
-        return jm.where(cond).select(*by, F.lit(100 + seq).alias("seq"), F.lit(type_).alias("type"),
-                                     lit(subtype).alias("subtype"), magnitude.cast("double").alias("magnitude"),
-                                     lit(reliability).alias("reliability"), lit(actionable).alias("actionable"),
-                                     detail.alias("detail"))
-
-    g = F.col("growth")
-    parts = [
-        a,
-        one(1, F.col("contradiction"), "CONTRADICTION", "REVENUE_UP_VOLUME_DOWN", rev, "HIGH", True,
-            F.lit("Revenue trend is positive while transaction volume trend is negative")),
-        one(2, F.col("skew_flag"), "DISTORTION", "SKEW_DISTORTION", rev * 0.2, "HIGH", False,
-            F.format_string("Mean is distorted by extreme values (skew %s)", F.col("skew").cast("string"))),
-        one(3, F.col("outlier_distortion"), "DISTORTION", "OUTLIER_TOTAL_DISTORTION",
-            F.when(F.col("outlier_difference") != 0, F.col("outlier_difference")).otherwise(rev * 0.2),
-            "HIGH", False, F.format_string("Outliers account for %s%% of reported total",
-                                           F.col("outlier_pct_impact").cast("string"))),
-        one(4, F.col("trend_concentrated"), "DISTORTION", "TREND_CONCENTRATION", rev * 0.2, "HIGH", False,
-            F.format_string("The apparent trend is driven by a single period (%s)", F.col("concentrated_period"))),
-        one(5, F.col("dominant_category").isNotNull(), "CONCENTRATION_RISK", "CATEGORY_CONCENTRATION",
-            F.coalesce(F.col("dominant_value"), F.lit(0.0)) * 0.3, "HIGH", True,
-            F.format_string("%s accounts for %s%% of total revenue", F.col("dominant_category"),
-                            F.col("dominant_pct").cast("string"))),
-        one(6, F.col("has_sufficient_for_trend") & g.isNotNull() & (F.abs(g) > 5), "TREND",
-            F.when(g > 0, "GROWTH").otherwise("DECLINE"), F.abs(rev) * (F.abs(g) / 100),
-            F.when(F.col("trend_concentrated"), "LOW").otherwise("MEDIUM"), F.abs(g) > 15,
-            F.format_string("%s%% week-over-week revenue change", g.cast("string"))),
-        one(7, F.col("repeat_rate").isNotNull() & F.col("unique_users").isNotNull() & (F.col("repeat_rate") < 30),
-            "RETENTION", "LOW_REPEAT_RATE",
-            F.when(F.col("revenue").isNotNull() & (F.col("revenue") != 0),
-                   F.col("revenue") * ((30 - F.col("repeat_rate")) / 100)).otherwise(0.0),
-            "MEDIUM", True, F.format_string("%s%% repeat purchase rate against a 30%% benchmark",
-                                            F.col("repeat_rate").cast("string"))),
+    rev = "coalesce(revenue, 0.0D)"
+
+    def item(seq, cond, type_, subtype, magnitude, reliability, actionable, detail):
+        return (f"named_struct('keep', coalesce({cond}, false), 'seq', {100 + seq}, 'type', '{type_}', "
+                f"'subtype', {subtype}, 'magnitude', CAST(({magnitude}) AS DOUBLE), 'reliability', {reliability}, "
+                f"'actionable', {actionable}, 'detail', {detail})")
+
+    items = [
+        item(1, "contradiction", "CONTRADICTION", "'REVENUE_UP_VOLUME_DOWN'", rev, "'HIGH'", "true",
+             "'Revenue trend is positive while transaction volume trend is negative'"),
+        item(2, "skew_flag", "DISTORTION", "'SKEW_DISTORTION'", f"{rev} * 0.2D", "'HIGH'", "false",
+             "format_string('Mean is distorted by extreme values (skew %s)', CAST(skew AS STRING))"),
+        item(3, "outlier_distortion", "DISTORTION", "'OUTLIER_TOTAL_DISTORTION'",
+             f"CASE WHEN outlier_difference <> 0 THEN outlier_difference ELSE {rev} * 0.2D END", "'HIGH'", "false",
+             "format_string('Outliers account for %s%% of reported total', CAST(outlier_pct_impact AS STRING))"),
+        item(4, "trend_concentrated", "DISTORTION", "'TREND_CONCENTRATION'", f"{rev} * 0.2D", "'HIGH'", "false",
+             "format_string('The apparent trend is driven by a single period (%s)', concentrated_period)"),
+        item(5, "dominant_category IS NOT NULL", "CONCENTRATION_RISK", "'CATEGORY_CONCENTRATION'",
+             "coalesce(dominant_value, 0.0D) * 0.3D", "'HIGH'", "true",
+             "format_string('%s accounts for %s%% of total revenue', dominant_category, CAST(dominant_pct AS STRING))"),
+        item(6, "has_sufficient_for_trend AND growth IS NOT NULL AND abs(growth) > 5", "TREND",
+             "CASE WHEN growth > 0 THEN 'GROWTH' ELSE 'DECLINE' END", f"abs({rev}) * (abs(growth) / 100)",
+             "CASE WHEN trend_concentrated THEN 'LOW' ELSE 'MEDIUM' END", "abs(growth) > 15",
+             "format_string('%s%% week-over-week revenue change', CAST(growth AS STRING))"),
+        item(7, "repeat_rate IS NOT NULL AND unique_users IS NOT NULL AND repeat_rate < 30", "RETENTION",
+             "'LOW_REPEAT_RATE'",
+             "CASE WHEN revenue IS NOT NULL AND revenue <> 0 THEN revenue * ((30 - repeat_rate) / 100) ELSE 0.0D END",
+             "'MEDIUM'", "true",
+             "format_string('%s%% repeat purchase rate against a 30%% benchmark', CAST(repeat_rate AS STRING))"),
     ]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    urg = urgency(F.col("type"), F.col("subtype"), F.col("reliability"))
-    u = u.withColumn("urgency", urg)
-    u = u.withColumn("score", F.coalesce(F.col("magnitude"), F.lit(0.0))
-                     * _weight(F.col("reliability"), RELIABILITY_WEIGHT, 0.25)
-                     * _weight(F.col("urgency"), URGENCY_WEIGHT, 0.4))
+    rest = jm.selectExpr(*by, f"explode(array({', '.join(items)})) AS _f").where("_f.keep") \
+        .selectExpr(*by, "_f.seq", "_f.type", "_f.subtype", "_f.magnitude", "_f.reliability", "_f.actionable",
+                    "_f.detail")
+    u = a.unionByName(rest)
+    urgency = ("CASE WHEN type = 'ANOMALY' AND reliability = 'HIGH' THEN 'HIGH' WHEN type = 'CONTRADICTION' THEN 'HIGH' "
+               "WHEN type IN ('CONCENTRATION_RISK', 'RETENTION') THEN 'MEDIUM' "
+               "WHEN type = 'TREND' AND subtype = 'DECLINE' THEN 'HIGH' ELSE 'LOW' END")
+    u = u.selectExpr("*", f"{urgency} AS urgency")
+    rel_w = " ".join(f"WHEN reliability = '{k}' THEN {v}D" for k, v in RELIABILITY_WEIGHT.items())
+    urg_w = " ".join(f"WHEN urgency = '{k}' THEN {v}D" for k, v in URGENCY_WEIGHT.items())
+    u = u.selectExpr("*", f"coalesce(magnitude, 0.0D) * (CASE {rel_w} ELSE 0.25D END) "
+                          f"* (CASE {urg_w} ELSE 0.4D END) AS score")
     w = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("seq"))
     return u.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select(*by, "rank", "type", "subtype", "magnitude", "reliability", "urgency", "score",

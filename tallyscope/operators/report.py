@@ -11,69 +11,68 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.display import inr_display, number_text
+from ..functions.display import inr_display, number_text  # noqa: F401
+from ..functions.sqlfns import inr_sql, numtext_sql
 from ..functions.numbers import round_half_up
 from .common import attach
 
 KPI_COLS = ["section", "seq", "label", "value", "display", "direction"]
 
 
-def _kpi(df: DataFrame, by: Sequence[str], section: str, seq: int, label: str, value: Column,
-         display: Column, direction: Column | str = "neutral", cond: Column | None = None) -> DataFrame:
-    d = F.lit(direction) if isinstance(direction, str) else direction
-    out = df.where(value.isNotNull() if cond is None else cond)
-    return out.select(*by, F.lit(section).alias("section"), F.lit(seq).alias("seq"), F.lit(label).alias("label"),
-                      value.cast("double").alias("value"), display.alias("display"), d.alias("direction"))
+def _item(section: str, seq: int, label: str, value: str, display: str, direction: str = "'neutral'",
+          keep: str | None = None) -> str:
+    """One KPI row as SQL text: a struct with a ``keep`` condition."""
+    return (f"named_struct('section', '{section}', 'seq', {seq}, 'label', '{label}', "
+            f"'value', CAST(({value}) AS DOUBLE), 'display', {display}, 'direction', {direction}, "
+            f"'keep', coalesce({keep or f'({value}) IS NOT NULL'}, false))")
 
 
 def kpi_table(metrics: DataFrame, stats: DataFrame | None = None, categories: DataFrame | None = None,
               quality: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """KPI cards (revenue, transactions, AOV, WoW with up/down, median), distribution rows
     (mean, median, std, min, max, range, p25, p75, IQR, skew), category shares and the
-    quality label.  ``metrics`` columns: revenue, orders, aov, growth, median_order."""
+    quality label.  ``metrics`` columns: revenue, orders, aov, growth, median_order.
+
+    The one-row-per-group inputs are combined once and every KPI row comes out of a single
+    ``explode`` of an array of structs; only the category rows are a second branch."""
     by = list(by)
-    m = metrics
-    g = F.col("growth")
-    parts = [
-        _kpi(m, by, "kpi", 1, "Total Revenue", F.col("revenue"), inr_display(F.col("revenue"))),
-        _kpi(m, by, "kpi", 2, "Transactions", F.col("orders"), F.col("orders").cast("string"),
-             cond=F.col("revenue").isNotNull()),
-        _kpi(m, by, "kpi", 3, "Avg Order Value", F.col("aov"), inr_display(F.col("aov")),
-             cond=F.col("revenue").isNotNull()),
-        _kpi(m, by, "kpi", 4, "WoW Growth", g, F.concat(number_text(g), F.lit("%")),
-             F.when(g >= 0, "up").otherwise("down"), cond=F.col("revenue").isNotNull() & g.isNotNull()),
-        _kpi(m, by, "kpi", 5, "Median Order", F.col("median_order"), inr_display(F.col("median_order")),
-             cond=F.col("revenue").isNotNull() & F.col("median_order").isNotNull()),
+    row = metrics.select(*by, "revenue", "orders", "aov", "growth", "median_order")
+    items = [
+        _item("kpi", 1, "Total Revenue", "revenue", inr_sql("revenue")),
+        _item("kpi", 2, "Transactions", "orders", "CAST(orders AS STRING)", keep="revenue IS NOT NULL"),
+        _item("kpi", 3, "Avg Order Value", "aov", inr_sql("aov"), keep="revenue IS NOT NULL"),
+        _item("kpi", 4, "WoW Growth", "growth", f"concat({numtext_sql('growth')}, '%')",
+              "CASE WHEN growth >= 0 THEN 'up' ELSE 'down' END", keep="revenue IS NOT NULL AND growth IS NOT NULL"),
+        _item("kpi", 5, "Median Order", "median_order", inr_sql("median_order"),
+              keep="revenue IS NOT NULL AND median_order IS NOT NULL"),
     ]
     if stats is not None:
-        s = stats
-        rows = [("Mean", F.col("mean")), ("Median", F.col("median")), ("Std Dev", F.col("std")),
-                ("Min", F.col("min")), ("Max", F.col("max")), ("Range", F.col("max") - F.col("min")),
-                ("P25", F.col("p25")), ("P75", F.col("p75")), ("IQR", F.col("p75") - F.col("p25"))]
-        for i, (label, v) in enumerate(rows):
-            parts.append(_kpi(s, by, "distribution", i + 1, label, v, inr_display(v)))
-        sk = F.col("skew")
-        label = F.when(F.abs(sk) < 0.5, "approximately normal") \
-            .when(sk > 0, "right-skewed — outliers pulling mean up").otherwise("left-skewed")
-        parts.append(_kpi(s, by, "distribution", 10, "Skewness", sk,
-                          F.concat(number_text(sk, 3), F.lit(" ("), label, F.lit(")"))))
+        cols = ["mean", "median", "std", "min", "max", "p25", "p75", "skew"]
+        row = attach(row, stats.select(*by, *[F.col(c).alias(f"_s_{c}") for c in cols]), by, "left")
+        dist = [("Mean", "_s_mean"), ("Median", "_s_median"), ("Std Dev", "_s_std"), ("Min", "_s_min"),
+                ("Max", "_s_max"), ("Range", "_s_max - _s_min"), ("P25", "_s_p25"), ("P75", "_s_p75"),
+                ("IQR", "_s_p75 - _s_p25")]
+        items += [_item("distribution", i + 1, label, v, inr_sql(v)) for i, (label, v) in enumerate(dist)]
+        label = ("CASE WHEN abs(_s_skew) < 0.5 THEN 'approximately normal' WHEN _s_skew > 0 "
+                 "THEN 'right-skewed — outliers pulling mean up' ELSE 'left-skewed' END")
+        items.append(_item("distribution", 10, "Skewness", "_s_skew",
+                           f"concat({numtext_sql('_s_skew', 3)}, ' (', {label}, ')')"))
+    if quality is not None:
+        row = attach(row, quality.select(*by, F.col("clean_rate").alias("_q_cr")), by, "left")
+        items.append(_item("quality", 1, "Data quality verdict", "_q_cr",
+                           "CASE WHEN _q_cr >= 95 THEN 'CLEAN ✓' WHEN _q_cr >= 85 THEN 'MINOR ISSUES' "
+                           "ELSE 'NEEDS ATTENTION' END"))
+    out = row.selectExpr(*by, f"explode(array({', '.join(items)})) AS _k").where("_k.keep") \
+        .selectExpr(*by, "_k.section", "_k.seq", "_k.label", "_k.value", "_k.display", "_k.direction")
     if categories is not None:
         # shares are of the whole breakdown (up to 12 categories); the first 10 are listed
         tot = categories.groupBy(*by).agg(F.sum("val").alias("_tot"))
         c = attach(categories.where(F.col("rank") <= 10), tot, by, "left")
-        pct = F.when(F.col("_tot") > 0, round_half_up(F.col("val") / F.col("_tot") * 100)).otherwise(0.0)
-        parts.append(c.select(*by, F.lit("category").alias("section"), F.col("rank").cast("int").alias("seq"),
-                              F.col("name").alias("label"), F.col("val").cast("double").alias("value"),
-                              F.concat(inr_display(F.col("val")), F.lit(" ("), number_text(pct), F.lit("% share, "),
-                                       F.col("count").cast("string"), F.lit(" transactions)")).alias("display"),
-                              F.lit("neutral").alias("direction")))
-    if quality is not None:
-        cr = F.col("clean_rate")
-        parts.append(_kpi(quality, by, "quality", 1, "Data quality verdict", cr,
-                          F.when(cr >= 95, "CLEAN ✓").when(cr >= 85, "MINOR ISSUES").otherwise("NEEDS ATTENTION")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        pct = "CASE WHEN _tot > 0 THEN val / _tot * 100 ELSE 0.0D END"
+        out = out.unionByName(c.selectExpr(
+            *by, "'category' AS section", "CAST(rank AS INT) AS seq", "name AS label", "CAST(val AS DOUBLE) AS value",
+            f"concat({inr_sql('val')}, ' (', {numtext_sql(pct)}, '% share, ', CAST(count AS STRING), "
+            f"' transactions)') AS display", "'neutral' AS direction"))
     return out
 
 
