@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import col_of
-from .sqlfns import call, rhu_sql  # noqa: F401  (rhu_sql re-exported)
+from .sqlfns import rhu_sql  # noqa: F401  (rhu_sql re-exported)
 
 INF = float("inf")
 
@@ -31,12 +31,12 @@ def round_half_up(c, digits: int = 2) -> Column:
     """Round half toward +infinity (``floor(v*10^d + 0.5) / 10^d``); non-finite -> 0.
 
     ``F.round`` rounds half away from zero, which differs for negative halves.  A string
-    is taken as SQL expression text; a Column goes through the session SQL function.
+    is taken as SQL expression text (one ``F.expr``, cheap to plan).  A Column is composed
+    in place rather than passed to a SQL function, because function arguments are
+    evaluated eagerly and callers guard divisions with ``when``.
     """
     if isinstance(c, str):
         return F.expr(rhu_sql(c, digits))
-    if 0 <= digits <= 4:
-        return call(f"tally_rhu_{digits}", col_of(c).cast("double"))
     return _rhu_column(col_of(c), digits)
 
 

@@ -4,7 +4,8 @@ Each formula is written once as SQL text (``*_sql`` builders).  Column callers g
 through a temporary SQL function (``CREATE TEMPORARY FUNCTION ... RETURN <expr>``),
 which the analyzer inlines as an ordinary expression -- same codegen as writing the
 expression out -- while building the plan costs one call instead of hundreds of
-driver round trips.
+driver round trips.  Arguments of such a function are evaluated before its body,
+so callers pass value columns, not expressions guarded by an outer condition.
 """
 
 from __future__ import annotations
@@ -47,7 +48,6 @@ def inr_sql(x: str) -> str:
 def _defs() -> dict[str, tuple[str, str]]:
     out = {"tally_inr": ("x DOUBLE", "STRING", inr_sql("x"))}
     for d in range(0, 5):
-        out[f"tally_rhu_{d}"] = ("x DOUBLE", "DOUBLE", rhu_sql("x", d))
         out[f"tally_numtext_{d}"] = ("x DOUBLE", "STRING", numtext_sql("x", d))
     return out
 
