@@ -13,9 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_CREATED: set = set()
-
-
 def rhu_sql(x: str, digits: int = 2) -> str:
     """Half-up rounding of SQL expression ``x`` to ``digits`` places; non-finite -> 0."""
     s = float(10 ** digits)
@@ -56,10 +53,9 @@ _DEFS = _defs()
 
 
 def call(name: str, *cols: Column) -> Column:
+    """Call session function ``name``, creating it in the active session on first use."""
     spark = SparkSession.getActiveSession()
-    key = (id(spark._jsparkSession), name)
-    if key not in _CREATED:
+    if not spark.catalog.functionExists(name):
         params, ret, body = _DEFS[name]
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} RETURN {body}")
-        _CREATED.add(key)
     return F.call_function(name, *cols)

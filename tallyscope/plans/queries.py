@@ -70,7 +70,7 @@ def facts(spark: SparkSession, sf: str, table: str, by=()):
     """Cleaned facts of a test table, landed once per session as Parquet in the shared
     checkpoint folder (``build_facts(land=True)``) and reused by every later query
     with the same input, roles, grouping keys and ``as_of``."""
-    key = (id(spark._jsparkSession), sf, table, ROLES[table], tuple(by), AS_OF)
+    key = (spark.sparkContext.applicationId, id(spark), sf, table, ROLES[table], tuple(by), AS_OF)
     hit = _LANDED.get(key)
     if hit is not None:
         return hit
