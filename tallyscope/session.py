@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Python call-site capture for error messages costs extra driver round trips on
+    # every DataFrame/Column call; plan construction is ~3x cheaper without it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.driver.memory": "8g",
 }
 
