@@ -35,12 +35,22 @@ def gate(df: DataFrame, judged: DataFrame, flag: Column, by: Sequence[str]) -> D
     return df.crossJoin(F.broadcast(ok)).drop("_ok")   # one row or none
 
 
+OUTPUTS = ("quality", "judgment", "metrics", "anomalies", "anomaly_summary", "confidence", "findings",
+           "facts", "daily_trend", "monthly_trend", "weekday_profile", "forecast", "categories", "products",
+           "cohorts")
+
+
 def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), as_of=None,
-            accuracy: int | None = None, land: bool = True, facts: Facts | None = None) -> dict[str, DataFrame]:
+            accuracy: int | None = None, land: bool = True, facts: Facts | None = None,
+            outputs: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Run the battery.  With ``land`` the fact table (read by ~30 jobs) and the small
     per-group frames that fan out are written once as Parquet tables into the
     cluster's shared checkpoint folder: lineage is cut, plans stay small, and a lost
-    executor does not force the dedup/quartile stages to rerun."""
+    executor does not force the dedup/quartile stages to rerun.
+
+    ``outputs`` names the result tables wanted (default: all of ``OUTPUTS``); only they
+    and what they depend on are built.  Outputs that do not apply (e.g. cohorts without
+    a user role) are absent from the result."""
     by = list(by)
     if facts is None:
         roles = roles or detect_roles(df)
@@ -51,57 +61,70 @@ def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), a
     roles, by = facts.roles, list(facts.by)
     f = facts.df
     has_amt = bool(roles.revenue)
-    # one exact describe of the amounts feeds both the judgment and the headline
-    stats = cut(describe_measure(f, AMOUNT, by, accuracy)) if has_amt else None
-    judged = cut(judgment(facts, accuracy, stats))
-
-    head = M.headline_from_stats(f, stats, by) if has_amt else \
-        f.groupBy(*by).agg(F.count("*").alias("orders")).select(
-            *by, F.lit(None).cast("double").alias("revenue"), "orders",
-            F.lit(None).cast("double").alias("aov"), F.lit(None).cast("double").alias("median_order"))
-    excl = M.headline_without_outliers(f, by)
-    daily = M.daily_trend(f, by, has_amt) if roles.date else None
-    monthly = M.monthly_trend(f, by, has_amt) if roles.date else None
-    weekday = M.weekday_profile(f, by, has_amt) if roles.date else None
     not_blocked = ~F.col("quality_blocks_analysis")
-    users = gate(M.customer_summary(f, by), judged, F.col("can_show_user_analysis"), by) if roles.user else None
-    pareto = gate(M.pareto_share(f, by, accuracy=accuracy), judged, F.col("can_show_user_analysis"), by) \
-        if roles.user and has_amt else None
-    cats = gate(M.category_breakdown(f, by), judged, F.col("can_show_categories") & not_blocked, by) \
-        if roles.category else None
-    products = M.top_products(f, by) if roles.product else None
-
-    metrics = attach(head, excl, by, "left")
-    if daily is not None:
-        wow = M.week_over_week(daily, by).select(*by, "growth")
-        cagr = M.annualised_growth(daily, by).select(*by, "cagr")
-        forecast = gate(M.linear_forecast(daily, by), judged, F.col("can_forecast"), by)
-        metrics = attach(attach(metrics, wow, by, "left"), cagr, by, "left")
-    else:
-        forecast = None
-        metrics = metrics.withColumn("growth", F.lit(None).cast("double")).withColumn("cagr", F.lit(None).cast("double"))
-    if users is not None:
-        metrics = attach(metrics, users, by, "left")
-    else:
-        metrics = metrics.withColumn("unique_users", F.lit(None).cast("long")) \
-            .withColumn("repeat_rate", F.lit(None).cast("double"))
-    if pareto is not None:
-        metrics = attach(metrics, pareto.select(*by, F.col("top_share").alias("pareto_concentration")), by, "left")
-    else:
-        metrics = metrics.withColumn("pareto_concentration", F.lit(None).cast("double"))
-
-    metrics = cut(metrics)
-    detected = cut(A.all_detectors(f, roles, by))
-    anomaly_list, anomaly_summary = A.anomaly_table(detected, by)
-    cohorts = cohort_retention(f, by) if roles.user and roles.date else None
-    confidence = confidence_grade(judged, anomaly_summary, roles, by)
-    findings = ranked_findings(anomaly_list, judged, metrics, by)
-
-    out = {"quality": facts.quality, "judgment": judged, "metrics": metrics,
-           "anomalies": anomaly_list, "anomaly_summary": anomaly_summary,
-           "confidence": confidence, "findings": findings, "facts": f}
-    for k, v in {"daily_trend": daily, "monthly_trend": monthly, "weekday_profile": weekday,
-                 "forecast": forecast, "categories": cats, "products": products, "cohorts": cohorts}.items():
+    memo: dict[str, DataFrame | None] = {}
+
+    def get(name: str) -> DataFrame | None:
+        if name not in memo:
+            memo[name] = build[name]()
+        return memo[name]
+
+    def stats():
+        # one exact describe of the amounts feeds both the judgment and the headline
+        return cut(describe_measure(f, AMOUNT, by, accuracy)) if has_amt else None
+
+    def metrics():
+        head = M.headline_from_stats(f, get("stats"), by) if has_amt else \
+            f.groupBy(*by).agg(F.count("*").alias("orders")).select(
+                *by, F.lit(None).cast("double").alias("revenue"), "orders",
+                F.lit(None).cast("double").alias("aov"), F.lit(None).cast("double").alias("median_order"))
+        m = attach(head, M.headline_without_outliers(f, by), by, "left")
+        daily = get("daily_trend")
+        if daily is not None:
+            m = attach(attach(m, M.week_over_week(daily, by).select(*by, "growth"), by, "left"),
+                       M.annualised_growth(daily, by).select(*by, "cagr"), by, "left")
+        else:
+            m = m.withColumn("growth", F.lit(None).cast("double")).withColumn("cagr", F.lit(None).cast("double"))
+        judged = get("judgment")
+        if roles.user:
+            m = attach(m, gate(M.customer_summary(f, by), judged, F.col("can_show_user_analysis"), by), by, "left")
+        else:
+            m = m.withColumn("unique_users", F.lit(None).cast("long")) \
+                .withColumn("repeat_rate", F.lit(None).cast("double"))
+        if roles.user and has_amt:
+            pareto = gate(M.pareto_share(f, by, accuracy=accuracy), judged, F.col("can_show_user_analysis"), by)
+            m = attach(m, pareto.select(*by, F.col("top_share").alias("pareto_concentration")), by, "left")
+        else:
+            m = m.withColumn("pareto_concentration", F.lit(None).cast("double"))
+        return cut(m)
+
+    def anomaly_parts():
+        return A.anomaly_table(cut(A.all_detectors(f, roles, by)), by)
+
+    build = {
+        "facts": lambda: f,
+        "quality": lambda: facts.quality,
+        "stats": stats,
+        "judgment": lambda: cut(judgment(facts, accuracy, get("stats"))),
+        "daily_trend": lambda: M.daily_trend(f, by, has_amt) if roles.date else None,
+        "monthly_trend": lambda: M.monthly_trend(f, by, has_amt) if roles.date else None,
+        "weekday_profile": lambda: M.weekday_profile(f, by, has_amt) if roles.date else None,
+        "forecast": lambda: gate(M.linear_forecast(get("daily_trend"), by), get("judgment"),
+                                 F.col("can_forecast"), by) if roles.date else None,
+        "categories": lambda: gate(M.category_breakdown(f, by), get("judgment"),
+                                   F.col("can_show_categories") & not_blocked, by) if roles.category else None,
+        "products": lambda: M.top_products(f, by) if roles.product else None,
+        "cohorts": lambda: cohort_retention(f, by) if roles.user and roles.date else None,
+        "metrics": metrics,
+        "_anomaly_parts": anomaly_parts,
+        "anomalies": lambda: get("_anomaly_parts")[0],
+        "anomaly_summary": lambda: get("_anomaly_parts")[1],
+        "confidence": lambda: confidence_grade(get("judgment"), get("anomaly_summary"), roles, by),
+        "findings": lambda: ranked_findings(get("anomalies"), get("judgment"), get("metrics"), by),
+    }
+    out = {}
+    for name in (outputs or OUTPUTS):
+        v = get(name)
         if v is not None:
-            out[k] = v
+            out[name] = v
     return out

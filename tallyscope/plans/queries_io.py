@@ -65,7 +65,7 @@ def q_activity(spark, sf):
 SELECT {R('d.sum')} AS revenue, c.orders, {R('d.sum / c.orders')} AS aov
 FROM (SELECT count(*) AS orders FROM facts) c, described d""")
 def q_report(spark, sf):
-    out = analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF)
+    out = analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF, outputs=["metrics", "judgment"])
     path = _scratch(spark, "report")
     write_report({"metrics": out["metrics"], "judgment": out["judgment"]}, path)
     return spark.read.parquet(os.path.join(path, "metrics")).select("revenue", "orders", "aov")

@@ -433,7 +433,7 @@ sc AS (SELECT least(100, greatest(0, 100
   - CASE WHEN trend_concentrated THEN 10 ELSE 0 END)) AS score FROM judg)
 SELECT CAST(score AS BIGINT) AS score, CASE WHEN score >= 75 THEN 'HIGH' WHEN score >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM sc""")
 def q_confidence(spark, sf):
-    return analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF)["confidence"]
+    return analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF, outputs=["confidence"])["confidence"]
 
 
 @register("ranked_findings", _judgment_sql("events") + ",\n" + _detectors_sql() + f""",
@@ -469,7 +469,7 @@ SELECT CAST(row_number() OVER (ORDER BY magnitude * CASE reliability WHEN 'HIGH'
        {R("magnitude * CASE reliability WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.6 ELSE 0.25 END * CASE urgency WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.7 ELSE 0.4 END")} AS score
 FROM sc QUALIFY rank <= 5""")
 def q_findings(spark, sf):
-    out = analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF)["findings"]
+    out = analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF, outputs=["findings"])["findings"]
     return out.select("rank", "type", "subtype", F.expr("floor(magnitude * 100 + 0.5) / 100").alias("magnitude"),
                       "reliability", "urgency", F.expr("floor(score * 100 + 0.5) / 100").alias("score"))
 
