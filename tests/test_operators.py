@@ -172,3 +172,17 @@ def test_chart_tags_escape_then_cut(spark):
     assert tags["bar"] == ('[CHART:bar|Revenue by Category|[{"name":"Big \\"Q\\" Category N","val":1234},'
                            '{"name":"b","val":99.5},{"name":"c","val":0.25}]]')
     assert "pie" in tags
+
+
+def test_analyse_by_groups_equals_single_runs(spark):
+    from tallyscope.plans.analyse import analyse
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    roles = Roles(revenue="value", date="ts", user_id="user_id", category="event_type")
+    want = ["judgment", "metrics", "anomaly_summary", "confidence"]
+    grouped = analyse(ev, roles, by=["event_type"], as_of="2026-12-01", outputs=want)
+    for t in ("click", "purchase"):
+        single = analyse(ev.where(F.col("event_type") == t), roles, as_of="2026-12-01", outputs=want)
+        for name in want:
+            g = [r.asDict() for r in grouped[name].where(F.col("event_type") == t).drop("event_type").collect()]
+            s = [r.asDict() for r in single[name].collect()]
+            assert g == s, (t, name)
