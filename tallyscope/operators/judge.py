@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_key, month_key
 from ..functions.numbers import round_half_up
+from ..functions.sqlfns import numtext_sql
 from ..model import AMOUNT, CATEGORY, OUTLIER, QTY, TS, THRESHOLDS, Roles
 from .common import Facts, attach
 from .stats import describe_measure, linear_trend
@@ -123,7 +124,8 @@ def judgment(facts: Facts, accuracy: int | None = None, stats: DataFrame | None
 
     ``stats`` may pass an already computed :func:`describe_measure` of the amounts."""
     f, roles, by = facts.df, facts.roles, list(facts.by)
-    q = facts.quality.select(*by, "rows_before", "rows_after", "clean_rate")
+    q = facts.quality.select(*by, "rows_before", "rows_after", "clean_rate",
+                             F.array_join("issues", "; ").alias("_issues"))
     base = f.groupBy(*by).agg(
         F.count("*").alias("rows"), F.count_if(F.col(OUTLIER)).alias("outlier_count"),
         F.sum(F.when(~F.col(OUTLIER) & F.col(AMOUNT).isNotNull(), F.col(AMOUNT))).alias("_sum_kept"),
@@ -198,4 +200,21 @@ def judgment(facts: Facts, accuracy: int | None = None, stats: DataFrame | None
         "dominant_category", "dominant_pct", "dominant_value",
         F.coalesce(F.col("contradiction"), F.lit(False)).alias("contradiction"),
     ] + [(F.coalesce(v, F.lit(False)) & ~blocked).alias(k) for k, v in perm.items()]
+    cols.append(F.expr(PREAMBLE_SQL).alias("mandatory_preamble"))
     return j.select(*cols)
+
+
+# The mandatory preamble sentences, in the reference's order.
+PREAMBLE_SQL = (
+    "array_compact(array("
+    "CASE WHEN clean_rate < 70 THEN concat('DATA INTEGRITY CRITICAL: Only ', " + numtext_sql("clean_rate") + ", "
+    "'% of rows passed quality checks (', CAST(rows_after AS STRING), ' of ', CAST(rows_before AS STRING), "
+    "' usable). Analysis is not reliable. A minimum of 85% clean data is required for downstream conclusions. "
+    "Issues: ', _issues) "
+    "WHEN clean_rate < 85 THEN concat('DATA QUALITY WARNING: ', CAST(rows_before - rows_after AS STRING), ' of ', "
+    "CAST(rows_before AS STRING), ' rows excluded. Metrics below reflect ', " + numtext_sql("clean_rate") + ", "
+    "'% of original data.') END, "
+    "CASE WHEN rows > 0 AND outlier_count / rows * 100 > 15 THEN concat('ANOMALY DENSITY ALERT: ', "
+    + numtext_sql("outlier_count / rows * 100") + ", '% of rows are statistical outliers (', "
+    "CAST(outlier_count AS STRING), ' of ', CAST(rows AS STRING), ' rows). This density indicates a structural "
+    "data issue, not normal business variation. Summary metrics are unreliable until this is investigated.') END))")

@@ -96,3 +96,14 @@ def test_trend_needs_three_days_and_frequency(spark):
     # trend permission needs >= 3 days only; the FACTS_ONLY tier (4 rows) does not clear it
     assert (j["data_points"], j["frequency"], j["can_show_trends"]) == (4, "weekly", True)
     assert (j["analysis_tier"], j["can_show_recommendations"]) == ("FACTS_ONLY", False)
+
+
+def test_preamble_sentences(spark):
+    # 10 rows, 3 without an amount -> clean rate 70 (DEGRADED); 4 outliers of 7 -> density alert
+    vals = ["1", "1", "1", "1000", "2000", "3000", "4000", "x", "y", "z"]
+    days = ["2024-01-%02d" % (i + 1) for i in range(10)]
+    df = spark.createDataFrame(list(zip(vals, days)), "amount string, day string")
+    j = judgment(build_facts(df, ROLES, (), "2026-12-01")).first()
+    assert j["quality_verdict"] == "DEGRADED"
+    assert j["mandatory_preamble"][0] == ("DATA QUALITY WARNING: 3 of 10 rows excluded. "
+                                          "Metrics below reflect 70% of original data.")
