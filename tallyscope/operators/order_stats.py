@@ -105,10 +105,10 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str],
     below = joined.groupBy(*by).agg(*[F.expr(f"count_if(_v < _lo{i})").alias(f"_b{i}") for i in range(k)],
                                     *[F.expr(f"count_if({inside[i]})").alias(f"_c{i}") for i in range(k)])
     # pass 2b: only rows inside some bracket, tagged with the specs they serve
-    tags = "filter(array(" + ", ".join(f"CASE WHEN {inside[i]} THEN {i} END" for i in range(k)) + "), x -> x IS NOT NULL)"
-    cand = joined.selectExpr(*by, "_v", f"{tags} AS _tags").where("size(_tags) > 0") \
-        .selectExpr(*by, "_v", "explode(_tags) AS spec") \
-        .groupBy(*by, "spec", "_v").agg(F.count("*").alias("c"))
+    # (a codegen'd predicate selects the few in-bracket rows; no lambda runs per fact row)
+    tags = "array(" + ", ".join(f"CASE WHEN {inside[i]} THEN {i} END" for i in range(k)) + ")"
+    cand = joined.where(" OR ".join(inside)).selectExpr(*by, "_v", f"explode({tags}) AS spec") \
+        .where("spec IS NOT NULL").groupBy(*by, "spec", "_v").agg(F.count("*").alias("c"))
     # per (group, spec): rank, count below, validity of the bracket
     per_spec = attach(bounds, below, by, "inner")
     structs = ", ".join(f"named_struct('spec', {i}, 'r', _r{i}, 'cb', _b{i}, "
