@@ -626,9 +626,30 @@ def q_request_class(spark, sf):
     return p.select("page_id", G.request_class(path).alias("type"))
 
 
-@register("hourly_quota_bans")
+def _quota_sql(q: int) -> str:
+    """W2 as a recursive CTE: each step finds every client's next trigger after its last ban."""
+    step = f"""SELECT ip, us, us + 86400000000 FROM (
+    SELECT ip, us, h, row_number() OVER (PARTITION BY ip, h ORDER BY us, id) AS rn,
+           min(CASE WHEN c > {q} THEN h END) OVER (PARTITION BY ip) AS first_h
+    FROM (SELECT {{cols}}, {{hour}} AS h, count(*) OVER (PARTITION BY {{ip}}, {{hour}}) AS c FROM {{src}}))
+  WHERE h = first_h AND rn = {q + 1}"""
+    first = step.format(cols="ip, us, id", hour="us // 3600000000", ip="ip", src="ev")
+    nxt = step.format(cols="e.ip, e.us, e.id", hour="e.us // 3600000000", ip="e.ip",
+                      src="ev e JOIN bans b ON e.ip = b.ip AND e.us >= b.ban_end_us")
+    return f"""WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS ip, epoch_us(CAST(ts AS TIMESTAMP)) AS us, event_id AS id FROM events),
+bans(ip, ban_start_us, ban_end_us) AS (
+  {first}
+  UNION ALL
+  {nxt})
+SELECT ip, make_timestamp(ban_start_us) AS ban_start, make_timestamp(ban_end_us) AS ban_end FROM bans"""
+
+
+@register("hourly_quota_bans", _quota_sql(2))
 def q_quota(spark, sf):
-    return G.hourly_quota_bans(_log(spark, sf), quota=2)
+    b = G.hourly_quota_bans(_log(spark, sf), quota=2)
+    return b.select("ip", F.col("ban_start").cast("timestamp_ntz").alias("ban_start"),
+                    F.col("ban_end").cast("timestamp_ntz").alias("ban_end"))
 
 
 # ---------------------------------------------------------------- streaming (W6-W8): batch SQL as oracle
@@ -662,14 +683,15 @@ def q_dedup_stream(spark, sf):
     return spark.read.parquet(out).groupBy("day").agg(F.count("*").alias("kept"))
 
 
-@register("hourly_quota_bans_stream")
+@register("hourly_quota_bans_stream", _quota_sql(2))
 def q_quota_stream(spark, sf):
     ev = load(spark, sf, "events")
     stream = S.file_stream(spark, f"{sf}/events*.parquet", ev.schema) \
         .select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("ip"))
     out = S.run_to_table(S.hourly_quota_stream(stream, quota=2), "quota", "append")
-    return spark.read.parquet(out).select("ip", F.timestamp_micros("ban_start_us").alias("ban_start"),
-                                          F.timestamp_micros("ban_end_us").alias("ban_end"))
+    return spark.read.parquet(out).select(
+        "ip", F.timestamp_micros("ban_start_us").cast("timestamp_ntz").alias("ban_start"),
+        F.timestamp_micros("ban_end_us").cast("timestamp_ntz").alias("ban_end"))
 
 
 @register("rapid_repeat_stream", f"""SELECT count(*) AS pairs FROM (
