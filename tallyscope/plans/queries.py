@@ -21,7 +21,7 @@ from ..operators.clean import build_facts, iqr_bounds
 from ..operators.cohorts import cohort_retention
 from ..operators.judge import dominance, judgment, price_volume_contradiction, temporal_quality
 from ..operators.stats import correlate, describe_measure, linear_trend
-from ..session import ensure_utc, land
+from ..session import ensure_utc
 from .oracle import AS_OF, R, describe_sql, facts_cte, grp, on, part, regression_sql, sel
 
 ROLES = {
@@ -74,8 +74,9 @@ def facts(spark: SparkSession, sf: str, table: str, by=()):
     hit = _LANDED.get(key)
     if hit is not None:
         return hit
+    # typed rows and facts are landed; the quality record is two small aggregates over
+    # them and stays lazy
     fx = build_facts(load(spark, sf, table), ROLES[table], by, AS_OF, land=True)
-    fx.quality = land(fx.quality, f"{table}-quality")
     _LANDED[key] = fx
     return fx
 
