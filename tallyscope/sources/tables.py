@@ -43,26 +43,31 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str | N
     return df.where(F.greatest(*[F.length(F.col(f"`{c}`")) for c in df.columns] + [F.lit(0)]) > 0)
 
 
+def _first_object_keys(spark: SparkSession, paths, multi_line: bool, head_lines: int = 200) -> list[str] | None:
+    """Keys of the first JSON object, in order, decoded from the opening lines only."""
+    first_path = paths if isinstance(paths, str) else paths[0]
+    lines = [r[0] for r in spark.read.text(first_path).limit(1 if not multi_line else head_lines).collect()]
+    text = "\n".join(lines).lstrip("\ufeff").lstrip()
+    if multi_line:
+        if not text.startswith("["):
+            return None
+        text = text[1:].lstrip()
+    try:
+        obj, _ = json.JSONDecoder().raw_decode(text)
+    except ValueError:
+        return None
+    return list(obj.keys()) if isinstance(obj, dict) else None
+
+
 def read_json_table(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """A JSON array of objects (or JSON lines); values become strings, null -> '',
-    nested values are kept as JSON text.
-
-    For JSON lines the columns are the keys of the first object, in its order (read from
-    the first line only); keys that appear only in later objects are dropped.  For a
-    multi-line array Spark's merged key set is kept (the first object is not isolated
-    without reading the whole file)."""
+    nested values are kept as JSON text.  The columns are the keys of the first object,
+    in its order (decoded from the opening lines of the first file); keys that appear
+    only in later objects are dropped.  If the first object cannot be isolated from
+    those lines, Spark's merged key set is used."""
     df = spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(paths)
     fields = {f.name: f for f in df.schema.fields}
-    names = list(fields)
-    if not multi_line:
-        first = spark.read.text(paths).limit(1).first()
-        if first is not None:
-            try:
-                obj = json.loads(first[0])
-                if isinstance(obj, dict):
-                    names = list(obj.keys())
-            except ValueError:
-                pass
+    names = _first_object_keys(spark, paths, multi_line) or list(fields)
     cols = []
     for name in names:
         f = fields.get(name)

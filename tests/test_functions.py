@@ -91,3 +91,12 @@ def test_read_delimited_separator_and_padding(spark, tmp_path):
     df = read_delimited(spark, str(p))
     assert df.columns == ["amount", "date", "note; x"]
     assert [tuple(r) for r in df.collect()] == [("1,5", "2024-01-02", "ok"), ("7", "2024-01-03", "")]
+
+
+def test_read_json_array_first_object_keys(spark, tmp_path):
+    from tallyscope.sources.tables import read_json_table
+    p = tmp_path / "arr.json"
+    p.write_text('[\n  {"zeta": 1, "alpha": "x"},\n  {"alpha": "y", "extra": true}\n]\n')
+    df = read_json_table(spark, str(p), multi_line=True)
+    assert df.columns == ["zeta", "alpha"]
+    assert [tuple(r) for r in df.collect()] == [("1", "x"), ("", "y")]
