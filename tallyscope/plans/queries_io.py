@@ -82,7 +82,15 @@ def _r2_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@register("infer_amount_column", _r2_sql())
+def _r2_sql_or_none() -> str | None:
+    """The oracle needs the tables' column lists; without the schema folder, no oracle."""
+    try:
+        return _r2_sql()
+    except (OSError, ValueError):
+        return None
+
+
+@register("infer_amount_column", _r2_sql_or_none())
 def q_r2(spark, sf):
     rows = [(t, infer_amount_column(load(spark, sf, t))) for t in TABLES]
     return spark.createDataFrame(rows, "table string, column string")
