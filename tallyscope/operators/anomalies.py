@@ -93,6 +93,7 @@ def daily_spike(facts: DataFrame, by: Sequence[str] = (), z: float = 2.5) -> Dat
 def rapid_pairs(facts: DataFrame, by: Sequence[str] = (), gap_seconds: float = 60.0) -> DataFrame:
     """Count consecutive same-user timestamps less than ``gap_seconds`` apart, per group.
 
+    Times are compared in whole milliseconds (the reference's clock resolution).
     Rows go into fixed buckets of ``gap_seconds``: inside one bucket every
     consecutive gap is shorter than the bucket, so a bucket of c rows holds
     c - 1 pairs; across buckets only the first row of a bucket and the last row
@@ -100,12 +101,12 @@ def rapid_pairs(facts: DataFrame, by: Sequence[str] = (), gap_seconds: float = 6
     a user's non-empty buckets, never over raw rows.
     """
     by = list(by)
-    width = int(gap_seconds * 1_000_000)
-    us = epoch_micros(TS)
+    width = int(gap_seconds * 1000)
+    ms = F.floor(epoch_micros(TS) / 1000)
     b = facts.where(F.col(USER).isNotNull() & F.col(TS).isNotNull()) \
-        .select(*by, USER, us.alias("_us"), F.floor(us / width).alias("_b"))
-    buckets = b.groupBy(*by, USER, "_b").agg(F.count("*").alias("_c"), F.min("_us").alias("_lo"),
-                                             F.max("_us").alias("_hi"))
+        .select(*by, USER, ms.alias("_ms")).withColumn("_b", F.floor(F.col("_ms") / width))
+    buckets = b.groupBy(*by, USER, "_b").agg(F.count("*").alias("_c"), F.min("_ms").alias("_lo"),
+                                             F.max("_ms").alias("_hi"))
     w = Window.partitionBy(*by, USER).orderBy("_b")
     prev_hi = F.lag("_hi").over(w)
     edge = F.when(prev_hi.isNotNull() & (F.col("_lo") - prev_hi < width), 1).otherwise(0)

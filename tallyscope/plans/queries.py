@@ -349,19 +349,19 @@ def q_spike(spark, sf):
 
 
 @register("rapid_repeat", facts_cte("events") + f""",
-o AS (SELECT epoch_us(event_ts) - lag(epoch_us(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
+o AS (SELECT epoch_ms(event_ts) - lag(epoch_ms(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
       FROM facts WHERE user_key IS NOT NULL AND event_ts IS NOT NULL)
 SELECT 'SUSPICIOUS_FREQUENCY' AS type, 'HIGH' AS severity, CAST(count(*) AS DOUBLE) AS value, 0.0::DOUBLE AS impact
-FROM o WHERE gap < 60000000 HAVING count(*) > 0""")
+FROM o WHERE gap < 60000 HAVING count(*) > 0""")
 def q_rapid(spark, sf):
     return _anom_cols(A.rapid_repeat(facts(spark, sf, "events").df, ROLES["events"]))
 
 
 @register("rapid_repeat_by_category", facts_cte("events", ["event_type"]) + f""",
-o AS (SELECT event_type, epoch_us(event_ts) - lag(epoch_us(event_ts)) OVER (PARTITION BY event_type, user_key ORDER BY event_ts) AS gap
+o AS (SELECT event_type, epoch_ms(event_ts) - lag(epoch_ms(event_ts)) OVER (PARTITION BY event_type, user_key ORDER BY event_ts) AS gap
       FROM facts WHERE user_key IS NOT NULL AND event_ts IS NOT NULL)
 SELECT event_type, 'SUSPICIOUS_FREQUENCY' AS type, 'HIGH' AS severity, CAST(count(*) AS DOUBLE) AS value, 0.0::DOUBLE AS impact
-FROM o WHERE gap < 60000000 GROUP BY event_type HAVING count(*) > 0""")
+FROM o WHERE gap < 60000 GROUP BY event_type HAVING count(*) > 0""")
 def q_rapid_by(spark, sf):
     return _anom_cols(A.rapid_repeat(facts(spark, sf, "events", ["event_type"]).df, ROLES["events"], ["event_type"]))
 

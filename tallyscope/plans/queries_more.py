@@ -304,7 +304,7 @@ d_st AS (SELECT count(*) AS days, avg(v) AS dm, stddev_pop(v) AS ds FROM d_day),
 d_top AS (SELECT d_day.day, d_day.v, d_st.dm, abs(d_day.v - d_st.dm) AS dev FROM d_day, d_st
           WHERE (SELECT count(amount) FROM facts) >= 7 AND d_st.days >= 5 AND d_st.ds > 0
             AND abs((d_day.v - d_st.dm) / d_st.ds) > 2.5 ORDER BY dev DESC, day LIMIT 1),
-d_gap_u AS (SELECT epoch_us(event_ts) - lag(epoch_us(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
+d_gap_u AS (SELECT epoch_ms(event_ts) - lag(epoch_ms(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
             FROM facts WHERE user_key IS NOT NULL AND event_ts IS NOT NULL),
 d_sig AS (SELECT coalesce(user_key, '') || '|' || coalesce(CAST(amount AS VARCHAR), 'null') || '|'
                  || coalesce(strftime(event_ts, '%Y-%m-%d'), 'undefined') AS k FROM facts),
@@ -325,7 +325,7 @@ det AS (
   UNION ALL
   SELECT CASE WHEN v > dm THEN 'REVENUE_SPIKE' ELSE 'REVENUE_DROP' END, 'MEDIUM', {R('v')}, {R('dev')}, 3 FROM d_top
   UNION ALL
-  SELECT 'SUSPICIOUS_FREQUENCY', 'HIGH', CAST(count(*) AS DOUBLE), 0.0::DOUBLE, 4 FROM d_gap_u WHERE gap < 60000000 HAVING count(*) > 0
+  SELECT 'SUSPICIOUS_FREQUENCY', 'HIGH', CAST(count(*) AS DOUBLE), 0.0::DOUBLE, 4 FROM d_gap_u WHERE gap < 60000 HAVING count(*) > 0
   UNION ALL
   SELECT 'ZERO_VALUE_TRANSACTIONS', 'LOW', CAST(z AS DOUBLE), 0.0::DOUBLE, 5
   FROM (SELECT count(*) FILTER (WHERE amount = 0) AS z, count(*) AS n FROM facts) WHERE z > n * 0.05
@@ -695,8 +695,8 @@ def q_quota_stream(spark, sf):
 
 
 @register("rapid_repeat_stream", f"""SELECT count(*) AS pairs FROM (
-  SELECT epoch_us(event_ts) - lag(epoch_us(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
-  FROM {_STREAM_BASE} WHERE user_key IS NOT NULL) WHERE gap < 60000000""")
+  SELECT epoch_ms(event_ts) - lag(epoch_ms(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
+  FROM {_STREAM_BASE} WHERE user_key IS NOT NULL) WHERE gap < 60000""")
 def q_rapid_stream(spark, sf):
     out = S.run_to_table(S.rapid_repeat_stream(_event_stream(spark, sf)), "rapid", "append")
     return spark.read.parquet(out).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("pairs"))

@@ -116,9 +116,11 @@ def rapid_repeat_stream(events: DataFrame, gap_seconds: float = 60.0) -> DataFra
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = events.where(F.col("user_key").isNotNull()).select("user_key", epoch_micros("event_ts").alias("us"))
+    # whole milliseconds, like the batch detector
+    keyed = events.where(F.col("user_key").isNotNull()) \
+        .select("user_key", F.floor(epoch_micros("event_ts") / 1000).alias("us"))
     return keyed.groupBy("user_key").transformWithStateInPandas(
-        statefulProcessor=_rapid_processor(int(gap_seconds * 1_000_000)), outputStructType=RAPID_OUT,
+        statefulProcessor=_rapid_processor(int(gap_seconds * 1000)), outputStructType=RAPID_OUT,
         outputMode="Update", timeMode="None")
 
 
