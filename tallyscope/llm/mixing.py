@@ -71,10 +71,9 @@ def rake(cells: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS) -> Dat
             now = cells.groupBy(d).agg(F.sum("weight").alias("now")).join(goal, d, "left").select(
                 d, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now"))
                 .otherwise(0.0).alias("factor"))
-            cells = cells.join(now, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        # each step reads the cells twice (sums, then scaling): land once a round, as the
-        # plan doubles with every step
-        cells = land(cells, "mix-cells")
+            # a step reads the cells twice (sums, then scaling): landed, or the plan doubles each time
+            cells = land(cells.join(now, d).withColumn("weight", F.col("weight") * F.col("factor"))
+                         .drop("factor"), "mix-cells")
     return cells
 
 
