@@ -51,7 +51,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float
     trusted = labels.where("quality = 1 and doc_id is not null").select(
         F.col("doc_id").alias("id")).distinct().withColumn("trusted", F.lit(1))
     src = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    counts = (src.join(trusted, "id", "left")
+    # the same join at every size: the labels have no bound that would let them be broadcast
+    counts = (src.join(trusted.hint("merge"), "id", "left")
               .select("trusted", words(F.col("t")).alias("w"))
               .select("trusted", F.explode(ngram_buckets(F.col("w"), buckets)).alias("b"))
               .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("good")))
