@@ -13,6 +13,15 @@ def _esc(s: str) -> str:
     return s.replace("'", "''")
 
 
+WARC_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+g AS (SELECT h, max(page_id) AS head FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM d LEFT JOIN g ON d.h = g.h"""
+
+
 def line_dedup_cte(source: str) -> str:
     """CTEs ending in ``deduped``: doc_id, text, n_lines, n_removed, new_text of ``source``."""
     trim = "trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
