@@ -1,10 +1,59 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing.
 
-Each stage is (spark, docs, sf_dir) -> DataFrame over all rows its predecessor kept.
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame that is written as Parquet and read again as the next stage's ``docs``.  Every
+stage works on all rows its predecessor kept and all but the last return the columns of
+``documents``.
 """
-STAGES = []
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyscope.llm import decontam, linedup, mixing, neardup, quality
+from tallyscope.session import land
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the raw corpus is the stage's own input."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_rules(docs, labels).where("kept").select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines; ``n_chars`` follows the text.  A document all of
+    whose lines with a word are removed goes."""
+    done = linedup.line_dedup(docs).where("n_removed = 0 or n_removed < n_lines")
+    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType)}
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of the smallest id."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents drawn for the raked mix, with ``mix_probability``."""
+    return mixing.sample(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup),
+          ("decontamination", decontaminate), ("source mix", source_mix)]
+
+#: The quality and near-dedup stages have no SQL form; tests compare with a plain-Python version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each landed as Parquet in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = land(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

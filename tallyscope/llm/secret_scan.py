@@ -64,7 +64,8 @@ def trigram_query(pattern: str) -> Query:
     def flush(strings: list[str]) -> list[str]:
         sets = [frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in strings]
         if all(sets):  # an alternative shorter than three characters demands nothing
-            clauses.append(sorted(set(sets), key=sorted))
+            least = [x for x in set(sets) if not any(y < x for y in sets)]  # the others imply one of these
+            clauses.append(sorted(least, key=sorted))
         return [""]
 
     def spelled(item) -> list[str] | None:
