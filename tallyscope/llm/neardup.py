@@ -10,7 +10,9 @@ Bands of registers give buckets.  Inside a bucket every text is compared with th
 member only; then, block by block, members of the smaller components are compared with all
 members of other components, until no bucket holds an uncompared pair that could still join
 two components.  So no bucket is expanded into all its pairs, however large, and no link
-that the bands find is lost.  Verification computes the probability Jaccard exactly.
+that the bands find is lost.  A comparison first estimates the similarity from one byte of
+every register and drops pairs five standard errors below the threshold; the others are
+verified by the exact probability Jaccard of their texts.
 """
 
 from __future__ import annotations
@@ -28,16 +30,19 @@ from .common import pack, text_id
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 4
+BANDS = 32
+ROWS = 6
+REGISTERS = BANDS * ROWS
+#: Estimates below this are not verified: five standard errors under the threshold.
+FLOOR = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Stands for a null document id inside this module; it sorts first.
 NO_ID = -2 ** 63
 #: Members of a bucket that are compared with all others in one block.
-BLOCK = 16
+BLOCK = 32
 
 
 def signatures(code: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int,
-               registers: int = BANDS * ROWS) -> np.ndarray:
+               registers: int = REGISTERS) -> np.ndarray:
     """ProbMinHash signature (n_texts x registers) of distinct weighted shingles, sorted by text."""
     time = np.full(n_texts * registers, np.inf)
     sig = np.zeros(n_texts * registers, np.uint64)
@@ -67,16 +72,31 @@ def band_codes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+SIGNED = "id bigint, h binary, bands array<bigint>, sketch binary"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offs in tc.chunks(batch["t"]):
             words, counts = tc.word_codes(data, offs)
             code, text, weight = tc.counted(*tc.shingle_codes(words, counts, SHINGLE))
-            codes = band_codes(signatures(code, text, weight.astype(float), b - a))
+            sig = signatures(code, text, weight.astype(float), b - a)
             lens = np.where(counts > 0, BANDS, 0)  # without a word there is no band
-            flat = codes[counts > 0].reshape(-1)
-            bands = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lens))).astype(np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch["v"].slice(a, b - a), bands], ["v", "bands"])
+            bands = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lens))).astype(np.int32),
+                                             pa.array(band_codes(sig)[counts > 0].reshape(-1)))
+            sketch = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(
+                0, (b - a + 1) * REGISTERS, REGISTERS, dtype=np.int32)), pa.py_buffer((tc.mix64(
+                    sig) >> np.uint64(56)).astype(np.uint8).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), batch["h"].slice(a, b - a), bands, sketch],
+                                             ["id", "h", "bands", "sketch"])
+
+
+def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs whose sketches agree in enough registers."""
+    for batch in batches:
+        sides = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("as", "bs")]
+        out = batch.filter(pa.array((sides[0] == sides[1]).mean(axis=1) >= FLOOR))
+        yield pa.RecordBatch.from_arrays([out["an"], out["bn"]], ["an", "bn"])
 
 
 def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -99,37 +119,45 @@ def _profile(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by the second text's id, whose shingles are kept from row to row."""
+    """Rows come sorted by the second text's number, whose shingles are kept from row to row."""
     held, profile = None, None
     for batch in batches:
         keep = np.zeros(len(batch), bool)
-        key = batch["bv"]
+        key = batch["bn"].to_pylist()
         for r in range(len(batch)):
             if key[r] != held:
                 held, profile = key[r], _profile(batch["bt"][r])
             keep[r] = probability_jaccard(_profile(batch["at"][r]), profile) >= SIMILARITY
         out = batch.filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([out["av"], out["bv"]], ["av", "bv"])
+        yield pa.RecordBatch.from_arrays([out["an"], out["bn"]], ["an", "bn"])
+
 
+PAIRS = "an bigint, bn bigint"
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (av, bv) whose texts reach the similarity."""
-    left = pairs.join(texts.select(F.col("v").alias("av"), F.col("t").alias("at")), "av")
-    # the second join streams: its larger side, a hot ``bv``'s pairs, is one that adaptive execution splits
-    both = left.join(texts.select(F.col("v").alias("bv"), F.col("t").alias("bt")), "bv").select("av", "bv", "at", "bt")
-    return both.mapInArrow(_verify, pairs.select("av", "bv").schema)
+
+def _both(pairs: DataFrame, values: DataFrame, value: str, one: str, two: str) -> DataFrame:
+    """``pairs`` with the value of either side; the larger side of the second join, a hot
+    number's pairs, is one that adaptive execution splits."""
+    left = pairs.join(values.select(F.col("n").alias("an"), F.col(value).alias(one)), "an")
+    return left.join(values.select(F.col("n").alias("bn"), F.col(value).alias(two)), "bn").select("an", "bn", one, two)
+
+
+def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (an, bn) whose texts reach the similarity."""
+    near = land(_both(pairs, sketches, "sketch", "as", "bs").mapInArrow(_estimate, PAIRS), "dup-near")
+    return land(_both(near, texts, "t", "at", "bt").mapInArrow(_verify, PAIRS), "dup-links")
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Merge the components ``c`` of ``labels`` (v, c) along ``links`` (av, bv).
+    """Merge the components ``c`` of ``labels`` (n, c) along ``links`` (an, bn).
 
     Contracting rounds: every component points to its smallest neighbour, pointers are
     doubled until they reach roots, and links inside one component fall away.  Rounds are
     few (the number of components at least halves); nothing is gathered on the driver.
     """
-    one, two = labels.select(F.col("v").alias("av"), F.col("c").alias("x")), labels.select(
-        F.col("v").alias("bv"), F.col("c").alias("y"))
-    edges = land(links.join(one, "av").join(two, "bv").where("x <> y").select("x", "y").distinct(), "dup-edges")
+    one, two = labels.select(F.col("n").alias("an"), F.col("c").alias("x")), labels.select(
+        F.col("n").alias("bn"), F.col("c").alias("y"))
+    edges = land(links.join(one, "an").join(two, "bn").where("x <> y").select("x", "y").distinct(), "dup-edges")
     while not edges.isEmpty():
         both = edges.union(edges.select("y", "x"))
         up = land(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")), "dup-up")
@@ -141,7 +169,7 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
             if nxt.where("moved").isEmpty():
                 break
         labels = land(labels.join(up.withColumnRenamed("x", "c"), "c", "left").select(
-            "v", F.coalesce("p", "c").alias("c")), "dup-labels")
+            "n", F.coalesce("p", "c").alias("c")), "dup-labels")
         a, b = up.select("x", F.col("p").alias("px")), up.select(F.col("x").alias("y"), F.col("p").alias("py"))
         edges = land(edges.join(a, "x").join(b, "y").where("px <> py").select(
             F.col("px").alias("x"), F.col("py").alias("y")).distinct(), "dup-edges")
@@ -152,48 +180,45 @@ def _id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit(NO_ID).cast("bigint")).alias("id")
 
 
-def text_classes(docs: DataFrame) -> DataFrame:
-    """(v, c): every distinct text ``v`` that shares a bucket, with its component ``c``.
-
-    A text is named by (smallest document id with that text, 128-bit hash), so components
-    are named by their smallest document.
-    """
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (n, h, id), every distinct text with a number, its 128-bit hash and its
+    smallest document id; and (n, c), the component of every text that shares a bucket."""
     texts = docs.select(_id(F.col("doc_id")), text_id(F.col("text")).alias("h"), F.coalesce(
         "text", F.lit("")).alias("t"))
-    names = texts.groupBy("h").agg(F.min("id").alias("id")).select("h", F.struct("id", "h").alias("v"))
-    # one row a text: that of its smallest id (equal rows of one id are the same row)
-    signed = land(texts.select(F.struct("id", "h").alias("v"), "t").mapInArrow(
-        _sign, "v struct<id:bigint,h:binary>, bands array<bigint>"), "dup-signatures")
-    members = signed.join(names.select("v"), "v", "left_semi").dropDuplicates(["v"]).select(
-        F.explode("bands").alias("b"), "v")
-    shared = members.groupBy("b").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = land(members.join(shared, "b").select("b", "v", "least"), "dup-members")
-    wanted = members.select("v").distinct()
-    pool = land(texts.select(F.struct("id", "h").alias("v"), "t").join(wanted, "v", "left_semi").dropDuplicates(["v"]),
+    names = land(texts.groupBy("h").agg(F.min("id").alias("id")).withColumn("n", F.monotonically_increasing_id()),
+                 "dup-names")
+    # of equal texts the row of the smallest id; equal rows are told by the same keys, without a shuffle
+    signed = land(texts.mapInArrow(_sign, SIGNED).join(names, ["h", "id"]).dropDuplicates(["h", "id"]).select(
+        "n", "h", "id", "bands", "sketch"), "dup-signatures")
+    members = signed.select("n", F.explode("bands").alias("b"))
+    shared = members.groupBy("b").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    members = land(members.join(shared, "b").select("b", "n", "least"), "dup-members")
+    wanted = land(signed.join(members.select("n").distinct(), "n", "left_semi").select("n", "h", "id", "sketch"),
+                  "dup-wanted")
+    pool = land(texts.join(wanted.select("n", "h", "id"), ["h", "id"]).dropDuplicates(["h", "id"]).select("n", "t"),
                 "dup-texts")
-    stars = members.where("v <> least").select(F.col("v").alias("av"), F.col("least").alias("bv")).distinct()
-    links = land(_links(stars, pool), "dup-links")
-    labels = components(land(wanted.select("v", F.col("v").alias("c")), "dup-labels"), links)
-    bucket = members.select("b", "v")
-    done = land(members.where("v = least").select("b", "v"), "dup-done")  # compared with all of their bucket
+    sketches = wanted.select("n", "sketch")
+    stars = members.where("n <> least").select(F.col("n").alias("an"), F.col("least").alias("bn")).distinct()
+    labels = components(wanted.select("n", F.col("n").alias("c")), _links(stars, sketches, pool))
+    bucket = members.select("b", "n")
+    done = members.where("n = least").select("b", "n")  # compared with all of their bucket
     while True:
         # buckets that still hold several components; the largest one waits to be compared with
-        now = bucket.join(labels, "v")
-        sizes = now.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", "n").alias("big")).where(
+        now = bucket.join(labels, "n")
+        sizes = now.groupBy("b", "c").agg(F.count(F.lit(1)).alias("k"))
+        mixed = sizes.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", "k").alias("big")).where(
             "k > 1").select("b", "big")
         open_ = land(now.join(mixed, "b"), "dup-open")
-        rank = Window.partitionBy("b").orderBy("v")
-        asked = open_.where("c <> big").join(done, ["b", "v"], "left_anti").withColumn(
+        rank = Window.partitionBy("b").orderBy("n")
+        asked = land(open_.where("c <> big").join(done, ["b", "n"], "left_anti").withColumn(
             "r", F.row_number().over(rank)).where(F.col("r") <= BLOCK).select(
-            "b", F.col("v").alias("av"), F.col("c").alias("ac"))
-        asked = land(asked, "dup-asked")
+            "b", F.col("n").alias("an"), F.col("c").alias("ac")), "dup-asked")
         if asked.isEmpty():
-            return labels
-        pairs = asked.join(open_.select("b", F.col("v").alias("bv"), F.col("c").alias("bc")), "b").where(
-            "ac <> bc").select(F.least("av", "bv").alias("av"), F.greatest("av", "bv").alias("bv")).distinct()
-        labels = components(labels, land(_links(pairs, pool), "dup-links"))
-        done = land(done.union(asked.select("b", F.col("av").alias("v"))), "dup-done")
+            return names, labels
+        pairs = asked.join(open_.select("b", F.col("n").alias("bn"), F.col("c").alias("bc")), "b").where(
+            "ac <> bc").select(F.least("an", "bn").alias("an"), F.greatest("an", "bn").alias("bn")).distinct()
+        labels = components(labels, _links(pairs, sketches, pool))
+        done = land(done.union(asked.select("b", F.col("an").alias("n"))), "dup-done")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,13 +229,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class, null counting as empty; texts without a word are linked to nothing else; null ids
     come first.  Equal rows (id and text) count as one document.  Empty tables give none.
     """
+    names, labels = text_classes(docs)
+    names = names.join(labels, "n", "left").select("h", "id", F.coalesce("c", "n").alias("c"))
+    first = names.groupBy("c").agg(F.min(F.struct("id", "h")).alias("f"))
+    names = names.join(first, "c").select("h", "f")
     rows = docs.select("doc_id", _id(F.col("doc_id")), text_id(F.col("text")).alias("h"))
-    names = rows.groupBy("h").agg(F.min("id").alias("id"))
-    names = names.select("h", F.struct("id", "h").alias("v")).join(text_classes(docs), "v", "left").select(
-        "h", F.coalesce("c", "v").alias("c"))
     return rows.join(names, "h").select(
-        "doc_id", F.col("h").alias("text_hash"), F.when(F.col("c.id") != NO_ID, F.col("c.id")).alias("class_id"),
-        ((F.col("c.id") == F.col("id")) & (F.col("c.h") == F.col("h"))).alias("representative"))
+        "doc_id", F.col("h").alias("text_hash"), F.when(F.col("f.id") != NO_ID, F.col("f.id")).alias("class_id"),
+        ((F.col("f.id") == F.col("id")) & (F.col("f.h") == F.col("h"))).alias("representative"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
