@@ -6,11 +6,14 @@ hitting a random register; a register keeps its earliest arrival.  A shingle sto
 as its next arrival is later than every register's (early termination).  Two texts agree
 in a register with probability equal to their probability Jaccard similarity.
 
-Bands of registers give buckets.  Inside a bucket every text is compared with the smallest
-member only; then, block by block, members of the smaller components are compared with all
-members of other components, until no bucket holds an uncompared pair that could still join
-two components.  So no bucket is expanded into all its pairs, however large, and no link
-that the bands find is lost.  A comparison first estimates the similarity from one byte of
+Bands of registers give buckets.  Inside a bucket every text is compared with one hub
+member only.  Buckets that then still hold several components fall in two kinds.  Where at
+most ``BLOCK`` members are outside the largest component, these are compared with every
+member of another component.  Members of the other, dense buckets (texts around one very
+common passage, say) meet by their rare shingles: similarity s means that the common shingles
+carry at least s of either text's weight, so the rarest common one is among the rarest
+shingles carrying 1 - s of each.  Texts that share only the common passage do not meet that
+way, however many they are.  No link that the bands find is lost.  A comparison first estimates the similarity from one byte of
 every register and drops pairs five standard errors below the threshold; the others are
 verified by the exact probability Jaccard of their texts.
 """
@@ -37,7 +40,7 @@ REGISTERS = BANDS * ROWS
 FLOOR = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Stands for a null document id inside this module; it sorts first.
 NO_ID = -2 ** 63
-#: Members of a bucket that are compared with all others in one block.
+#: Members outside a bucket's largest component that are compared with all others.
 BLOCK = 32
 
 
@@ -118,16 +121,28 @@ def _profile(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return code, weight
 
 
+#: Shingles of decoded texts that a verifying task keeps at hand.
+HELD = 1_000_000
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by the second text's number, whose shingles are kept from row to row."""
-    held, profile = None, None
+    """Exact similarity of each pair; a text's shingles are worked out once while they are held."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
     for batch in batches:
         keep = np.zeros(len(batch), bool)
-        key = batch["bn"].to_pylist()
+        sides = [(batch[n].to_pylist(), batch[t]) for n, t in (("an", "at"), ("bn", "bt"))]
         for r in range(len(batch)):
-            if key[r] != held:
-                held, profile = key[r], _profile(batch["bt"][r])
-            keep[r] = probability_jaccard(_profile(batch["at"][r]), profile) >= SIMILARITY
+            own = []
+            for number, text in sides:
+                got = held.get(number[r])
+                if got is None:
+                    got = _profile(text[r])
+                    if size > HELD:
+                        held, size = {}, 0
+                    held[number[r]], size = got, size + len(got[0])
+                own.append(got)
+            keep[r] = probability_jaccard(*own) >= SIMILARITY
         out = batch.filter(pa.array(keep))
         yield pa.RecordBatch.from_arrays([out["an"], out["bn"]], ["an", "bn"])
 
@@ -191,34 +206,63 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = land(texts.mapInArrow(_sign, SIGNED).join(names, ["h", "id"]).dropDuplicates(["h", "id"]).select(
         "n", "h", "id", "bands", "sketch"), "dup-signatures")
     members = signed.select("n", F.explode("bands").alias("b"))
-    shared = members.groupBy("b").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    members = land(members.join(shared, "b").select("b", "n", "least"), "dup-members")
+    shared = members.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = land(members.join(shared, "b"), "dup-members")
+    # a bucket's hub is the member with the most company in all its buckets: the least edited copy
+    # of a family, to which far more of the others are similar than to any member taken at random
+    company = members.groupBy("n").agg(F.sum("m").alias("company"))
+    hub = members.select("b", "n").join(company, "n").groupBy("b").agg(F.max(F.struct("company", "n"))["n"].alias("hub"))
+    members = land(members.select("b", "n").join(hub, "b"), "dup-members")
     wanted = land(signed.join(members.select("n").distinct(), "n", "left_semi").select("n", "h", "id", "sketch"),
                   "dup-wanted")
     pool = land(texts.join(wanted.select("n", "h", "id"), ["h", "id"]).dropDuplicates(["h", "id"]).select("n", "t"),
                 "dup-texts")
     sketches = wanted.select("n", "sketch")
-    stars = members.where("n <> least").select(F.col("n").alias("an"), F.col("least").alias("bn")).distinct()
+    stars = members.where("n <> hub").select(F.col("n").alias("an"), F.col("hub").alias("bn")).distinct()
     labels = components(wanted.select("n", F.col("n").alias("c")), _links(stars, sketches, pool))
-    bucket = members.select("b", "n")
-    done = members.where("n = least").select("b", "n")  # compared with all of their bucket
-    while True:
-        # buckets that still hold several components; the largest one waits to be compared with
-        now = bucket.join(labels, "n")
-        sizes = now.groupBy("b", "c").agg(F.count(F.lit(1)).alias("k"))
-        mixed = sizes.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", "k").alias("big")).where(
-            "k > 1").select("b", "big")
-        open_ = land(now.join(mixed, "b"), "dup-open")
-        rank = Window.partitionBy("b").orderBy("n")
-        asked = land(open_.where("c <> big").join(done, ["b", "n"], "left_anti").withColumn(
-            "r", F.row_number().over(rank)).where(F.col("r") <= BLOCK).select(
-            "b", F.col("n").alias("an"), F.col("c").alias("ac")), "dup-asked")
-        if asked.isEmpty():
-            return names, labels
-        pairs = asked.join(open_.select("b", F.col("n").alias("bn"), F.col("c").alias("bc")), "b").where(
-            "ac <> bc").select(F.least("an", "bn").alias("an"), F.greatest("an", "bn").alias("bn")).distinct()
-        labels = components(labels, _links(pairs, sketches, pool))
-        done = land(done.union(asked.select("b", F.col("an").alias("n"))), "dup-done")
+    open_, mixed = _mixed(members.select(F.col("b").alias("k"), "n").join(labels, "n"))
+    few = open_.join(mixed.where(F.col("outside") <= BLOCK), "k")
+    dense = land(open_.join(mixed.where(F.col("outside") > BLOCK).select("k"), "k", "left_semi").select(
+        "n", "c").distinct(), "dup-dense")
+    rare, shared = _mixed(_rare_shingles(dense, pool))
+    pairs = _across(few).union(_across(rare.join(shared, "k"))).distinct()
+    return names, components(labels, _links(pairs, sketches, pool))
+
+
+def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (k, n, c): the rows, landed, and the keys that hold several components, with the
+    largest one (``big``) and the number of members outside it."""
+    members = land(members.select("k", "n", "c"), "dup-open")
+    sizes = members.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"))
+    keys = sizes.groupBy("k").agg(F.max(F.struct("m", "c")).alias("big"), F.sum("m").alias("all")).select(
+        "k", F.col("big.c").alias("big"), (F.col("all") - F.col("big.m")).alias("outside"))
+    return members, land(keys.where("outside > 0"), "dup-mixed")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs of members of one key in different components, one of them outside the largest."""
+    asked = members.where("c <> big").select("k", F.col("n").alias("an"), F.col("c").alias("ac"))
+    both = asked.join(members.select("k", F.col("n").alias("bn"), F.col("c").alias("bc")), "k").where("ac <> bc")
+    return both.select(F.least("an", "bn").alias("an"), F.greatest("an", "bn").alias("bn"))
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(len(batch)):
+            code, weight = _profile(batch["t"][r])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(code), batch[c][r].as_py(), np.int64)) for c in ("n", "c")]
+                + [pa.array(code.view(np.int64)), pa.array(weight / max(weight.sum(), 1))], ["n", "c", "k", "mass"])
+
+
+def _rare_shingles(dense: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k, n, c): the rarest shingles of each text, up to 1 - similarity of its weight."""
+    rows = land(texts.join(dense, "n").select("n", "c", "t").mapInArrow(
+        _shingle_rows, "n bigint, c bigint, k bigint, mass double"), "dup-shingles")
+    rows = rows.join(rows.groupBy("k").agg(F.count(F.lit(1)).alias("df")), "k")
+    before = F.sum("mass").over(Window.partitionBy("n").orderBy("df", "k").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0.0)))
+    return rows.where((F.col("before") <= 1 - SIMILARITY + 1e-9) & (F.col("df") > 1)).select("k", "n", "c")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -100,7 +100,9 @@ def test_signature_estimates_probability_jaccard():
     assert nd.probability_jaccard(ax, ay) == pytest.approx(want)
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [32, 0])  # 0: every mixed bucket takes the rare-shingle way
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
     rows = corpus()
     rows.append(rows[0])
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
