@@ -88,7 +88,7 @@ def recent_activity(log: DataFrame, ts: str = "ts", id_col: str | None = None, k
 
 
 def hourly_quota_bans(log: DataFrame, ts: str = "ts", ip: str = "ip", quota: int = HOURLY_QUOTA,
-                      ban_seconds: int = BAN_SECONDS, id_col: str = "id", max_rounds: int = 10_000) -> DataFrame:
+                      ban_seconds: int = BAN_SECONDS, id_col: str = "id") -> DataFrame:
     """Over ``quota`` counted requests of one client in an epoch hour -> banned for
     ``ban_seconds`` from that request; requests while banned are refused and not counted.
 
@@ -108,7 +108,7 @@ def hourly_quota_bans(log: DataFrame, ts: str = "ts", ip: str = "ip", quota: int
     cand = land(rows.join(busy, ["ip", "hour"], "left_semi"), "quota-candidates")
     bans = None
     state = cand.select("ip").distinct().withColumn("ban_end_us", F.lit(None).cast("long"))
-    for _ in range(max_rounds):
+    while True:  # ends: every round moves each client's ban end on by ban_seconds
         live = cand.join(state, "ip").where(F.col("ban_end_us").isNull() | (F.col("us") >= F.col("ban_end_us")))
         counts = live.groupBy("ip", "hour").agg(F.count("*").alias("_c")).where(F.col("_c") > quota)
         first = counts.groupBy("ip").agg(F.min("hour").alias("hour"))

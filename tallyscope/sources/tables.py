@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Blanks trimmed off every cell.
+CELL_BLANKS = " \t\n\x0b\x0c\r\u00a0\ufeff"
 SEPARATORS = [",", "\t", "|", ";"]
 
 
@@ -25,49 +27,63 @@ def detect_separator(first_line: str) -> str:
     return max(SEPARATORS, key=lambda s: (counts[s], -SEPARATORS.index(s)))
 
 
-def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str | None = None) -> DataFrame:
-    """Header row + rows, every cell a trimmed string; quoted fields may span lines
-    (``""`` escapes a quote); all-empty rows dropped; missing cells read as ''."""
+def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str | None = None,
+                   multi_line: bool = False) -> DataFrame:
+    """Header row + rows, every cell a trimmed string, quoted or not (``""`` escapes a
+    quote); all-empty rows dropped; missing cells read as ''.
+
+    Rows end at line breaks, so a file of any size is split over many tasks.  With
+    ``multi_line`` quoted cells may span lines, at the price of one task per file.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if sep is None:
         head = spark.read.text(paths[0]).limit(1).first()   # one line: the header
-        sep = detect_separator((head[0] if head else "").lstrip("﻿"))
+        sep = detect_separator((head[0] if head else "").lstrip("\ufeff"))
     df = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
-          .option("escape", '"').option("multiLine", True).option("inferSchema", False)
+          .option("escape", '"').option("multiLine", multi_line).option("inferSchema", False)
           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
           .option("encoding", "UTF-8").csv(paths))
-    clean = {c: c.lstrip("﻿").strip() for c in df.columns}
-    df = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in clean.items() if n])
+    clean = {c: c.lstrip("\ufeff").strip() for c in df.columns}
+    df = df.select(*[F.coalesce(F.btrim(F.col(f"`{c}`").cast("string"), F.lit(CELL_BLANKS)), F.lit("")).alias(n)
+                     for c, n in clean.items() if n])
     if not df.columns:
         return df
     return df.where(F.greatest(*[F.length(F.col(f"`{c}`")) for c in df.columns] + [F.lit(0)]) > 0)
 
 
-def _first_object_keys(spark: SparkSession, paths, multi_line: bool, head_lines: int = 200) -> list[str] | None:
-    """Keys of the first JSON object, in order, decoded from the opening lines only."""
-    first_path = paths if isinstance(paths, str) else paths[0]
-    lines = [r[0] for r in spark.read.text(first_path).limit(1 if not multi_line else head_lines).collect()]
-    text = "\n".join(lines).lstrip("\ufeff").lstrip()
-    if multi_line:
-        if not text.startswith("["):
-            return None
-        text = text[1:].lstrip()
-    try:
-        obj, _ = json.JSONDecoder().raw_decode(text)
-    except ValueError:
-        return None
-    return list(obj.keys()) if isinstance(obj, dict) else None
+def _opening(spark: SparkSession, paths, pieces: int) -> list[str]:
+    """The first pieces of the first file, cut after each closing brace, however its lines run."""
+    first = paths if isinstance(paths, str) else paths[0]
+    return [r[0] + "}" for r in spark.read.option("lineSep", "}").text(first).limit(pieces).collect()]
+
+
+def _first_object_keys(spark: SparkSession, paths) -> list[str] | None:
+    """Keys of the first JSON object, in order; reads on until that object is whole, so what
+    comes to the driver is bounded by the object.  None if the file holds no object."""
+    pieces = 1
+    while True:
+        got = _opening(spark, paths, pieces)
+        text = "".join(got).lstrip("\ufeff").lstrip().removeprefix("[").lstrip()
+        try:
+            obj, _ = json.JSONDecoder().raw_decode(text)
+            return list(obj.keys()) if isinstance(obj, dict) else None
+        except ValueError:
+            if len(got) < pieces:
+                if text.startswith("{"):
+                    raise ValueError(f"the first object of {paths} is not valid JSON") from None
+                return None
+        pieces *= 4
 
 
 def read_json_table(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """A JSON array of objects (or JSON lines); values become strings, null -> '',
     nested values are kept as JSON text.  The columns are the keys of the first object,
-    in its order (decoded from the opening lines of the first file); keys that appear
-    only in later objects are dropped.  If the first object cannot be isolated from
-    those lines, Spark's merged key set is used."""
+    in its order, whatever its length; keys that appear only in later objects are
+    dropped.  An array is one task per file, as the format cannot be split: use JSON
+    lines for large tables."""
     df = spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(paths)
     fields = {f.name: f for f in df.schema.fields}
-    names = _first_object_keys(spark, paths, multi_line) or list(fields)
+    names = _first_object_keys(spark, paths) or list(fields)
     cols = []
     for name in names:
         f = fields.get(name)
@@ -81,13 +97,18 @@ def read_json_table(spark: SparkSession, paths: str | Sequence[str], multi_line:
 
 
 def read_table(spark: SparkSession, paths: str | Sequence[str], format: str | None = None) -> DataFrame:
-    """S3: dispatch on ``format`` or the file extension; JSON first, then delimited."""
+    """S3: Parquet by ``format`` or extension; else JSON where the text opens like JSON (or the
+    format says so), else delimited."""
     first = paths if isinstance(paths, str) else paths[0]
     fmt = format or os.path.splitext(first.rstrip("/"))[1].lstrip(".").lower()
     if fmt == "parquet":
         return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
     if fmt in ("json", "jsonl", "ndjson"):
         return read_json_table(spark, paths, multi_line=fmt == "json")
+    opening = _opening(spark, paths, 1) if format is None else []
+    start = opening[0].lstrip("\ufeff").lstrip()[:1] if opening else ""
+    if start in ("[", "{"):
+        return read_json_table(spark, paths, multi_line=start == "[")
     return read_delimited(spark, paths)
 
 
