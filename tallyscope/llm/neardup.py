@@ -9,13 +9,14 @@ in a register with probability equal to their probability Jaccard similarity.
 Bands of registers give buckets.  Inside a bucket every text is compared with one hub
 member only.  Buckets that then still hold several components fall in two kinds.  Where at
 most ``BLOCK`` members are outside the largest component, these are compared with every
-member of another component.  Members of the other, dense buckets (texts around one very
+member of another component, as one block that each member meets.  Members of the other, dense buckets (texts around one very
 common passage, say) meet by their rare shingles: similarity s means that the common shingles
 carry at least s of either text's weight, so the rarest common one is among the rarest
 shingles carrying 1 - s of each.  Texts that share only the common passage do not meet that
-way, however many they are.  No link that the bands find is lost.  A comparison first estimates the similarity from one byte of
-every register and drops pairs five standard errors below the threshold; the others are
-verified by the exact probability Jaccard of their texts.
+way, however many they are.  No link that the bands find is lost.  A comparison first
+estimates the similarity from one byte of every register and drops pairs five standard
+errors below the threshold; the others are verified by the exact probability Jaccard of
+their texts.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ FLOOR = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 NO_ID = -2 ** 63
 #: Members outside a bucket's largest component that are compared with all others.
 BLOCK = 32
+#: About so many members outside make up one block of a comparison.
+BLOCK_ROWS = 32
+#: Rows (a member and a block each) that a task estimates at once.
+SLICE = 512
 
 
 def signatures(code: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int,
@@ -102,6 +107,23 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out["an"], out["bn"]], ["an", "bn"])
 
 
+def _estimate_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (n, c, sketch, block of such), the pairs of different components that agree in
+    enough registers."""
+    for batch in batches:
+        for a in range(0, len(batch), SLICE):
+            part = batch.slice(a, SLICE)
+            times = part["block"].value_lengths().to_numpy(zero_copy_only=False)
+            other = part["block"].flatten()
+            n, c = (np.repeat(part[x].to_numpy(), times) for x in ("n", "c"))
+            on, oc = (other.field(x).to_numpy() for x in ("n", "c"))
+            own = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            theirs = np.frombuffer(b"".join(other.field("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            keep = (c != oc) & ((np.repeat(own, times, axis=0) == theirs).mean(axis=1) >= FLOOR)
+            n, on = n[keep], on[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n, on)), pa.array(np.maximum(n, on))], ["an", "bn"])
+
+
 def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum over common shingles d of 1 / sum over e of max(x_e / x_d, y_e / y_d)."""
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
@@ -157,9 +179,9 @@ def _both(pairs: DataFrame, values: DataFrame, value: str, one: str, two: str) -
     return left.join(values.select(F.col("n").alias("bn"), F.col(value).alias(two)), "bn").select("an", "bn", one, two)
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (an, bn) whose texts reach the similarity."""
-    near = land(_both(pairs, sketches, "sketch", "as", "bs").mapInArrow(_estimate, PAIRS), "dup-near")
+def _links(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of estimated pairs (an, bn), those whose texts reach the similarity."""
+    near = land(near, "dup-near")
     return land(_both(near, texts, "t", "at", "bt").mapInArrow(_verify, PAIRS), "dup-links")
 
 
@@ -219,14 +241,15 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 "dup-texts")
     sketches = wanted.select("n", "sketch")
     stars = members.where("n <> hub").select(F.col("n").alias("an"), F.col("hub").alias("bn")).distinct()
-    labels = components(wanted.select("n", F.col("n").alias("c")), _links(stars, sketches, pool))
+    near = _both(stars, sketches, "sketch", "as", "bs").mapInArrow(_estimate, PAIRS)
+    labels = components(wanted.select("n", F.col("n").alias("c")), _links(near, pool))
     open_, mixed = _mixed(members.select(F.col("b").alias("k"), "n").join(labels, "n"))
     few = open_.join(mixed.where(F.col("outside") <= BLOCK), "k")
     dense = land(open_.join(mixed.where(F.col("outside") > BLOCK).select("k"), "k", "left_semi").select(
         "n", "c").distinct(), "dup-dense")
     rare, shared = _mixed(_rare_shingles(dense, pool))
-    pairs = _across(few).union(_across(rare.join(shared, "k"))).distinct()
-    return names, components(labels, _links(pairs, sketches, pool))
+    near = _across(few, sketches).union(_across(rare.join(shared, "k"), sketches)).distinct()
+    return names, components(labels, _links(near, pool))
 
 
 def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -239,11 +262,16 @@ def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, land(keys.where("outside > 0"), "dup-mixed")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members of one key in different components, one of them outside the largest."""
-    asked = members.where("c <> big").select("k", F.col("n").alias("an"), F.col("c").alias("ac"))
-    both = asked.join(members.select("k", F.col("n").alias("bn"), F.col("c").alias("bc")), "k").where("ac <> bc")
-    return both.select(F.least("an", "bn").alias("an"), F.greatest("an", "bn").alias("bn"))
+def _across(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Estimated pairs of members of one key in different components, one of them outside the
+    largest.  The members outside are dealt out to blocks of about ``BLOCK_ROWS``; every member of
+    the key meets each block in one row, so no pair is a row before its estimate holds."""
+    rows = members.select("k", "n", "c", "big", "outside").join(sketches, "n")
+    deal = F.pmod(F.xxhash64("n"), F.ceil(F.col("outside") / BLOCK_ROWS))
+    blocks = rows.where("c <> big").groupBy("k", deal.alias("part")).agg(
+        F.collect_list(F.struct("n", "c", "sketch")).alias("block"))
+    return rows.select("k", "n", "c", "sketch").join(blocks, "k").select("n", "c", "sketch", "block").mapInArrow(
+        _estimate_blocks, PAIRS)
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
