@@ -107,6 +107,11 @@ def rapid_pairs(facts: DataFrame, by: Sequence[str] = (), gap_seconds: float = 6
         .select(*by, USER, ms.alias("_ms")).withColumn("_b", F.floor(F.col("_ms") / width))
     buckets = b.groupBy(*by, USER, "_b").agg(F.count("*").alias("_c"), F.min("_ms").alias("_lo"),
                                              F.max("_ms").alias("_hi"))
+    return pairs_of_buckets(buckets, by, width)
+
+
+def pairs_of_buckets(buckets: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """Pairs of non-empty buckets (user, ``_b``, count ``_c``, first and last ms ``_lo``, ``_hi``)."""
     w = Window.partitionBy(*by, USER).orderBy("_b")
     prev_hi = F.lag("_hi").over(w)
     edge = F.when(prev_hi.isNotNull() & (F.col("_lo") - prev_hi < width), 1).otherwise(0)

@@ -698,5 +698,5 @@ def q_quota_stream(spark, sf):
   SELECT epoch_ms(event_ts) - lag(epoch_ms(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
   FROM {_STREAM_BASE} WHERE user_key IS NOT NULL) WHERE gap < 60000""")
 def q_rapid_stream(spark, sf):
-    out = S.run_to_table(S.rapid_repeat_stream(_event_stream(spark, sf)), "rapid", "append")
-    return spark.read.parquet(out).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("pairs"))
+    out = S.run_to_table(S.rapid_repeat_stream(_event_stream(spark, sf)), "rapid", "update")
+    return S.rapid_repeat_pairs(spark.read.parquet(out)).select(F.coalesce(F.col("pairs"), F.lit(0)).cast("long").alias("pairs"))

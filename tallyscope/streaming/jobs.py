@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import day_key, epoch_micros, month_key
 from ..functions.numbers import finite_or_null, round_half_up
+from ..operators.anomalies import pairs_of_buckets
 from ..session import ensure_checkpoint_dir
 
 
@@ -76,52 +77,29 @@ def dedup_stream(events: DataFrame, watermark: str = "3650 days") -> DataFrame:
         .drop("_amt")
 
 
-RAPID_OUT = T.StructType([T.StructField("user_key", T.StringType()), T.StructField("pairs", T.LongType()),
-                          T.StructField("last_us", T.LongType())])
+def rapid_repeat_stream(events: DataFrame, gap_seconds: float = 60.0, watermark: str | None = None) -> DataFrame:
+    """Running count, first and last millisecond of each user's buckets of ``gap_seconds``
+    (update mode); ``rapid_repeat_pairs`` counts the pairs of what was written.
 
-
-def _rapid_processor(gap_us: int):
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-    class RapidRepeat(StatefulProcessor):
-        """Keeps each user's last timestamp; counts consecutive gaps under the limit."""
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("last_us", T.StructType([T.StructField("us", T.LongType())]))
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            us = pd.concat([r["us"] for r in rows]).sort_values().to_numpy()
-            prev = self.last.get()[0] if self.last.exists() else None
-            pairs = 0
-            if len(us):
-                if prev is not None and us[0] - prev < gap_us:
-                    pairs += 1
-                if len(us) > 1:
-                    pairs += int(((us[1:] - us[:-1]) < gap_us).sum())
-                self.last.update((int(us[-1]),))
-            yield pd.DataFrame({"user_key": [key[0]], "pairs": [pairs],
-                                "last_us": [int(us[-1]) if len(us) else prev]})
-
-        def close(self) -> None:
-            pass
-
-    return RapidRepeat()
-
-
-def rapid_repeat_stream(events: DataFrame, gap_seconds: float = 60.0) -> DataFrame:
-    """Per-user keyed state holding the last timestamp; emits pairs found per batch.
-
-    Rows are sorted inside each batch; sum ``pairs`` over the output for the total.
+    Rows may arrive in any order and in any batch, and a hot user is split by bucket.  Without
+    a watermark every non-empty bucket stays in state and no row is ever too late; with one,
+    buckets older than it leave the state and rows older than it are not counted.
     """
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    # whole milliseconds, like the batch detector
-    keyed = events.where(F.col("user_key").isNotNull()) \
-        .select("user_key", F.floor(epoch_micros("event_ts") / 1000).alias("us"))
-    return keyed.groupBy("user_key").transformWithStateInPandas(
-        statefulProcessor=_rapid_processor(int(gap_seconds * 1000)), outputStructType=RAPID_OUT,
-        outputMode="Update", timeMode="None")
+    keyed = events.where(F.col("user_key").isNotNull())
+    if watermark:
+        keyed = keyed.withWatermark("event_ts", watermark)
+    ms = F.floor(epoch_micros("event_ts") / 1000)
+    bucket = F.window("event_ts", f"{int(gap_seconds * 1000)} milliseconds").alias("w")
+    return keyed.groupBy("user_key", bucket).agg(F.count("*").alias("_c"), F.min(ms).alias("_lo"), F.max(ms).alias("_hi")) \
+        .select("user_key", F.col("w.start").alias("_b"), "_c", "_lo", "_hi")
+
+
+def rapid_repeat_pairs(written: DataFrame, gap_seconds: float = 60.0) -> DataFrame:
+    """Pairs in the rows that ``rapid_repeat_stream`` wrote; a bucket's count only grows, so its
+    newest state is its largest and a batch that was written twice changes nothing."""
+    buckets = written.groupBy("user_key", "_b").agg(F.max("_c").alias("_c"), F.min("_lo").alias("_lo"),
+                                                    F.max("_hi").alias("_hi"))
+    return pairs_of_buckets(buckets, [], int(gap_seconds * 1000))
 
 
 QUOTA_OUT = T.StructType([T.StructField("ip", T.StringType()), T.StructField("ban_start_us", T.LongType()),

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from tallyscope.model import Roles
+from tallyscope.streaming import jobs as S
 from tallyscope.operators import anomalies as A
 from tallyscope.operators import metrics as M
 from tallyscope.operators.clean import build_facts
@@ -186,3 +188,16 @@ def test_analyse_by_groups_equals_single_runs(spark):
             g = [r.asDict() for r in grouped[name].where(F.col("event_type") == t).drop("event_type").collect()]
             s = [r.asDict() for r in single[name].collect()]
             assert g == s, (t, name)
+
+
+def test_rapid_stream_counts_late_rows(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    schema = "user_key string, event_ts timestamp, amount double"
+    # batches in this order: 0 s and 1000 s, then 500 s (late), then 30 s (late, pairs with 0 s)
+    for i, secs in enumerate(([0, 1000], [500], [30])):
+        rows = [("u", base + dt.timedelta(seconds=x), 1.0) for x in secs]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = S.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+    out = S.run_to_table(S.rapid_repeat_stream(stream), "rapid-late", "update", str(tmp_path / "run"))
+    assert S.rapid_repeat_pairs(spark.read.parquet(out)).first()["pairs"] == 1
