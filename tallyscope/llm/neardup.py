@@ -7,16 +7,18 @@ as its next arrival is later than every register's (early termination).  Two tex
 in a register with probability equal to their probability Jaccard similarity.
 
 Bands of registers give buckets.  Inside a bucket every text is compared with one hub
-member only.  Buckets that then still hold several components fall in two kinds.  Where at
-most ``BLOCK`` members are outside the largest component, these are compared with every
-member of another component, as one block that each member meets.  Members of the other, dense buckets (texts around one very
-common passage, say) meet by their rare shingles: similarity s means that the common shingles
-carry at least s of either text's weight, so the rarest common one is among the rarest
-shingles carrying 1 - s of each.  Texts that share only the common passage do not meet that
-way, however many they are.  No link that the bands find is lost.  A comparison first
-estimates the similarity from one byte of every register and drops pairs five standard
-errors below the threshold; the others are verified by the exact probability Jaccard of
-their texts.
+member only: the comparison first estimates the similarity from one byte of every register,
+drops pairs five standard errors below the threshold, and verifies the others by the exact
+probability Jaccard of their texts.  Buckets that then still hold several components fall in
+two kinds.  Where at most ``DENSE`` members are outside the largest component, these are
+dealt out to blocks of bounded size that meet blocks of all the bucket's members; a task
+verifies two blocks at once by matrix products of their shingle counts and returns a forest
+of the components it connects, so that no pair without a link is ever a row.  Members of the
+other, dense buckets (texts around one very common passage, say) meet, in blocks as well, by
+their rare shingles: similarity s means that the common shingles carry at least s of either
+text's weight, so the rarest common one is among the rarest shingles carrying 1 - s of each.
+Texts that share only the common passage do not meet that way, however many they are.  No
+link that the bands find is lost.
 """
 
 from __future__ import annotations
@@ -41,12 +43,14 @@ REGISTERS = BANDS * ROWS
 FLOOR = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Stands for a null document id inside this module; it sorts first.
 NO_ID = -2 ** 63
-#: Members outside a bucket's largest component that are compared with all others.
-BLOCK = 32
-#: About so many members outside make up one block of a comparison.
-BLOCK_ROWS = 32
-#: Rows (a member and a block each) that a task estimates at once.
-SLICE = 512
+#: Up to so many members outside a bucket's largest component are compared in blocks: about what
+#: the rare shingles of one text cost against one member.
+DENSE = 4096
+#: Members and bytes of text that make up one block of a comparison.
+BLOCK_ROWS = 256
+BLOCK_BYTES = 1 << 19
+#: Shingles (columns of a matrix product) that a comparison of two blocks takes at once.
+COLUMNS = 8192
 
 
 def signatures(code: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int,
@@ -107,23 +111,6 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out["an"], out["bn"]], ["an", "bn"])
 
 
-def _estimate_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (n, c, sketch, block of such), the pairs of different components that agree in
-    enough registers."""
-    for batch in batches:
-        for a in range(0, len(batch), SLICE):
-            part = batch.slice(a, SLICE)
-            times = part["block"].value_lengths().to_numpy(zero_copy_only=False)
-            other = part["block"].flatten()
-            n, c = (np.repeat(part[x].to_numpy(), times) for x in ("n", "c"))
-            on, oc = (other.field(x).to_numpy() for x in ("n", "c"))
-            own = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            theirs = np.frombuffer(b"".join(other.field("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            keep = (c != oc) & ((np.repeat(own, times, axis=0) == theirs).mean(axis=1) >= FLOOR)
-            n, on = n[keep], on[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n, on)), pa.array(np.maximum(n, on))], ["an", "bn"])
-
-
 def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum over common shingles d of 1 / sum over e of max(x_e / x_d, y_e / y_d)."""
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
@@ -169,6 +156,78 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out["an"], out["bn"]], ["an", "bn"])
 
 
+def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, text number, count) of a block's texts, by text and shingle."""
+    out = []
+    for a, _, data, offs in tc.chunks(texts):
+        code, text, weight = tc.counted(*tc.shingle_codes(*tc.word_codes(data, offs), SHINGLE))
+        out.append((code, text + a, weight))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _similar(x: pa.Array, y: pa.Array, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the texts of ``x`` and ``y`` that reach the similarity, where ``apart`` holds.
+
+    With counts of 1 it is the number of common shingles over that of all.  For other counts, the
+    common mass of both less the number of common shingles, over the mass of both less the
+    smaller common mass, is never below it; pairs that reach the threshold by that bound are
+    verified one by one.
+    """
+    sides = [_shingles(t) for t in (x, y)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    both, mass_x, mass_y = (np.zeros(apart.shape) for _ in range(3))
+    for a in range(0, len(common), COLUMNS):
+        columns, dense = common[a:a + COLUMNS], []
+        for (code, text, weight), n in zip(sides, apart.shape):
+            at = np.minimum(np.searchsorted(columns, code), len(columns) - 1)
+            hit = columns[at] == code
+            matrix = np.zeros((n, len(columns)))
+            matrix[text[hit], at[hit]] = weight[hit]
+            dense.append(matrix)
+        has = [(m > 0).astype(float) for m in dense]
+        both += has[0] @ has[1].T
+        mass_x += dense[0] @ has[1].T
+        mass_y += has[0] @ dense[1].T
+    mass = [np.bincount(text, weight, n) for (_, text, weight), n in zip(sides, apart.shape)]
+    rest = np.add.outer(*mass) - np.minimum(mass_x, mass_y)
+    i, j = np.nonzero(apart & (rest > 0) & ((mass_x + mass_y - both) / np.maximum(rest, 1) >= SIMILARITY))
+    ones = [np.bincount(text, weight > 1, n) == 0 for (_, text, weight), n in zip(sides, apart.shape)]
+    sure = ones[0][i] & ones[1][j]
+    yield i[sure], j[sure]
+    bounds = [np.searchsorted(text, np.arange(n + 1)) for (_, text, _), n in zip(sides, apart.shape)]
+    for p, q in zip(i[~sure], j[~sure]):
+        own = [(code[b[r]:b[r + 1]], weight[b[r]:b[r + 1]]) for (code, _, weight), b, r in zip(sides, bounds, (p, q))]
+        if probability_jaccard(*own) >= SIMILARITY:
+            yield np.array([p]), np.array([q])
+
+
+def _forest(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smallest, other) that connect what the links (one, two) connect."""
+    names, at = np.unique(np.concatenate((one, two)), return_inverse=True)
+    x, y = np.split(at, 2)
+    root = np.arange(len(names))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
+        low = low[low]
+        if (low == root).all():
+            return names[root][root != np.arange(len(names))], names[root != np.arange(len(names))]
+        root = low
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of (c, t) each, links that connect the components whose texts reach the similarity."""
+    for batch in batches:
+        for r in range(len(batch)):
+            x, y = (batch[side][r].values for side in ("a", "b"))
+            cx, cy = (z.field("c").to_numpy() for z in (x, y))
+            links = list(_similar(x.field("t"), y.field("t"), cx[:, None] != cy[None, :]))
+            one, two = (np.concatenate([link[s] for link in links]) for s in (0, 1))
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in _forest(cx[one], cy[two])], ["an", "bn"])
+
+
 PAIRS = "an bigint, bn bigint"
 
 
@@ -234,22 +293,23 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # of a family, to which far more of the others are similar than to any member taken at random
     company = members.groupBy("n").agg(F.sum("m").alias("company"))
     hub = members.select("b", "n").join(company, "n").groupBy("b").agg(F.max(F.struct("company", "n"))["n"].alias("hub"))
-    members = land(members.select("b", "n").join(hub, "b"), "dup-members")
+    members = land(members.join(hub, "b"), "dup-members")
     wanted = land(signed.join(members.select("n").distinct(), "n", "left_semi").select("n", "h", "id", "sketch"),
                   "dup-wanted")
-    pool = land(texts.join(wanted.select("n", "h", "id"), ["h", "id"]).dropDuplicates(["h", "id"]).select("n", "t"),
-                "dup-texts")
+    pool = land(texts.join(wanted.select("n", "h", "id"), ["h", "id"]).dropDuplicates(["h", "id"]).select(
+        "n", "t", F.octet_length("t").cast("bigint").alias("size")), "dup-texts")
     sketches = wanted.select("n", "sketch")
     stars = members.where("n <> hub").select(F.col("n").alias("an"), F.col("hub").alias("bn")).distinct()
     near = _both(stars, sketches, "sketch", "as", "bs").mapInArrow(_estimate, PAIRS)
     labels = components(wanted.select("n", F.col("n").alias("c")), _links(near, pool))
-    open_, mixed = _mixed(members.select(F.col("b").alias("k"), "n").join(labels, "n"))
-    few = open_.join(mixed.where(F.col("outside") <= BLOCK), "k")
-    dense = land(open_.join(mixed.where(F.col("outside") > BLOCK).select("k"), "k", "left_semi").select(
+    # where a bucket holds two texts, one is the hub: they have been compared
+    open_, mixed = _mixed(members.where("m > 2").select(F.col("b").alias("k"), "n").join(labels, "n"))
+    links = _across(open_, mixed.where(F.col("outside") <= DENSE), pool)
+    dense = land(open_.join(mixed.where(F.col("outside") > DENSE).select("k"), "k", "left_semi").select(
         "n", "c").distinct(), "dup-dense")
-    rare, shared = _mixed(_rare_shingles(dense, pool))
-    near = _across(few, sketches).union(_across(rare.join(shared, "k"), sketches)).distinct()
-    return names, components(labels, _links(near, pool))
+    if not dense.isEmpty():
+        links = links.union(_across(*_mixed(_rare_shingles(dense, pool)), pool))
+    return names, components(labels, land(links, "dup-links"))
 
 
 def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -262,16 +322,23 @@ def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, land(keys.where("outside > 0"), "dup-mixed")
 
 
-def _across(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Estimated pairs of members of one key in different components, one of them outside the
-    largest.  The members outside are dealt out to blocks of about ``BLOCK_ROWS``; every member of
-    the key meets each block in one row, so no pair is a row before its estimate holds."""
-    rows = members.select("k", "n", "c", "big", "outside").join(sketches, "n")
-    deal = F.pmod(F.xxhash64("n"), F.ceil(F.col("outside") / BLOCK_ROWS))
-    blocks = rows.where("c <> big").groupBy("k", deal.alias("part")).agg(
-        F.collect_list(F.struct("n", "c", "sketch")).alias("block"))
-    return rows.select("k", "n", "c", "sketch").join(blocks, "k").select("n", "c", "sketch", "block").mapInArrow(
-        _estimate_blocks, PAIRS)
+def _across(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components of which members (k, n, c) share one of ``keys``, one of the two
+    outside the key's largest component.
+
+    Members outside and inside are dealt out, apart from each other, to blocks of about
+    ``BLOCK_ROWS`` members and ``BLOCK_BYTES`` of text; a row is two blocks that meet.
+    """
+    rows = members.join(keys.select("k", "big"), "k").select("k", "n", "c", (F.col("c") != F.col("big")).alias("out"))
+    rows = rows.join(texts.select("n", "size"), "n")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("parts")
+    rows = rows.join(rows.groupBy("k", "out").agg(parts), ["k", "out"])
+    rows = rows.select("k", "n", "c", "out", F.pmod(F.xxhash64("n"), "parts").alias("part"))
+    blocks = land(rows.join(texts.select("n", "t"), "n").groupBy("k", "out", "part").agg(
+        F.collect_list(F.struct("c", "t")).alias("block")), "dup-blocks")
+    a = blocks.select("k", F.col("out").alias("ao"), F.col("part").alias("ap"), F.col("block").alias("a"))
+    b = blocks.where("out").select("k", F.col("part").alias("bp"), F.col("block").alias("b"))
+    return a.join(b, "k").where("not ao or ap <= bp").select("a", "b").mapInArrow(_block_links, PAIRS)
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

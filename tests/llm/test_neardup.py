@@ -100,9 +100,27 @@ def test_signature_estimates_probability_jaccard():
     assert nd.probability_jaccard(ax, ay) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("block", [32, 0])  # 0: every mixed bucket takes the rare-shingle way
-def test_classes_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(nd, "BLOCK", block)
+def test_blocks_find_all_similar_pairs():
+    rows = [t for _, t in corpus(5) if shingles(t)][:90]
+    x, y = pa.array(rows[:50]), pa.array(rows[50:] + rows[:5])
+    want = {(i, j) for i in range(len(x)) for j in range(len(y))
+            if (i + j) % 3 and jp(shingles(x[i].as_py()), shingles(y[j].as_py())) >= nd.SIMILARITY}
+    apart = np.add.outer(np.arange(len(x)), np.arange(len(y))) % 3 > 0
+    got = [pair for a, b in nd._similar(x, y, apart) for pair in zip(a.tolist(), b.tolist())]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_forest_connects_the_same():
+    one, two = np.array([5, 7, 9, 20, 9]), np.array([7, 9, 11, 21, 5])
+    roots, others = nd._forest(one, two)
+    assert set(zip(roots.tolist(), others.tolist())) == {(5, 7), (5, 9), (5, 11), (20, 21)}
+
+
+# dense 0: every mixed bucket takes the rare-shingle way; 3 rows: a bucket has many blocks
+@pytest.mark.parametrize("dense,rows_of_block", [(4096, 256), (4096, 3), (0, 256)])
+def test_classes_equal_brute_force(spark, monkeypatch, dense, rows_of_block):
+    monkeypatch.setattr(nd, "DENSE", dense)
+    monkeypatch.setattr(nd, "BLOCK_ROWS", rows_of_block)
     rows = corpus()
     rows.append(rows[0])
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
