@@ -124,3 +124,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
                   threshold: float = THRESHOLD) -> DataFrame:
     """Fit on ``docs`` and ``labels``, then judge every document of ``docs``."""
     return score(docs, fit(docs, labels, buckets), buckets, threshold)
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs`` alone.
+
+    The optimizer would move the filter below the rule columns and write their definitions
+    into it once for each use, lambdas included, so that a text is split again for every
+    window.  It moves no filter below a row number, so the filter reads one.
+    """
+    judged = quality_rules(docs, labels).select("row", "kept", F.monotonically_increasing_id().alias("number"))
+    return judged.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
