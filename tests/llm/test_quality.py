@@ -104,3 +104,14 @@ def test_edges(spark):
     lab = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     r = quality.quality_rules(docs, lab).first()
     assert (r.row.score, r.row._w, r.row.weights, r.n_words) == (9, "x", 1, 2)
+
+
+def test_keep_gives_the_kept_rows_whole(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(30 + i % 5)), "mine", i) for i in range(40)]
+    rows += [(None, None, "mine", 1), (3, "", "mine", 2), (5, "too short", "mine", 3), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, number long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    want = sorted(tuple(r.row) for r in quality.quality_rules(docs, labels).collect() if r.kept)
+    got = quality.keep(docs, labels)
+    assert got.columns == docs.columns and want and sorted(tuple(r) for r in got.collect()) == want
+    assert quality.keep(docs.where("false"), labels).count() == 0
