@@ -6,9 +6,10 @@ P(first digit | window) * P(second digit | window, first digit).  A document's s
 sum of the conditional log-probabilities of all its tokens.
 
 Training is in numpy inside Spark tasks: in each round every partition starts from the same
-weights, goes through all its documents (each ``STRIDE``-th token is a target, with another
-phase each round) and reports its weights; the token-weighted mean of all partitions, summed
-block by block in tasks, starts the next round.  The driver holds one set of weights, whose
+weights, goes through all its documents and reports its weights; the token-weighted mean of
+all partitions, summed block by block in tasks, starts the next round.  The rounds share out
+the positions of the texts by a hash of the position, so that together they are one full pass:
+every token of every document is a target once.  The driver holds one set of weights, whose
 size is fixed by the parameters below.
 """
 
@@ -29,7 +30,6 @@ VOCAB = DIGIT * DIGIT
 WINDOW = (-2, -1, 1, 2)
 WIDTH = 24
 ROUNDS = 2
-STRIDE = 8
 BATCH = 4096
 RATE = 0.15
 SEED = 11
@@ -71,53 +71,92 @@ def windows(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids, around, at - begins
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(h: np.ndarray, out: np.ndarray, b: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(log-probability of the picked column, exponentials of all columns, their sum) of each row."""
+    x = h @ out
+    x += b
+    if (np.abs(out).sum(axis=0) + np.abs(b)).max() > 60:  # |h| is at most 1: below, no exponential overflows
+        x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), pick]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return own - np.log(total), x, total
 
 
 def forward(w: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray):
     """(log-probability of each token, and what the gradient needs)."""
-    z = w["bias"] + w["emb"][0][around[0]]
+    z = np.take(w["emb"][0], around[0], axis=0, mode="clip")
     for j in range(1, len(WINDOW)):
-        z += w["emb"][j][around[j]]
+        z += np.take(w["emb"][j], around[j], axis=0, mode="clip")
+    z += w["bias"]
     one, two = ids // DIGIT, ids % DIGIT
-    h1, h2 = np.tanh(z), np.tanh(z + w["digit"][one])
-    p1, p2 = _log_softmax(h1 @ w["out1"] + w["b1"]), _log_softmax(h2 @ w["out2"] + w["b2"])
-    row = np.arange(len(ids))
-    return p1[row, one] + p2[row, two], (one, two, h1, h2, p1, p2)
+    h1 = np.tanh(z)
+    z += np.take(w["digit"], one, axis=0, mode="clip")
+    h2 = np.tanh(z, out=z)
+    p1, e1, s1 = _softmax(h1, w["out1"], w["b1"], one)
+    p2, e2, s2 = _softmax(h2, w["out2"], w["b2"], two)
+    return p1 + p2, (one, two, h1, h2, e1, e2, s1, s2)
+
+
+def _sums(keys: np.ndarray, x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, the sum of the rows of ``x`` of each)."""
+    at = np.flatnonzero(np.bincount(keys, minlength=size))
+    cell = keys[:, None].astype(np.int64) * WIDTH + np.arange(WIDTH)
+    return at, np.bincount(cell.ravel(), x.ravel(), size * WIDTH).reshape(size, WIDTH)[at]
+
+
+def slopes(w: dict[str, np.ndarray], around: np.ndarray, held) -> list[tuple[str, tuple, np.ndarray]]:
+    """(name, index, gradient of the mean negative log-probability) of all weights whose gradient
+    is not plainly 0; no weight occurs twice.  Uses up ``held``."""
+    one, two, h1, h2, e1, e2, s1, s2 = held
+    row, n, ones = np.arange(len(one)), len(one), np.ones(len(one), h1.dtype)
+    e1 /= s1[:, None]
+    e2 /= s2[:, None]
+    e1[row, one] -= 1
+    e2[row, two] -= 1
+    d2 = e2 @ w["out2"].T
+    d2 *= (1 - h2 * h2) / n
+    dz = e1 @ w["out1"].T
+    dz *= (1 - h1 * h1) / n
+    dz += d2
+    every = (...,)
+    out = [("out1", every, h1.T @ e1 / n), ("b1", every, ones @ e1 / n), ("out2", every, h2.T @ e2 / n),
+           ("b2", every, ones @ e2 / n), ("bias", every, ones @ dz)]
+    keys, x = _sums(one, d2, DIGIT)
+    out.append(("digit", (keys,), x))
+    dz = dz.astype(np.float64)
+    for j in range(len(WINDOW)):
+        keys, x = _sums(around[j], dz, VOCAB + 1)
+        out.append(("emb", (j, keys), x))
+    return out
 
 
 def gradient(w: dict[str, np.ndarray], around: np.ndarray, held) -> np.ndarray:
     """Gradient of the mean negative log-probability, flat."""
-    one, two, h1, h2, p1, p2 = held
     flat = np.zeros(N_WEIGHTS, np.float32)
-    g, row, n = unpack(flat), np.arange(len(one)), len(one)
-    e1, e2 = np.exp(p1), np.exp(p2)
-    e1[row, one] -= 1
-    e2[row, two] -= 1
-    g["out1"][:], g["b1"][:] = h1.T @ e1 / n, e1.sum(0) / n
-    g["out2"][:], g["b2"][:] = h2.T @ e2 / n, e2.sum(0) / n
-    d2 = (e2 @ w["out2"].T) * (1 - h2 * h2) / n
-    dz = (e1 @ w["out1"].T) * (1 - h1 * h1) / n + d2
-    g["bias"][:] = dz.sum(0)
-    for d in range(WIDTH):
-        g["digit"][:, d] = np.bincount(one, d2[:, d], DIGIT)
-        for j in range(len(WINDOW)):
-            g["emb"][j, :, d] = np.bincount(around[j], dz[:, d], VOCAB + 1)
+    g = unpack(flat)
+    for name, at, x in slopes(w, around, held):
+        g[name][at] = x
     return flat
 
 
 def train(flat: np.ndarray, stream: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
     """Adagrad over (ids, windows) pieces; returns (weights, number of targets)."""
     flat, power, total = flat.copy(), np.full(N_WEIGHTS, 1e-6, np.float32), 0
-    w = unpack(flat)
+    w, powers = unpack(flat), unpack(power)
 
     def step(ids, around):
         _, held = forward(w, ids, around)
-        g = gradient(w, around, held)
-        np.add(power, g * g, out=power)
-        np.subtract(flat, RATE * g / np.sqrt(power), out=flat)
+        for name, at, g in slopes(w, around, held):  # a weight of gradient 0 stays, and so does its power
+            rows, power_rows = (x[name][at[0]] if len(at) == 2 else x[name] for x in (w, powers))
+            g = g.astype(np.float32, copy=False)
+            p = np.take(power_rows, at[-1], axis=0, mode="clip") if at[-1] is not ... else power_rows
+            p = p + g * g
+            power_rows[at[-1]] = p
+            np.sqrt(p, out=p)
+            np.divide(g, p, out=p)
+            p *= np.float32(RATE)
+            rows[at[-1]] -= p
 
     ids, around = np.zeros(0, np.int32), np.zeros((len(WINDOW), 0), np.int32)
     for i, a in stream:
@@ -130,13 +169,18 @@ def train(flat: np.ndarray, stream: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return flat, total
 
 
-def _report(weights, round_no: int):
+def targets(pos: np.ndarray, round_no: int, rounds: int) -> np.ndarray:
+    """Numbers of the tokens, by their positions in their texts, that a round predicts."""
+    return np.flatnonzero(tc.mix64(pos.astype(np.uint64)) % np.uint64(rounds) == np.uint64(round_no))
+
+
+def _report(weights, round_no: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
             for batch in batches:
                 for _, _, data, offs in tc.chunks(batch["t"]):
                     ids, around, pos = windows(*tc.word_codes(data, offs))
-                    pick = np.flatnonzero(pos % STRIDE == (3 * round_no) % STRIDE)
+                    pick = targets(pos, round_no, rounds)
                     yield ids[pick], around[:, pick]
         flat, n = train(weights.value, stream())
         if n:
@@ -173,12 +217,12 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights trained on every document of ``docs``; the starting weights if it has no token."""
+    """Weights trained on every token of ``docs``; the starting weights if it has none."""
     sc = docs.sparkSession.sparkContext
     flat, src = start_weights(), docs.select(F.col("text").alias("t"))
     n_blocks = -(-N_WEIGHTS // BLOCK)
     for k in range(rounds):
-        reports = src.mapInArrow(_report(sc.broadcast(flat), k), SUMS)
+        reports = src.mapInArrow(_report(sc.broadcast(flat), k, rounds), SUMS)
         some = reports.repartition(n_blocks * 4, "block", "part").mapInArrow(_sum, SUMS)
         rows = some.repartition(n_blocks, "block").mapInArrow(_sum, SUMS).collect()  # one set of weights
         if not rows:

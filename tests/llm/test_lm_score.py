@@ -83,3 +83,17 @@ def test_edges(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 0, 1, 1, 80000]
     assert all((r.mean_log_probability is None) == (r.n_tokens == 0) for r in got)
     assert len({r.log_likelihood for r in got if r.n_tokens == 1}) == 1
+
+
+def test_every_position_is_a_target_once():
+    for rounds in (1, lm.ROUNDS, 5):
+        picked = [lm.targets(np.arange(1000), k, rounds) for k in range(rounds)]
+        assert sorted(np.concatenate(picked)) == list(range(1000))
+
+
+def test_training_predicts_every_token(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{k}" for k in range(i + 1)),) for i in range(40)], "t string")
+    shared = spark.sparkContext.broadcast(lm.start_weights())
+    n = [docs.mapInArrow(lm._report(shared, k, lm.ROUNDS), lm.SUMS).where("block = 0").selectExpr("sum(n) AS n").first().n
+         for k in range(lm.ROUNDS)]
+    assert sum(n) == sum(range(1, 41)) and min(n) > 0
