@@ -1,8 +1,9 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
 Obfuscated words (leetspeak, stretched letters, letters set apart) become character lattices:
-every written character offers the letters it may stand for, a stretched run one or two
-copies, a separator nothing.  Viterbi decoding under a character trigram model, counted over
+every written character offers the letters it may stand for, a doubled letter or a stretched
+run one or two copies, a separator nothing.  A run of letters set apart by blanks is read from
+each of its letters on, as its neighbours of one letter are not told from it.  Viterbi decoding under a character trigram model, counted over
 the whole corpus, picks the likeliest letters.  The restored words of a text (and their
 beginnings) are scored by a lexicon of word evidence learned from labelled rows.
 
@@ -39,15 +40,19 @@ HELD = 200_000
 #: What a written character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
         "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
-#: Log-probabilities of the channel: writing a letter as another character, dropping a mark.
-SWAP, MARK = -1.0, -0.5
+#: Log-probabilities of the channel: writing a letter as another character, dropping a mark,
+#: doubling a letter.
+SWAP, MARK, DOUBLED = -1.0, -0.5, -1.0
+#: Letters of a spaced run that are read from one start, beside the whole run.
+SPACED = 24
 LETTERS = 28  # blank, a to z, any other
 _FOLD = np.full(256, 27, np.int64)
 _FOLD[[0x20, *range(0x09, 0x0E)]] = 0
 _FOLD[ord("a"):ord("z") + 1] = _FOLD[ord("A"):ord("Z") + 1] = np.arange(1, 27)
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){3,}")
-_RUN = re.compile(r"(.)\1\1", re.DOTALL)
+_SPACED = re.compile(r"(?<!\S)[\"'(\[{<*_~`]*(\S(?:[ \t]+\S){2,})[^\w\s]*(?!\S)")
+_RUN = re.compile(r"(.)\1", re.DOTALL)
 _PIECE = re.compile(r"[^\W\d_]+")
+_END = "!$+|"
 _EDGE = ".,;:?\"'()[]{}<>#%&*-_~`^=/\\"
 
 
@@ -102,7 +107,7 @@ class Restorer:
                 bare = []
             slot = [(x, p) for x, p in bare]
             if j - i == 2 and ch.isalpha():
-                slot = [(x * 2, p) for x, p in bare]
+                slot = [(ch * 2, 0.0), (ch, DOUBLED)]
             elif j - i >= 2:
                 slot += [(x * 2, p) for x, p in bare]
             if not ch.isalpha():
@@ -112,6 +117,8 @@ class Restorer:
         return out
 
     def decode(self, word: str) -> str:
+        if not _RUN.search(word) and LEET.keys().isdisjoint(word):  # the lattice has one path
+            return "".join(filter(str.isalpha, word))
         got = self.seen.get(word)
         if got is None:
             best = {(0, 0): (0.0, "")}
@@ -138,18 +145,19 @@ class Restorer:
         low = (text or "").lower()
         out = set()
         for m in _SPACED.finditer(low):
-            out.add(self.decode("".join(m[0].split())))
+            run = "".join(m[1].split())
+            for whole in {run, run.rstrip(_EDGE + _END)}:
+                out.add(self.decode(whole))
+                out.update(self.decode(whole[i:i + SPACED]) for i in range(len(whole) - 2))
         for w in set(low.split()):
             if not w.isalpha():
                 w = w.strip(_EDGE)
-                bare = w.rstrip("!$+|")  # as a rule these end a word and stand for no letter
+                bare = w.rstrip(_END)  # as a rule these end a word and stand for no letter
                 if not bare.isalpha():
                     if any(c.isalpha() for c in w):
-                        pieces = _PIECE.findall(w)
-                        if all(len(p) == 1 for p in pieces) or any(c in LEET for c in bare):
-                            out.add(self.decode(w))
-                            out.add(self.decode(bare))
-                        out.update(pieces)
+                        out.add(self.decode(w))
+                        out.add(self.decode(bare))
+                        out.update(_PIECE.findall(w))
                     continue
                 w = bare
             if _RUN.search(w):

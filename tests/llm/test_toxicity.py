@@ -64,6 +64,20 @@ def test_restores(model, text, word):
     assert word in tx.Restorer(model).words(text)
 
 
+@pytest.mark.parametrize("text,word", [
+    ("i d i o t.", "idiot"), ("such a l o s e r!", "loser"), ("a l o s e r", "loser"), ("'i d i o t'", "idiot"),
+    ("an a s s", "ass"), ("s t u p i d !", "stupid"), ("1 d 1 0 t.", "idiot"), ("stuupid", "stupid"), ("idiiot!", "idiot"),
+    ("s-tupid", "stupid"), ("st.upid,", "stupid"), ("lo_ser", "loser"), ("wor-thl3ss", "worthless")])
+def test_restores_narrow_spellings(model, text, word):
+    assert word in tx.Restorer(model).words(text)
+
+
+def test_one_path_words_equal_the_lattice(model):
+    r = tx.Restorer(model)
+    for w in ["s-tupid", "st.upid", "plain", "é-x", "2-b"]:
+        assert r.decode(w) == "".join(max(slot, key=lambda x: x[1])[0] for slot in r.lattice(w))
+
+
 def corpus(n=600, seed=1):
     rnd = random.Random(seed)
     v = [f"{a}{b}" for a in ("ran", "tel", "mor", "vis", "kup") for b in ("en", "ost", "ila", "ur", "ash", "e")]
