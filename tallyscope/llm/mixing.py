@@ -26,7 +26,8 @@ SEED = 17
 NONE = "(none)"
 #: A number tempers the token shares of the data by that exponent (1 keeps them, 0 is
 #: uniform); a dict gives shares, and values it does not name share what is left over in
-#: proportion to their tokens.
+#: proportion to their tokens.  The languages named here leave nothing over: rows of any other
+#: language, or of none, have probability 0.
 TARGETS = {"source": 0.5, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": 0.75}
 
 
