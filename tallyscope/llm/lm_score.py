@@ -1,9 +1,12 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 The network predicts every token from the two tokens on either side, the token itself being
-masked.  Tokens are hashed words, 4096 ids of two base-64 digits; the output is factored:
-P(first digit | window) * P(second digit | window, first digit).  A document's score is the
-sum of the conditional log-probabilities of all its tokens.
+masked.  Tokens are words of a vocabulary counted over all documents.  The network knows 4096
+ids of two base-64 digits: the ``OWN`` most frequent words have ids of their own, the others
+share ids by hash.  The output is factored: P(first digit | window) * P(second digit | window,
+first digit), and for a word of a shared id * P(word | id), from the full counts of the
+vocabulary, which stays a table of any size.  A document's score is the sum of the conditional
+log-probabilities of all its tokens.
 
 Training is in numpy inside Spark tasks: in each round every partition starts from the same
 weights, goes through all its documents and reports its weights; the token-weighted mean of
@@ -16,6 +19,7 @@ size is fixed by the parameters below.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import land
 from . import textcodes as tc
 
 DIGIT = 64
 VOCAB = DIGIT * DIGIT
+#: Most frequent words with an id of their own; the ids from there on are shared by hash.
+OWN = 2048
+SHARED = VOCAB - OWN  # a power of two
+#: Added to the count of each word of a shared id, and to that of any word not in the vocabulary.
+UNSEEN = 0.5
 WINDOW = (-2, -1, 1, 2)
 WIDTH = 24
 ROUNDS = 2
@@ -58,9 +68,54 @@ def start_weights(seed: int = SEED) -> np.ndarray:
     return flat
 
 
-def windows(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token ids, their windows, position in the text); past a text's ends stands the id VOCAB."""
-    ids = (words % np.uint64(VOCAB)).astype(np.int32)
+def count_words(docs: DataFrame) -> DataFrame:
+    """(h, n): hash and count of every word of all documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offs in tc.chunks(batch["t"]):
+                h, n = np.unique(tc.word_codes(data, offs)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    counts = docs.select(F.col("text").alias("t")).mapInArrow(run, "h bigint, n bigint")
+    return land(counts.groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
+
+
+class Vocabulary(NamedTuple):
+    """``words`` (h, n) holds all words; the arrays, of fixed size, travel with the tasks."""
+
+    words: DataFrame
+    own: np.ndarray  # sorted hashes of the words with ids of their own
+    own_ids: np.ndarray
+    whole: np.ndarray  # log of the smoothed count of each shared id
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    words = count_words(docs)
+    top = words.orderBy(F.desc("n"), "h").limit(OWN).collect()
+    h = np.array([r.h for r in top], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    n, kinds = np.zeros(SHARED), np.zeros(SHARED)
+    if len(top) == OWN:
+        rest = words.where((F.col("n") < top[-1].n) | (F.col("n") == top[-1].n) & (F.col("h") > top[-1].h))
+        for r in rest.groupBy(F.col("h").bitwiseAND(F.lit(SHARED - 1)).alias("b")).agg(
+                F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():  # at most SHARED rows
+            n[r.b], kinds[r.b] = r.n, r.kinds
+    return Vocabulary(words, h[order], order.astype(np.int32), np.log(n + UNSEEN * (kinds + 1)))
+
+
+def token_ids(words: np.ndarray, own: np.ndarray, own_ids: np.ndarray) -> np.ndarray:
+    ids = (words & np.uint64(SHARED - 1)).astype(np.int32) + np.int32(OWN)
+    if len(own):
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        ids = np.where(own[at] == words, own_ids[at], ids)
+    return ids
+
+
+def windows(words: np.ndarray, counts: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(token ids, their windows, position in the text); past a text's ends stands the id VOCAB.
+    Without ``ids`` all words share ids by hash."""
+    if ids is None:
+        ids = (words % np.uint64(VOCAB)).astype(np.int32)
     ends = np.repeat(np.cumsum(counts), counts)
     begins = ends - np.repeat(counts, counts)
     at = np.arange(len(ids))
@@ -174,15 +229,18 @@ def targets(pos: np.ndarray, round_no: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(tc.mix64(pos.astype(np.uint64)) % np.uint64(rounds) == np.uint64(round_no))
 
 
-def _report(weights, round_no: int, rounds: int):
+def _report(shared, round_no: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, own, own_ids = shared.value
+
         def stream():
             for batch in batches:
                 for _, _, data, offs in tc.chunks(batch["t"]):
-                    ids, around, pos = windows(*tc.word_codes(data, offs))
+                    words, counts = tc.word_codes(data, offs)
+                    ids, around, pos = windows(words, counts, token_ids(words, own, own_ids))
                     pick = targets(pos, round_no, rounds)
                     yield ids[pick], around[:, pick]
-        flat, n = train(weights.value, stream())
+        flat, n = train(weights, stream())
         if n:
             blocks = [flat[i:i + BLOCK] * np.float32(n) for i in range(0, N_WEIGHTS, BLOCK)]
             yield _blocks(range(len(blocks)), [TaskContext.get().partitionId() % GROUPS] * len(blocks),
@@ -216,47 +274,71 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _blocks(ks, [0] * len(ks), [total[k][0] for k in ks], [total[k][1].astype(np.float32) for k in ks])
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights trained on every token of ``docs``; the starting weights if it has none."""
-    sc = docs.sparkSession.sparkContext
+class Model(NamedTuple):
+    weights: np.ndarray
+    vocabulary: Vocabulary
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Vocabulary of ``docs``, and weights trained on every token; the starting weights if it has none."""
+    sc, vocab = docs.sparkSession.sparkContext, vocabulary(docs)
     flat, src = start_weights(), docs.select(F.col("text").alias("t"))
     n_blocks = -(-N_WEIGHTS // BLOCK)
     for k in range(rounds):
-        reports = src.mapInArrow(_report(sc.broadcast(flat), k, rounds), SUMS)
+        reports = src.mapInArrow(_report(sc.broadcast((flat, vocab.own, vocab.own_ids)), k, rounds), SUMS)
         some = reports.repartition(n_blocks * 4, "block", "part").mapInArrow(_sum, SUMS)
         rows = some.repartition(n_blocks, "block").mapInArrow(_sum, SUMS).collect()  # one set of weights
         if not rows:
             break
         for r in rows:
             flat[r.block * BLOCK:r.block * BLOCK + len(r.x)] = np.asarray(r.x, np.float32) / np.float32(r.n)
-    return flat
+    return Model(flat, vocab)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_probability) for every row of ``docs``.
 
-    A text without a word (or null) has 0 tokens, log-likelihood 0 and a null mean.  Equal
-    texts get equal scores up to rounding; ids play no part; empty tables give an empty result.
+    A text without a word (or null) has 0 tokens, log-likelihood 0 and a null mean.  Words that the
+    vocabulary lacks count as one unseen word of their id.  Equal texts get equal scores up to
+    rounding; ids play no part; empty tables give an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    vocab = model.vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, vocab.own, vocab.own_ids, vocab.whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpack(shared.value)
+        flat, own, own_ids, whole = shared.value
+        w = unpack(flat)
         for batch in batches:
             for a, b, data, offs in tc.chunks(batch["t"]):
                 words, counts = tc.word_codes(data, offs)
-                ids, around, _ = windows(words, counts)
+                ids, around, _ = windows(words, counts, token_ids(words, own, own_ids))
                 logp = np.concatenate([np.zeros(0, np.float32), *[
                     forward(w, ids[i:i + BATCH], around[:, i:i + BATCH])[0] for i in range(0, len(ids), BATCH)]])
-                total = np.bincount(np.repeat(np.arange(b - a), counts), logp.astype(float), b - a)
-                mean = pa.array(total.astype(float) / np.maximum(counts, 1), mask=counts == 0)
+                text, rare = np.repeat(np.arange(b - a), counts), np.flatnonzero(ids >= OWN)
+                logp = logp.astype(float)
+                logp[rare] -= whole[ids[rare] - OWN]
+                total = np.bincount(text, logp, b - a)
+                h, of, n = tc.counted(words[rare], text[rare])
+                ends = np.append(0, np.cumsum(np.bincount(of, minlength=b - a))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64, copy=False)))
+                         for x in (h.view(np.int64), n)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), pa.array(counts.astype(np.int64)),
-                     pa.array(total.astype(float)), mean],
-                    ["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
-
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("t"))
-    return src.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_probability double")
+                    [batch["number"].slice(a, b - a), batch["doc_id"].slice(a, b - a), pa.array(counts.astype(np.int64)),
+                     pa.array(total.astype(float)), *lists], ["number", "doc_id", "n_tokens", "part", "h", "times"])
+
+    src = docs.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                      F.col("text").alias("t"))
+    # landed, as the row numbers are read twice
+    rows = land(src.mapInArrow(run, "number bigint, doc_id bigint, n_tokens bigint, part double, h array<bigint>, "
+                                    "times array<bigint>"), "lm-rows")
+    rare = rows.select("number", F.explode(F.arrays_zip("h", "times")).alias("x")).select("number", "x.h", "x.times")
+    # a word of a shared id holds less than one in OWN of the tokens, so no key of the join is hot
+    rare = rare.join(vocab.words, "h", "left").groupBy("number").agg(F.sum(
+        F.col("times") * F.log(F.coalesce("n", F.lit(0)) + F.lit(UNSEEN))).alias("own"))
+    out = rows.drop("h", "times").join(rare, "number", "left").withColumn(
+        "log_likelihood", F.col("part") + F.coalesce("own", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(
+        F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))
 
 
 def lm_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -93,7 +93,38 @@ def test_every_position_is_a_target_once():
 
 def test_training_predicts_every_token(spark):
     docs = spark.createDataFrame([(" ".join(f"w{k}" for k in range(i + 1)),) for i in range(40)], "t string")
-    shared = spark.sparkContext.broadcast(lm.start_weights())
+    shared = spark.sparkContext.broadcast((lm.start_weights(), np.zeros(0, np.uint64), np.zeros(0, np.int32)))
     n = [docs.mapInArrow(lm._report(shared, k, lm.ROUNDS), lm.SUMS).where("block = 0").selectExpr("sum(n) AS n").first().n
          for k in range(lm.ROUNDS)]
     assert sum(n) == sum(range(1, 41)) and min(n) > 0
+
+
+def test_scores_cover_the_actual_tokens(spark):
+    """Words of one shared id differ by their counts; the word probabilities of an id sum to 1."""
+    rnd = random.Random(5)
+    often = [f"often{k}" for k in range(lm.OWN)]
+    rare = [f"rare{k}" for k in range(6000)]
+    n = {x: rnd.randint(1, 3) for x in rare}
+    texts = [" ".join(often)] * 5 + [" ".join(x for x in rare[k::7] for _ in range(n[x])) for k in range(7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC).repartition(3)
+    vocab = lm.vocabulary(docs)
+    assert vocab.words.count() == lm.OWN + 6000 and len(vocab.own) == lm.OWN
+    model = lm.Model(lm.start_weights(), vocab)
+
+    def bucket(word):
+        for _, _, data, offs in tc.chunks(pa.array([word])):
+            return int(lm.token_ids(tc.word_codes(data, offs)[0], vocab.own, vocab.own_ids)[0])
+
+    assert sorted(bucket(x) for x in often) == list(range(lm.OWN))
+    groups = {}
+    for x in rare:
+        groups.setdefault(bucket(x), []).append(x)
+    one = max(groups.values(), key=len)
+    assert len({n[x] for x in one}) > 1 and min(groups) >= lm.OWN
+    new = next(f"new{k}" for k in range(10 ** 6) if bucket(f"new{k}") == bucket(one[0]))
+    got = [r.log_likelihood for r in lm.score(spark.createDataFrame(list(enumerate([*one, new])), DOC).coalesce(1), model)
+           .orderBy("doc_id").collect()]
+    network = lm.forward(lm.unpack(model.weights), np.array([bucket(new)], np.int32), np.full((4, 1), lm.VOCAB, np.int32))[0]
+    assert np.exp(np.array(got) - network).sum() == pytest.approx(1, rel=1e-4)
+    for x, g in zip(one, got):
+        assert g - got[-1] == pytest.approx(np.log((n[x] + lm.UNSEEN) / lm.UNSEEN), abs=1e-5)
