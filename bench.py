@@ -23,7 +23,7 @@ HEADLINE = [
     "rapid_repeat", "duplicate_signature", "daily_spike", "data_gap", "cohort_retention",
     "anomaly_table", "judgment", "price_volume_contradiction", "ranked_findings",
     "typed_amounts", "typed_timestamps", "quality_report", "strip_markup", "classify_documents",
-    "infer_roles", "inr_display", "chart_series", "rate_limit_windows", "apply_manual_bans",
+    "inr_display", "chart_series", "rate_limit_windows", "apply_manual_bans",
     "hourly_quota_bans", "daily_trend_stream", "rapid_repeat_stream", "kpi_table", "chart_tags",
     "cohort_matrix", "confidence_grade", "read_delimited_roundtrip",
 ]

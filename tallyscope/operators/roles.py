@@ -8,6 +8,7 @@ vocabulary is a fixed ~140-row dimension and is broadcast.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,15 +64,20 @@ def roles_of(headers: list[str]) -> Roles:
     return Roles.from_dict(found)
 
 
+def amount_columns(tables: dict[str, DataFrame], sample_rows: int = 20, min_positive: int = 5) -> DataFrame:
+    """R2: (table, column): the first column with at least 5 positive parseable values among the first
+    20 rows of each table, null without one; one aggregate per table."""
+    def one(t: str, df: DataFrame) -> DataFrame:
+        first = F.coalesce(*[F.when(F.count_if(parse_amount(F.col(c)) > 0) >= min_positive, F.lit(c))
+                             for c in df.columns])
+        return df.limit(sample_rows).agg(first.alias("column")).select(F.lit(t).alias("table"), "column")
+
+    return reduce(DataFrame.unionAll, [one(t, df) for t, df in tables.items()])
+
+
 def infer_amount_column(df: DataFrame, sample_rows: int = 20, min_positive: int = 5) -> str | None:
-    """R2: the first column with at least 5 positive parseable values among the first 20 rows."""
-    head = df.limit(sample_rows)
-    counts = head.agg(*[F.count_if(parse_amount(F.col(c)) > 0).alias(f"c{i}")
-                        for i, c in enumerate(df.columns)]).first()
-    for i, c in enumerate(df.columns):
-        if counts[f"c{i}"] >= min_positive:
-            return c
-    return None
+    """R2 for one table."""
+    return amount_columns({"": df}, sample_rows, min_positive).first()["column"]
 
 
 def detect_roles(df: DataFrame) -> Roles:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators.clean import build_facts
-from ..operators.roles import infer_amount_column
+from ..operators.roles import amount_columns
 from ..session import ensure_checkpoint_dir
 from ..sources.activity import append_activity, read_activity_log
 from ..sources.tables import read_delimited, read_json_table, write_report
@@ -92,5 +92,4 @@ def _r2_sql_or_none() -> str | None:
 
 @register("infer_amount_column", _r2_sql_or_none())
 def q_r2(spark, sf):
-    rows = [(t, infer_amount_column(load(spark, sf, t))) for t in TABLES]
-    return spark.createDataFrame(rows, "table string, column string")
+    return amount_columns({t: load(spark, sf, t) for t in TABLES})

@@ -203,6 +203,17 @@ def q_intent_docs(spark, sf):
 
 
 # ---------------------------------------------------------------- R1, R3 over the catalogue of all tables
+#: name -> (function, SQL): they describe schemas and read no row, so they are not registered as queries.
+METADATA = {}
+
+
+def _metadata(name, sql):
+    def put(fn):
+        METADATA[name] = (fn, sql)
+        return fn
+    return put
+
+
 def _catalogue(spark, sf):
     return catalogue(spark, {t: load(spark, sf, t) for t in TABLES})
 
@@ -221,7 +232,7 @@ _ROLES_SQL = f"""roles AS (
   GROUP BY c."table", d.role)"""
 
 
-@register("infer_roles", f"WITH {_ROLES_SQL} SELECT * FROM roles")
+@_metadata("infer_roles", f"WITH {_ROLES_SQL} SELECT * FROM roles")
 def q_roles(spark, sf):
     return infer_roles(_catalogue(spark, sf))
 
@@ -235,7 +246,7 @@ def _domain_case(h: str) -> str:
                                         "WHEN r THEN 'revenue' ELSE 'generic' END")
 
 
-@register("infer_domain", f"""WITH {_ROLES_SQL},
+@_metadata("infer_domain", f"""WITH {_ROLES_SQL},
 h AS (SELECT "table", lower(string_agg(name, ' ' ORDER BY ordinal)) AS headers FROM {_CATALOGUE_SQL} c GROUP BY "table"),
 f AS (SELECT "table", bool_or(role = 'user_id') AS u, bool_or(role = 'revenue') AS r, bool_or(role = 'date') AS d
       FROM roles GROUP BY "table"),

@@ -49,3 +49,19 @@ def test_query_matches_oracle(spark, duck, name):
     want = _rows(cols, res.fetchall())
     assert sorted(df.columns) == sorted(cols)
     assert got == want
+
+
+def test_schema_forms_are_not_queries_and_match_sql(spark, duck):
+    from tallyscope.plans.queries_more import METADATA
+    assert set(METADATA) == {"infer_roles", "infer_domain"} and not set(METADATA) & set(E.queries())
+    for fn, sql in METADATA.values():
+        df, res = fn(spark, SF), duck.execute(sql)
+        cols = [d[0] for d in res.description]
+        assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(cols, res.fetchall())
+
+
+def test_amount_column_reads_its_tables_in_one_plan(spark):
+    df = E.queries()["infer_amount_column"](spark, SF)
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Aggregate") == len(TABLES) and "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert df.count() == len(TABLES)
