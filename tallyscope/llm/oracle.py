@@ -126,3 +126,66 @@ def mixing_sql() -> str:
     return f"""WITH {mixing_cte('documents')}
 SELECT doc_id, s_ AS source, l_ AS lang, t_ AS topic, n_tokens, round(ratio, 6) AS ratio,
        round(probability, 6) AS probability, selected FROM mixed"""
+
+
+#: ASCII letters lowered, others left as they are.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DIVERGENCE_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+      FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS terms, sum(total) AS size FROM k GROUP BY lang),
+ck AS (SELECT c.lang, c.source, c.term, c.n, k.total FROM c JOIN k USING (lang, term)),
+g AS (SELECT x.lang, x.source, coalesce(s.size, 0)::HUGEINT AS size
+      FROM (SELECT DISTINCT lang, source FROM d) x
+      LEFT JOIN (SELECT lang, source, sum(n) AS size FROM ck GROUP BY ALL) s USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(ck.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(ck.n, 0) + 1) // (g.size + v.terms) AS p,
+             1 + 1000000000::HUGEINT * (k.total + 1) // (v.size + v.terms) AS q
+      FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN ck USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+             SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+         ON a.lang = s.lang AND a.source = s.source AND b.source = s.item),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value FROM pair
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER w::INTEGER AS rank FROM ranked
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 200"""
+
+
+def _crc_step(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, one table step a byte."""
+    table = ", ".join(str(_crc_step(i)) for i in range(256))
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, octet_length(encode({text}))),
+ lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)),
+ lambda c, b: xor(c >> 8, ([{table}]::BIGINT[])[(xor(c, b) & 255) + 1])))"""
+
+
+RESAMPLE_SQL = rf"""WITH words AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents),
+each AS (SELECT unnest(ws) AS w FROM words),
+aims AS (SELECT unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+hashed AS MATERIALIZED (SELECT w, {crc32_sql('w')} % 10000 AS bucket FROM (SELECT w FROM each UNION SELECT w FROM aims)),
+s AS (SELECT bucket, count(*) AS s FROM each JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM aims JOIN hashed USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM each) + 10000.0::DOUBLE)
+    / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM aims) + 10000.0::DOUBLE))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+of_word AS (SELECT w, gain FROM hashed JOIN gain USING (bucket)),
+numbered AS (SELECT row_number() OVER () AS r, doc_id, ws FROM words),
+sums AS (SELECT r, sum(gain) AS total FROM (SELECT r, unnest(ws) AS w FROM numbered) JOIN of_word USING (w) GROUP BY r),
+weighed AS (SELECT doc_id, len(ws) AS n_features, CASE WHEN len(ws) = 0 THEN 0
+    ELSE floor(total::DOUBLE / len(ws)) END::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM numbered LEFT JOIN sums USING (r)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM weighed),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+       CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM drawn) THEN rank END::BIGINT AS rank
+FROM scored LEFT JOIN drawn USING (doc_id)"""

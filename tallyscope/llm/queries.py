@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, linedup, lm_score, mixing, neardup, quality, secret_scan, toxicity, warc
-from .oracle import LINE_DEDUP_SQL, SECRET_SCAN_SQL, WARC_SQL, mixing_sql
+from . import (decontam, divergence, langid, licenses, linedup, lm_score, mixing, neardup, quality, resample, secret_scan,
+               toxicity, warc)
+from .oracle import DIVERGENCE_SQL, LINE_DEDUP_SQL, RESAMPLE_SQL, SECRET_SCAN_SQL, WARC_SQL, mixing_sql
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,12 +69,28 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op11_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(_read(spark, sf, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resample.resample(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_source_mix, op2_warc_bundles, op3_prob_minhash, op4_decontaminate, op5_line_dedup, op6_secret_scan,
-    op7_license_scan, op8_quality_rules, op9_lm_score, op10_toxicity)}
+    op7_license_scan, op8_quality_rules, op9_lm_score, op10_toxicity, op11_language_id, op12_source_divergence,
+    op13_target_resampling)}
 SQL: dict[str, str] = {
     "op1_source_mix": mixing_sql(),
     "op2_warc_bundles": WARC_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op6_secret_scan": SECRET_SCAN_SQL,
+    "op12_source_divergence": DIVERGENCE_SQL,
+    "op13_target_resampling": RESAMPLE_SQL,
 }
