@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import day_key, month_key
 from ..functions.numbers import rhu_sql, round_half_up
 from ..model import AMOUNT, CATEGORY, OUTLIER, PRODUCT, TS, USER, THRESHOLDS
+from ..session import land
 from .common import attach
 from .order_stats import interpolate_sql, linear, order_statistics, rank_spec
 from .stats import linear_trend, with_index
@@ -175,6 +176,7 @@ def pareto_share(facts: DataFrame, by: Sequence[str] = (), top_fraction: float =
     by = list(by)
     totals = facts.where(F.col(USER).isNotNull()).groupBy(*by, USER) \
         .agg(F.sum(F.coalesce(F.col(AMOUNT), F.lit(0.0))).alias("t"))
+    totals = land(totals, "user-totals")  # read by every narrowing round and by the sum above the k-th
     k_sql = f"greatest(1L, CAST(floor(n * {top_fraction!r}D) AS BIGINT))"
     kth = order_statistics(totals, "t", by, [rank_spec("tk", 1 - top_fraction, f"n - {k_sql}")],
                            accuracy, [F.expr("sum(_v)").alias("total")])

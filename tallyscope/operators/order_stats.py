@@ -1,22 +1,22 @@
-"""Exact order statistics per group, without holding a whole group in one task.
-
-``percentile``/``percentile_disc`` keep a value->count map per group and merge
-it in one task, which does not hold for a hot group of a third of 100 TB.
-Instead, for each requested rank:
-
-1. one partial-aggregated pass gives per group ``count``, ``min``, ``max`` and
-   an ``approx_percentile`` bracket ``[q - m, q + m]`` (``m`` = 3 / accuracy,
-   three times the sketch's rank-error bound);
-2. a second pass counts, per group, the rows below and inside every bracket
-   (one conditional aggregate, no row explosion) and keeps only the rows that
-   fall inside some bracket, collapsed to ``(group, spec, value, count)``;
-3. a window over each ``(group, spec)`` (at most the bracket's distinct values)
-   accumulates counts in value order and picks the value where the running
-   count first passes ``rank - below``.
-
-If a bracket missed its rank (not expected from the sketch's guarantee), that
-(group, spec) is recomputed exactly over the whole group, so the answer never
-depends on the approximation.
+"""Exact order statistics per group by repeated narrowing, without holding a group in one task.
+
+``percentile`` and ``percentile_disc`` keep a value->count map per group and merge it in one task,
+which does not hold for a hot group of a third of 100 TB.  Here every requested rank is enclosed in a
+bracket that each round cuts into slots by an order-preserving function of the value:
+
+1. the first round needs no knowledge of the data: 64 slots for each factor of two, on either side of
+   zero.  One map-side combined aggregate gives count, smallest and largest value of every non-empty
+   slot; running counts over a group's slots tell which slot holds which rank;
+2. a slot of more than ``LEAF_ROWS`` rows and more than one value is cut again, linearly between its
+   smallest and largest value, into ``SLOTS`` slots, by one more aggregate over its rows.  Its range
+   shrinks at least by that factor each time, so five rounds end for any doubles;
+3. what remains are slots of a single value, which is the answer, and slots of at most ``LEAF_ROWS``
+   rows, which a window picks from.
+
+Counts are exact in every round, so nothing is ever redone.  A window reads at most the non-empty slots
+of one bracket (271,075 in the first round, ``SLOTS`` later) or ``LEAF_ROWS`` values.  Brackets of groups
+(one row for a group and rank) are landed and the driver reads two flags a round; without groups there
+is one bracket a rank, which comes to the driver and returns as literals that reach the scan's filter.
 """
 
 from __future__ import annotations
@@ -26,10 +26,20 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import land
 from .common import attach
 
 RankFn = Callable[[Column], Column]
 
+SLOTS = 4096
+LEAF_ROWS = 1 << 16
+#: Brackets up to which the bounds of all groups are broadcast to the rows.
+BROADCAST_BRACKETS = 50_000
+
+# slots of the first round: log2 of a double lies in [-1074, 1024]
+_COARSE = ("CAST(CASE WHEN isnan(_v) THEN 135537 WHEN abs(_v) = double('inf') THEN signum(_v) * 135536.0D "
+           "WHEN _v = 0 THEN 0 ELSE signum(_v) * (floor(log2(abs(_v)) * 64) + 69999) END AS INT)")
+
 
 def fn_sql(fn) -> str:
     """Rank functions are SQL text over the group count ``n`` (or a callable returning it)."""
@@ -61,73 +71,113 @@ def interpolate_sql(name: str, p: float, n: str = "n") -> str:
     return f"({name}__lo + ({name}__hi - {name}__lo) * ({pos} - floor({pos})))"
 
 
-def _pick(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """counted: keys + r + side + v + c  ->  keys + r + side + v at running count r+1."""
-    w = Window.partitionBy(*keys).orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counted.withColumn("_cum", F.sum("c").over(w))
-    return cum.where((F.col("_cum") - F.col("c") <= F.col("r")) & (F.col("_cum") > F.col("r"))) \
-        .select(*keys, "side", "v")
+def _running(slots: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds ``_cum``, the running count of ``_c``."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return slots.withColumn("_cum", F.sum("_c").over(w))
+
+
+_HOLDS = "_r >= _cum - _c AND _r < _cum"
+_BRACKET = ["_spec", "_id", "_r - (_cum - _c) AS _r", "_c", "_lo", "_hi"]
+
+
+def _numbered(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Brackets shared by several ranks carry the number of the first of them as ``_id``."""
+    return found.withColumn("_id", F.min("_spec").over(Window.partitionBy(*keys)))
+
+
+def _first_round(base: DataFrame, by: list[str], ranks: list[str]) -> DataFrame:
+    slots = base.groupBy(*by, F.expr(_COARSE).alias("_slot")).agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    slots = _running(slots, by, "_slot").withColumn("n", F.sum("_c").over(Window.partitionBy(*by)))
+    wanted = ", ".join(f"named_struct('i', {i}, 'r', least(greatest(CAST({r} AS BIGINT), 0L), n - 1))"
+                       for i, r in enumerate(ranks))
+    found = slots.selectExpr("*", f"explode(array({wanted})) AS _w").selectExpr("*", "_w.i AS _spec", "_w.r AS _r")
+    return _numbered(found.where(_HOLDS), by + ["_slot"]).selectExpr(*by, *_BRACKET)
+
+
+class _Brackets:
+    """Brackets of one round: landed for groups, literals for the one group there is without keys."""
+
+    def __init__(self, found: DataFrame, by: list[str], k: int, leaf_rows: int) -> None:
+        self.by, self.k = by, k
+        kind = f"CASE WHEN _lo <=> _hi THEN 'value' WHEN _c > {leaf_rows} THEN 'more' ELSE 'leaf' END AS _kind"
+        found = found.selectExpr("*", kind)
+        if by:
+            self.rows = land(found, "order-brackets")
+            counts = {r._kind: r.n for r in self.rows.groupBy("_kind").agg(F.count("*").alias("n")).collect()}  # three kinds
+            self.kinds, self.few = set(counts), sum(counts.values()) <= BROADCAST_BRACKETS
+        else:
+            self.known = found.collect()  # at most ``k`` rows
+            self.kinds = {r._kind for r in self.known}
+            values = ", ".join(f"({r._spec}, {r._id}, {r._r}L, {r._c}L, {_literal(r._lo)}, {_literal(r._hi)}, '{r._kind}')"
+                               for r in self.known)
+            self.rows = found.sparkSession.sql("SELECT * FROM VALUES " + (values or "(0, 0, 0L, 0L, 0D, 0D, 'none')")
+                                               + " AS t(_spec, _id, _r, _c, _lo, _hi, _kind)")
+
+    def of(self, kind: str) -> DataFrame:
+        return self.rows.where(F.col("_kind") == kind).drop("_kind")
+
+    def inside(self, base: DataFrame, kind: str) -> DataFrame:
+        """Rows of ``base`` that lie in a bracket of this kind, with its ``_id``, ``_lo`` and ``_hi``."""
+        if self.by:
+            mine = [F.expr(f"max(CASE WHEN _spec = {i} AND _id = {i} THEN {c} END)").alias(f"{c}{i}")
+                    for i in range(self.k) for c in ("_lo", "_hi")]
+            wide = self.of(kind).groupBy(*self.by).agg(*mine)
+            base = attach(base, F.broadcast(wide) if self.few else wide, self.by, "inner")
+            bounds = {i: (f"_lo{i}", f"_hi{i}") for i in range(self.k)}
+        else:
+            bounds = {r._id: (_literal(r._lo), _literal(r._hi)) for r in self.known if r._kind == kind}
+
+        def pick(what: Callable[[int], str]) -> str:
+            return "CASE " + " ".join(f"WHEN _v BETWEEN {lo} AND {hi} THEN {what(i)}" for i, (lo, hi) in bounds.items()) + " END"
+
+        return base.where(" OR ".join(f"_v BETWEEN {lo} AND {hi}" for lo, hi in bounds.values())).selectExpr(
+            *self.by, "_v", f"{pick(str)} AS _id", f"{pick(lambda i: bounds[i][0])} AS _lo", f"{pick(lambda i: bounds[i][1])} AS _hi")
+
+
+def _literal(x: float) -> str:
+    return f"double('{x!r}')"
+
+
+def _next_round(rows: DataFrame, brackets: DataFrame, by: list[str], slots_n: int) -> DataFrame:
+    cut = f"CAST(least(floor((_v - _lo) / (_hi - _lo) * {slots_n}), {slots_n - 1}) AS INT)"
+    slots = rows.groupBy(*by, "_id", F.expr(cut).alias("_slot")).agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    found = attach(_running(slots, by + ["_id"], "_slot"), brackets.select(*by, "_id", "_spec", "_r"), by + ["_id"], "inner")
+    return _numbered(found.where(_HOLDS), by + ["_id", "_slot"]).selectExpr(*by, *_BRACKET)
 
 
 def order_statistics(df: DataFrame, value: str, by: Sequence[str],
                      specs: list[tuple[str, float, RankFn]], accuracy: int | None = None,
-                     extra_aggs: list[Column] | None = None) -> DataFrame:
+                     extra_aggs: list[Column] | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row per group: ``*by, n, <spec name>...`` with the exact value at each rank.
 
-    ``extra_aggs`` are computed in the same first pass over column ``_v`` (the value).
-    Null values are ignored; groups without values are absent.
+    ``accuracy`` is the number of slots of a later round (at least 2); it changes the work, never the
+    result.  ``extra_aggs`` are computed over column ``_v`` (the value).  Null values are ignored; groups
+    without values are absent.
     """
-    by = list(by)
-    acc = accuracy or (100_000 if not by else 10_000)
-    m = 3.0 / acc
+    by, k = list(by), len(specs)
+    slots_n = max(2, accuracy or SLOTS)
     base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-
-    fracs: list[float] = []
-    for _, q, _fn in specs:
-        fracs += [max(0.0, q - m), min(1.0, q + m)]
-    first = base.groupBy(*by).agg(
-        F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", fracs, acc).alias("_ap"), *(extra_aggs or []))
-
-    # per-group bounds, one column per spec (no row explosion); SQL text keeps the
-    # driver-side plan construction to a handful of round trips
-    k = len(specs)
-    bexprs = []
-    for i, (name, _q, fn) in enumerate(specs):
-        lo = "_min" if fracs[2 * i] <= 0.0 else f"_ap[{2 * i}]"
-        hi = "_max" if fracs[2 * i + 1] >= 1.0 else f"_ap[{2 * i + 1}]"
-        r = fn_sql(fn)
-        bexprs += [f"{lo} AS _lo{i}", f"{hi} AS _hi{i}", f"least(greatest(CAST({r} AS BIGINT), 0L), n - 1) AS _r{i}"]
-    bounds = first.selectExpr(*by, *bexprs)
-    joined = attach(base, bounds, by, "inner")
-    inside = [f"(_v >= _lo{i} AND _v <= _hi{i})" for i in range(k)]
-    # pass 2a: rows below / inside each bracket, per group (one row per group)
-    below = joined.groupBy(*by).agg(*[F.expr(f"count_if(_v < _lo{i})").alias(f"_b{i}") for i in range(k)],
-                                    *[F.expr(f"count_if({inside[i]})").alias(f"_c{i}") for i in range(k)])
-    # pass 2b: only rows inside some bracket, tagged with the specs they serve
-    # (a codegen'd predicate selects the few in-bracket rows; no lambda runs per fact row)
-    tags = "array(" + ", ".join(f"CASE WHEN {inside[i]} THEN {i} END" for i in range(k)) + ")"
-    cand = joined.where(" OR ".join(inside)).selectExpr(*by, "_v", f"explode({tags}) AS spec") \
-        .where("spec IS NOT NULL").groupBy(*by, "spec", "_v").agg(F.count("*").alias("c"))
-    # per (group, spec): rank, count below, validity of the bracket
-    per_spec = attach(bounds, below, by, "inner")
-    structs = ", ".join(f"named_struct('spec', {i}, 'r', _r{i}, 'cb', _b{i}, "
-                        f"'ok', _b{i} <= _r{i} AND _b{i} + _c{i} > _r{i})" for i in range(k))
-    per_spec = per_spec.selectExpr(*by, f"explode(array({structs})) AS _s").selectExpr(*by, "_s.*")
-    ok_specs = per_spec.where("ok")
-    counted = attach(cand, ok_specs, by + ["spec"], "inner") \
-        .selectExpr(*by, "spec", "r - cb AS r", "1 AS side", "_v AS v", "c")
-    good = _pick(counted, by + ["spec"]).select(*by, "spec", "v")
-
-    # Exact path for any bracket that missed its rank (whole group, that spec only).
-    missed = per_spec.where("NOT ok").select(*by, "spec", "r")
-    redo = attach(base, missed, by, "inner") if by else base.crossJoin(F.broadcast(missed))
-    redo_counted = redo.groupBy(*by, "spec", "r", "_v").agg(F.count("*").alias("c")) \
-        .select(*by, "spec", "r", F.lit(1).alias("side"), F.col("_v").alias("v"), "c")
-    fixed = _pick(redo_counted, by + ["spec"]).select(*by, "spec", "v")
-
-    values = good.unionByName(fixed)
-    wide = values.groupBy(*by).agg(*[
-        F.expr(f"max(CASE WHEN spec = {i} THEN v END)").alias(name) for i, (name, _q, _fn) in enumerate(specs)])
-    keep = ["n"] + [c for c in first.columns if c not in set(by) | {"n", "_min", "_max", "_ap"}]
-    return attach(first.select(*by, *keep), wide, by, "left")
+    done: list[DataFrame] = []
+    brackets = _Brackets(_first_round(base, by, [fn_sql(fn) for _, _, fn in specs]), by, k, leaf_rows)
+    while True:
+        done.append(brackets.of("value").selectExpr(*by, "_spec", "_lo AS _x"))
+        if "leaf" in brackets.kinds:
+            values = brackets.inside(base, "leaf").groupBy(*by, "_id", "_v").agg(F.count("*").alias("_c"))
+            got = attach(_running(values, by + ["_id"], "_v"), brackets.of("leaf").select(*by, "_id", "_spec", "_r"),
+                         by + ["_id"], "inner")
+            done.append(got.where(_HOLDS).selectExpr(*by, "_spec", "_v AS _x"))
+        if "more" not in brackets.kinds:
+            break
+        found = _next_round(brackets.inside(base, "more"), brackets.of("more"), by, slots_n)
+        brackets = _Brackets(found, by, k, leaf_rows)
+
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    wide = found.groupBy(*by).agg(*[
+        F.expr(f"max(CASE WHEN _spec = {i} THEN _x END)").alias(name) for i, (name, _q, _fn) in enumerate(specs)])
+    first = base.groupBy(*by).agg(F.count("_v").alias("n"), *(extra_aggs or []))
+    return attach(first, wide, by, "left")
