@@ -14,68 +14,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_key, epoch_micros
-from ..functions.display import inr_display
+from ..functions.display import inr_display, number_text
 from ..functions.numbers import round_half_up
-from ..model import AMOUNT, OUTLIER, QTY, TS, USER, Roles
+from ..model import AMOUNT, TS, USER, Roles
+from ..texts import FALSIFIABILITY, REASON
 from .common import attach
+from .profile import Profile, Z, totals_of
 
 SEVERITY_ORDER = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 MINUTE_US = 60_000_000
 DAY_US = 86_400_000_000
 
 
-def _finding(g: DataFrame, by: Sequence[str], fires: Column, type_: Column | str, severity: str,
-             value: Column, impact: Column, reason: Column) -> DataFrame:
-    t = F.lit(type_) if isinstance(type_, str) else type_
-    return g.where(fires).select(*by, t.alias("type"), F.lit(severity).alias("severity"),
+def _finding(g: DataFrame, by: Sequence[str], fires: Column, kind: str, severity: str, value: Column, impact: Column,
+             *args: Column, type_: Column | None = None, check: Sequence[Column] = ()) -> DataFrame:
+    """One row for every group that ``fires``; ``args`` fill the reason, ``check`` the way to check it."""
+    text = FALSIFIABILITY[kind]
+    return g.where(fires).select(*by, (F.lit(kind) if type_ is None else type_).alias("type"), F.lit(severity).alias("severity"),
                                  value.cast("double").alias("value"), impact.cast("double").alias("impact"),
-                                 reason.alias("reason"))
+                                 F.format_string(REASON[kind], *args).alias("reason"),
+                                 (F.format_string(text, *check) if check else F.lit(text)).alias("falsifiability"))
 
 
 def negative_values(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A1: rows with a negative amount or quantity; impact = |sum of their amounts|; HIGH."""
-    neg = F.coalesce(F.col(AMOUNT) < 0, F.lit(False)) | F.coalesce(F.col(QTY) < 0, F.lit(False))
-    g = facts.groupBy(*by).agg(F.count_if(neg).alias("_c"),
-                               F.sum(F.when(neg, F.coalesce(F.col(AMOUNT), F.lit(0.0)))).alias("_s"))
-    return _finding(g, by, F.col("_c") > 0, "NEGATIVE_VALUES", "HIGH", F.col("_c"),
-                    round_half_up(F.abs(F.col("_s"))),
-                    F.format_string("%d transactions with negative values — likely refunds, reversals, or data entry errors", F.col("_c")))
+    return negative_of(totals_of(facts, by, ["negatives", "negative_sum"]), by)
 
 
-def zscore_outliers(facts: DataFrame, by: Sequence[str] = (), z: float = 3.5) -> DataFrame:
+def negative_of(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    n = F.col("negatives")
+    return _finding(totals, by, n > 0, "NEGATIVE_VALUES", "HIGH", n, round_half_up(F.abs(F.col("negative_sum"))), n)
+
+
+def zscore_outliers(facts: DataFrame, by: Sequence[str] = (), z: float = Z) -> DataFrame:
     """A2: at least 10 amounts, population sigma > 0, |z| > 3.5; impact = their sum; MEDIUM."""
     by = list(by)
-    moments = facts.where(F.col(AMOUNT).isNotNull()).groupBy(*by).agg(
-        F.count(AMOUNT).alias("_n"), F.avg(AMOUNT).alias("_mean"), F.stddev_pop(AMOUNT).alias("_sd"))
-    moments = moments.where((F.col("_n") >= 10) & (F.col("_sd") > 0))
+    moments = totals_of(facts, by, ["amounts", "mean", "deviation"]).where((F.col("amounts") >= 10) & (F.col("deviation") > 0))
     j = attach(facts.select(*by, AMOUNT), moments, by, "inner")
-    out = F.abs((F.col(AMOUNT) - F.col("_mean")) / F.col("_sd")) > z
-    g = j.groupBy(*by).agg(F.count_if(out).alias("_c"), F.sum(F.when(out, F.col(AMOUNT))).alias("_s"))
-    return _finding(g, by, F.col("_c") > 0, "STATISTICAL_OUTLIER", "MEDIUM", F.col("_c"),
-                    round_half_up(F.col("_s")),
-                    F.format_string("%d transactions with Z-score >3.5σ — extreme deviations from the distribution", F.col("_c")))
+    out = F.abs((F.col(AMOUNT) - F.col("mean")) / F.col("deviation")) > z
+    return zscore_of(j.groupBy(*by).agg(F.count_if(out).alias("far"), F.sum(F.when(out, F.col(AMOUNT))).alias("far_sum")), by)
+
+
+def zscore_of(tails: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    n = F.col("far")
+    return _finding(tails, by, n > 0, "STATISTICAL_OUTLIER", "MEDIUM", n, round_half_up(F.col("far_sum")), n)
 
 
 def iqr_outliers(facts: DataFrame, by: Sequence[str] = (), max_share: float = 0.05) -> DataFrame:
     """A3: IQR-flagged rows when 0 < count < 5 % of rows; impact = their sum; LOW."""
-    g = facts.groupBy(*by).agg(F.count_if(F.col(OUTLIER)).alias("_c"), F.count("*").alias("_rows"),
-                               F.sum(F.when(F.col(OUTLIER), F.coalesce(F.col(AMOUNT), F.lit(0.0)))).alias("_s"))
-    fires = (F.col("_c") > 0) & (F.col("_c") < F.col("_rows") * max_share)
-    return _finding(g, by, fires, "IQR_OUTLIER", "LOW", F.col("_c"), round_half_up(F.col("_s")),
-                    F.format_string("%d transactions outside 1.5×IQR — significant but non-extreme", F.col("_c")))
+    return iqr_of(totals_of(facts, by, ["outliers", "rows", "outlier_sum"]), by, max_share)
+
+
+def iqr_of(totals: DataFrame, by: Sequence[str] = (), max_share: float = 0.05) -> DataFrame:
+    n = F.col("outliers")
+    fires = (n > 0) & (n < F.col("rows") * max_share)
+    return _finding(totals, by, fires, "IQR_OUTLIER", "LOW", n, round_half_up(F.col("outlier_sum")), n)
 
 
 def daily_spike(facts: DataFrame, by: Sequence[str] = (), z: float = 2.5) -> DataFrame:
     """A4: >= 7 amounts and >= 5 days, sigma > 0: among days with |z| > 2.5 the one furthest
     from the daily mean (ties: earliest day); SPIKE above the mean, DROP below; MEDIUM."""
     by = list(by)
-    rows = facts.where(F.col(AMOUNT).isNotNull())
-    n = rows.groupBy(*by).agg(F.count("*").alias("_vals"))
-    daily = rows.where(F.col(TS).isNotNull()).groupBy(*by, day_key(TS).alias("day")) \
-        .agg(F.sum(AMOUNT).alias("v"))
+    dated = facts.where(F.col(TS).isNotNull()).withColumn("day", day_key(TS))
+    return spike_of(totals_of(facts, by, ["amounts"]), totals_of(dated, [*by, "day"], ["amounts", "amount_sum"]), by, z)
+
+
+def spike_of(totals: DataFrame, days: DataFrame, by: Sequence[str] = (), z: float = 2.5) -> DataFrame:
+    by = list(by)
+    daily = days.where(F.col("amounts") > 0).select(*by, "day", F.col("amount_sum").alias("v"))
     dstats = daily.groupBy(*by).agg(F.count("*").alias("_days"), F.avg("v").alias("_dm"),
                                     F.stddev_pop("v").alias("_ds"))
-    dstats = attach(dstats, n, by, "left").where(
+    dstats = attach(dstats, totals.select(*by, F.col("amounts").alias("_vals")), by, "left").where(
         (F.col("_vals") >= 7) & (F.col("_days") >= 5) & (F.col("_ds") > 0))
     j = attach(daily, dstats, by, "inner")
     dev = F.abs(F.col("v") - F.col("_dm"))
@@ -83,11 +92,10 @@ def daily_spike(facts: DataFrame, by: Sequence[str] = (), z: float = 2.5) -> Dat
     top = cand.groupBy(*by).agg(F.max(F.struct(dev.alias("dev"), F.negative(F.unix_date(F.to_date("day"))).alias("nd"),
                                                F.col("day"), F.col("v"), F.col("_dm"))).alias("t"))
     spike = F.col("t.v") > F.col("t._dm")
-    return _finding(top, by, F.col("t").isNotNull(), F.when(spike, "REVENUE_SPIKE").otherwise("REVENUE_DROP"), "MEDIUM",
-                    round_half_up(F.col("t.v")), round_half_up(F.col("t.dev")),
-                    F.format_string("%s: %s of %s vs daily average of %s", F.col("t.day"),
-                                    F.when(spike, "spike").otherwise("drop"), inr_display(F.col("t.dev")),
-                                    inr_display(F.col("t._dm"))))
+    return _finding(top, by, F.col("t").isNotNull(), "DAILY", "MEDIUM", round_half_up(F.col("t.v")),
+                    round_half_up(F.col("t.dev")), F.col("t.day"), F.when(spike, "spike").otherwise("drop"),
+                    inr_display(F.col("t.dev")), inr_display(F.col("t._dm")),
+                    type_=F.when(spike, "REVENUE_SPIKE").otherwise("REVENUE_DROP"), check=[F.col("t.day")])
 
 
 def rapid_pairs(facts: DataFrame, by: Sequence[str] = (), gap_seconds: float = 60.0) -> DataFrame:
@@ -123,18 +131,20 @@ def rapid_repeat(facts: DataFrame, roles: Roles, by: Sequence[str] = ()) -> Data
     """A5: same-user pairs under 60 s apart; HIGH, impact 0."""
     if not (roles.user and roles.date):
         return _empty(facts, by)
-    g = rapid_pairs(facts, by)
-    return _finding(g, by, F.col("pairs") > 0, "SUSPICIOUS_FREQUENCY", "HIGH", F.col("pairs"), F.lit(0.0),
-                    F.format_string("%d transaction pairs within 60 seconds from the same user — possible bot activity or double-charge", F.col("pairs")))
+    n = F.col("pairs")
+    return _finding(rapid_pairs(facts, by), by, n > 0, "SUSPICIOUS_FREQUENCY", "HIGH", n, F.lit(0.0), n)
 
 
 def zero_value_share(facts: DataFrame, by: Sequence[str] = (), max_share: float = 0.05) -> DataFrame:
     """amount == 0 in more than 5 % of rows; LOW."""
-    g = facts.groupBy(*by).agg(F.count_if(F.col(AMOUNT) == 0).alias("_z"), F.count("*").alias("_rows"))
-    return _finding(g, by, F.col("_z") > F.col("_rows") * max_share, "ZERO_VALUE_TRANSACTIONS", "LOW",
-                    F.col("_z"), F.lit(0.0),
-                    F.format_string("%d zero-value transactions (%s%%) — verify if deliberate promotions or data errors",
-                                    F.col("_z"), round_half_up(F.col("_z") / F.col("_rows") * 100).cast("string")))
+    return zero_of(totals_of(facts, by, ["zeros", "rows"]), by, max_share)
+
+
+def zero_of(totals: DataFrame, by: Sequence[str] = (), max_share: float = 0.05) -> DataFrame:
+    n = F.col("zeros")
+    share = F.when(F.col("rows") > 0, n / F.col("rows") * 100)
+    return _finding(totals.withColumn("_share", share), by, n > F.col("rows") * max_share, "ZERO_VALUE_TRANSACTIONS", "LOW", n,
+                    F.lit(0.0), n, number_text(F.col("_share")))
 
 
 def signature_key(roles: Roles) -> Column:
@@ -150,28 +160,26 @@ def duplicate_signature(facts: DataFrame, roles: Roles, by: Sequence[str] = ())
     """Rows beyond the first with the same signature; MEDIUM, impact 0."""
     by = list(by)
     per_key = facts.groupBy(*by, signature_key(roles).alias("_k")).agg(F.count("*").alias("_c"))
-    g = per_key.groupBy(*by).agg(F.sum(F.col("_c") - 1).alias("_d"))
-    return _finding(g, by, F.col("_d") > 0, "DUPLICATE_TRANSACTIONS", "MEDIUM", F.col("_d"), F.lit(0.0),
-                    F.format_string("%d possible duplicate signatures (same user, amount, and date)", F.col("_d")))
+    n = F.col("_d")
+    return _finding(per_key.groupBy(*by).agg(F.sum(F.col("_c") - 1).alias("_d")), by, n > 0, "DUPLICATE_TRANSACTIONS", "MEDIUM",
+                    n, F.lit(0.0), n)
 
 
 def largest_gap(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Largest gap between consecutive timestamps that spans a UTC day boundary, plus span and rows.
+    """Largest gap between consecutive timestamps that spans a UTC day boundary, plus span and rows."""
+    dated = facts.where(F.col(TS).isNotNull()).withColumn("day", day_key(TS))
+    return gap_of(totals_of(facts, by, ["rows"]), totals_of(dated, [*by, "day"], ["first_us", "last_us"]), by)
 
-    Per-day min/max, then the gap from each day's first row to the previous
-    non-empty day's last row.  Any gap longer than a day crosses midnight, so
-    the result is exact whenever the largest gap exceeds one day.
-    """
+
+def gap_of(totals: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The gap from each day's first row to the previous non-empty day's last row.  Any gap longer than a
+    day crosses midnight, so the result is exact whenever the largest gap exceeds one day."""
     by = list(by)
-    us = epoch_micros(TS)
-    rows = facts.groupBy(*by).agg(F.count("*").alias("rows"))
-    days = facts.where(F.col(TS).isNotNull()).groupBy(*by, F.to_date(TS).alias("_d")) \
-        .agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))
-    w = Window.partitionBy(*by).orderBy("_d")
-    gaps = days.withColumn("_gap", F.col("_lo") - F.lag("_hi").over(w))
-    g = gaps.groupBy(*by).agg(F.max("_gap").alias("max_gap_us"), F.min("_lo").alias("_first"),
-                              F.max("_hi").alias("_last"))
-    g = attach(rows, g, by, "left")
+    w = Window.partitionBy(*by).orderBy("day")
+    gaps = days.withColumn("_gap", F.col("first_us") - F.lag("last_us").over(w))
+    g = gaps.groupBy(*by).agg(F.max("_gap").alias("max_gap_us"), F.min("first_us").alias("_first"),
+                              F.max("last_us").alias("_last"))
+    g = attach(totals.select(*by, "rows"), g, by, "left")
     return g.select(*by, "rows", "max_gap_us", (F.col("_last") - F.col("_first")).alias("span_us"))
 
 
@@ -180,23 +188,32 @@ def data_gap(facts: DataFrame, roles: Roles, by: Sequence[str] = (), min_gap_day
     """More than 10 rows; largest gap > 3 days and > 10 x (span / rows); value in days (1 dp); LOW."""
     if not roles.date:
         return _empty(facts, by)
-    g = largest_gap(facts, by)
+    return gap_finding(largest_gap(facts, by), by, min_gap_days, ratio)
+
+
+def gap_finding(g: DataFrame, by: Sequence[str] = (), min_gap_days: float = 3.0, ratio: float = 10.0) -> DataFrame:
     gap = F.col("max_gap_us")
     fires = (F.col("rows") > 10) & (gap > F.lit(min_gap_days * DAY_US)) & \
         (gap > F.col("span_us") / F.col("rows") * ratio)
     days = round_half_up(gap / F.lit(float(DAY_US)), 1)
-    return _finding(g, by, F.coalesce(fires, F.lit(False)), "DATA_GAP", "LOW", days, F.lit(0.0),
-                    F.format_string("%s-day gap in data — check for tracking outage or data collection failure",
-                                    days.cast("string")))
+    return _finding(g.withColumn("_days", days), by, F.coalesce(fires, F.lit(False)), "DATA_GAP", "LOW", F.col("_days"),
+                    F.lit(0.0), number_text(F.col("_days"), 1))
 
 
 def _empty(facts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return facts.select(*by, F.lit("").alias("type"), F.lit("").alias("severity"),
-                        F.lit(0.0).alias("value"), F.lit(0.0).alias("impact"), F.lit("").alias("reason")).limit(0)
+    return facts.select(*by, F.lit("").alias("type"), F.lit("").alias("severity"), F.lit(0.0).alias("value"),
+                        F.lit(0.0).alias("impact"), F.lit("").alias("reason"), F.lit("").alias("falsifiability")).limit(0)
+
+
+def _listed(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0].withColumn("seq", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("seq", F.lit(i)))
+    return out
 
 
 def all_detectors(facts: DataFrame, roles: Roles, by: Sequence[str] = ()) -> DataFrame:
-    """A1-A8 as one long frame, in detector order (``seq``)."""
+    """A1-A8 as one long frame, in detector order (``seq``), each by scans of its own."""
     by = list(by)
     parts = [negative_values(facts, by)]
     if roles.revenue:
@@ -204,13 +221,23 @@ def all_detectors(facts: DataFrame, roles: Roles, by: Sequence[str] = ()) -> Dat
     parts.append(iqr_outliers(facts, by))
     if roles.date and roles.revenue:
         parts.append(daily_spike(facts, by))
-    parts += [rapid_repeat(facts, roles, by), zero_value_share(facts, by),
-              duplicate_signature(facts, roles, by), data_gap(facts, roles, by)]
-    out = None
-    for i, p in enumerate(parts):
-        p = p.withColumn("seq", F.lit(i))
-        out = p if out is None else out.unionByName(p)
-    return out
+    return _listed(parts + [rapid_repeat(facts, roles, by), zero_value_share(facts, by),
+                            duplicate_signature(facts, roles, by), data_gap(facts, roles, by)])
+
+
+def detectors_of(profile: Profile, tails: DataFrame | None) -> DataFrame:
+    """A1-A8 from the shared profile: only rapid repeats and duplicate signatures read the facts again."""
+    by, roles, totals = profile.by, profile.roles, profile.totals
+    parts = [negative_of(totals, by)]
+    if tails is not None:
+        parts.append(zscore_of(tails, by))
+    parts.append(iqr_of(totals, by))
+    if roles.date and roles.revenue:
+        parts.append(spike_of(totals, profile.days, by))
+    parts += [rapid_repeat(profile.facts, roles, by), zero_of(totals, by), duplicate_signature(profile.facts, roles, by)]
+    if roles.date:
+        parts.append(gap_finding(gap_of(totals, profile.days, by), by))
+    return _listed(parts)
 
 
 def severity_rank(c: Column) -> Column:

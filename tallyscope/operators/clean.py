@@ -131,6 +131,8 @@ def build_facts(df: DataFrame, roles: Roles, by: Sequence[str] = (), as_of=None,
     if land:
         facts = land_table(facts, "facts")
     quality = quality_report(typed, facts, roles, by)
+    if land:
+        quality = land_table(quality, "quality")  # one row a group; it reads typed rows and facts once more
     return Facts(facts, quality, roles, by)
 
 

@@ -7,9 +7,12 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sqlfns import numtext_sql
 from ..model import RELIABILITY_WEIGHT, URGENCY_WEIGHT, Roles
+from ..texts import CHECK, DETAIL, filled, sql_text
 from .common import attach
 
+
 def ranked_findings(anomalies: DataFrame, judged: DataFrame, metrics: DataFrame,
                     by: Sequence[str] = (), k: int = 5) -> DataFrame:
     """F1.  ``anomalies``: the ranked A9 list; ``judged``: the J frame; ``metrics``: one row per
@@ -30,41 +33,41 @@ def ranked_findings(anomalies: DataFrame, judged: DataFrame, metrics: DataFrame,
                  F.when(F.col("impact") != 0, F.col("impact"))
                  .otherwise(F.col("value") * F.coalesce(F.col("aov"), F.lit(0.0))).alias("magnitude"),
                  F.col("severity").alias("reliability"), (F.col("severity") != "LOW").alias("actionable"),
-                 F.col("reason").alias("detail"))
+                 F.col("reason").alias("detail"), "falsifiability", F.lit(None).cast("string").alias("implication"))
 
     rev = "coalesce(revenue, 0.0D)"
 
-    def item(seq, cond, type_, subtype, magnitude, reliability, actionable, detail):
+    def item(seq, cond, type_, subtype, magnitude, reliability, actionable, detail, implication="CAST(NULL AS STRING)"):
         return (f"named_struct('keep', coalesce({cond}, false), 'seq', {100 + seq}, 'type', '{type_}', "
                 f"'subtype', {subtype}, 'magnitude', CAST(({magnitude}) AS DOUBLE), 'reliability', {reliability}, "
-                f"'actionable', {actionable}, 'detail', {detail})")
+                f"'actionable', {actionable}, 'detail', {detail}, 'falsifiability', {sql_text(CHECK[type_])}, "
+                f"'implication', {implication})")
 
+    note = f"CASE WHEN trend_concentrated THEN {filled(DETAIL['GROWTH_NOTE'], 'concentrated_period')} ELSE '' END"
+    growth = filled(DETAIL["GROWTH"], "CASE WHEN growth > 0 THEN '+' ELSE '' END", numtext_sql("growth"), note)
+    once = "CAST(unique_users - CAST(floor(unique_users * repeat_rate / 100 + 0.5D) AS BIGINT) AS STRING)"
     items = [
         item(1, "contradiction", "CONTRADICTION", "'REVENUE_UP_VOLUME_DOWN'", rev, "'HIGH'", "true",
-             "'Revenue trend is positive while transaction volume trend is negative'"),
-        item(2, "skew_flag", "DISTORTION", "'SKEW_DISTORTION'", f"{rev} * 0.2D", "'HIGH'", "false",
-             "format_string('Mean is distorted by extreme values (skew %s)', CAST(skew AS STRING))"),
+             "contradiction_detail", "contradiction_implication"),
+        item(2, "skew_flag", "DISTORTION", "'SKEW_DISTORTION'", f"{rev} * 0.2D", "'HIGH'", "false", "skew_detail"),
         item(3, "outlier_distortion", "DISTORTION", "'OUTLIER_TOTAL_DISTORTION'",
              f"CASE WHEN outlier_difference <> 0 THEN outlier_difference ELSE {rev} * 0.2D END", "'HIGH'", "false",
-             "format_string('Outliers account for %s%% of reported total', CAST(outlier_pct_impact AS STRING))"),
+             "outlier_detail"),
         item(4, "trend_concentrated", "DISTORTION", "'TREND_CONCENTRATION'", f"{rev} * 0.2D", "'HIGH'", "false",
-             "format_string('The apparent trend is driven by a single period (%s)', concentrated_period)"),
+             "trend_detail"),
         item(5, "dominant_category IS NOT NULL", "CONCENTRATION_RISK", "'CATEGORY_CONCENTRATION'",
-             "coalesce(dominant_value, 0.0D) * 0.3D", "'HIGH'", "true",
-             "format_string('%s accounts for %s%% of total revenue', dominant_category, CAST(dominant_pct AS STRING))"),
+             "coalesce(dominant_value, 0.0D) * 0.3D", "'HIGH'", "true", "dominance_detail"),
         item(6, "has_sufficient_for_trend AND growth IS NOT NULL AND abs(growth) > 5", "TREND",
              "CASE WHEN growth > 0 THEN 'GROWTH' ELSE 'DECLINE' END", f"abs({rev}) * (abs(growth) / 100)",
-             "CASE WHEN trend_concentrated THEN 'LOW' ELSE 'MEDIUM' END", "abs(growth) > 15",
-             "format_string('%s%% week-over-week revenue change', CAST(growth AS STRING))"),
+             "CASE WHEN trend_concentrated THEN 'LOW' ELSE 'MEDIUM' END", "abs(growth) > 15", growth),
         item(7, "repeat_rate IS NOT NULL AND unique_users IS NOT NULL AND repeat_rate < 30", "RETENTION",
              "'LOW_REPEAT_RATE'",
              "CASE WHEN revenue IS NOT NULL AND revenue <> 0 THEN revenue * ((30 - repeat_rate) / 100) ELSE 0.0D END",
-             "'MEDIUM'", "true",
-             "format_string('%s%% repeat purchase rate against a 30%% benchmark', CAST(repeat_rate AS STRING))"),
+             "'MEDIUM'", "true", filled(DETAIL["RETENTION"], numtext_sql("repeat_rate"), once)),
     ]
     rest = jm.selectExpr(*by, f"explode(array({', '.join(items)})) AS _f").where("_f.keep") \
         .selectExpr(*by, "_f.seq", "_f.type", "_f.subtype", "_f.magnitude", "_f.reliability", "_f.actionable",
-                    "_f.detail")
+                    "_f.detail", "_f.falsifiability", "_f.implication")
     u = a.unionByName(rest)
     urgency = ("CASE WHEN type = 'ANOMALY' AND reliability = 'HIGH' THEN 'HIGH' WHEN type = 'CONTRADICTION' THEN 'HIGH' "
                "WHEN type IN ('CONCENTRATION_RISK', 'RETENTION') THEN 'MEDIUM' "
@@ -77,7 +80,7 @@ def ranked_findings(anomalies: DataFrame, judged: DataFrame, metrics: DataFrame,
     w = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("seq"))
     return u.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select(*by, "rank", "type", "subtype", "magnitude", "reliability", "urgency", "score",
-                "actionable", "detail")
+                "actionable", "detail", "falsifiability", "implication")
 
 
 def confidence_grade(judged: DataFrame, anomaly_summary: DataFrame, roles: Roles,

@@ -13,12 +13,13 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_key, month_key
+from ..functions.dates import day_key
 from ..functions.numbers import rhu_sql, round_half_up
-from ..model import AMOUNT, CATEGORY, OUTLIER, PRODUCT, TS, USER, THRESHOLDS
+from ..model import AMOUNT, CATEGORY, PRODUCT, TS, USER, THRESHOLDS
 from ..session import land
 from .common import attach
 from .order_stats import interpolate_sql, linear, order_statistics, rank_spec
+from .profile import totals_of
 from .stats import linear_trend, with_index
 
 
@@ -26,11 +27,6 @@ def _spark(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def row_value(has_amount: bool):
-    """Per-row contribution to trend sums: the amount (missing -> 0), or 1 without an amount role."""
-    return F.coalesce(F.col(AMOUNT), F.lit(0.0)) if has_amount else F.lit(1.0)
-
-
 # --------------------------------------------------------------------------- M1, M2
 def headline(facts: DataFrame, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """M1: revenue (rounded sum), orders (rows), AOV (rounded revenue / rows), median order."""
@@ -45,24 +41,24 @@ def headline(facts: DataFrame, by: Sequence[str] = (), accuracy: int | None = No
                         f"{rhu_sql(interpolate_sql('median', 0.5))} AS median_order")
 
 
-def headline_from_stats(facts: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """M1 from an already computed :func:`describe_measure` (same rounded sum and median)."""
+def headline_of(totals: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """M1 from the profile's totals and an already computed ``describe_measure`` (same rounded sum and median)."""
     by = list(by)
-    rows = facts.groupBy(*by).agg(F.count("*").alias("orders"))
-    j = attach(rows, stats.select(*by, F.col("sum").alias("_rev"), F.col("median").alias("_med")), by, "left")
+    j = attach(totals.select(*by, F.col("rows").alias("orders")),
+               stats.select(*by, F.col("sum").alias("_rev"), F.col("median").alias("_med")), by, "left")
     return j.selectExpr(*by, "_rev AS revenue", "orders",
                         f"CASE WHEN orders > 0 THEN {rhu_sql('_rev / orders')} END AS aov", "_med AS median_order")
 
 
 def headline_without_outliers(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """M2: sum and mean of the amounts not flagged as IQR outliers."""
-    by = list(by)
-    keep = ~F.col(OUTLIER) & F.col(AMOUNT).isNotNull()
-    g = facts.groupBy(*by).agg(F.sum(F.when(keep, F.col(AMOUNT))).alias("_s"),
-                               F.count(F.when(keep, F.lit(1))).alias("_c"))
-    rev = round_half_up(F.col("_s"))
-    return g.select(*by, F.when(F.col("_c") > 0, rev).alias("revenue_excluding_outliers"),
-                    F.when(F.col("_c") > 0, round_half_up(rev / F.col("_c"))).alias("aov_excluding_outliers"))
+    return without_outliers_of(totals_of(facts, by, ["kept", "kept_sum"]), by)
+
+
+def without_outliers_of(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    some, rev = F.col("kept") > 0, round_half_up(F.col("kept_sum"))
+    return totals.select(*by, F.when(some, rev).alias("revenue_excluding_outliers"),
+                         F.when(some, round_half_up(rev / F.col("kept"))).alias("aov_excluding_outliers"))
 
 
 # --------------------------------------------------------------------------- M3, M4, M5
@@ -73,27 +69,37 @@ def _enough_days(series: DataFrame, by: Sequence[str], min_points: int) -> DataF
     return series.withColumn("_pts", F.count("*").over(w)).where(F.col("_pts") >= min_points).drop("_pts")
 
 
+def day_totals(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and amount total of every UTC day: what M3 to M5 are made of, by one scan."""
+    return totals_of(facts.where(F.col(TS).isNotNull()).withColumn("day", day_key(TS)), [*by, "day"], ["rows", "amount_sum"])
+
+
+def _value(has_amount: bool):
+    return F.col("amount_sum") if has_amount else F.col("rows").cast("double")
+
+
 def daily_trend(facts: DataFrame, by: Sequence[str] = (), has_amount: bool = True,
                 min_points: int = THRESHOLDS["MIN_ROWS_FOR_TRENDS"]) -> DataFrame:
     """M3: per UTC day sum of amounts (or row count without an amount role), 2 dp.
     Empty unless the group has at least ``min_points`` distinct days."""
-    by = list(by)
-    s = facts.where(F.col(TS).isNotNull()).groupBy(*by, day_key(TS).alias("day")) \
-        .agg(F.sum(row_value(has_amount)).alias("_v"))
-    s = _enough_days(s, by, min_points)
-    return s.select(*by, "day", round_half_up(F.col("_v")).alias("val"))
+    return daily_of(day_totals(facts, by), by, has_amount, min_points)
+
+
+def daily_of(days: DataFrame, by: Sequence[str] = (), has_amount: bool = True,
+             min_points: int = THRESHOLDS["MIN_ROWS_FOR_TRENDS"]) -> DataFrame:
+    return _enough_days(days, list(by), min_points).select(*by, "day", round_half_up(_value(has_amount)).alias("val"))
 
 
 def monthly_trend(facts: DataFrame, by: Sequence[str] = (), has_amount: bool = True,
                   min_days: int = THRESHOLDS["MIN_ROWS_FOR_TRENDS"]) -> DataFrame:
     """M4: per ``yyyy-MM`` sum, 2 dp (same gate as M3)."""
-    by = list(by)
-    dated = facts.where(F.col(TS).isNotNull())
-    m = dated.groupBy(*by, month_key(TS).alias("month")).agg(F.sum(row_value(has_amount)).alias("_v"))
-    if min_days > 1:
-        days = dated.groupBy(*by).agg(F.count_distinct(day_key(TS)).alias("_days"))
-        m = attach(m, days, by, "left").where(F.col("_days") >= min_days)
-    return m.select(*by, "month", round_half_up(F.col("_v")).alias("val"))
+    return monthly_of(day_totals(facts, by), by, has_amount, min_days)
+
+
+def monthly_of(days: DataFrame, by: Sequence[str] = (), has_amount: bool = True,
+               min_days: int = THRESHOLDS["MIN_ROWS_FOR_TRENDS"]) -> DataFrame:
+    m = _enough_days(days, list(by), min_days).groupBy(*by, F.substring("day", 1, 7).alias("month"))
+    return m.agg(round_half_up(F.sum(_value(has_amount))).alias("val"))
 
 
 WEEKDAYS = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
@@ -102,17 +108,20 @@ WEEKDAYS = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
 def weekday_profile(facts: DataFrame, by: Sequence[str] = (), has_amount: bool = True,
                     min_days: int = THRESHOLDS["MIN_ROWS_FOR_TRENDS"]) -> DataFrame:
     """M5: sum and row count per weekday, always seven rows (Sun first) per group."""
+    return weekdays_of(day_totals(facts, by), by, has_amount, min_days)
+
+
+def weekdays_of(days: DataFrame, by: Sequence[str] = (), has_amount: bool = True,
+                min_days: int = THRESHOLDS["MIN_ROWS_FOR_TRENDS"]) -> DataFrame:
     by = list(by)
-    dated = facts.where(F.col(TS).isNotNull())
-    agg = dated.groupBy(*by, (F.dayofweek(TS) - 1).alias("dow")).agg(
-        F.sum(row_value(has_amount)).alias("_v"), F.count("*").alias("count"))
-    groups = dated.groupBy(*by).agg(F.count_distinct(day_key(TS)).alias("_days")) \
-        .where(F.col("_days") >= min_days).drop("_days")
-    dim = _spark(facts).createDataFrame([(i, n) for i, n in enumerate(WEEKDAYS)], "dow int, name string")
-    grid = groups.crossJoin(F.broadcast(dim))  # 7 rows: a fixed bound
-    j = grid.join(agg, by + ["dow"], "left") if by else grid.join(agg, ["dow"], "left")
-    return j.select(*by, "dow", "name", round_half_up(F.coalesce(F.col("_v"), F.lit(0.0))).alias("val"),
-                    F.coalesce(F.col("count"), F.lit(0)).alias("count"))
+    dow = F.dayofweek(F.to_date("day")) - 1
+    sums = [c.alias(f"{n}{d}") for d in range(7) for n, c in (
+        ("_v", F.sum(F.when(dow == d, _value(has_amount)))), ("_c", F.sum(F.when(dow == d, F.col("rows")))))]
+    wide = days.groupBy(*by).agg(F.count("*").alias("_days"), *sums).where(F.col("_days") >= min_days)
+    rows = ", ".join(f"named_struct('dow', {d}, 'name', '{n}', 'v', _v{d}, 'c', _c{d})" for d, n in enumerate(WEEKDAYS))
+    long = wide.selectExpr(*by, f"explode(array({rows})) AS _w").select(*by, "_w.dow", "_w.name", "_w.v", "_w.c")
+    return long.select(*by, "dow", "name", round_half_up(F.coalesce(F.col("v"), F.lit(0.0))).alias("val"),
+                       F.coalesce(F.col("c"), F.lit(0)).alias("count"))
 
 
 # --------------------------------------------------------------------------- M6, M7, M8
@@ -156,12 +165,19 @@ def linear_forecast(daily: DataFrame, by: Sequence[str] = (), horizon: int = 3,
 
 
 # --------------------------------------------------------------------------- M9, M10
+def user_totals(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and amount total (``t``) of every non-empty user."""
+    return facts.where(F.col(USER).isNotNull()).groupBy(*by, USER).agg(
+        F.count("*").alias("_c"), F.sum(F.coalesce(F.col(AMOUNT), F.lit(0.0))).alias("t"))
+
+
 def customer_summary(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """M9: distinct non-empty users and % of them with more than one row."""
-    by = list(by)
-    per_user = facts.where(F.col(USER).isNotNull()).groupBy(*by, USER).agg(F.count("*").alias("_c"))
-    g = per_user.groupBy(*by).agg(F.count("*").alias("unique_users"),
-                                  F.count_if(F.col("_c") > 1).alias("_rep"))
+    return customers_of(user_totals(facts, by), by)
+
+
+def customers_of(users: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    g = users.groupBy(*by).agg(F.count("*").alias("unique_users"), F.count_if(F.col("_c") > 1).alias("_rep"))
     return g.select(*by, "unique_users", F.when(F.col("unique_users") > 0, round_half_up(
         F.col("_rep") / F.col("unique_users") * 100)).otherwise(0.0).alias("repeat_rate"))
 
@@ -171,12 +187,14 @@ def pareto_share(facts: DataFrame, by: Sequence[str] = (), top_fraction: float =
     """% of the amount total carried by the top max(1, floor(0.2*users)) users.
 
     The k-th largest user total comes from the exact order-statistic job, then
-    top sum = sum(totals above it) + (k - count above) * it -- no global sort.
+    top sum = sum(totals above it) + (k - count above) * it -- no global sort.  The totals are
+    landed: every narrowing round and the sum above the k-th read them.
     """
+    return pareto_of(land(user_totals(facts, by).drop("_c"), "user-totals"), by, top_fraction, accuracy)
+
+
+def pareto_of(totals: DataFrame, by: Sequence[str] = (), top_fraction: float = 0.2, accuracy: int | None = None) -> DataFrame:
     by = list(by)
-    totals = facts.where(F.col(USER).isNotNull()).groupBy(*by, USER) \
-        .agg(F.sum(F.coalesce(F.col(AMOUNT), F.lit(0.0))).alias("t"))
-    totals = land(totals, "user-totals")  # read by every narrowing round and by the sum above the k-th
     k_sql = f"greatest(1L, CAST(floor(n * {top_fraction!r}D) AS BIGINT))"
     kth = order_statistics(totals, "t", by, [rank_spec("tk", 1 - top_fraction, f"n - {k_sql}")],
                            accuracy, [F.expr("sum(_v)").alias("total")])
@@ -191,17 +209,22 @@ def pareto_share(facts: DataFrame, by: Sequence[str] = (), top_fraction: float =
 
 
 # --------------------------------------------------------------------------- M11, M12
-def _top_k(facts: DataFrame, key_col: str, by: Sequence[str], k: int, count_name: str) -> DataFrame:
+def top_of(sums: DataFrame, key_col: str, by: Sequence[str], k: int, count_name: str) -> DataFrame:
+    """The ``k`` names of the largest totals; missing and empty names are one 'Unknown'."""
     by = list(by)
     name = F.when(F.col(key_col).isNull() | (F.col(key_col) == ""), F.lit("Unknown")).otherwise(F.col(key_col))
-    g = facts.groupBy(*by, name.alias("name")).agg(
-        F.sum(F.coalesce(F.col(AMOUNT), F.lit(0.0))).alias("_v"), F.count("*").alias(count_name))
+    g = sums.groupBy(*by, name.alias("name")).agg(F.sum("amount_sum").alias("_v"), F.sum("rows").alias(count_name))
     # row_number() <= k is planned with a partial per-group limit before the shuffle.
     w = Window.partitionBy(*by).orderBy(F.col("_v").desc(), F.col("name"))
     ranked = g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(*by, "rank", "name", round_half_up(F.col("_v")).alias("val"), count_name)
 
 
+def _top_k(facts: DataFrame, key_col: str, by: Sequence[str], k: int, count_name: str) -> DataFrame:
+    rows = facts.select(*by, key_col, F.coalesce(F.col(AMOUNT), F.lit(0.0)).alias("amount_sum"), F.lit(1).alias("rows"))
+    return top_of(rows, key_col, by, k, count_name)
+
+
 def category_breakdown(facts: DataFrame, by: Sequence[str] = (), k: int = 12) -> DataFrame:
     """Sum and rows per category (empty -> 'Unknown'), top 12 by sum (ties by name)."""
     return _top_k(facts, CATEGORY, by, k, "count")

@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import AMOUNT, Roles
+from ..model import AMOUNT, CATEGORY, PRODUCT, Roles
 from ..operators.stats import describe_measure
 from ..operators import anomalies as A
 from ..operators import metrics as M
@@ -21,6 +21,7 @@ from ..operators.cohorts import cohort_retention
 from ..operators.common import Facts, attach
 from ..operators.findings import confidence_grade, ranked_findings
 from ..operators.judge import judgment
+from ..operators.profile import build_profile
 from ..operators.roles import detect_roles
 from ..session import ensure_checkpoint_dir
 from ..session import land as land_table
@@ -57,7 +58,6 @@ def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), a
     cut = (lambda d: land_table(d, "analysis")) if land else (lambda d: d)
     if facts is None:
         facts = build_facts(df, roles, by, as_of, accuracy=accuracy, land=land)
-        facts.quality = cut(facts.quality)
     roles, by = facts.roles, list(facts.by)
     f = facts.df
     has_amt = bool(roles.revenue)
@@ -73,47 +73,58 @@ def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), a
         # one exact describe of the amounts feeds both the judgment and the headline
         return cut(describe_measure(f, AMOUNT, by, accuracy)) if has_amt else None
 
+    def tails():
+        return get("_profile").tails(get("stats")) if has_amt else None
+
     def metrics():
-        head = M.headline_from_stats(f, get("stats"), by) if has_amt else \
-            f.groupBy(*by).agg(F.count("*").alias("orders")).select(
-                *by, F.lit(None).cast("double").alias("revenue"), "orders",
-                F.lit(None).cast("double").alias("aov"), F.lit(None).cast("double").alias("median_order"))
-        m = attach(head, M.headline_without_outliers(f, by), by, "left")
+        total = get("_profile").totals
+        null = F.lit(None).cast("double")
+        if has_amt:
+            head = M.headline_of(total, get("stats"), by)
+        else:
+            head = total.select(*by, null.alias("revenue"), F.col("rows").alias("orders"), null.alias("aov"),
+                                null.alias("median_order"))
+        m = attach(head, M.without_outliers_of(total, by), by, "left")
         daily = get("daily_trend")
         if daily is not None:
             m = attach(attach(m, M.week_over_week(daily, by).select(*by, "growth"), by, "left"),
                        M.annualised_growth(daily, by).select(*by, "cagr"), by, "left")
         else:
-            m = m.withColumn("growth", F.lit(None).cast("double")).withColumn("cagr", F.lit(None).cast("double"))
+            m = m.withColumn("growth", null).withColumn("cagr", null)
         judged = get("judgment")
-        if roles.user:
-            m = attach(m, gate(M.customer_summary(f, by), judged, F.col("can_show_user_analysis"), by), by, "left")
+        users = get("_users")
+        if users is not None:
+            m = attach(m, gate(M.customers_of(users, by), judged, F.col("can_show_user_analysis"), by), by, "left")
         else:
-            m = m.withColumn("unique_users", F.lit(None).cast("long")) \
-                .withColumn("repeat_rate", F.lit(None).cast("double"))
-        if roles.user and has_amt:
-            pareto = gate(M.pareto_share(f, by, accuracy=accuracy), judged, F.col("can_show_user_analysis"), by)
+            m = m.withColumn("unique_users", F.lit(None).cast("long")).withColumn("repeat_rate", null)
+        if users is not None and has_amt:
+            pareto = gate(M.pareto_of(users, by, accuracy=accuracy), judged, F.col("can_show_user_analysis"), by)
             m = attach(m, pareto.select(*by, F.col("top_share").alias("pareto_concentration")), by, "left")
         else:
-            m = m.withColumn("pareto_concentration", F.lit(None).cast("double"))
+            m = m.withColumn("pareto_concentration", null)
         return cut(m)
 
     def anomaly_parts():
-        return A.anomaly_table(cut(A.all_detectors(f, roles, by)), by)
+        return A.anomaly_table(cut(A.detectors_of(get("_profile"), get("_tails"))), by)
 
+    wanted = set(outputs or OUTPUTS)
     build = {
         "facts": lambda: f,
         "quality": lambda: facts.quality,
         "stats": stats,
-        "judgment": lambda: cut(judgment(facts, accuracy, get("stats"))),
-        "daily_trend": lambda: M.daily_trend(f, by, has_amt) if roles.date else None,
-        "monthly_trend": lambda: M.monthly_trend(f, by, has_amt) if roles.date else None,
-        "weekday_profile": lambda: M.weekday_profile(f, by, has_amt) if roles.date else None,
+        # the shared scans: all grouping sets at once, the tails, the users
+        "_profile": lambda: build_profile(facts, "products" in wanted, cut),
+        "_tails": tails,
+        "_users": lambda: cut(M.user_totals(f, by)) if roles.user else None,
+        "judgment": lambda: cut(judgment(facts, accuracy, get("stats"), get("_profile"), get("_tails"), cut)),
+        "daily_trend": lambda: M.daily_of(get("_profile").days, by, has_amt) if roles.date else None,
+        "monthly_trend": lambda: M.monthly_of(get("_profile").days, by, has_amt) if roles.date else None,
+        "weekday_profile": lambda: M.weekdays_of(get("_profile").days, by, has_amt) if roles.date else None,
         "forecast": lambda: gate(M.linear_forecast(get("daily_trend"), by), get("judgment"),
                                  F.col("can_forecast"), by) if roles.date else None,
-        "categories": lambda: gate(M.category_breakdown(f, by), get("judgment"),
+        "categories": lambda: gate(M.top_of(get("_profile").categories, CATEGORY, by, 12, "count"), get("judgment"),
                                    F.col("can_show_categories") & not_blocked, by) if roles.category else None,
-        "products": lambda: M.top_products(f, by) if roles.product else None,
+        "products": lambda: M.top_of(get("_profile").products, PRODUCT, by, 10, "orders") if roles.product else None,
         "cohorts": lambda: cohort_retention(f, by) if roles.user and roles.date else None,
         "metrics": metrics,
         "_anomaly_parts": anomaly_parts,

@@ -10,19 +10,16 @@ from ..functions.display import inr_display
 from ..functions.numbers import with_parsed_amount
 from ..functions.text import intent_flags, intent_primary, strip_markup
 from ..model import AMOUNT, COLUMN_ALIASES, DOMAIN_KEYWORDS, INTENT_PATTERNS, Roles
-from ..operators import anomalies as A
 from ..operators import gate as G
 from ..operators import metrics as M
 from ..operators import report as RP
 from ..operators.clean import build_facts
-from ..operators.findings import confidence_grade, ranked_findings
-from ..operators.judge import judgment
 from ..operators.roles import catalogue, infer_domain, infer_roles
 from ..operators.stats import describe_measure
 from ..streaming import jobs as S
-from .analyse import analyse
 from .oracle import AS_OF, R, describe_sql, facts_cte, regression_sql
 from .queries import ROLES, facts, load, register
+from .sqltext import inr_sql, numtext_sql
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -50,21 +47,6 @@ def timestamp_sql(s: str) -> str:
             f"THEN {parsed} END)")
 
 
-def numtext_sql(x: str) -> str:
-    return f"regexp_replace(printf('%.2f', {R(x)}), '[.]?0+$', '')"
-
-
-def inr_sql(v: str) -> str:
-    a = f"abs({v})"
-    whole = R(a, 0)
-    return (f"(CASE WHEN {v} IS NULL OR NOT isfinite({v}) THEN 'N/A' ELSE "
-            f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END) || '₹' || "
-            f"CASE WHEN {a} >= 1e7 THEN {numtext_sql(a + ' / 1e7')} || 'Cr' "
-            f"WHEN {a} >= 1e5 THEN {numtext_sql(a + ' / 1e5')} || 'L' "
-            f"WHEN {a} >= 1e3 THEN (CASE WHEN {whole} >= 100000 THEN '1,00,000' ELSE format('{{:,}}', CAST({whole} AS BIGINT)) END) "
-            f"ELSE {numtext_sql(a)} END END)")
-
-
 # ---------------------------------------------------------------- C2, C3 on derived dirty strings
 def _dirty_amounts(spark, sf):
     li = load(spark, sf, "lineitem")
@@ -305,186 +287,6 @@ def q_chart_tags(spark, sf):
     return RP.chart_tags(RP.chart_series(M.category_breakdown(f), M.monthly_trend(f)))
 
 
-# ---------------------------------------------------------------- composed events battery: SQL pieces
-def _detectors_sql() -> str:
-    """A1-A8 over ``facts`` as one CTE ``det`` (type, severity, value, impact, seq)."""
-    return f"""m_z AS (SELECT count(amount) AS n, avg(amount) AS mean, stddev_pop(amount) AS sd FROM facts),
-d_day AS (SELECT strftime(event_ts, '%Y-%m-%d') AS day, sum(amount) AS v FROM facts
-          WHERE amount IS NOT NULL AND event_ts IS NOT NULL GROUP BY day),
-d_st AS (SELECT count(*) AS days, avg(v) AS dm, stddev_pop(v) AS ds FROM d_day),
-d_top AS (SELECT d_day.day, d_day.v, d_st.dm, abs(d_day.v - d_st.dm) AS dev FROM d_day, d_st
-          WHERE (SELECT count(amount) FROM facts) >= 7 AND d_st.days >= 5 AND d_st.ds > 0
-            AND abs((d_day.v - d_st.dm) / d_st.ds) > 2.5 ORDER BY dev DESC, day LIMIT 1),
-d_gap_u AS (SELECT epoch_ms(event_ts) - lag(epoch_ms(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
-            FROM facts WHERE user_key IS NOT NULL AND event_ts IS NOT NULL),
-d_sig AS (SELECT coalesce(user_key, '') || '|' || coalesce(CAST(amount AS VARCHAR), 'null') || '|'
-                 || coalesce(strftime(event_ts, '%Y-%m-%d'), 'undefined') AS k FROM facts),
-d_gap AS (SELECT epoch_us(event_ts) - lag(epoch_us(event_ts)) OVER (ORDER BY event_ts) AS gap FROM facts WHERE event_ts IS NOT NULL),
-d_gap_s AS (SELECT (SELECT count(*) FROM facts) AS n, max(epoch_us(event_ts)) - min(epoch_us(event_ts)) AS span,
-                   (SELECT max(gap) FROM d_gap) AS mg FROM facts),
-det AS (
-  SELECT 'NEGATIVE_VALUES' AS type, 'HIGH' AS severity, CAST(count(*) AS DOUBLE) AS value,
-         {R('abs(sum(coalesce(amount, 0.0)))')} AS impact, 0 AS seq
-  FROM facts WHERE coalesce(amount < 0, false) OR coalesce(qty < 0, false) HAVING count(*) > 0
-  UNION ALL
-  SELECT 'STATISTICAL_OUTLIER', 'MEDIUM', CAST(count(*) AS DOUBLE), {R('sum(amount)')}, 1
-  FROM facts, m_z WHERE m_z.n >= 10 AND m_z.sd > 0 AND abs((amount - m_z.mean) / m_z.sd) > 3.5 HAVING count(*) > 0
-  UNION ALL
-  SELECT 'IQR_OUTLIER', 'LOW', CAST(c AS DOUBLE), {R('s')}, 2
-  FROM (SELECT count(*) FILTER (WHERE is_iqr_outlier) AS c, count(*) AS n,
-               sum(CASE WHEN is_iqr_outlier THEN coalesce(amount, 0.0) END) AS s FROM facts) WHERE c > 0 AND c < n * 0.05
-  UNION ALL
-  SELECT CASE WHEN v > dm THEN 'REVENUE_SPIKE' ELSE 'REVENUE_DROP' END, 'MEDIUM', {R('v')}, {R('dev')}, 3 FROM d_top
-  UNION ALL
-  SELECT 'SUSPICIOUS_FREQUENCY', 'HIGH', CAST(count(*) AS DOUBLE), 0.0::DOUBLE, 4 FROM d_gap_u WHERE gap < 60000 HAVING count(*) > 0
-  UNION ALL
-  SELECT 'ZERO_VALUE_TRANSACTIONS', 'LOW', CAST(z AS DOUBLE), 0.0::DOUBLE, 5
-  FROM (SELECT count(*) FILTER (WHERE amount = 0) AS z, count(*) AS n FROM facts) WHERE z > n * 0.05
-  UNION ALL
-  SELECT 'DUPLICATE_TRANSACTIONS', 'MEDIUM', CAST(count(*) - count(DISTINCT k) AS DOUBLE), 0.0::DOUBLE, 6
-  FROM d_sig HAVING count(*) - count(DISTINCT k) > 0
-  UNION ALL
-  SELECT 'DATA_GAP', 'LOW', {R('mg / 86400000000.0', 1)}, 0.0::DOUBLE, 7 FROM d_gap_s
-  WHERE n > 10 AND mg > 3 * 86400000000 AND mg > span / n * 10),
-anom AS (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END,
-                                      impact DESC, seq) AS rank FROM det)"""
-
-
-def _events_battery(spark, sf):
-    fx = facts(spark, sf, "events")
-    det = A.all_detectors(fx.df, fx.roles)
-    ranked, summary = A.anomaly_table(det)
-    return fx, ranked, summary
-
-
-@register("anomaly_table", facts_cte("events") + ",\n" + _detectors_sql() + """
-SELECT CAST(rank AS BIGINT) AS rank, type, severity, value, impact FROM anom WHERE rank <= 15""")
-def q_anomaly_table(spark, sf):
-    _, ranked, _ = _events_battery(spark, sf)
-    return ranked.select("rank", "type", "severity", "value", "impact")
-
-
-@register("anomaly_summary", facts_cte("events") + ",\n" + _detectors_sql() + f"""
-SELECT count(*) AS count, count(*) FILTER (WHERE severity = 'HIGH') AS high_count, {R('sum(impact)')} AS total_impact
-FROM det""")
-def q_anomaly_summary(spark, sf):
-    _, _, summary = _events_battery(spark, sf)
-    return summary
-
-
-def _judgment_sql(table: str) -> str:
-    """J1-J14 for one table's facts as CTE ``judg`` (FIXTURES roles: category and user present)."""
-    r = ROLES[table]
-    return facts_cte(table) + ",\n" + describe_sql("facts", "amount") + f""",
-ser AS (SELECT strftime(event_ts, '%Y-%m-%d') AS day, sum(CASE WHEN amount IS NULL OR amount = 0 THEN 1.0 ELSE amount END) AS v
-        FROM facts WHERE event_ts IS NOT NULL GROUP BY day),
-""" + regression_sql("ser", "v", "day") + f""",
-st AS (SELECT count(*) AS dp, sum(v) AS s, avg(v) AS mean, max(v) AS mx FROM ser),
-base AS (SELECT count(*) AS rows, count(*) FILTER (WHERE is_iqr_outlier) AS outlier_count,
-                sum(CASE WHEN NOT is_iqr_outlier AND amount IS NOT NULL THEN amount END) AS sum_kept,
-                count(DISTINCT CASE WHEN category <> '' THEN category END) AS ncat FROM facts),
-wo AS (SELECT avg(CASE WHEN amount <= (SELECT p95 FROM described) THEN amount END) AS mean_wo FROM facts),
-cats AS (SELECT category, sum(coalesce(amount, 0.0)) AS v FROM facts WHERE category IS NOT NULL AND category <> '' GROUP BY category),
-tot AS (SELECT sum(coalesce(amount, 0.0)) AS total FROM facts),
-dom AS (SELECT c.category, c.v, tot.total FROM cats c, tot ORDER BY c.v DESC, c.category LIMIT 1),
-qual AS (SELECT (SELECT rows_before FROM raw_n) AS rows_before, count(*) AS rows_after FROM facts),
-j0 AS (SELECT qual.rows_before, base.rows, {R('base.rows / qual.rows_before * 100')} AS clean_rate, base.outlier_count,
-              base.sum_kept, base.ncat, described.sum AS s_sum, described.skew, described.mean AS s_mean,
-              described.median AS s_median, wo.mean_wo, st.dp, {R('st.mean')} AS mr, st.mx, st.s AS ssum,
-              fit.r2, fit.usable, dom.category AS dcat, dom.v AS dv, dom.total AS dtot
-       FROM qual, base, described, wo, st, fit LEFT JOIN dom ON TRUE),
-judg AS (SELECT *,
-  CASE WHEN rows >= 50 THEN 'FULL' WHEN rows >= 20 THEN 'STANDARD' WHEN rows >= 5 THEN 'DIRECTIONAL' ELSE 'FACTS_ONLY' END AS analysis_tier,
-  CASE WHEN clean_rate < 70 THEN 'CRITICAL' WHEN clean_rate < 85 THEN 'DEGRADED' ELSE 'CLEAN' END AS quality_verdict,
-  clean_rate < 70 AS blocked,
-  {R('outlier_count / rows * 100')} AS outlier_density,
-  coalesce(outlier_count / rows * 100 > 15, false) AS density_flag,
-  coalesce(rows >= 10 AND abs(skew) > 2.0, false) AS skew_flag,
-  coalesce(rows >= 10 AND abs(s_sum - coalesce(sum_kept, 0.0)) / abs(s_sum) > 0.2, false) AS outlier_distortion,
-  dp >= 3 AS trend_ok,
-  coalesce(dp >= 3 AND mr > 0 AND (mx - mr) / mr > 1.5, false) AS trend_concentrated,
-  CASE WHEN rows >= 10 AND dtot > 0 AND dv / dtot * 100 > 40 THEN dcat END AS dominant_category,
-  CASE WHEN rows >= 10 AND dtot > 0 AND dv / dtot * 100 > 40 THEN {R('dv / dtot * 100')} END AS dominant_pct,
-  CASE WHEN rows >= 10 AND dtot > 0 AND dv / dtot * 100 > 40 THEN {R('dv')} END AS dominant_value
-FROM j0)"""
-
-
-_JUDG_COLS = ("rows_before, rows, clean_rate, analysis_tier, quality_verdict, blocked AS quality_blocks_analysis, "
-              "density_flag, outlier_density, outlier_count, skew_flag, skew, outlier_distortion, "
-              "dp AS data_points, CASE WHEN trend_ok THEN r2 ELSE 0.0 END AS r2, trend_ok AND usable AS is_linear_fit, "
-              "trend_concentrated, dominant_category, dominant_pct, dominant_value, "
-              "(rows >= 5) AND NOT blocked AS can_show_patterns, trend_ok AND NOT blocked AS can_show_trends, "
-              "dp >= 12 AND NOT blocked AS can_show_seasonal, dp >= 12 AND usable AND NOT blocked AS can_forecast, "
-              "ncat >= 2 AND NOT blocked AS can_show_categories, rows >= 20 AND NOT blocked AS can_show_user_analysis, "
-              "rows >= 50 AND NOT blocked AS full_analysis")
-_JUDG_SPARK = ["rows_before", "rows", "clean_rate", "analysis_tier", "quality_verdict", "quality_blocks_analysis",
-               "density_flag", "outlier_density", "outlier_count", "skew_flag", "skew", "outlier_distortion",
-               "data_points", "r2", "is_linear_fit", "trend_concentrated", "dominant_category", "dominant_pct",
-               "dominant_value", "can_show_patterns", "can_show_trends", "can_show_seasonal", "can_forecast",
-               "can_show_categories", "can_show_user_analysis", "full_analysis"]
-
-
-@register("judgment", _judgment_sql("events") + f"\nSELECT {_JUDG_COLS} FROM judg")
-def q_judgment(spark, sf):
-    return judgment(facts(spark, sf, "events")).select(*_JUDG_SPARK)
-
-
-@register("judgment_orders", _judgment_sql("orders") + f"\nSELECT {_JUDG_COLS} FROM judg")
-def q_judgment_orders(spark, sf):
-    return judgment(facts(spark, sf, "orders")).select(*_JUDG_SPARK)
-
-
-@register("confidence_grade", _judgment_sql("events") + ",\n" + _detectors_sql().replace("m_z AS", "m_z AS", 1) + """,
-sc AS (SELECT least(100, greatest(0, 100
-  - CASE WHEN rows < 10 THEN 50 WHEN rows < 30 THEN 30 WHEN rows < 100 THEN 15 WHEN rows < 500 THEN 5 ELSE 0 END
-  - CASE WHEN clean_rate < 70 THEN 40 WHEN clean_rate < 85 THEN 20 WHEN clean_rate < 95 THEN 8 ELSE 0 END
-  - CASE WHEN (SELECT count(*) FROM det) / greatest(rows, 1) > 0.2 THEN 20
-         WHEN (SELECT count(*) FROM det) / greatest(rows, 1) > 0.1 THEN 10 ELSE 0 END
-  - CASE WHEN skew_flag OR outlier_distortion OR trend_concentrated THEN 15 ELSE 0 END
-  - CASE WHEN trend_concentrated THEN 10 ELSE 0 END)) AS score FROM judg)
-SELECT CAST(score AS BIGINT) AS score, CASE WHEN score >= 75 THEN 'HIGH' WHEN score >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM sc""")
-def q_confidence(spark, sf):
-    return analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF, outputs=["confidence"])["confidence"]
-
-
-@register("ranked_findings", _judgment_sql("events") + ",\n" + _detectors_sql() + f""",
-aov AS (SELECT {R(R('(SELECT sum FROM described)') + ' / count(*)')} AS aov, {R('(SELECT sum FROM described)')} AS revenue FROM facts),
-dd AS (SELECT strftime(event_ts, '%Y-%m-%d') AS day, {R('sum(coalesce(amount, 0.0))')} AS val FROM facts GROUP BY day),
-rn AS (SELECT val, row_number() OVER (ORDER BY day DESC) AS r, count(*) OVER () AS n FROM dd),
-gr AS (SELECT CASE WHEN max(n) >= 14 AND sum(CASE WHEN r BETWEEN 8 AND 14 THEN val END) > 0 THEN
-         {R('(sum(CASE WHEN r <= 7 THEN val END) - sum(CASE WHEN r BETWEEN 8 AND 14 THEN val END)) / sum(CASE WHEN r BETWEEN 8 AND 14 THEN val END) * 100')} END AS growth FROM rn),
-us AS (SELECT count(*) AS users, {R('count(*) FILTER (WHERE c > 1) / count(*) * 100')} AS repeat_rate
-       FROM (SELECT user_key, count(*) AS c FROM facts WHERE user_key IS NOT NULL GROUP BY user_key)),
-ctx AS (SELECT judg.*, aov.aov, aov.revenue, gr.growth, us.users, us.repeat_rate FROM judg, aov, gr, us),
-fnd AS (
-  SELECT 'ANOMALY' AS type, type AS subtype,
-         CASE WHEN impact <> 0 THEN impact ELSE value * coalesce((SELECT aov FROM aov), 0.0) END AS magnitude,
-         severity AS reliability, rank AS seq FROM anom WHERE rank <= 15 AND (severity = 'HIGH' OR impact > 0)
-  UNION ALL SELECT 'DISTORTION', 'SKEW_DISTORTION', coalesce(revenue, 0.0) * 0.2, 'HIGH', 102 FROM ctx WHERE skew_flag
-  UNION ALL SELECT 'DISTORTION', 'OUTLIER_TOTAL_DISTORTION',
-         CASE WHEN {R('s_sum - coalesce(sum_kept, 0.0)')} <> 0 THEN {R('s_sum - coalesce(sum_kept, 0.0)')} ELSE coalesce(revenue, 0.0) * 0.2 END,
-         'HIGH', 103 FROM ctx WHERE outlier_distortion
-  UNION ALL SELECT 'DISTORTION', 'TREND_CONCENTRATION', coalesce(revenue, 0.0) * 0.2, 'HIGH', 104 FROM ctx WHERE trend_concentrated
-  UNION ALL SELECT 'CONCENTRATION_RISK', 'CATEGORY_CONCENTRATION', coalesce(dominant_value, 0.0) * 0.3, 'HIGH', 105
-         FROM ctx WHERE dominant_category IS NOT NULL
-  UNION ALL SELECT 'TREND', CASE WHEN growth > 0 THEN 'GROWTH' ELSE 'DECLINE' END, abs(coalesce(revenue, 0.0)) * (abs(growth) / 100),
-         CASE WHEN trend_concentrated THEN 'LOW' ELSE 'MEDIUM' END, 106 FROM ctx WHERE trend_ok AND growth IS NOT NULL AND abs(growth) > 5
-  UNION ALL SELECT 'RETENTION', 'LOW_REPEAT_RATE', CASE WHEN revenue IS NOT NULL AND revenue <> 0 THEN revenue * ((30 - repeat_rate) / 100) ELSE 0.0 END,
-         'MEDIUM', 107 FROM ctx WHERE rows >= 20 AND NOT blocked AND repeat_rate < 30),
-sc AS (SELECT *, CASE WHEN type = 'ANOMALY' AND reliability = 'HIGH' THEN 'HIGH' WHEN type = 'CONTRADICTION' THEN 'HIGH'
-                      WHEN type IN ('CONCENTRATION_RISK', 'RETENTION') THEN 'MEDIUM'
-                      WHEN type = 'TREND' AND subtype = 'DECLINE' THEN 'HIGH' ELSE 'LOW' END AS urgency FROM fnd)
-SELECT CAST(row_number() OVER (ORDER BY magnitude * CASE reliability WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.6 ELSE 0.25 END
-         * CASE urgency WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.7 ELSE 0.4 END DESC, seq) AS BIGINT) AS rank,
-       type, subtype, {R('magnitude')} AS magnitude, reliability, urgency,
-       {R("magnitude * CASE reliability WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.6 ELSE 0.25 END * CASE urgency WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.7 ELSE 0.4 END")} AS score
-FROM sc QUALIFY rank <= 5""")
-def q_findings(spark, sf):
-    out = analyse(None, facts=facts(spark, sf, "events"), as_of=AS_OF, outputs=["findings"])["findings"]
-    return out.select("rank", "type", "subtype", F.expr("floor(magnitude * 100 + 0.5) / 100").alias("magnitude"),
-                      "reliability", "urgency", F.expr("floor(score * 100 + 0.5) / 100").alias("score"))
-
-
 # ---------------------------------------------------------------- F3 (KPI cards), F6
 @register("kpi_cards", facts_cte("events") + ",\n" + describe_sql("facts", "amount") + f""",
 d0 AS (SELECT strftime(event_ts, '%Y-%m-%d') AS day, {R('sum(coalesce(amount, 0.0))')} AS val FROM facts GROUP BY day),
