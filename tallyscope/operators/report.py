@@ -19,32 +19,44 @@ from .common import attach
 KPI_COLS = ["section", "seq", "label", "value", "display", "direction"]
 
 
-def _item(section: str, seq: int, label: str, value: str, display: str, direction: str = "'neutral'",
+def _item(section: str, seq: int, label: str, value: str, shown: str = "inr", direction: str = "'neutral'",
           keep: str | None = None) -> str:
-    """One KPI row as SQL text: a struct with a ``keep`` condition."""
+    """One KPI row as SQL text: a struct with how it is ``shown`` and a ``keep`` condition."""
     return (f"named_struct('section', '{section}', 'seq', {seq}, 'label', '{label}', "
-            f"'value', CAST(({value}) AS DOUBLE), 'display', {display}, 'direction', {direction}, "
+            f"'value', CAST(({value}) AS DOUBLE), 'shown', '{shown}', 'direction', {direction}, "
             f"'keep', coalesce({keep or f'({value}) IS NOT NULL'}, false))")
 
 
+# Labels of the skewness and of the clean rate.
+_SKEW_LABEL = ("CASE WHEN abs(value) < 0.5 THEN 'approximately normal' WHEN value > 0 "
+               "THEN 'right-skewed — outliers pulling mean up' ELSE 'left-skewed' END")
+_QUALITY_LABEL = "CASE WHEN value >= 95 THEN 'CLEAN ✓' WHEN value >= 85 THEN 'MINOR ISSUES' ELSE 'NEEDS ATTENTION' END"
+# one text of the value for whatever is shown: every formula stands in the plan once
+_DISPLAY = (f"CASE shown WHEN 'inr' THEN {inr_sql('value')} WHEN 'count' THEN CAST(CAST(value AS BIGINT) AS STRING) "
+            f"WHEN 'percent' THEN concat({numtext_sql('value')}, '%') "
+            f"WHEN 'skew' THEN concat({numtext_sql('value', 3)}, ' (', {_SKEW_LABEL}, ')') "
+            f"WHEN 'quality' THEN {_QUALITY_LABEL} END")
+
+
 def kpi_table(metrics: DataFrame, stats: DataFrame | None = None, categories: DataFrame | None = None,
               quality: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """KPI cards (revenue, transactions, AOV, WoW with up/down, median), distribution rows
     (mean, median, std, min, max, range, p25, p75, IQR, skew), category shares and the
     quality label.  ``metrics`` columns: revenue, orders, aov, growth, median_order.
 
-    The one-row-per-group inputs are combined once and every KPI row comes out of a single
-    ``explode`` of an array of structs; only the category rows are a second branch."""
+    The one-row-per-group inputs are combined once, every KPI row comes out of a single ``explode`` of an
+    array of structs as a number, and one display column formats them all; only the category rows are a
+    second branch."""
     by = list(by)
     row = metrics.select(*by, "revenue", "orders", "aov", "growth", "median_order")
+    known = "revenue IS NOT NULL"
     items = [
-        _item("kpi", 1, "Total Revenue", "revenue", inr_sql("revenue")),
-        _item("kpi", 2, "Transactions", "orders", "CAST(orders AS STRING)", keep="revenue IS NOT NULL"),
-        _item("kpi", 3, "Avg Order Value", "aov", inr_sql("aov"), keep="revenue IS NOT NULL"),
-        _item("kpi", 4, "WoW Growth", "growth", f"concat({numtext_sql('growth')}, '%')",
-              "CASE WHEN growth >= 0 THEN 'up' ELSE 'down' END", keep="revenue IS NOT NULL AND growth IS NOT NULL"),
-        _item("kpi", 5, "Median Order", "median_order", inr_sql("median_order"),
-              keep="revenue IS NOT NULL AND median_order IS NOT NULL"),
+        _item("kpi", 1, "Total Revenue", "revenue"),
+        _item("kpi", 2, "Transactions", "orders", "count", keep=known),
+        _item("kpi", 3, "Avg Order Value", "aov", keep=known),
+        _item("kpi", 4, "WoW Growth", "growth", "percent", "CASE WHEN growth >= 0 THEN 'up' ELSE 'down' END",
+              keep=f"{known} AND growth IS NOT NULL"),
+        _item("kpi", 5, "Median Order", "median_order", keep=f"{known} AND median_order IS NOT NULL"),
     ]
     if stats is not None:
         cols = ["mean", "median", "std", "min", "max", "p25", "p75", "skew"]
@@ -52,18 +64,13 @@ def kpi_table(metrics: DataFrame, stats: DataFrame | None = None, categories: Da
         dist = [("Mean", "_s_mean"), ("Median", "_s_median"), ("Std Dev", "_s_std"), ("Min", "_s_min"),
                 ("Max", "_s_max"), ("Range", "_s_max - _s_min"), ("P25", "_s_p25"), ("P75", "_s_p75"),
                 ("IQR", "_s_p75 - _s_p25")]
-        items += [_item("distribution", i + 1, label, v, inr_sql(v)) for i, (label, v) in enumerate(dist)]
-        label = ("CASE WHEN abs(_s_skew) < 0.5 THEN 'approximately normal' WHEN _s_skew > 0 "
-                 "THEN 'right-skewed — outliers pulling mean up' ELSE 'left-skewed' END")
-        items.append(_item("distribution", 10, "Skewness", "_s_skew",
-                           f"concat({numtext_sql('_s_skew', 3)}, ' (', {label}, ')')"))
+        items += [_item("distribution", i + 1, label, v) for i, (label, v) in enumerate(dist)]
+        items.append(_item("distribution", 10, "Skewness", "_s_skew", "skew"))
     if quality is not None:
         row = attach(row, quality.select(*by, F.col("clean_rate").alias("_q_cr")), by, "left")
-        items.append(_item("quality", 1, "Data quality verdict", "_q_cr",
-                           "CASE WHEN _q_cr >= 95 THEN 'CLEAN ✓' WHEN _q_cr >= 85 THEN 'MINOR ISSUES' "
-                           "ELSE 'NEEDS ATTENTION' END"))
+        items.append(_item("quality", 1, "Data quality verdict", "_q_cr", "quality"))
     out = row.selectExpr(*by, f"explode(array({', '.join(items)})) AS _k").where("_k.keep") \
-        .selectExpr(*by, "_k.section", "_k.seq", "_k.label", "_k.value", "_k.display", "_k.direction")
+        .selectExpr(*by, "_k.section", "_k.seq", "_k.label", "_k.value", "_k.shown", "_k.direction", "'' AS _more")
     if categories is not None:
         # shares are of the whole breakdown (up to 12 categories); the first 10 are listed
         tot = categories.groupBy(*by).agg(F.sum("val").alias("_tot"))
@@ -71,9 +78,9 @@ def kpi_table(metrics: DataFrame, stats: DataFrame | None = None, categories: Da
         pct = "CASE WHEN _tot > 0 THEN val / _tot * 100 ELSE 0.0D END"
         out = out.unionByName(c.selectExpr(
             *by, "'category' AS section", "CAST(rank AS INT) AS seq", "name AS label", "CAST(val AS DOUBLE) AS value",
-            f"concat({inr_sql('val')}, ' (', {numtext_sql(pct)}, '% share, ', CAST(count AS STRING), "
-            f"' transactions)') AS display", "'neutral' AS direction"))
-    return out
+            "'inr' AS shown", "'neutral' AS direction",
+            f"concat(' (', {numtext_sql(pct)}, '% share, ', CAST(count AS STRING), ' transactions)') AS _more"))
+    return out.selectExpr(*by, "section", "seq", "label", "value", f"concat({_DISPLAY}, _more) AS display", "direction")
 
 
 def chart_series(categories: DataFrame | None, monthly: DataFrame | None, by: Sequence[str] = ()) -> DataFrame:
