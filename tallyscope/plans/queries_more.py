@@ -1,5 +1,4 @@
-"""More registered queries: string cleaning, profiling, display, reports, gate, composed
-judgment/anomaly/findings chain and the streaming jobs."""
+"""More registered queries: string cleaning, profiling, display and reports."""
 
 from __future__ import annotations
 
@@ -8,15 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.dates import with_parsed_timestamp
 from ..functions.display import inr_display
 from ..functions.numbers import with_parsed_amount
-from ..functions.text import intent_flags, intent_primary, strip_markup
+from ..functions.text import strip_markup
 from ..model import AMOUNT, COLUMN_ALIASES, DOMAIN_KEYWORDS, INTENT_PATTERNS, Roles
-from ..operators import gate as G
 from ..operators import metrics as M
 from ..operators import report as RP
-from ..operators.clean import build_facts
-from ..operators.roles import catalogue, infer_domain, infer_roles
+from ..operators.clean import build_facts, typed_rows
+from ..operators.roles import catalogue, classify_questions, infer_domain, infer_roles
 from ..operators.stats import describe_measure
-from ..streaming import jobs as S
 from .oracle import AS_OF, R, describe_sql, facts_cte, regression_sql
 from .queries import ROLES, facts, load, register
 from .sqltext import inr_sql, numtext_sql
@@ -143,8 +140,7 @@ def q_quality(spark, sf):
 FROM (SELECT 1) t, (SELECT 1) u""".replace("lineitem_p", "(SELECT l_returnflag, l_linestatus, l_quantity, l_shipdate FROM lineitem)"))
 def q_dedup(spark, sf):
     li = load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_shipdate")
-    g = li.groupBy(*li.columns).agg(F.count("*").alias("_m"))
-    return g.agg(F.sum("_m").alias("rows_before"), F.count("*").alias("rows_after")) \
+    return typed_rows(li, Roles()).agg(F.sum("_mult").alias("rows_before"), F.count("*").alias("rows_after")) \
         .select("rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("duplicates_removed"))
 
 
@@ -171,17 +167,12 @@ def _intent_sql(text: str) -> str:
 
 @register("classify_questions", f"SELECT conv_id, turn, {_intent_sql('text')} FROM conversations")
 def q_intent(spark, sf):
-    c = load(spark, sf, "conversations")
-    flags = intent_flags(F.col("text"))
-    return c.select("conv_id", "turn", *[v.alias(k) for k, v in flags.items()],
-                    intent_primary(flags).alias("primary_intent"))
+    return classify_questions(load(spark, sf, "conversations"), "text").drop("role", "text")
 
 
 @register("classify_documents", f"SELECT doc_id, {_intent_sql('text')} FROM documents")
 def q_intent_docs(spark, sf):
-    d = load(spark, sf, "documents")
-    flags = intent_flags(F.col("text"))
-    return d.select("doc_id", *[v.alias(k) for k, v in flags.items()], intent_primary(flags).alias("primary_intent"))
+    return classify_questions(load(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
 # ---------------------------------------------------------------- R1, R3 over the catalogue of all tables
@@ -375,141 +366,3 @@ def q_audit(spark, sf):
     a = RP.audit_narratives(docs)
     return a.select("doc_id", "missing_verdict", F.col("charts_found").cast("long").alias("charts_found"),
                     "kpi_injected", F.length("validated_text").alias("validated_len"))
-
-
-# ---------------------------------------------------------------- request gate over events as a log
-def _log(spark, sf):
-    e = load(spark, sf, "events")
-    return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"),
-                    F.col("user_id").cast("string").alias("ip"), F.col("event_type").alias("type"))
-
-
-@register("rate_limit_windows", """SELECT event_type AS type, CAST(user_id AS VARCHAR) AS ip,
-  make_timestamp(CAST(floor(epoch_us(ts) / 60000000) * 60000000 AS BIGINT)) AS window_start, count(*) AS requests,
-  least(count(*), 1) AS allowed, greatest(count(*) - 1, 0) AS rejected
-FROM events GROUP BY 1, 2, floor(epoch_us(ts) / 60000000) HAVING count(*) > 1""")
-def q_rate_windows(spark, sf):
-    return G.rate_limit_windows(_log(spark, sf), max_col=F.lit(1)).withColumn(
-        "window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("limit_", F.lit(1)).drop("limit_")
-
-
-@register("rate_limit_rejections", """SELECT id, ts, ip, type FROM (
-  SELECT event_id AS id, ts, CAST(user_id AS VARCHAR) AS ip, event_type AS type,
-         row_number() OVER (PARTITION BY event_type, user_id, floor(epoch_us(ts) / 3600000000) ORDER BY ts, event_id) AS rn
-  FROM events) WHERE rn > 2""")
-def q_rate_rows(spark, sf):
-    return G.rate_limit_rejections(_log(spark, sf), window_s=3600, max_requests=2) \
-        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-_BANS_SQL = "(SELECT CAST(user_id AS VARCHAR) AS ip, min(ts) AS start, 3600 AS duration FROM events WHERE event_type = 'error' GROUP BY user_id)"
-
-
-@register("apply_manual_bans", f"""SELECT type, count(*) AS allowed FROM (
-  SELECT event_type AS type FROM events e WHERE NOT EXISTS (
-    SELECT 1 FROM {_BANS_SQL} b WHERE b.ip = CAST(e.user_id AS VARCHAR) AND e.ts >= b.start
-      AND e.ts < b.start + to_seconds(b.duration))) GROUP BY type""")
-def q_bans(spark, sf):
-    log = _log(spark, sf)
-    bans = log.where(F.col("type") == "error").groupBy("ip").agg(F.min("ts").alias("start")) \
-        .withColumn("duration", F.lit(3600))
-    return G.apply_manual_bans(log, bans).groupBy("type").agg(F.count("*").alias("allowed"))
-
-
-@register("activity_retention", """SELECT type, count(*) AS kept FROM (
-  SELECT event_type AS type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY) GROUP BY type""")
-def q_retention(spark, sf):
-    log = _log(spark, sf)
-    as_of = log.agg(F.max("ts").alias("m"))
-    kept = log.crossJoin(F.broadcast(as_of)).where(F.col("ts") > F.col("m") - F.expr("INTERVAL 7 DAYS"))
-    return kept.groupBy("type").agg(F.count("*").alias("kept"))
-
-
-@register("recent_activity", """SELECT event_id AS id, ts, CAST(user_id AS VARCHAR) AS ip, event_type AS type
-FROM events ORDER BY ts DESC, event_id DESC LIMIT 200""")
-def q_recent(spark, sf):
-    return G.recent_activity(_log(spark, sf), "ts", "id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-@register("request_class", """SELECT page_id, CASE WHEN path = '/api/auth/google' THEN 'auth' WHEN path = '/api/analyze'
-  THEN 'analyze' ELSE 'general' END AS type FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)""")
-def q_request_class(spark, sf):
-    p = load(spark, sf, "pages")
-    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1)
-    return p.select("page_id", G.request_class(path).alias("type"))
-
-
-def _quota_sql(q: int) -> str:
-    """W2 as a recursive CTE: each step finds every client's next trigger after its last ban."""
-    step = f"""SELECT ip, us, us + 86400000000 FROM (
-    SELECT ip, us, h, row_number() OVER (PARTITION BY ip, h ORDER BY us, id) AS rn,
-           min(CASE WHEN c > {q} THEN h END) OVER (PARTITION BY ip) AS first_h
-    FROM (SELECT {{cols}}, {{hour}} AS h, count(*) OVER (PARTITION BY {{ip}}, {{hour}}) AS c FROM {{src}}))
-  WHERE h = first_h AND rn = {q + 1}"""
-    first = step.format(cols="ip, us, id", hour="us // 3600000000", ip="ip", src="ev")
-    nxt = step.format(cols="e.ip, e.us, e.id", hour="e.us // 3600000000", ip="e.ip",
-                      src="ev e JOIN bans b ON e.ip = b.ip AND e.us >= b.ban_end_us")
-    return f"""WITH RECURSIVE ev AS (
-  SELECT CAST(user_id AS VARCHAR) AS ip, epoch_us(CAST(ts AS TIMESTAMP)) AS us, event_id AS id FROM events),
-bans(ip, ban_start_us, ban_end_us) AS (
-  {first}
-  UNION ALL
-  {nxt})
-SELECT ip, make_timestamp(ban_start_us) AS ban_start, make_timestamp(ban_end_us) AS ban_end FROM bans"""
-
-
-@register("hourly_quota_bans", _quota_sql(2))
-def q_quota(spark, sf):
-    b = G.hourly_quota_bans(_log(spark, sf), quota=2)
-    return b.select("ip", F.col("ban_start").cast("timestamp_ntz").alias("ban_start"),
-                    F.col("ban_end").cast("timestamp_ntz").alias("ban_end"))
-
-
-# ---------------------------------------------------------------- streaming (W6-W8): batch SQL as oracle
-def _event_stream(spark, sf):
-    ev = load(spark, sf, "events")
-    stream = S.file_stream(spark, f"{sf}/events*.parquet", ev.schema)
-    return S.typed_events(stream, "value", "ts", "user_id")
-
-
-_STREAM_BASE = "(SELECT CASE WHEN isfinite(value) THEN value END AS amount, CAST(ts AS TIMESTAMP) AS event_ts, CAST(user_id AS VARCHAR) AS user_key FROM events WHERE ts IS NOT NULL)"
-
-
-@register("daily_trend_stream", f"""SELECT strftime(event_ts, '%Y-%m-%d') AS day, {R('sum(coalesce(amount, 0.0))')} AS val,
-  count(*) AS count FROM {_STREAM_BASE} GROUP BY 1""")
-def q_daily_stream(spark, sf):
-    out = S.run_to_table(S.daily_trend_stream(_event_stream(spark, sf)), "daily", "complete")
-    return spark.read.parquet(out)
-
-
-@register("monthly_trend_stream", f"""SELECT strftime(event_ts, '%Y-%m') AS month, {R('sum(coalesce(amount, 0.0))')} AS val,
-  count(*) AS count FROM {_STREAM_BASE} GROUP BY 1""")
-def q_monthly_stream(spark, sf):
-    out = S.run_to_table(S.monthly_trend_stream(_event_stream(spark, sf)), "monthly", "complete")
-    return spark.read.parquet(out)
-
-
-@register("dedup_stream", f"""SELECT day, count(*) AS kept FROM (SELECT DISTINCT user_key, coalesce(CAST(amount AS VARCHAR), 'null') AS a,
-  strftime(event_ts, '%Y-%m-%d') AS day FROM {_STREAM_BASE}) GROUP BY day""")
-def q_dedup_stream(spark, sf):
-    out = S.run_to_table(S.dedup_stream(_event_stream(spark, sf)), "dedup", "append")
-    return spark.read.parquet(out).groupBy("day").agg(F.count("*").alias("kept"))
-
-
-@register("hourly_quota_bans_stream", _quota_sql(2))
-def q_quota_stream(spark, sf):
-    ev = load(spark, sf, "events")
-    stream = S.file_stream(spark, f"{sf}/events*.parquet", ev.schema) \
-        .select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("ip"))
-    out = S.run_to_table(S.hourly_quota_stream(stream, quota=2), "quota", "append")
-    return spark.read.parquet(out).select(
-        "ip", F.timestamp_micros("ban_start_us").cast("timestamp_ntz").alias("ban_start"),
-        F.timestamp_micros("ban_end_us").cast("timestamp_ntz").alias("ban_end"))
-
-
-@register("rapid_repeat_stream", f"""SELECT count(*) AS pairs FROM (
-  SELECT epoch_ms(event_ts) - lag(epoch_ms(event_ts)) OVER (PARTITION BY user_key ORDER BY event_ts) AS gap
-  FROM {_STREAM_BASE} WHERE user_key IS NOT NULL) WHERE gap < 60000""")
-def q_rapid_stream(spark, sf):
-    out = S.run_to_table(S.rapid_repeat_stream(_event_stream(spark, sf)), "rapid", "update")
-    return S.rapid_repeat_pairs(spark.read.parquet(out)).select(F.coalesce(F.col("pairs"), F.lit(0)).cast("long").alias("pairs"))

@@ -1,9 +1,8 @@
-"""Structured Streaming forms of the trend, dedup and rapid-repeat jobs.
+"""Structured Streaming forms of the gate, trend, dedup and rapid-repeat jobs.
 
-Sources are file streams; results are written per micro-batch with
-``foreachBatch`` into a table folder under the cluster's checkpoint directory
-(so nothing is collected on the driver), and checkpoints make every query
-restartable after executor or driver loss.
+Sources are file streams; results go through the replayable sink of :mod:`sink`, and checkpoints make
+every query restartable after executor or driver loss.  State is bounded by watermarks: a window, a
+signature, a bucket or a client leaves the state when the watermark has passed it.
 """
 
 from __future__ import annotations
@@ -19,8 +18,11 @@ from pyspark.sql import types as T
 
 from ..functions.dates import day_key, epoch_micros, month_key
 from ..functions.numbers import finite_or_null, round_half_up
+from ..model import BAN_SECONDS, HOURLY_QUOTA, RATE_LIMITS
 from ..operators.anomalies import pairs_of_buckets
+from ..operators.gate import ban_intervals, limit_for, within
 from ..session import ensure_checkpoint_dir
+from .sink import run_to_table  # noqa: F401  (the runner of all jobs)
 
 
 def file_stream(spark: SparkSession, pattern: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -30,6 +32,28 @@ def file_stream(spark: SparkSession, pattern: str, schema: T.StructType, files_p
     return r.load(pattern)
 
 
+def arrivals(df: DataFrame, ts: str, batches: int, jitter_seconds: int, name: str = "arrivals", closing: dict | None = None) -> str:
+    """Write a table as files in the order its rows arrive, for a replay as a stream of ``batches`` batches.
+
+    A row arrives up to ``jitter_seconds`` after its time (by a hash of the row), so batches hold rows out of
+    order.  ``closing``: column values of a last row, ten days after all others, whose file moves the watermark
+    past them."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
+    late = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(jitter_seconds * 1_000_000 + 1))
+    dealt = df.withColumn("_at", epoch_micros(ts) + late)
+    cuts = [i / batches for i in range(1, batches)]
+    at = dealt.agg(F.percentile_approx("_at", cuts, 1000).alias("c"), F.max(ts).alias("end")).first()
+    for i, (lo, hi) in enumerate(zip([None, *(at.c or [])], [*(at.c or []), None])):
+        part = dealt.where(F.lit(True) if lo is None else F.col("_at") > lo).where(F.lit(True) if hi is None else F.col("_at") <= hi)
+        part.drop("_at").coalesce(1).write.mode("append").parquet(path)
+    if closing is not None:
+        last = {ts: F.lit(at.end) + F.expr("INTERVAL 10 DAYS"), **{k: F.lit(v) for k, v in closing.items()}}
+        spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]).coalesce(1) \
+            .write.mode("append").parquet(path)
+    return path
+
+
 def typed_events(stream: DataFrame, amount: str, ts: str, user: str | None = None) -> DataFrame:
     cols = [finite_or_null(amount).alias("amount"), F.col(ts).cast("timestamp").alias("event_ts")]
     if user:
@@ -37,23 +61,6 @@ def typed_events(stream: DataFrame, amount: str, ts: str, user: str | None = Non
     return stream.select(*cols).where(F.col("event_ts").isNotNull())
 
 
-def run_to_table(stream_df: DataFrame, name: str, mode: str = "complete", root: str | None = None) -> str:
-    """Run a streaming query to completion (``availableNow``) and return the result folder."""
-    spark = stream_df.sparkSession
-    base = root or os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
-    out = os.path.join(base, "data")
-    overwrite = mode == "complete"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if overwrite else "append").parquet(out)
-
-    q = (stream_df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", os.path.join(base, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
-
-
 def daily_trend_stream(events: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Running per-UTC-day sums (complete mode keeps every day current)."""
     return events.withWatermark("event_ts", watermark).groupBy(F.window("event_ts", "1 day").alias("w")) \
@@ -69,21 +76,22 @@ def monthly_trend_stream(events: DataFrame) -> DataFrame:
         .select("month", round_half_up(F.col("_v")).alias("val"), "count")
 
 
-def dedup_stream(events: DataFrame, watermark: str = "3650 days") -> DataFrame:
-    """Drop signature repeats (user, amount, day) arriving within the watermark delay."""
+def dedup_stream(events: DataFrame, watermark: str = "2 days") -> DataFrame:
+    """Drop signature repeats (user, amount, day).  A signature holds one day, so it leaves the state when the
+    watermark has passed that day by as much again: rows up to ``watermark`` late are told apart exactly."""
     sig = events.withColumn("day", day_key("event_ts")) \
         .withColumn("_amt", F.coalesce(F.col("amount").cast("string"), F.lit("null")))
     return sig.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["user_key", "_amt", "day"]) \
         .drop("_amt")
 
 
-def rapid_repeat_stream(events: DataFrame, gap_seconds: float = 60.0, watermark: str | None = None) -> DataFrame:
+def rapid_repeat_stream(events: DataFrame, gap_seconds: float = 60.0, watermark: str | None = "2 days") -> DataFrame:
     """Running count, first and last millisecond of each user's buckets of ``gap_seconds``
     (update mode); ``rapid_repeat_pairs`` counts the pairs of what was written.
 
-    Rows may arrive in any order and in any batch, and a hot user is split by bucket.  Without
-    a watermark every non-empty bucket stays in state and no row is ever too late; with one,
-    buckets older than it leave the state and rows older than it are not counted.
+    Rows may arrive in any order and in any batch, and a hot user is split by bucket.  Buckets older than
+    the watermark leave the state and rows older than it are not counted; without one (None) every
+    non-empty bucket stays in state and no row is ever too late.
     """
     keyed = events.where(F.col("user_key").isNotNull())
     if watermark:
@@ -94,52 +102,90 @@ def rapid_repeat_stream(events: DataFrame, gap_seconds: float = 60.0, watermark:
         .select("user_key", F.col("w.start").alias("_b"), "_c", "_lo", "_hi")
 
 
+def newest_buckets(written: DataFrame) -> DataFrame:
+    """One row a bucket of what ``rapid_repeat_stream`` wrote (and the merger of its sink's compactions): a bucket's
+    count only grows, so its newest state is its largest."""
+    return written.groupBy("user_key", "_b").agg(F.max("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+
 def rapid_repeat_pairs(written: DataFrame, gap_seconds: float = 60.0) -> DataFrame:
-    """Pairs in the rows that ``rapid_repeat_stream`` wrote; a bucket's count only grows, so its
-    newest state is its largest and a batch that was written twice changes nothing."""
-    buckets = written.groupBy("user_key", "_b").agg(F.max("_c").alias("_c"), F.min("_lo").alias("_lo"),
-                                                    F.max("_hi").alias("_hi"))
-    return pairs_of_buckets(buckets, [], int(gap_seconds * 1000))
+    """Pairs in the rows that ``rapid_repeat_stream`` wrote."""
+    return pairs_of_buckets(newest_buckets(written), [], int(gap_seconds * 1000))
+
 
+# --------------------------------------------------------------------------- W1
+def rate_limit_stream(log: DataFrame, ts: str = "ts", ip: str = "ip", type_: str = "type", window_s: int = 60,
+                      limits: dict = RATE_LIMITS, watermark: str = "10 minutes") -> DataFrame:
+    """W1 streaming (append mode): a window's counts appear once, when the watermark has passed its end, if
+    requests were rejected in it.  Only windows not yet passed are in state."""
+    w = F.window("ts", f"{window_s} seconds").alias("w")
+    g = log.select(F.col(type_).alias("type"), F.col(ip).alias("ip"), F.col(ts).cast("timestamp").alias("ts")) \
+        .withWatermark("ts", watermark).groupBy("type", "ip", w).agg(F.count("*").alias("requests"))
+    limit = limit_for(F.col("type"), limits)
+    return g.where(F.col("requests") > limit).select(
+        "type", "ip", F.col("w.start").alias("window_start"), "requests", limit.cast("bigint").alias("allowed"),
+        (F.col("requests") - limit).alias("rejected"))
 
-QUOTA_OUT = T.StructType([T.StructField("ip", T.StringType()), T.StructField("ban_start_us", T.LongType()),
-                          T.StructField("ban_end_us", T.LongType())])
-QUOTA_STATE = T.StructType([T.StructField("hour", T.LongType()), T.StructField("count", T.LongType()),
-                            T.StructField("ban_end_us", T.LongType())])
 
+# --------------------------------------------------------------------------- W2, W3 and the gate
+DECIDED = "ip string, type string, us bigint, id bigint, decision string, slot timestamp"
+_COUNTED = "hour bigint, count bigint, ban_end_us bigint"
+_HELD = ("us", "id", "type", "manual")
+HOUR_US = 3_600_000_000
 
-def _quota_processor(quota: int, ban_us: int):
+
+def _quota_processor(quota: int, ban_us: int, slice_us: int):
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
     class HourlyQuota(StatefulProcessor):
-        """Per client: current epoch hour, requests counted in it, and the ban end.
-        Requests during a ban are refused and not counted; the (quota+1)-th counted
-        request of an hour starts a ban."""
+        """Per client: requests that the watermark has not passed (by slice), the hour that counts, its count and
+        the ban.  A timer at the end of each slice decides its requests in their order, so late rows within
+        the watermark take their place.  A client without waiting requests leaves the state when its hour
+        and its ban are over."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("quota", QUOTA_STATE)
+            self.handle = handle
+            self.counted = handle.getValueState("counted", _COUNTED)
+            self.held = handle.getMapState("held", "slice bigint", "us array<bigint>, id array<bigint>, type array<string>, "
+                                                                   "manual array<boolean>")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            us = pd.concat([r["us"] for r in rows]).sort_values().to_numpy()
-            hour, count, ban_end = self.state.get() if self.state.exists() else (None, 0, None)
-            starts, ends = [], []
-            for t in us:
-                t = int(t)
-                if ban_end is not None and t < ban_end:
-                    continue
-                h = t // 3_600_000_000
-                if h != hour:
-                    hour, count = h, 0
-                count += 1
-                if count > quota:
-                    ban_end = t + ban_us
-                    starts.append(t)
-                    ends.append(ban_end)
-            self.state.update((hour, count, ban_end))
-            if starts:
-                yield pd.DataFrame({"ip": pd.Series([key[0]] * len(starts), dtype="object"),
-                                    "ban_start_us": pd.Series(starts, dtype="int64"),
-                                    "ban_end_us": pd.Series(ends, dtype="int64")})
+            for batch in rows:
+                for cut, part in batch.groupby(batch["us"] // slice_us):
+                    cut = (int(cut),)
+                    old = self.held.getValue(cut) if self.held.containsKey(cut) else ((),) * len(_HELD)
+                    self.held.updateValue(cut, tuple([*o, *part[c].tolist()] for o, c in zip(old, _HELD)))
+                    self.handle.registerTimer((cut[0] + 1) * slice_us // 1000)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            end_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            hour, count, ban_end = self.counted.get() if self.counted.exists() else (None, 0, None)
+            cut, out = (end_us // slice_us - 1,), []
+            if self.held.containsKey(cut):
+                for us, i, kind, manual in sorted(zip(*self.held.getValue(cut)), key=lambda r: r[:2]):
+                    if manual or (ban_end is not None and us < ban_end):
+                        out.append((key[0], kind, us, i, "banned"))
+                        continue
+                    if us // HOUR_US != hour:
+                        hour, count = us // HOUR_US, 0
+                    count += 1
+                    if count > quota:
+                        ban_end = us + ban_us
+                    out.append((key[0], kind, us, i, "quota" if count > quota else "counted"))
+                self.held.removeKey(cut)
+                self.counted.update((hour, count, ban_end))
+            over = max(ban_end or 0, 0 if hour is None else (hour + 1) * HOUR_US)
+            if end_us < over:
+                self.handle.registerTimer(-(-over // 1000))
+            elif not any(True for _ in self.held.keys()):
+                self.counted.clear()
+            if not out:
+                return iter(())
+            found = pd.DataFrame(out, columns=["ip", "type", "us", "id", "decision"])
+            # the slice's last moment, which no watermark had passed before
+            found["slot"] = pd.to_datetime(end_us - 1, unit="us")
+            return iter([found])
 
         def close(self) -> None:
             pass
@@ -147,16 +193,45 @@ def _quota_processor(quota: int, ban_us: int):
     return HourlyQuota()
 
 
-def hourly_quota_stream(log: DataFrame, quota: int, ban_seconds: int = 86400, ts: str = "ts",
-                        ip: str = "ip") -> DataFrame:
-    """W2 streaming: keyed state per client (hour, count, ban end); emits each ban as it starts.
-
-    Rows are ordered within a micro-batch; a client's batch rows are one group, so the
-    batch size (``maxFilesPerTrigger``) bounds the work per task.
-    """
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
-                              "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = log.select(F.col(ip).cast("string").alias("ip"), epoch_micros(ts).alias("us"))
+def quota_stream(log: DataFrame, bans: DataFrame | None = None, quota: int = HOURLY_QUOTA, ban_seconds: int = BAN_SECONDS,
+                 ts: str = "ts", ip: str = "ip", type_: str | None = "type", id_col: str = "id", watermark: str = "10 minutes",
+                 slice_s: int = 60) -> DataFrame:
+    """W3 and W2 streaming (append mode): every request once with ``counted``, ``quota`` (it starts a ban) or
+    ``banned``, when the watermark has passed its slice.
+
+    Rows up to ``watermark`` late are decided in their order.  State holds the slices not yet passed and, for
+    a client, its hour and ban until both are over.  ``bans`` is a static table of manual bans."""
+    rows = log.select(
+        F.col(ip).cast("string").alias("ip"), F.col(ts).cast("timestamp").alias("ts"),
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"),
+        (F.col(type_) if type_ else F.lit(None)).cast("string").alias("type")).withWatermark("ts", watermark)
+    rows = rows.withColumn("us", epoch_micros("ts"))
+    if bans is None:
+        rows = rows.withColumn("manual", F.lit(False))
+    else:
+        rows = within(rows, ban_intervals(bans, default_seconds=ban_seconds)).withColumn("manual", F.col("start_us").isNotNull())
+    keyed = rows.where("ip IS NOT NULL AND us IS NOT NULL").select("ip", "ts", "us", "id", "type", "manual")
     return keyed.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=_quota_processor(quota, ban_seconds * 1_000_000), outputStructType=QUOTA_OUT,
-        outputMode="Append", timeMode="None")
+        statefulProcessor=_quota_processor(quota, ban_seconds * 1_000_000, slice_s * 1_000_000), outputStructType=DECIDED,
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="slot")
+
+
+def hourly_quota_stream(log: DataFrame, quota: int = HOURLY_QUOTA, ban_seconds: int = BAN_SECONDS, **kw) -> DataFrame:
+    """W2 streaming: the bans of :func:`quota_stream`, ``ip, ban_start_us, ban_end_us``, each once."""
+    decided = quota_stream(log, None, quota, ban_seconds, type_=None, **kw)
+    return decided.where("decision = 'quota'").select(
+        "ip", F.col("us").alias("ban_start_us"), (F.col("us") + ban_seconds * 1_000_000).alias("ban_end_us"))
+
+
+def gate_stream(log: DataFrame, bans: DataFrame | None = None, quota: int = HOURLY_QUOTA, ban_seconds: int = BAN_SECONDS,
+                limits: dict = RATE_LIMITS, window_s: int = 60, **kw) -> DataFrame:
+    """The whole gate as one stream: manual bans (W3), then the quota's keyed state (W2), then the class limits by
+    window (W1), stateful operators chained in one query.  Append mode: one row a class, client and window,
+    as :func:`tallyscope.operators.gate.gate_summary` gives it, once the watermark has passed it."""
+    decided = quota_stream(log, bans, quota, ban_seconds, slice_s=window_s, **kw)
+    g = decided.groupBy("type", "ip", F.window("slot", f"{window_s} seconds").alias("w")).agg(
+        F.count("*").alias("requests"), *[F.count_if(F.col("decision") == d).alias(f"_{d}") for d in ("banned", "quota", "counted")])
+    limit = limit_for(F.col("type"), limits).cast("bigint")
+    return g.select("type", "ip", F.col("w.start").alias("window_start"), "requests", F.col("_banned").alias("banned"),
+                    F.col("_quota").alias("over_quota"), F.greatest(F.col("_counted") - limit, F.lit(0)).alias("limited"),
+                    F.least(F.col("_counted"), limit).alias("passed"))

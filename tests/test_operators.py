@@ -200,4 +200,4 @@ def test_rapid_stream_counts_late_rows(spark, tmp_path):
         time.sleep(1.1)
     stream = S.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
     out = S.run_to_table(S.rapid_repeat_stream(stream), "rapid-late", "update", str(tmp_path / "run"))
-    assert S.rapid_repeat_pairs(spark.read.parquet(out)).first()["pairs"] == 1
+    assert S.rapid_repeat_pairs(out).first()["pairs"] == 1
