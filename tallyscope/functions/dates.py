@@ -3,28 +3,36 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import col_of
 
-# Formats tried after ISO, in order: month-first, textual month, day-first, year-first.
+# Formats tried after ISO, in order: month-first, textual month, day-first, year-first, whole months and years.
 DATE_FORMATS = [
     "M/d/yyyy", "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
     "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "yyyy.M.d", "yyyy-M-d",
+    "MMM yyyy", "MMMM yyyy", "yyyy-MM", "yyyy",
 ]
-# The only string shape each format can parse; a format is tried only when its shape
-# matches, which saves failing parse attempts without changing any result.
-_D = "[0-9]{1,2}"
-_SHAPES = {
-    "M/d/yyyy": f"^{_D}/{_D}/[0-9]{{4}}$", "d/M/yyyy": f"^{_D}/{_D}/[0-9]{{4}}$",
-    "M-d-yyyy": f"^{_D}-{_D}-[0-9]{{4}}$", "d-M-yyyy": f"^{_D}-{_D}-[0-9]{{4}}$",
-    "d.M.yyyy": f"^{_D}[.]{_D}[.][0-9]{{4}}$",
-    "yyyy/M/d": f"^[0-9]{{4}}/{_D}/{_D}$", "yyyy.M.d": f"^[0-9]{{4}}[.]{_D}[.]{_D}$",
-    "yyyy-M-d": f"^[0-9]{{4}}-{_D}-{_D}$",
-}
-_TEXTUAL = "[A-Za-z]"
+# Formats of texts with a time of day (a day-first date with a time is no date).
+TIME_FORMATS = [
+    "M/d/yyyy H:mm[:ss]", "M/d/yyyy h:mm[:ss] a", "M-d-yyyy H:mm[:ss]", "yyyy/M/d H:mm[:ss]", "yyyy-M-d H:mm[:ss]",
+    "MMM d, yyyy H:mm[:ss]", "MMM d, yyyy h:mm[:ss] a", "MMMM d, yyyy H:mm[:ss]", "MMMM d, yyyy h:mm[:ss] a",
+    "d MMM yyyy H:mm[:ss]", "d MMMM yyyy H:mm[:ss]",
+]
+
+
+def _shape(fmt: str) -> str:
+    """The only shape of text a format can parse; a format is tried only where its shape matches, which
+    saves failing parse attempts without changing any result."""
+    parts = {"yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}", "M": "[0-9]{1,2}",
+             "d": "[0-9]{1,2}", "H": "[0-9]{1,2}", "h": "[0-9]{1,2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "a": "[AaPp][Mm]",
+             "[": "(", "]": ")?", ".": "[.]"}
+    return "^" + "".join(parts.get(t, t) for t in re.findall(r"yyyy|M+|mm|ss|[dHha]|.", fmt)) + "$"
+
+
 _ISO_HEAD = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _NULL_DATE = "(?i)^(null|na)?$"
 _TRIM = "^[\\s\\u00A0\\uFEFF]+|[\\s\\u00A0\\uFEFF]+$"
@@ -48,19 +56,22 @@ def in_range(ts: Column, as_of=None) -> Column:
     return (F.year(ts) > 1900) & (F.year(ts) < 2100) & (ts <= limit)
 
 
-def parse_timestamp(c, as_of=None, formats=DATE_FORMATS) -> Column:
+def _parsed(s: Column, formats=None) -> Column:
+    """Value of a trimmed text: ISO, else the formats with or without a time of day."""
+    def first(fmts):
+        return F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in fmts])
+    other = first(formats) if formats is not None else F.when(s.contains(":"), first(TIME_FORMATS)).otherwise(first(DATE_FORMATS))
+    return F.when(s.isNull() | s.rlike(_NULL_DATE), F.lit(None).cast("timestamp")).otherwise(
+        F.coalesce(F.when(s.rlike(_ISO_HEAD), F.try_to_timestamp(s)), other))
+
+
+def parse_timestamp(c, as_of=None, formats=None) -> Column:
     """Parse a date/time string: ISO first, then the listed formats, then the range check."""
-    s = F.regexp_replace(col_of(c).cast("string"), _TRIM, "")
-    iso = F.when(s.rlike(_ISO_HEAD), F.try_to_timestamp(s))
-    def attempt(f):
-        shape = _SHAPES.get(f, _TEXTUAL)
-        return F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)))
-    parsed = F.coalesce(iso, *[attempt(f) for f in formats])
-    parsed = F.when(s.isNull() | s.rlike(_NULL_DATE), F.lit(None).cast("timestamp")).otherwise(parsed)
+    parsed = _parsed(F.regexp_replace(col_of(c).cast("string"), _TRIM, ""), formats)
     return F.when(in_range(parsed, as_of), parsed)
 
 
-def with_parsed_timestamp(df, src: str, out: str, as_of=None, formats=DATE_FORMATS):
+def with_parsed_timestamp(df, src: str, out: str, as_of=None, formats=None):
     """DataFrame form of :func:`parse_timestamp` that evaluates each stage once per row.
 
     The trimmed text and the parsed value are each referenced many times; as separate
@@ -69,13 +80,7 @@ def with_parsed_timestamp(df, src: str, out: str, as_of=None, formats=DATE_FORMA
     """
     t_s, t_p = f"__{out}_s", f"__{out}_p"
     df = df.withColumn(t_s, F.regexp_replace(F.col(src).cast("string"), _TRIM, ""))
-    s = F.col(t_s)
-
-    def attempt(f):
-        return F.when(s.rlike(_SHAPES.get(f, _TEXTUAL)), F.try_to_timestamp(s, F.lit(f)))
-    parsed = F.when(s.isNull() | s.rlike(_NULL_DATE), F.lit(None).cast("timestamp")).otherwise(
-        F.coalesce(F.when(s.rlike(_ISO_HEAD), F.try_to_timestamp(s)), *[attempt(f) for f in formats]))
-    df = df.withColumn(t_p, parsed).drop(t_s)
+    df = df.withColumn(t_p, _parsed(F.col(t_s), formats)).drop(t_s)
     return df.withColumn(out, F.when(in_range(F.col(t_p), as_of), F.col(t_p))).drop(t_p)
 
 

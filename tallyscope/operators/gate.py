@@ -146,9 +146,9 @@ def _positions(log: DataFrame, quota: int) -> tuple[DataFrame, DataFrame]:
 def _next_triggers(positions: DataFrame, minutes: DataFrame, quota: int, ban_us: int) -> DataFrame:
     """(ip, us, id, next_us, next_id): for every request that could start a ban, the one that starts the next.
 
-    The ban of a request ends at ``us + ban``.  Within the hour of the request the count is still over the
-    quota, so the first later request starts the next ban.  In a later hour counting begins anew: the next
-    trigger is the (quota+1)-th request of that hour from the end on, else that of the next busy hour."""
+    The ban of a request ends at ``us + ban``, where counting begins anew.  If more than ``quota`` requests of
+    that hour come later, the next trigger is the (quota+1)-th of them; else it is the (quota+1)-th request of
+    the next busy hour."""
     nodes = positions.where(F.col("pos") > quota).select("ip", "us", "id", (F.col("us") + ban_us).alias("end_us"))
     nodes = nodes.withColumns({"minute": F.floor(F.col("end_us") / MINUTE_US), "end_hour": F.floor(F.col("end_us") / HOUR_US)})
     fresh = positions.where(F.col("pos") == quota + 1).select("ip", F.col("hour").alias("next_hour"), F.col("us").alias("fresh_us"),
@@ -160,9 +160,8 @@ def _next_triggers(positions: DataFrame, minutes: DataFrame, quota: int, ban_us:
     order = Window.partitionBy("ip", "minute").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     earlier = marks.withColumn("earlier", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("n") == 0).select(
         "ip", F.col("at").alias("end_us"), "minute", "earlier")
-    still = F.floor((F.col("end_us") - ban_us) / HOUR_US) == F.col("hour")
     ends = earlier.join(minutes, ["ip", "minute"]).select(
-        "ip", "end_us", "hour", (F.col("before") + F.col("earlier") + 1 + F.when(still, 0).otherwise(quota)).alias("pos"))
+        "ip", "end_us", "hour", (F.col("before") + F.col("earlier") + 1 + quota).alias("pos"))
     same = ends.join(positions.select("ip", "hour", "pos", F.col("us").alias("same_us"), F.col("id").alias("same_id")),
                      ["ip", "hour", "pos"]).select("ip", "end_us", "same_us", "same_id")
 

@@ -132,8 +132,10 @@ def chart_tags(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                                            F.col("_p"), F.lit("]]")).alias("tag"))
 
 
+# Phrases blanked to the end of their line, a whole chart tag, the opening of one.
 SUPPRESS = "(?i)(recommendation|action|next step|should)[^\\n]*"
 CHART_TAG = "\\[CHART:[^\\]]+\\]"
+CHART_OPENING = "\\[CHART:"
 
 
 def audit_narratives(reports: DataFrame, text_col: str = "text", tier_col: str = "analysis_tier",
@@ -142,15 +144,15 @@ def audit_narratives(reports: DataFrame, text_col: str = "text", tier_col: str =
     """audit generated texts against their metrics (one row per text).
 
     Flags a missing verdict (longer than 200 characters without 'VERDICT' or '◆'); for
-    FACTS_ONLY blanks recommendation-like phrases to the end of the line; keeps the first
-    four chart tags; prepends KPI tags when there are none, revenue is known and the
-    analysis is not blocked."""
+    FACTS_ONLY blanks recommendation-like phrases to the end of the line; with more than four
+    chart openings keeps the first four whole chart tags; prepends KPI tags when there are none,
+    revenue is known and the analysis is not blocked.  An empty text stays empty."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     missing_verdict = ~t.contains("VERDICT") & ~t.contains("◆") & (F.length(t) > 200)
     facts_only = F.col(tier_col) == "FACTS_ONLY"
     suppressed = F.when(facts_only, F.regexp_count(t, F.lit(SUPPRESS))).otherwise(F.lit(0))
     t1 = F.when(facts_only, F.regexp_replace(t, SUPPRESS, "")).otherwise(t)
-    charts = F.regexp_count(t1, F.lit(CHART_TAG))
+    charts = F.regexp_count(t1, F.lit(CHART_OPENING))
     # keep the first four tags: split on tags, re-join the pieces with the kept tags only
     pieces = F.split(t1, CHART_TAG, -1)
     tags = F.regexp_extract_all(t1, F.lit(f"({CHART_TAG})"), 1)
@@ -165,8 +167,19 @@ def audit_narratives(reports: DataFrame, text_col: str = "text", tier_col: str =
                                    F.concat(F.lit("[KPI:Transactions|"), orders.cast("string"), F.lit("||neutral]"))),
                             F.when(g.isNotNull(), F.concat(F.lit("[KPI:WoW Growth|"), number_text(g), F.lit("%||"),
                                                            F.when(g >= 0, "up").otherwise("down"), F.lit("]"))))
-    inject = (F.regexp_count(t2, F.lit("\\[KPI:")) == 0) & rev.isNotNull() & ~F.coalesce(F.col(blocked_col), F.lit(False))
+    inject = (F.regexp_count(t2, F.lit("\\[KPI:")) == 0) & rev.isNotNull() & ~F.coalesce(F.col(blocked_col), F.lit(False)) & (t != "")
     t3 = F.when(inject, F.concat(kpi_block, F.lit("\n\n"), t2)).otherwise(t2)
     return reports.select("*", missing_verdict.alias("missing_verdict"), suppressed.alias("suppressed"),
-                          charts.alias("charts_found"), F.least(charts, F.lit(max_charts)).alias("charts_kept"),
+                          charts.alias("charts_found"),
+                          F.when(charts > max_charts, F.least(F.size(tags), F.lit(max_charts))).otherwise(F.size(tags)).alias("charts_kept"),
                           inject.alias("kpi_injected"), t3.alias("validated_text"))
+
+
+def audit_reports(reports: DataFrame, judged: DataFrame, metrics: DataFrame, by: Sequence[str] = (),
+                  text_col: str = "text") -> DataFrame:
+    """F6 for many reports: each meets the judgment and the metrics of its own group (an equi join on the keys;
+    every report meets the one row there is without keys)."""
+    by = list(by)
+    state = attach(judged.select(*by, "analysis_tier", "quality_blocks_analysis"),
+                   metrics.select(*by, "revenue", "orders", "growth"), by, "left")
+    return audit_narratives(attach(reports, state, by, "left"), text_col)

@@ -7,7 +7,6 @@ from __future__ import annotations
 import os
 import uuid
 
-import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -15,14 +14,13 @@ from ..operators.clean import build_facts
 from ..operators.roles import amount_columns
 from ..session import ensure_checkpoint_dir
 from ..sources.activity import append_activity, read_activity_log
-from ..sources.tables import read_delimited, read_json_table, write_report
+from ..sources.tables import read_delimited, read_json_table, read_table, write_analysis, write_report
 from .analyse import analyse
 from .oracle import AS_OF, R, describe_sql, facts_cte
 from .queries import ROLES, SQL, facts, load, register
+from .queries_judge import SOURCES
 from .queries_more import TABLES, amount_sql
 
-_SCHEMA_DIR = "/root/testdata/sf0.001"
-
 
 def _scratch(spark, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:10]}")
@@ -47,6 +45,29 @@ def q_json(spark, sf):
     return M.daily_trend(fx.df)
 
 
+@register("read_json_array_roundtrip", SQL["daily_trend"])
+def q_json_array(spark, sf):
+    # arrays of some thousand objects, a file each, read side by side
+    path = _scratch(spark, "events-arrays")
+    ev = load(spark, sf, "events").withColumn("bucket", F.floor(F.col("event_id") / 4096))
+    cols = [c for c in ev.columns if c != "bucket"]
+    text = F.to_json(F.collect_list(F.struct(*cols)), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    ev.groupBy("bucket").agg(text.alias("value")).write.partitionBy("bucket").text(path)
+    df = read_json_table(spark, path).drop("bucket")
+    fx = build_facts(df, ROLES["events"], (), AS_OF, land=True)
+    return M.daily_trend(fx.df)
+
+
+@register("read_table_roundtrip", SQL["monthly_trend"])
+def q_read_table(spark, sf):
+    # neither extension nor separator is given: both are found in the text
+    path = _scratch(spark, "orders-table")
+    load(spark, sf, "orders").write.option("header", True).option("sep", "|") \
+        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+    fx = build_facts(read_table(spark, path), ROLES["orders"], (), AS_OF, land=True)
+    return M.monthly_trend(fx.df)
+
+
 _LOG_AS_OF = "2024-01-20"
 
 
@@ -71,10 +92,50 @@ def q_report(spark, sf):
     return spark.read.parquet(os.path.join(path, "metrics")).select("revenue", "orders", "aov")
 
 
+_ANALYSED_AT = "2026-11-30 09:30:00"
+
+
+def _analysis_log_sql(src: str) -> str:
+    b = "".join(f"{k}, " for k in SOURCES[src]["by"])
+    cte, _, final = SQL["confidence_grade_" + src].rpartition("\nSELECT ")
+    return f"""{cte}, graded AS (SELECT {final})
+SELECT TIMESTAMP '{_ANALYSED_AT}' AS ts, '10.0.0.7' AS ip, 'ANALYSIS' AS type, 'events.csv' AS "fileName", {b}judg.rows,
+  confidence, analysis_tier AS tier FROM judg JOIN graded USING ({b.rstrip(', ')})"""
+
+
+@register("analysis_log_roundtrip", _analysis_log_sql("tenants"))
+def q_analysis_log(spark, sf):
+    by = SOURCES["tenants"]["by"]
+    out = analyse(None, facts=SOURCES["tenants"]["facts"](spark, sf), as_of=AS_OF, outputs=["judgment", "confidence", "anomalies"])
+    path = _scratch(spark, "analysis")
+    write_analysis(out, os.path.join(path, "report"), os.path.join(path, "log"), "events.csv", "10.0.0.7", _ANALYSED_AT, by)
+    log = read_activity_log(spark, os.path.join(path, "log"), AS_OF)
+    return log.withColumn("ts", F.col("ts").cast("timestamp_ntz")).drop("log_date")
+
+
+# the given tables' columns, in order
+_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
+
 def _r2_sql() -> str:
     parts = []
-    for t in TABLES:
-        cols = pq.read_schema(f"{_SCHEMA_DIR}/{t}.parquet").names
+    for t, names in _COLUMNS.items():
+        cols = names.split()
         counts = ", ".join(f"count(*) FILTER (WHERE {amount_sql(f'CAST({c} AS VARCHAR)')} > 0) AS c{i}"
                            for i, c in enumerate(cols))
         pick = "CASE " + " ".join(f"WHEN c{i} >= 5 THEN '{c}'" for i, c in enumerate(cols)) + " END"
@@ -82,14 +143,6 @@ def _r2_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _r2_sql_or_none() -> str | None:
-    """The oracle needs the tables' column lists; without the schema folder, no oracle."""
-    try:
-        return _r2_sql()
-    except (OSError, ValueError):
-        return None
-
-
-@register("infer_amount_column", _r2_sql_or_none())
+@register("infer_amount_column", _r2_sql())
 def q_r2(spark, sf):
     return amount_columns({t: load(spark, sf, t) for t in TABLES})

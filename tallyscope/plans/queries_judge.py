@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..model import Roles
 from ..operators import anomalies as A
 from ..operators import metrics as M
+from ..operators import report as RP
 from ..operators.judge import dominance, judgment
 from ..session import land
 from ..texts import CHECK, DETAIL, FALSIFIABILITY, IMPLICATION, PREAMBLE, QUALITY_WARNING, REASON
@@ -500,3 +501,56 @@ SELECT category, {R('v / t * 100')} AS pct, {R('v')} AS value FROM (SELECT *, ro
   (SELECT sum(coalesce(amount, 0.0)) AS t, count(*) AS n FROM facts) WHERE r = 1 AND n >= 10 AND t > 0 AND v / t * 100 > 40""")
 def q_dominance_li(spark, sf):
     return dominance(_gapped_facts(spark, sf).df, ROLES["lineitem"])
+
+
+# ---------------------------------------------------------------- F6
+# reports made of the documents: chart tags, whole and broken, verdicts, KPI tags and recommendations by id
+_PARTS = [(7, 0, "VERDICT: fine. "), (5, 1, "[CHART:bar|a|[1]][CHART:pie|b|[2]] x [CHART:line|c|[3]][CHART:bar|d|[4]] y [CHART:bar|e|[5]] z"),
+          (5, 2, "[CHART:bar|a|[1]] [CHART: [CHART:pie|b|[2]] [CHART:line|c|[3]] [CHART:bar|d"), (6, 3, "[KPI:Revenue|1||neutral]"),
+          (3, 1, "You Should act."), (4, 2, "Next step: wait.")]
+_REPORT = "coalesce(text, '') || " + " || ".join(f"CASE WHEN doc_id % {m} = {r} THEN '{t}' ELSE '' END" for m, r, t in _PARTS)
+
+
+def _audit_sql(src: str, key: str) -> str:
+    by = SOURCES[src]["by"][0]
+    t = f"(SELECT doc_id, {key} AS {by}, {_REPORT} AS t FROM documents)"
+    tag, opening, advice = r"\[CHART:[^\]]+\]", r"\[CHART:", r"(recommendation|action|next step|should)[^\n]*"
+    kept = (f"array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || "
+            f"CASE WHEN i <= 4 AND i <= len(tags) THEN tags[i] ELSE '' END), '')")
+    kpi = (f"concat_ws(chr(10), '[KPI:Revenue|' || {inr_sql('revenue')} || '||neutral]', CASE WHEN orders <> 0 THEN "
+           f"'[KPI:Transactions|' || orders || '||neutral]' END, CASE WHEN growth IS NOT NULL THEN '[KPI:WoW Growth|' || "
+           f"{numtext_sql('growth')} || '%||' || CASE WHEN growth >= 0 THEN 'up' ELSE 'down' END || ']' END)")
+    return judgment_sql(src) + ",\n" + metrics_sql(src) + f""",
+r0 AS (SELECT r.*, j.analysis_tier, j.quality_blocks_analysis AS blocked, met.revenue, met.orders, met.growth FROM {t} r
+       LEFT JOIN judg j USING ({by}) LEFT JOIN met USING ({by})),
+r1 AS (SELECT *, CASE WHEN analysis_tier = 'FACTS_ONLY' THEN regexp_replace(t, '{advice}', '', 'gi') ELSE t END AS t1,
+       CASE WHEN analysis_tier = 'FACTS_ONLY' THEN len(regexp_extract_all(t, '(?i){advice}')) ELSE 0 END AS suppressed FROM r0),
+r2 AS (SELECT *, len(regexp_extract_all(t1, '{opening}')) AS charts, regexp_extract_all(t1, '{tag}') AS tags,
+       string_split_regex(t1, '{tag}') AS pieces FROM r1),
+r3 AS (SELECT *, CASE WHEN charts > 4 THEN {kept} ELSE t1 END AS t2 FROM r2),
+r4 AS (SELECT *, NOT contains(t2, '[KPI:') AND revenue IS NOT NULL AND NOT coalesce(blocked, false) AND t <> '' AS inject FROM r3)
+SELECT doc_id, {by}, NOT contains(t, 'VERDICT') AND NOT contains(t, '◆') AND length(t) > 200 AS missing_verdict,
+  CAST(suppressed AS BIGINT) AS suppressed, CAST(charts AS BIGINT) AS charts_found,
+  CAST(CASE WHEN charts > 4 THEN least(len(tags), 4) ELSE len(tags) END AS BIGINT) AS charts_kept, inject AS kpi_injected,
+  CASE WHEN inject THEN {kpi} || chr(10) || chr(10) || t2 ELSE t2 END AS validated_text FROM r4"""
+
+
+def _audit(spark, sf, src, key):
+    by = SOURCES[src]["by"]
+    docs = load(spark, sf, "documents").selectExpr("doc_id", f"{key} AS {by[0]}", f"{_REPORT} AS text")
+    out = analyse(None, facts=SOURCES[src]["facts"](spark, sf), as_of=AS_OF, outputs=["judgment", "metrics"])
+    return RP.audit_reports(docs, out["judgment"], out["metrics"], by).select(
+        "doc_id", *by, "missing_verdict", "suppressed", "charts_found", "charts_kept", "kpi_injected", "validated_text")
+
+
+_TENANT_OF = "CASE doc_id % 6 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'purchase' WHEN 4 THEN 'signup' ELSE 'nobody' END"
+
+
+@register("audit_narratives", _audit_sql("tenants", _TENANT_OF))
+def q_audit(spark, sf):
+    return _audit(spark, sf, "tenants", _TENANT_OF)
+
+
+@register("audit_narratives_by_customer", _audit_sql("customers", "doc_id"))
+def q_audit_customers(spark, sf):
+    return _audit(spark, sf, "customers", "doc_id")

@@ -34,11 +34,17 @@ def amount_sql(s: str) -> str:
 
 def timestamp_sql(s: str) -> str:
     t = f"regexp_replace(CAST({s} AS VARCHAR), '^[\\s\\x{{00A0}}\\x{{FEFF}}]+|[\\s\\x{{00A0}}\\x{{FEFF}}]+$', '', 'g')"
-    fmts = ["%m/%d/%Y", "%m-%d-%Y", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y",
-            "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y/%m/%d", "%Y.%m.%d", "%Y-%m-%d"]
+    days = ["%m/%d/%Y", "%m-%d-%Y", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y",
+            "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y/%m/%d", "%Y.%m.%d", "%Y-%m-%d", "%b %Y", "%B %Y"]
+    times = ["%m/%d/%Y", "%m-%d-%Y", "%Y/%m/%d", "%Y-%m-%d", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y"]
+    clocks = ["%H:%M", "%H:%M:%S", "%I:%M %p", "%I:%M:%S %p"]
+    formats = [f"{d} {c}" for d in times for c in clocks]
     parsed = "coalesce(" + ", ".join(
         [f"CASE WHEN regexp_matches({t}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST({t} AS TIMESTAMP) END"]
-        + [f"try_strptime({t}, '{f}')" for f in fmts]) + ")"
+        + [f"CASE WHEN NOT contains({t}, ':') THEN try_strptime({t}, '{f}') END" for f in days]
+        + [f"CASE WHEN regexp_matches({t}, '^[0-9]{{4}}-[0-9]{{2}}$') THEN try_strptime({t} || '-01', '%Y-%m-%d') END",
+           f"CASE WHEN regexp_matches({t}, '^[0-9]{{4}}$') THEN try_strptime({t} || '-01-01', '%Y-%m-%d') END"]
+        + [f"CASE WHEN contains({t}, ':') THEN try_strptime({t}, '{f}') END" for f in formats]) + ")"
     return (f"(CASE WHEN {t} IS NULL OR regexp_matches({t}, '^(null|na)?$', 'i') THEN NULL "
             f"WHEN year({parsed}) > 1900 AND year({parsed}) < 2100 AND {parsed} <= TIMESTAMP '{AS_OF}' + INTERVAL 365 DAY "
             f"THEN {parsed} END)")
@@ -74,28 +80,39 @@ def q_typed_amounts(spark, sf):
     return with_parsed_amount(_dirty_amounts(spark, sf), "raw", "amount")
 
 
+# the formats of lineitem dates by order and line: Spark pattern, or text in both engines
+_DATE_TEXTS = [
+    ("yyyy-MM-dd", "strftime(d, '%Y-%m-%d')"),
+    ("M/d/yyyy", "month(d) || '/' || day(d) || '/' || strftime(d, '%Y')"),
+    ("d.M.yyyy", "day(d) || '.' || month(d) || '.' || strftime(d, '%Y')"),
+    ("yyyy/MM/dd", "strftime(d, '%Y/%m/%d')"),
+    ("MMM d, yyyy", "strftime(d, '%b') || ' ' || day(d) || ', ' || strftime(d, '%Y')"),
+    ("'n/a'", "'n/a'"),
+    ("d/M/yyyy", "day(d) || '/' || month(d) || '/' || strftime(d, '%Y')"),
+    ("yyyy-MM", "strftime(d, '%Y-%m')"),
+    ("yyyy", "strftime(d, '%Y')"),
+    ("MMMM yyyy", "strftime(d, '%B %Y')"),
+    ("MMM yyyy", "strftime(d, '%b %Y')"),
+    ("M/d/yyyy '14:05'", "month(d) || '/' || day(d) || '/' || strftime(d, '%Y') || ' 14:05'"),
+    ("MM/dd/yyyy '02:05:09 PM'", "strftime(d, '%m/%d/%Y') || ' 02:05:09 PM'"),
+    ("yyyy/M/d '7:30:01'", "strftime(d, '%Y') || '/' || month(d) || '/' || day(d) || ' 7:30:01'"),
+    ("MMM d, yyyy '11:59 pm'", "strftime(d, '%b') || ' ' || day(d) || ', ' || strftime(d, '%Y') || ' 11:59 pm'"),
+    ("d MMMM yyyy '00:00'", "day(d) || ' ' || strftime(d, '%B %Y') || ' 00:00'"),
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "strftime(d, '%Y-%m-%dT%H:%M:%SZ')"),
+    ("d.M.yyyy '10:00'", "day(d) || '.' || month(d) || '.' || strftime(d, '%Y') || ' 10:00'"),
+]
+
+
 def _dirty_dates(spark, sf):
     li = load(spark, sf, "lineitem")
-    d = F.col("l_shipdate").cast("timestamp")
-    raw = (F.when(F.col("l_linenumber") == 1, F.date_format(d, "yyyy-MM-dd"))
-           .when(F.col("l_linenumber") == 2, F.date_format(d, "M/d/yyyy"))
-           .when(F.col("l_linenumber") == 3, F.date_format(d, "d.M.yyyy"))
-           .when(F.col("l_linenumber") == 4, F.date_format(d, "yyyy/MM/dd"))
-           .when(F.col("l_linenumber") == 5, F.date_format(d, "MMM d, yyyy"))
-           .when(F.col("l_linenumber") == 6, F.lit("n/a"))
-           .otherwise(F.date_format(d, "d/M/yyyy")))
+    d, n = F.col("l_shipdate").cast("timestamp"), len(_DATE_TEXTS)
+    kind = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(n))
+    raw = F.coalesce(*[F.when(kind == i, F.date_format(d, p)) for i, (p, _) in enumerate(_DATE_TEXTS)])
     return li.select("l_orderkey", "l_linenumber", raw.alias("raw"))
 
 
-_DIRTY_DATES_SQL = """(SELECT l_orderkey, l_linenumber,
-  CASE l_linenumber WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d')
-                    WHEN 2 THEN CAST(month(l_shipdate) AS VARCHAR) || '/' || CAST(day(l_shipdate) AS VARCHAR) || '/' || strftime(l_shipdate, '%Y')
-                    WHEN 3 THEN CAST(day(l_shipdate) AS VARCHAR) || '.' || CAST(month(l_shipdate) AS VARCHAR) || '.' || strftime(l_shipdate, '%Y')
-                    WHEN 4 THEN strftime(l_shipdate, '%Y/%m/%d')
-                    WHEN 5 THEN strftime(l_shipdate, '%b') || ' ' || CAST(day(l_shipdate) AS VARCHAR) || ', ' || strftime(l_shipdate, '%Y')
-                    WHEN 6 THEN 'n/a'
-                    ELSE CAST(day(l_shipdate) AS VARCHAR) || '/' || CAST(month(l_shipdate) AS VARCHAR) || '/' || strftime(l_shipdate, '%Y') END AS raw
-  FROM lineitem)"""
+_DIRTY_DATES_SQL = "(SELECT l_orderkey, l_linenumber, CASE (l_orderkey * 7 + l_linenumber) % " + str(len(_DATE_TEXTS)) + " " + " ".join(
+    f"WHEN {i} THEN {q}" for i, (_, q) in enumerate(_DATE_TEXTS)) + " END AS raw FROM (SELECT *, CAST(l_shipdate AS TIMESTAMP) AS d FROM lineitem))"
 
 
 @register("typed_timestamps", f"SELECT l_orderkey, l_linenumber, raw, {timestamp_sql('raw')} AS event_ts FROM {_DIRTY_DATES_SQL} d")
@@ -345,24 +362,3 @@ def q_kpi_full(spark, sf):
     metrics = M.headline(f).crossJoin(M.week_over_week(M.daily_trend(f)).select("growth"))
     out = RP.kpi_table(metrics, describe_measure(f, AMOUNT), M.category_breakdown(f), fx.quality)
     return out.withColumn("seq", F.col("seq").cast("int"))
-
-
-@register("audit_narratives", facts_cte("events") + f""",
-m AS (SELECT {R('sum(amount)')} AS revenue, count(*) AS orders FROM facts)
-SELECT doc_id,
-       NOT contains(coalesce(text, ''), 'VERDICT') AND NOT contains(coalesce(text, ''), '◆') AND length(coalesce(text, '')) > 200 AS missing_verdict,
-       CAST(len(regexp_extract_all(coalesce(text, ''), '\\[CHART:[^\\]]+\\]')) AS BIGINT) AS charts_found,
-       len(regexp_extract_all(coalesce(text, ''), '\\[KPI:')) = 0 AND m.revenue IS NOT NULL AS kpi_injected,
-       length(CASE WHEN len(regexp_extract_all(coalesce(text, ''), '\\[KPI:')) = 0 AND m.revenue IS NOT NULL
-                   THEN '[KPI:Revenue|' || {inr_sql('m.revenue')} || '||neutral]' || chr(10) || '[KPI:Transactions|' || CAST(m.orders AS VARCHAR) || '||neutral]' || chr(10) || chr(10) || coalesce(text, '')
-                   ELSE coalesce(text, '') END) AS validated_len
-FROM documents, m""")
-def q_audit(spark, sf):
-    f = facts(spark, sf, "events").df
-    m = f.agg(F.expr("floor(sum(amount) * 100 + 0.5) / 100").alias("revenue"), F.count("*").alias("orders"))
-    docs = load(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(m)) \
-        .withColumn("analysis_tier", F.lit("FULL")).withColumn("growth", F.lit(None).cast("double")) \
-        .withColumn("quality_blocks_analysis", F.lit(False))
-    a = RP.audit_narratives(docs)
-    return a.select("doc_id", "missing_verdict", F.col("charts_found").cast("long").alias("charts_found"),
-                    "kpi_injected", F.length("validated_text").alias("validated_len"))

@@ -4,27 +4,25 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.common import attach
+from .activity import append_activity
+
 #: Blanks trimmed off every cell.
 CELL_BLANKS = " \t\n\x0b\x0c\r\u00a0\ufeff"
 SEPARATORS = [",", "\t", "|", ";"]
 
 
 def detect_separator(first_line: str) -> str:
-    """The most frequent of , TAB | ; outside double quotes (ties in that order)."""
-    counts = {s: 0 for s in SEPARATORS}
-    in_quote = False
-    for ch in first_line:
-        if ch == '"':
-            in_quote = not in_quote
-        elif not in_quote and ch in counts:
-            counts[ch] += 1
-    return max(SEPARATORS, key=lambda s: (counts[s], -SEPARATORS.index(s)))
+    """The most frequent of , TAB | ; in what is left without quoted stretches (ties in that order)."""
+    return max(SEPARATORS, key=re.sub(r'"[^"]*("|$)', "", first_line).count)
 
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], sep: str | None = None,
@@ -127,3 +125,25 @@ def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
     """Write every result table under ``path/<name>`` with non-finite numbers scrubbed."""
     for name, df in tables.items():
         scrub_non_finite(df).write.mode(mode).format(fmt).save(os.path.join(path, name))
+
+
+def write_analysis(tables: dict[str, DataFrame], path: str, log_path: str, file_name: str, client: str, at,
+                   by: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
+    """Write the report and append the activity row of the analysis, one for each group.
+
+    ``tables`` holds ``judgment`` and ``confidence`` among others.  The judgment is observed while it is written
+    (``DataFrame.observe``): rows, tiers and grades come from that one pass.  Returns the rows appended, ``ts, ip, type,
+    fileName, *by, rows, confidence, tier``; their sum of rows is checked against what was written."""
+    spark = tables["judgment"].sparkSession
+    by, seen = list(by), Observation(f"analysis-{uuid.uuid4().hex[:8]}")
+    graded = attach(tables["judgment"], tables["confidence"].select(*by, "confidence"), by, "left")
+    graded = graded.observe(seen, F.count("*").alias("groups"), F.sum("rows").alias("rows"))
+    write_report({**tables, "judgment": graded}, path, fmt)
+    done = spark.read.format(fmt).load(os.path.join(path, "judgment"))
+    log = done.select(F.lit(at).cast("timestamp").alias("ts"), F.lit(client).alias("ip"), F.lit("ANALYSIS").alias("type"),
+                      F.lit(file_name).alias("fileName"), *by, "rows", "confidence", F.col("analysis_tier").alias("tier"))
+    check = log.agg(F.count("*").alias("groups"), F.sum("rows").alias("rows")).first()
+    if check.asDict() != seen.get:
+        raise RuntimeError(f"the report at {path} holds {check.asDict()}, written were {seen.get}")
+    append_activity(log, log_path)
+    return log

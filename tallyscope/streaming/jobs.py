@@ -170,9 +170,9 @@ def _quota_processor(quota: int, ban_us: int, slice_us: int):
                     if us // HOUR_US != hour:
                         hour, count = us // HOUR_US, 0
                     count += 1
-                    if count > quota:
-                        ban_end = us + ban_us
                     out.append((key[0], kind, us, i, "quota" if count > quota else "counted"))
+                    if count > quota:
+                        ban_end, count = us + ban_us, 0  # counting begins anew after the ban
                 self.held.removeKey(cut)
                 self.counted.update((hour, count, ban_end))
             over = max(ban_end or 0, 0 if hour is None else (hour + 1) * HOUR_US)

@@ -37,7 +37,7 @@ def brute(rows, bans, quota, ban_s, limits=LIMITS):
         key = (ip, us // 3_600_000_000)
         hour[key] = hour.get(key, 0) + 1
         if hour[key] > quota:
-            until[ip] = us + ban_s * 1_000_000
+            until[ip], hour[key] = us + ban_s * 1_000_000, 0  # counting begins anew after the ban
             out[i] = "quota"
             continue
         w = (kind, ip, us // 60_000_000)
@@ -147,7 +147,7 @@ def test_stream_drops_rows_beyond_the_watermark_and_keeps_order_within(spark, tm
     out = S.run_to_table(S.quota_stream(stream, quota=2, ban_seconds=100, watermark="10 minutes"), "quota", "append")
     got = {r.id: r.decision for r in out.where("ip = 'a'").collect()}
     # 4 came late but in time and is the second request; 6 came after its minute was closed
-    assert got == {1: "counted", 4: "counted", 2: "quota", 3: "quota"}
+    assert got == {1: "counted", 4: "counted", 2: "quota", 3: "counted"}
 
 
 def _rows(df):
