@@ -130,9 +130,11 @@ def build_facts(df: DataFrame, roles: Roles, by: Sequence[str] = (), as_of=None,
             .withColumn(IQR_UPPER, F.lit(None).cast("double")).withColumn(OUTLIER, F.lit(False))
     if land:
         facts = land_table(facts, "facts")
-    quality = quality_report(typed, facts, roles, by)
-    if land:
-        quality = land_table(quality, "quality")  # one row a group; it reads typed rows and facts once more
+
+    def quality() -> DataFrame:
+        report = quality_report(typed, facts, roles, by)  # one row a group; reads typed rows and facts once more
+        return land_table(report, "quality") if land else report
+
     return Facts(facts, quality, roles, by)
 
 

@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from typing import Sequence
+from functools import cached_property
+from typing import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Roles
 
 
-@dataclass
 class Facts:
     """Cleaned fact rows plus the per-group data-quality record.
 
     ``df`` columns: ``*by, amount, event_ts, qty, user_key, category, product,
-    is_iqr_outlier, iqr_lower, iqr_upper``.
+    is_iqr_outlier, iqr_lower, iqr_upper``.  ``quality`` is made when first asked for.
     """
 
-    df: DataFrame
-    quality: DataFrame
-    roles: Roles
-    by: tuple[str, ...]
+    def __init__(self, df: DataFrame, quality: Callable[[], DataFrame], roles: Roles, by: tuple[str, ...]) -> None:
+        self.df, self.roles, self.by, self._quality = df, roles, by, quality
 
-    def persist(self) -> "Facts":
-        """Keep the fact table for the many jobs that read it (spills to disk when large)."""
-        from pyspark import StorageLevel
-        self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
-        return self
+    @cached_property
+    def quality(self) -> DataFrame:
+        return self._quality()
 
 
 def attach(rows: DataFrame, scalars: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
@@ -52,15 +47,3 @@ def attach(rows: DataFrame, scalars: DataFrame, by: Sequence[str], how: str = "l
         s = s.withColumnRenamed(k, a)
     cond = [rows[k].eqNullSafe(s[a]) for k, a in alias.items()]
     return rows.join(s, cond, how).drop(*alias.values())
-
-
-def group_cols(by: Sequence[str]) -> list[Column]:
-    return [F.col(k) for k in by]
-
-
-def one_row_per_group(frames: list[DataFrame], by: Sequence[str]) -> DataFrame:
-    """Combine one-row-per-group frames side by side (small inputs)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = attach(out, f, by, "left") if by else out.crossJoin(f)
-    return out

@@ -7,8 +7,10 @@ serves one dataset (``by=()``) or many tenants at once.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +135,13 @@ def analyse(df: DataFrame, roles: Roles | None = None, by: Sequence[str] = (), a
         "confidence": lambda: confidence_grade(get("judgment"), get("anomaly_summary"), roles, by),
         "findings": lambda: ranked_findings(get("anomalies"), get("judgment"), get("metrics"), by),
     }
+    if land and wanted - {"facts", "quality"}:
+        # scans that do not wait for each other run side by side
+        first = {"daily_trend", "monthly_trend", "weekday_profile", "products"}
+        ahead = ["_profile"] + (["stats", "_users"] if wanted - {"facts", "quality", "cohorts"} - first else [])
+        with ThreadPoolExecutor(len(ahead)) as pool:
+            for name, got in zip(ahead, pool.map(inheritable_thread_target(f.sparkSession)(lambda n: build[n]()), ahead)):
+                memo[name] = got
     out = {}
     for name in (outputs or OUTPUTS):
         v = get(name)

@@ -222,7 +222,7 @@ def _stamped(df, *cols):
 
 @register("gate_stream", _SUMMARY_SQL)
 def q_gate_stream(spark, sf):
-    out = S.run_to_table(S.gate_stream(_burst_stream(spark, sf), _burst_bans(spark, sf), watermark="1 minute"), "gate", "append")
+    out = S.run_to_table(S.gate_stream(_burst_stream(spark, sf), _burst_bans(spark, sf), watermark="1 minute"), "gate", "append", rocksdb=True)
     return _stamped(out, "window_start")
 
 
@@ -268,7 +268,7 @@ def q_dedup_stream(spark, sf):
 
 @register("hourly_quota_bans_stream", _quota_sql(2))
 def q_quota_stream(spark, sf):
-    out = S.run_to_table(S.hourly_quota_stream(_log_stream(spark, sf), quota=2, watermark="7 hours"), "quota", "append")
+    out = S.run_to_table(S.hourly_quota_stream(_log_stream(spark, sf), quota=2, watermark="7 hours"), "quota", "append", rocksdb=True)
     return out.select("ip", F.timestamp_micros("ban_start_us").cast("timestamp_ntz").alias("ban_start"),
                       F.timestamp_micros("ban_end_us").cast("timestamp_ntz").alias("ban_end"))
 

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import os
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from typing import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
@@ -26,17 +25,18 @@ def _folder(base: str, batch_id: int) -> str:
     return os.path.join(base, "data", f"batch={batch_id}")
 
 
-def _entries(spark: SparkSession, base: str, batch_id: int | None = None) -> dict[int, int]:
-    """Finished batch -> first batch that a reader of it needs; of all batches or one."""
-    path = os.path.join(base, "ledger") if batch_id is None else os.path.join(base, "ledger", f"entry-{batch_id}")
-    ledger = spark.read.schema("batch long, since long").option("recursiveFileLookup", "true")
-    try:
-        rows = ledger.parquet(path).collect()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":  # not ended yet
-            raise
-        return {}
-    return {r.batch: r.since for r in rows}
+def _ledger(spark: SparkSession, base: str, name: str = ""):
+    """The ledger's file system and a path in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(base, "ledger", name))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _entries(spark: SparkSession, base: str, batch_id: int | str = "*") -> dict[int, int]:
+    """Finished batch -> first batch that a reader of it needs; of all batches or one.  An entry is an empty
+    file that has both in its name, so it is there wholly or not at all."""
+    fs, pattern = _ledger(spark, base, f"{batch_id}-since-*")
+    names = [s.getPath().getName() for s in fs.globStatus(pattern) or []]
+    return {int(b): int(since) for b, _, since in (n.partition("-since-") for n in names)}
 
 
 def write_batch(batch: DataFrame, batch_id: int, base: str, complete: bool = False,
@@ -53,8 +53,8 @@ def write_batch(batch: DataFrame, batch_id: int, base: str, complete: bool = Fal
         if merge is not None and batch_id % every == every - 1 and since < batch_id:
             batch, since = merge(_read(spark, base, list(range(since, batch_id))).unionByName(batch)), batch_id
     batch.write.mode("overwrite").parquet(_folder(base, batch_id))
-    spark.createDataFrame([(batch_id, since)], "batch long, since long").coalesce(1).write.mode("overwrite").parquet(
-        os.path.join(base, "ledger", f"entry-{batch_id}"))
+    fs, entry = _ledger(spark, base, f"{batch_id}-since-{since}")
+    fs.create(entry, True).close()
 
 
 def _read(spark: SparkSession, base: str, batches: list[int]) -> DataFrame:
@@ -79,13 +79,14 @@ def _state_store(spark: SparkSession):
 
 
 def run_to_table(stream_df: DataFrame, name: str, mode: str = "complete", root: str | None = None,
-                 merge: Callable[[DataFrame], DataFrame] | None = None, every: int = 16) -> DataFrame:
+                 merge: Callable[[DataFrame], DataFrame] | None = None, every: int = 16, rocksdb: bool = False) -> DataFrame:
     """Run a streaming query over what is there (``availableNow``) and return what its sink holds.
 
-    With the same ``root`` a later call goes on where the last one ended."""
+    With the same ``root`` a later call goes on where the last one ended.  ``rocksdb`` is for jobs of keyed
+    processors, which need that state store; others take the session's."""
     spark = stream_df.sparkSession
     base = root or os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
-    with _state_store(spark):
+    with _state_store(spark) if rocksdb else nullcontext():
         q = (stream_df.writeStream.outputMode(mode)
              .foreachBatch(lambda batch, i: write_batch(batch, i, base, mode == "complete", merge, every))
              .option("checkpointLocation", os.path.join(base, "checkpoint"))

@@ -131,7 +131,7 @@ def test_stream_equals_batch_and_its_state_empties(spark, tmp_path):
     path = S.arrivals(log, "ts", 5, 600, closing={"ip": "", "id": -1, "type": "general"})
     stream = S.file_stream(spark, path, log.schema, 1)
     root = str(tmp_path / "gate")
-    out = S.run_to_table(S.gate_stream(stream, table, 20, 1800, LIMITS, watermark="11 minutes"), "gate", "append", root)
+    out = S.run_to_table(S.gate_stream(stream, table, 20, 1800, LIMITS, watermark="11 minutes"), "gate", "append", root, rocksdb=True)
     got = [tuple(r) for r in out.where("ip <> ''").collect()]
     assert sorted(got) == want and len(got) == len(set(got))
     left = spark.read.format("statestore").option("stateVarName", "counted").option("operatorId", 1).load(os.path.join(root, "checkpoint"))
@@ -144,7 +144,7 @@ def test_stream_drops_rows_beyond_the_watermark_and_keeps_order_within(spark, tm
         rows = [(i, BASE + dt.timedelta(seconds=s), ip, "auth") for i, s, ip in part]
         spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(path)
     stream = S.file_stream(spark, path, spark.read.parquet(path).schema, 1)
-    out = S.run_to_table(S.quota_stream(stream, quota=2, ban_seconds=100, watermark="10 minutes"), "quota", "append")
+    out = S.run_to_table(S.quota_stream(stream, quota=2, ban_seconds=100, watermark="10 minutes"), "quota", "append", rocksdb=True)
     got = {r.id: r.decision for r in out.where("ip = 'a'").collect()}
     # 4 came late but in time and is the second request; 6 came after its minute was closed
     assert got == {1: "counted", 4: "counted", 2: "quota", 3: "counted"}
