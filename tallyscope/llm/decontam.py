@@ -126,6 +126,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity_at_least: float = SI
            .select("id", "th", "w", F.explode("win").alias("x"))
            .select("id", "th", "x.start", "x.n", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
            .dropDuplicates(["id", "th", "start", "n"]))
+    # few bytes but much work: a number of tasks that holds at every size, not one by bytes
+    cut = cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     prints = land(cut.withColumn("fp", simhash(F.col("w"))), "leak-prints")
     near = (prints.select("n", "fp").distinct().select("n", "fp", _blocks(F.col("fp")).alias("block"))
             .join(items.select("n", F.col("fp").alias("ifp"), _blocks(F.col("fp")).alias("block")).distinct(),

@@ -9,7 +9,12 @@ frame: a record is read by one seek and one frame.
 Of records with equal payloads of at least ``REVISIT_BYTES``, those with the largest page
 id are responses and the others revisits that refer to it.  Bundles go to the shared folder
 under names that depend on the partition and attempt; only the bundles that a finished task
-reports are in the index, so a task that is run again leaves no wrong record behind.
+reports are in the index, so a task that is run again leaves no wrong record behind.  The id of a
+record is made of its page id and payload digest, so a revisit can name the response it refers to;
+equal page ids with equal payloads share it.
+
+Archives are read back through the index: tasks get runs of neighbouring frames, of as many bundles
+as there are, seek each frame and take its records from their offsets.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ SALTS = 16
 #: Fixed values of the seekable format: skippable frame, footer, and the bytes of both.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
+#: Compressed bytes of archives that a reading task gets.
+READ_BYTES = 1 << 26
+#: Object stores under the names that Spark and Arrow give them.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 INDEX = ("page_id bigint, record_id string, bundle string, frame int, frame_start bigint, frame_bytes int, "
          "offset int, length int")
@@ -77,16 +86,21 @@ def seek_table(stream, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def record(kind: str, record_id: str, url: str, payload: bytes, digest: str, refers: str | None,
+def record_id(page_id: int, digest: str) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}/{digest}')}"
+
+
+def record(kind: str, rid: str, url: str, payload: bytes, digest: str, refers: int | None,
            page_id: int | None) -> bytes:
     """One WARC/1.1 record; a revisit carries no payload, its full length stays in a header."""
     body = payload if kind == "response" else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}",
-            f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{rid}>", f"WARC-Date: {DATE}",
+            f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8",
+            f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers}>",
+        head += [f"WARC-Refers-To: <{record_id(refers, digest)}>", f"X-Refers-To-Page: {refers}",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -101,8 +115,15 @@ def parse(plain: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, plain[start:stop], stop + 4
 
 
+def _uri(folder: str) -> str:
+    if "://" not in folder and not folder.startswith("file:"):
+        return f"file://{os.path.abspath(folder)}"
+    scheme, sep, rest = folder.partition("://")
+    return SCHEMES.get(scheme, scheme) + sep + rest
+
+
 def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+    return pafs.FileSystem.from_uri(_uri(uri))
 
 
 def _writer(folder: str):
@@ -136,10 +157,11 @@ def _writer(folder: str):
                     name = f"{tag}-{number:04d}.warc.zst"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                     bundle, number = BundleWriter(out), number + 1
-                rid = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}/{tag}/{k}')}"
+                # records without a page id, which nothing refers to, are told apart by their place
+                rid = record_id(page, digest) if page is not None else record_id(-1, f"{digest}/{tag}/{k}")
                 k += 1
                 url = " ".join((url or "").split())
-                data = record(kind, rid, url, payload, digest, None if refers is None else str(refers), page)
+                data = record(kind, rid, url, payload, digest, refers, page)
                 rows.append((page, rid, size, len(data)))
                 frame.append(data)
                 size += len(data)
@@ -165,30 +187,38 @@ def _reader(folder: str):
         import hashlib
         store, root = _folder(folder)
         unpack = zstandard.ZstdDecompressor()
+        name = f = None
         for batch in batches:
-            for name in batch["bundle"].to_pylist():
-                path = f"{root}/{name}"
-                with store.open_input_file(path) as f:
-                    for start, packed, plain_bytes in seek_table(f, f.size()):
-                        f.seek(start)
-                        plain = unpack.decompress(f.read(packed), max_output_size=plain_bytes)
-                        out, at = [], 0
-                        while at < len(plain):
-                            head, body, at = parse(plain, at)
-                            digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                            kind = head["WARC-Type"]
-                            if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
-                                raise ValueError(f"payload of {head['WARC-Record-ID']} does not match its digest")
-                            page, refers = head.get("X-Page-ID"), head.get("WARC-Refers-To")
-                            out.append((None if page is None else int(page), int(head["X-Payload-Length"]), digest, kind,
-                                        None if refers is None else int(refers[len("<urn:page:"):-1]),
-                                        head["WARC-Record-ID"][1:-1], head["WARC-Target-URI"], body))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, t) for c, t in zip(zip(*out), (
-                                pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(),
-                                pa.binary()))],
-                            ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id",
-                             "url", "body"])
+            for bundle, start, packed, places in zip(*(batch[c].to_pylist() for c in (
+                    "bundle", "frame_start", "frame_bytes", "places"))):
+                if bundle != name:
+                    if f is not None:
+                        f.close()
+                    name, f = bundle, store.open_input_file(f"{root}/{bundle}")
+                f.seek(start)
+                plain = unpack.decompress(f.read(packed))
+                if sum(p["length"] for p in places) != len(plain):
+                    raise ValueError(f"the index does not cover the frame at {start} of {bundle}")
+                out = []
+                for p in places:
+                    head, body, end = parse(plain, p["offset"])
+                    if end - p["offset"] != p["length"] or head["WARC-Record-ID"] != f"<{p['record_id']}>":
+                        raise ValueError(f"record {p['record_id']} is not where the index says")
+                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    kind = head["WARC-Type"]
+                    if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
+                        raise ValueError(f"payload of {p['record_id']} does not match its digest")
+                    page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page")
+                    out.append((None if page is None else int(page), int(head["X-Payload-Length"]), digest, kind,
+                                None if refers is None else int(refers), p["record_id"], head["WARC-Target-URI"], body))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), (
+                        pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(),
+                        pa.binary()))],
+                    ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id",
+                     "url", "body"])
+        if f is not None:
+            f.close()
     return read
 
 
@@ -225,13 +255,21 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[DataFra
     return land(records(pages).mapInArrow(_writer(folder), INDEX), "warc-index"), folder
 
 
+def frames(index: DataFrame) -> DataFrame:
+    """One row a frame with the ``places`` of its records (a frame holds about ``FRAME_BYTES`` of them), dealt out to
+    tasks in runs of neighbours."""
+    places = F.array_sort(F.collect_list(F.struct("offset", "length", "record_id")))
+    found = index.groupBy("bundle", "frame_start", "frame_bytes").agg(places.alias("places"))
+    size = index.select("bundle", "frame_start", "frame_bytes").distinct().agg(F.sum("frame_bytes").alias("n")).first().n or 0
+    # a number that holds at every size: by the few bytes of the rows, all frames would meet in one task
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
+    return found.repartitionByRange(tasks, "bundle", "frame_start")
+
+
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Every record of the bundles that the index names, frame by frame; payloads are checked
-    against their digests."""
-    names = index.select("bundle").distinct()
-    # a fixed number of partitions: by their few bytes of names, all bundles would meet in one task
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return names.repartition(parts, F.col("bundle")).mapInArrow(_reader(folder), READ)
+    """Every record that the index names, from its frame and offset; payloads are checked against their
+    digests, and each frame against the index that covers it."""
+    return frames(index).mapInArrow(_reader(folder), READ)
 
 
 def read_record(index_row, folder: str) -> tuple[dict[str, str], bytes]:

@@ -62,3 +62,43 @@ def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     index, folder = warc.write_archives(pages, str(tmp_path / "e"))
     assert index.count() == 0 and warc.read_archives(index, folder).count() == 0
+
+
+def test_frames_are_read_by_many_tasks(spark):
+    rows = [(i, f"r{i}", f"b{i % 40:02d}.warc.zst", i // 80, 900 * (i // 80), 900, 50 * (i // 40 % 2), 50) for i in range(1600)]
+    index = spark.createDataFrame(rows, warc.INDEX)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        found = warc.frames(index)
+        tasks = found.groupBy(warc.F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(tasks) >= 36 and max(r["count"] for r in tasks) <= 3 * 800 / len(tasks)
+    places = found.where("bundle = 'b07.warc.zst' and frame_start = 900").first().places
+    assert [(p.offset, p.length, p.record_id) for p in places] == [(0, 50, "r87"), (50, 50, "r127")]
+
+
+def test_revisits_name_the_record_they_refer_to(spark, tmp_path):
+    pages = spark.createDataFrame([r for r in ROWS if r[0] != 8], "page_id long, url string, html string")
+    index, folder = warc.write_archives(pages.repartition(2), str(tmp_path / "r"))
+    ids = {r.record_id for r in index.collect()}
+    heads = [warc.read_record(r, folder)[0] for r in index.collect()]
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert revisits and all(h["WARC-Refers-To"][1:-1] in ids for h in revisits)
+    assert all(h["Content-Type"].startswith("text/html") for h in heads)
+    again, other = warc.write_archives(pages.repartition(5), str(tmp_path / "s"))
+    known = "page_id IS NOT NULL"
+    assert {r.record_id for r in again.where(known).collect()} == {r.record_id for r in index.where(known).collect()}
+
+
+def test_a_wrong_index_is_noticed(spark, tmp_path):
+    import pytest
+    pages = spark.createDataFrame(ROWS[:4], "page_id long, url string, html string").coalesce(1)
+    index, folder = warc.write_archives(pages, str(tmp_path / "x"))
+    with pytest.raises(Exception, match="does not cover"):
+        warc.read_archives(index.where("page_id <> 1"), folder).collect()
+
+
+def test_object_stores_go_by_both_names():
+    assert warc._uri("s3a://bucket/a/b") == "s3://bucket/a/b" and warc._uri("file:///tmp/x") == "file:///tmp/x"
+    assert warc._uri("/tmp/x") == "file:///tmp/x"
