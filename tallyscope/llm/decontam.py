@@ -126,15 +126,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity_at_least: float = SI
            .select("id", "th", "w", F.explode("win").alias("x"))
            .select("id", "th", "x.start", "x.n", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
            .dropDuplicates(["id", "th", "start", "n"]))
-    # few bytes but much work: a number of tasks that holds at every size, not one by bytes
-    cut = cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # few bytes but much work, here and below: a number of tasks that holds at every size, not one by bytes
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.repartition(tasks)
     prints = land(cut.withColumn("fp", simhash(F.col("w"))), "leak-prints")
     near = (prints.select("n", "fp").distinct().select("n", "fp", _blocks(F.col("fp")).alias("block"))
             .join(items.select("n", F.col("fp").alias("ifp"), _blocks(F.col("fp")).alias("block")).distinct(),
                   ["n", "block"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("n", "fp", "ifp").distinct())
     pairs = prints.join(near, ["n", "fp"]).join(items.select(
-        "n", F.col("fp").alias("ifp"), F.col("w").alias("iw")), ["n", "ifp"])
+        "n", F.col("fp").alias("ifp"), F.col("w").alias("iw")), ["n", "ifp"]).repartition(tasks)
     pairs = pairs.withColumn("a", _shingles(F.col("w"))).withColumn("b", _shingles(F.col("iw")))
     sure = pairs.withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(
         F.col("similarity") >= similarity_at_least)
