@@ -136,9 +136,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity_at_least: float = SI
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("n", "fp", "ifp").distinct())
     pairs = prints.join(near, ["n", "fp"]).join(items.select(
         "n", F.col("fp").alias("ifp"), F.col("w").alias("iw")), ["n", "ifp"]).repartition(tasks)
-    pairs = pairs.withColumn("a", _shingles(F.col("w"))).withColumn("b", _shingles(F.col("iw")))
-    sure = pairs.withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(
-        F.col("similarity") >= similarity_at_least)
+    pairs = pairs.withColumn("a", _shingles(F.col("w"))).withColumn("b", _shingles(F.col("iw"))).select(
+        "id", "th", "iw", "start", similarity(F.col("a"), F.col("b")).alias("similarity"))
+    # landed before the filter, which would else move below the repartition with all that it computes
+    sure = land(pairs, "leak-similarities").where(F.col("similarity") >= similarity_at_least)
     best = sure.groupBy("id", "th", "iw").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("m"))
     names = benchmark.select("item_id", norm_words(F.col("text")).alias("iw"))
     return best.join(names, "iw").select(F.col("id").alias("doc_id"), "th", "item_id", F.col("m.similarity").alias(
