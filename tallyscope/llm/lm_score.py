@@ -8,22 +8,27 @@ first digit), and for a word of a shared id * P(word | id), from the full counts
 vocabulary, which stays a table of any size.  A document's score is the sum of the conditional
 log-probabilities of all its tokens.
 
-Training is in numpy inside Spark tasks: in each round every partition starts from the same
-weights, goes through all its documents and reports its weights; the token-weighted mean of
-all partitions, summed block by block in tasks, starts the next round.  The rounds share out
-the positions of the texts by a hash of the position, so that together they are one full pass:
-every token of every document is a target once.  The driver holds one set of weights, whose
+Training is in numpy inside Spark tasks.  Documents are dealt by a hash of id and text to units of about
+``UNIT_TOKENS`` tokens, whose texts stand in hash order.  In each round every unit starts from the same
+weights, goes through all its documents and reports its weights; the token-weighted mean of all
+units, summed block by block in tasks, starts the next round.  Units, not partitions, decide what is
+averaged, so the result does not depend on how the input is partitioned (but for the order of sums).
+The rounds share out the positions of the texts by a hash of the position, so that together they are one
+full pass: every token of every document is a target once.  The driver holds one set of weights, whose
 size is fixed by the parameters below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from math import isqrt
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +48,11 @@ ROUNDS = 2
 BATCH = 4096
 RATE = 0.15
 SEED = 11
-#: Weights travel in blocks of this many numbers; partitions' reports of one block are first
-#: summed in this many groups.
-BLOCK, GROUPS = 16384, 16
+#: Tokens of a training unit; of a piece of a unit that is windowed at a time.
+UNIT_TOKENS, PIECE = 1 << 21, 1 << 18
+#: Weights travel in blocks of this many numbers; the units' reports of one block are first summed in about
+#: as many groups as a group has units.
+BLOCK = 16384
 SHAPES = {"emb": (len(WINDOW), VOCAB + 1, WIDTH), "bias": (WIDTH,), "out1": (WIDTH, DIGIT), "b1": (DIGIT,),
           "digit": (DIGIT, WIDTH), "out2": (WIDTH, DIGIT), "b2": (DIGIT,)}
 N_WEIGHTS = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -229,22 +236,66 @@ def targets(pos: np.ndarray, round_no: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(tc.mix64(pos.astype(np.uint64)) % np.uint64(rounds) == np.uint64(round_no))
 
 
-def _report(shared, round_no: int, rounds: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, own, own_ids = shared.value
+def units_of(docs: DataFrame, vocab: Vocabulary, units: int) -> DataFrame:
+    """(unit, h, ids): the token ids of every text with a word, whole units in a partition, in hash order."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.own, vocab.own_ids))
 
-        def stream():
-            for batch in batches:
-                for _, _, data, offs in tc.chunks(batch["t"]):
-                    words, counts = tc.word_codes(data, offs)
-                    ids, around, pos = windows(words, counts, token_ids(words, own, own_ids))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in tc.chunks(batch["t"]):
+                words, counts = tc.word_codes(data, offs)
+                ends = np.append(0, np.cumsum(counts) * 2).astype(np.int64)
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [
+                    None, pa.py_buffer(ends), pa.py_buffer(token_ids(words, *shared.value).astype("<u2"))])
+                out = pa.RecordBatch.from_arrays([batch["unit"].slice(a, b - a), batch["h"].slice(a, b - a),
+                                                  packed.cast(pa.binary())], ["unit", "h", "ids"])
+                yield out.filter(pa.array(counts > 0))
+
+    src = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int").alias("unit"),
+                      F.xxhash64("text", "doc_id").alias("h"), F.col("text").alias("t"))
+    found = src.mapInArrow(run, "unit int, h bigint, ids binary")
+    return found.repartition(units, "unit").sortWithinPartitions("unit", "h")
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """(unit, its rows in pieces): one unit after the other, each to be used up before the next."""
+    def runs():
+        for batch in batches:
+            unit = batch["unit"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    yield int(unit[a]), batch.slice(a, b - a)
+    for unit, rows in groupby(runs(), key=itemgetter(0)):
+        yield unit, (r for _, r in rows)
+
+
+def _pieces(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, tokens of each text) of runs of whole texts of about ``PIECE`` tokens."""
+    column = rows["ids"].cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] // 2
+    ids = np.frombuffer(column.buffers()[2], "<u2")
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + PIECE, "right")) - 1)
+        yield ids[ends[a]:ends[b]].astype(np.int32), np.diff(ends[a:b + 1])
+        a = b
+
+
+def _report(shared, round_no: int, rounds: int, groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream(pieces):
+            for piece in pieces:
+                for ids, counts in _pieces(piece):
+                    _, around, pos = windows(ids, counts, ids)
                     pick = targets(pos, round_no, rounds)
                     yield ids[pick], around[:, pick]
-        flat, n = train(weights, stream())
-        if n:
-            blocks = [flat[i:i + BLOCK] * np.float32(n) for i in range(0, N_WEIGHTS, BLOCK)]
-            yield _blocks(range(len(blocks)), [TaskContext.get().partitionId() % GROUPS] * len(blocks),
-                          [float(n)] * len(blocks), blocks)
+
+        for unit, pieces in _by_unit(batches):
+            flat, n = train(shared.value, stream(pieces))
+            if n:
+                blocks = [flat[i:i + BLOCK] * np.float32(n) for i in range(0, N_WEIGHTS, BLOCK)]
+                yield _blocks(range(len(blocks)), [unit % groups] * len(blocks), [float(n)] * len(blocks), blocks)
     return run
 
 
@@ -279,19 +330,25 @@ class Model(NamedTuple):
     vocabulary: Vocabulary
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, rounds: int = ROUNDS, unit_tokens: int = UNIT_TOKENS) -> Model:
     """Vocabulary of ``docs``, and weights trained on every token; the starting weights if it has none."""
     sc, vocab = docs.sparkSession.sparkContext, vocabulary(docs)
-    flat, src = start_weights(), docs.select(F.col("text").alias("t"))
-    n_blocks = -(-N_WEIGHTS // BLOCK)
+    total = vocab.words.agg(F.sum("n").alias("n")).first().n or 0
+    units = -(-total // unit_tokens) or 1
+    groups = isqrt(units)
+    # kept on the executors' disks between the rounds; what is lost is made again
+    src = units_of(docs, vocab, units).persist(StorageLevel.DISK_ONLY)
+    flat, n_blocks = start_weights(), -(-N_WEIGHTS // BLOCK)
     for k in range(rounds):
-        reports = src.mapInArrow(_report(sc.broadcast((flat, vocab.own, vocab.own_ids)), k, rounds), SUMS)
-        some = reports.repartition(n_blocks * 4, "block", "part").mapInArrow(_sum, SUMS)
+        reports = src.mapInArrow(_report(sc.broadcast(flat), k, rounds, groups), SUMS)
+        some = reports.repartition(n_blocks * groups, "block", "part").mapInArrow(_sum, SUMS)
         rows = some.repartition(n_blocks, "block").mapInArrow(_sum, SUMS).collect()  # one set of weights
         if not rows:
             break
+        flat = flat.copy()
         for r in rows:
             flat[r.block * BLOCK:r.block * BLOCK + len(r.x)] = np.asarray(r.x, np.float32) / np.float32(r.n)
+    src.unpersist()
     return Model(flat, vocab)
 
 

@@ -92,13 +92,78 @@ def test_every_position_is_a_target_once():
 
 
 def test_training_predicts_every_token(spark):
-    docs = spark.createDataFrame([(" ".join(f"w{k}" for k in range(i + 1)),) for i in range(40)], "t string")
-    shared = spark.sparkContext.broadcast((lm.start_weights(), np.zeros(0, np.uint64), np.zeros(0, np.int32)))
-    n = [docs.mapInArrow(lm._report(shared, k, lm.ROUNDS), lm.SUMS).where("block = 0").selectExpr("sum(n) AS n").first().n
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i + 1))) for i in range(40)], DOC)
+    vocab = lm.vocabulary(docs)
+    units = lm.units_of(docs, vocab, 5)
+    assert units.select("unit").distinct().count() == 5
+    shared = spark.sparkContext.broadcast(lm.start_weights())
+    n = [units.mapInArrow(lm._report(shared, k, lm.ROUNDS, 2), lm.SUMS).where("block = 0").selectExpr("sum(n) AS n").first().n
          for k in range(lm.ROUNDS)]
     assert sum(n) == sum(range(1, 41)) and min(n) > 0
 
 
+def test_units_are_whole_and_in_order(spark):
+    docs = spark.createDataFrame([(i % 7, f"a{i % 50} b c" if i % 9 else None) for i in range(300)], DOC)
+    vocab = lm.vocabulary(docs)
+    found = lm.units_of(docs.repartition(6), vocab, 8).select("unit", "h", "ids", lm.F.spark_partition_id().alias("p")).collect()
+    assert len(found) == docs.where("text IS NOT NULL").count()
+    of = {}
+    for r in found:
+        of.setdefault(r.unit, []).append((r.p, r.h))
+    assert len(of) > 1 and all(len({p for p, _ in x}) == 1 and [h for _, h in x] == sorted(h for _, h in x) for x in of.values())
+    rows = pa.RecordBatch.from_pydict({"unit": [0, 0, 3, 3, 3], "ids": [b"\x01\x00", b"\x02\x00\x03\x00", b"", b"\x04\x00", b"\x05\x00"]})
+    got = [(u, [(x.tolist(), n.tolist()) for piece in p for x, n in lm._pieces(piece)]) for u, p in lm._by_unit(iter([rows, rows.slice(3)]))]
+    assert got == [(0, [([1, 2, 3], [1, 2])]), (3, [([4, 5], [0, 1, 1]), ([4, 5], [1, 1])])]
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(i, text(rnd, rnd.randrange(60))) for i in range(300)], DOC)
+    scores = []
+    for n in (2, 12):
+        model = lm.fit(docs.repartition(n), unit_tokens=4000)
+        scores.append([r.mean_log_probability for r in lm.score(docs, model).orderBy("doc_id").collect()])
+    pairs = [(a, b) for a, b in zip(*scores) if a is not None]
+    assert len(pairs) > 250 and max(abs(a - b) for a, b in pairs) < 1e-4
+
+
+def test_scores_equal_plain_python(spark):
+    """Every document of a small corpus, token by token, from the weights and the counts of the words."""
+    rnd = random.Random(3)
+    texts = [text(rnd, 15) + f" only{i}" for i in range(30)] + ["", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    model = lm.fit(docs)
+    w, counts = lm.unpack(model.weights.astype(np.float64)), Counter(x for t in texts for x in t.split())
+
+    def id_of(word):
+        for _, _, data, offs in tc.chunks(pa.array([word])):
+            return int(lm.token_ids(tc.word_codes(data, offs)[0], model.vocabulary.own, model.vocabulary.own_ids)[0])
+
+    ids = {x: id_of(x) for x in counts}
+    shared = {}
+    for x, n in counts.items():
+        if ids[x] >= lm.OWN:
+            shared.setdefault(ids[x], []).append(n)
+
+    def soft(h, out, b, pick):
+        x = h @ out + b
+        return x[pick] - np.log(np.exp(x).sum())
+
+    got = {r.doc_id: r.log_likelihood for r in lm.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        ws, total = t.split(), 0.0
+        for at, word in enumerate(ws):
+            z = w["bias"].copy()
+            for j, o in enumerate(lm.WINDOW):
+                z += w["emb"][j][ids[ws[at + o]] if 0 <= at + o < len(ws) else lm.VOCAB]
+            one, two = divmod(ids[word], lm.DIGIT)
+            total += soft(np.tanh(z), w["out1"], w["b1"], one) + soft(np.tanh(z + w["digit"][one]), w["out2"], w["b2"], two)
+            if ids[word] >= lm.OWN:
+                of = shared[ids[word]]
+                total += np.log((counts[word] + lm.UNSEEN) / (sum(of) + lm.UNSEEN * (len(of) + 1)))
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
 def test_scores_cover_the_actual_tokens(spark):
     """Words of one shared id differ by their counts; the word probabilities of an id sum to 1."""
     rnd = random.Random(5)
