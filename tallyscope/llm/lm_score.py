@@ -46,6 +46,8 @@ WINDOW = (-2, -1, 1, 2)
 WIDTH = 24
 ROUNDS = 2
 BATCH = 4096
+#: Tokens are scored in multiples of this many.
+ROWS = 64
 RATE = 0.15
 SEED = 11
 #: Tokens of a training unit; of a piece of a unit that is windowed at a time.
@@ -369,8 +371,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a, b, data, offs in tc.chunks(batch["t"]):
                 words, counts = tc.word_codes(data, offs)
                 ids, around, _ = windows(words, counts, token_ids(words, own, own_ids))
+                # whole rows of blocks: a token's products are rounded alike wherever it stands
+                full = -len(ids) % ROWS
+                ids_, around_ = np.pad(ids, (0, full)), np.pad(around, ((0, 0), (0, full)))
                 logp = np.concatenate([np.zeros(0, np.float32), *[
-                    forward(w, ids[i:i + BATCH], around[:, i:i + BATCH])[0] for i in range(0, len(ids), BATCH)]])
+                    forward(w, ids_[i:i + BATCH], around_[:, i:i + BATCH])[0] for i in range(0, len(ids_), BATCH)]])[:len(ids)]
                 text, rare = np.repeat(np.arange(b - a), counts), np.flatnonzero(ids >= OWN)
                 logp = logp.astype(float)
                 logp[rare] -= whole[ids[rare] - OWN]
