@@ -3,9 +3,9 @@
 Method: every document is a bag of hashed n-grams.  Two multinomials are estimated over
 the hash buckets, one on trusted documents (``labels.quality = 1``) and one on the whole
 raw corpus; a document's score is the mean log ratio of its n-grams, and a document is
-kept iff the score reaches a fixed threshold.  The n-grams are word endings (the last
-three characters of each word, and the last two of each pair of neighbours), which stay
-frequent enough to estimate in a corpus of inflected or invented words.
+kept iff the score reaches a fixed threshold.  The n-grams are whole words and whole pairs of
+neighbours; the trusted multinomial is smoothed towards the raw one by a large prior, so that
+rare words and pairs, seen a few times or never in trusted text, weigh little.
 
 Built-in functions only; the model is one row of ``buckets`` doubles.
 """
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from ..session import land
 from .common import BLANK_CHARS, pack, shingle_hashes, words
 
-BUCKETS = 10_000
+BUCKETS = 32_768
 #: Kept iff the mean log ratio is at least this; 0 would mean "as trusted as the corpus
 #: on average", the margin leaves room for rare but clean vocabulary.
-THRESHOLD = -0.03
+THRESHOLD = -0.035
 #: Weight, in n-grams, of the raw distribution as the prior of the trusted one.
-PRIOR = 10_000.0
+PRIOR = 1_000_000.0
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -31,12 +31,11 @@ REPEAT_WINDOW = 8
 
 
 def ngram_buckets(w: Column, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of the n-grams of a word array: endings, then pairs of endings."""
-    uni = F.transform(w, lambda x: F.pmod(F.xxhash64(F.substring(x, -3, 3)), F.lit(buckets)))
+    """Hash buckets of the n-grams of a word array: words, then pairs of neighbours."""
+    uni = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)))
     pairs = F.when(F.size(w) >= 2, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(
         F.array().cast("array<int>"))
-    bi = F.transform(pairs, lambda i: F.pmod(F.xxhash64(
-        F.substring(F.get(w, i), -2, 2), F.substring(F.get(w, i + 1), -2, 2)), F.lit(buckets)))
+    bi = F.transform(pairs, lambda i: F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(buckets)))
     return F.concat(uni, bi)
 
 

@@ -20,7 +20,7 @@ def spark_hash(*parts: str) -> int:
 
 
 def buckets(ws, n):
-    return [spark_hash(w[-3:]) % n for w in ws] + [spark_hash(a[-2:], b[-2:]) % n for a, b in zip(ws, ws[1:])]
+    return [spark_hash(w) % n for w in ws] + [spark_hash(a, b) % n for a, b in zip(ws, ws[1:])]
 
 
 def py_words(t):
@@ -115,3 +115,15 @@ def test_keep_gives_the_kept_rows_whole(spark):
     got = quality.keep(docs, labels)
     assert got.columns == docs.columns and want and sorted(tuple(r) for r in got.collect()) == want
     assert quality.keep(docs.where("false"), labels).count() == 0
+
+
+def test_labels_are_told_apart(spark):
+    """Trusted text is kept, junk goes; texts that differ only in stems score apart."""
+    import random
+    rnd = random.Random(2)
+    stems, junk = [f"stem{k}ing" for k in range(60)], [f"junk{k}ing" for k in range(60)]
+    rows = [(i, " ".join(rnd.choices(junk if i % 5 == 0 else stems, k=200)), "en", "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    got = quality.score(docs, quality.fit(docs, labels, prior=1000.0)).collect()
+    assert all(r.kept == (r.row.doc_id % 5 != 0) for r in got)
