@@ -3,9 +3,10 @@
 Documents fall into cells (source, language, topic) whose weight is their token count.
 The cell weights are scaled in turn so that their sums match the target share of each
 source, each language and each topic; after ``ROUNDS`` rounds the ratio of a cell's
-raked weight to its own weight calibrates the probability with which its documents are
-drawn.  The probability is the ratio times the largest rate that caps no cell (at most
-``RATE``), so the expected token mix is the raked mix itself.
+raked weight to its own weight, times ``RATE``, is the probability with which its documents are
+drawn.  No cell is weighted beyond what taking it whole gives (the ratio 1 / ``RATE``): each step cuts such
+cells back, and the following steps rake the others up for what is missing.  So a rare cell is
+taken whole and shrinks no other, and the expected token mix is the raked mix as far as the tokens reach.
 
 Built-in functions only.  The documents are read once into a narrow table; the rounds
 work on the cells, with aggregates and joins, never on one whole marginal in one task.
@@ -20,15 +21,14 @@ from ..session import land
 from .common import pack, words
 
 DIMS = ("source", "lang", "topic")
-ROUNDS = 6
+ROUNDS = 8
 RATE = 0.5
 SEED = 17
 NONE = "(none)"
 #: A number tempers the token shares of the data by that exponent (1 keeps them, 0 is
-#: uniform); a dict gives shares, and values it does not name share what is left over in
-#: proportion to their tokens.  The languages named here leave nothing over: rows of any other
-#: language, or of none, have probability 0.
-TARGETS = {"source": 0.5, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": 0.75}
+#: uniform); a dict gives shares, and values it does not name (none among them) share what is
+#: left over in proportion to their tokens.
+TARGETS = {"source": 0.5, "lang": {"en": 0.38, "de": 0.19, "fr": 0.19, "es": 0.19}, "topic": 0.75}
 
 
 def topic(text: Column) -> Column:
@@ -60,8 +60,8 @@ def _targets(cells: DataFrame, dim: str, target) -> DataFrame:
         dim, (F.col("share") / F.col("whole") * F.col("total")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """Rake cells (dims..., ``base``) to the targets: adds ``weight``.
+def rake(cells: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
+    """Rake cells (dims..., ``base``) to the targets: adds ``weight``, at most ``base / rate``.
 
     Cells without tokens, and cells whose target share is 0, end at weight 0.
     """
@@ -73,8 +73,8 @@ def rake(cells: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS) -> Dat
                 d, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now"))
                 .otherwise(0.0).alias("factor"))
             # a step reads the cells twice (sums, then scaling): landed, or the plan doubles each time
-            cells = land(cells.join(now, d).withColumn("weight", F.col("weight") * F.col("factor"))
-                         .drop("factor"), "mix-cells")
+            cells = land(cells.join(now, d).withColumn("weight", F.least(
+                F.col("weight") * F.col("factor"), F.col("base") / F.lit(rate))).drop("factor"), "mix-cells")
     return cells
 
 
@@ -89,11 +89,9 @@ def _dims(df: DataFrame) -> DataFrame:
 def probabilities(feats: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
     """(source, lang, topic, ratio, probability) of every cell of ``feats``."""
     cells = land(feats.groupBy(*DIMS).agg(F.sum("n_tokens").alias("base")), "mix-base")
-    raked = rake(cells, targets, rounds).withColumn(
+    raked = rake(cells, targets, rounds, rate).withColumn(
         "ratio", F.when(F.col("base") > 0, F.col("weight") / F.col("base")).otherwise(0.0))
-    top = raked.agg(F.max("ratio").alias("top"))
-    return raked.join(F.broadcast(top)).select(*DIMS, "ratio", (F.col("ratio") * F.when(
-        F.col("top") * rate > 1, 1 / F.col("top")).otherwise(F.lit(rate))).alias("probability"))
+    return raked.select(*DIMS, "ratio", (F.col("ratio") * F.lit(rate)).alias("probability"))
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:

@@ -109,13 +109,12 @@ c0 AS MATERIALIZED (SELECT s_, l_, t_, CAST(sum(n_tokens) AS DOUBLE) AS base, CA
     for _ in range(rounds):
         for d in targets:
             c = col[d]
-            out.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.s_, c.l_, c.t_, c.base, CASE WHEN now > 0 THEN
- c.w * coalesce(target / now, 0) ELSE 0 END AS w FROM c{n} c
+            out.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.s_, c.l_, c.t_, c.base, least(CASE WHEN now > 0 THEN
+ c.w * coalesce(target / now, 0) ELSE 0 END, c.base / {float(rate)}::DOUBLE) AS w FROM c{n} c
  JOIN (SELECT {c}, sum(w) AS now FROM c{n} GROUP BY 1) x ON c.{c} = x.{c} LEFT JOIN g_{d} g ON c.{c} = g.{c})""")
             n += 1
     out.append(f"ratios AS (SELECT s_, l_, t_, CASE WHEN base > 0 THEN w / base ELSE 0 END AS ratio FROM c{n})")
-    out.append(f"""probs AS (SELECT *, ratio * (SELECT CASE WHEN max(ratio) * {rate} > 1 THEN 1 / max(ratio)
- ELSE {rate} END FROM ratios) AS probability FROM ratios)""")
+    out.append(f"probs AS (SELECT *, ratio * {float(rate)}::DOUBLE AS probability FROM ratios)")
     out.append(f"""mixed AS (SELECT f.*, ratio, probability, n_tokens > 0 AND CAST(CAST('0x' || substr(md5('{mixing.SEED}:' ||
  coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < probability AS selected
  FROM feats f JOIN probs USING (s_, l_, t_))""")

@@ -18,7 +18,7 @@ def rows(n=300, seed=2):
              "src0" if rnd.random() < .4 else f"src{rnd.randint(1, 6)}") for i in range(n)]
 
 
-def plain(cells, targets, rounds):
+def plain(cells, targets, rounds, rate=mixing.RATE):
     dims = list(targets)
     total = sum(cells.values())
     goals = {}
@@ -40,7 +40,7 @@ def plain(cells, targets, rounds):
             now = defaultdict(float)
             for c, x in w.items():
                 now[c[k]] += x
-            w = {c: x * goals[d].get(c[k], 0) / now[c[k]] if now[c[k]] else 0 for c, x in w.items()}
+            w = {c: min(x * goals[d].get(c[k], 0) / now[c[k]] if now[c[k]] else 0, cells[c] / rate) for c, x in w.items()}
     return w, goals
 
 
@@ -54,16 +54,32 @@ def test_rake_equals_plain_python(spark):
         cells[r.source, r.lang, r.topic] += r.n_tokens
     want, goals = plain(cells, mixing.TARGETS, mixing.ROUNDS)
     ratio = {c: want[c] / b if b else 0 for c, b in cells.items()}
-    top = max(ratio.values())
     for r in got:
         assert r.ratio == pytest.approx(ratio[r.source, r.lang, r.topic], rel=1e-9)
-        assert r.probability == pytest.approx(r.ratio * min(mixing.RATE, 1 / top), rel=1e-9)
+        assert r.probability == pytest.approx(r.ratio * mixing.RATE, rel=1e-9) and r.probability <= 1 + 1e-9
         assert not (r.selected and r.n_tokens == 0)
-    lang = defaultdict(float)
+    assert any(r.selected for r in got if r.lang in ("it", mixing.NONE))  # languages not named have a share
+
+
+def test_the_mix_has_the_target_shares(spark):
+    """Where the tokens reach, and as the rounds go on."""
+    rnd = random.Random(6)
+    data = [(i, "w " * 20 + rnd.choice(["", " icense", " 12345678"]), rnd.choice(["en", "en", "en", "de", "fr", "es", "it"]),
+             f"src{rnd.randint(0, 3)}") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(data, DOC)).collect()
+    lang, of = defaultdict(float), mixing.TARGETS["lang"]
     for r in got:
         lang[r.lang] += r.n_tokens * r.probability
-    for v, g in goals["lang"].items():  # the expected mix has the target shares
-        assert lang[v] / sum(lang.values()) == pytest.approx(g / sum(goals["lang"].values()), rel=0.02)
+    for v, x in lang.items():
+        assert x / sum(lang.values()) == pytest.approx(of.get(v, 1 - sum(of.values())), rel=0.02)
+
+
+def test_a_rare_cell_is_taken_whole_and_shrinks_no_other(spark):
+    data = [(i, "w " * 30, ["en", "de", "fr", "es"][i % 4], f"src{i % 3}") for i in range(600)]
+    plenty = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(data, DOC)).collect()}
+    rare = {r.doc_id: r for r in mixing.mix(spark.createDataFrame([*data, (-1, "w " * 5, None, "once")], DOC)).collect()}
+    assert rare[-1].probability == pytest.approx(1) and rare[-1].selected
+    assert all(rare[i].probability >= 0.9 * r.probability for i, r in plenty.items())
 
 
 def test_sample_agrees_with_mix(spark):
