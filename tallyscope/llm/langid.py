@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import land
 from .textcodes import chunks, mix64
 
 WINDOW = 192
@@ -38,6 +39,8 @@ PASSES = 4
 LEAST_STEPS = 400
 BATCH = 64
 RATE = 0.004
+#: Languages up to which their sizes are broadcast.
+MANY = 10_000
 #: Windows that the network reads at once.
 AT_ONCE = 64
 UNKNOWN = "und"
@@ -155,10 +158,15 @@ def training_windows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(lang, id, place, window) of the training rows: at most ``rows`` texts and ``ROW_WINDOWS`` windows of each."""
     ids = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select(
         F.col("doc_id").alias("id"), "lang")
-    n = ids.select("lang").distinct().count()
+    ids = land(ids.distinct(), "langid-ids")
+    sizes = land(ids.groupBy("lang").agg(F.count("*").alias("n")), "langid-sizes")
+    n = sizes.count()
+    quota = max(1, rows // max(1, n))
+    # of a large language only ids of small hashes, four times as many as are wanted, so that no task orders all of them
+    small = F.xxhash64("id") / F.lit(2.0 ** 64) + 0.5 < 4.0 * quota / F.col("n")
+    ids = ids.join(F.broadcast(sizes) if n <= MANY else sizes, "lang").where(small)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(1, rows // max(1, n))).orderBy(
-        "_n", "lang").limit(rows).select("id", "lang")
+    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= quota).orderBy("_n", "lang").limit(rows).select("id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +182,7 @@ def training_windows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
                      pa.array([w.tobytes() for w in x[at]], pa.binary())], ["lang", "id", "place", "window"])
 
     # at most ``rows`` ids
-    texts = docs.select(F.col("doc_id").alias("id"), "lang", "text").join(F.broadcast(ids.distinct()), ["id", "lang"])
+    texts = docs.select(F.col("doc_id").alias("id"), "lang", "text").join(F.broadcast(ids), ["id", "lang"])
     return texts.select("lang", F.col("id").cast("bigint").alias("id"), "text").mapInArrow(
         run, "lang string, id bigint, place bigint, window binary")
 

@@ -100,6 +100,14 @@ def test_fit_is_bounded_and_free_of_partitioning(spark):
     assert all(np.array_equal(p, q) for p, q in zip(one.parameters(), many.parameters()))
 
 
+def test_rows_are_those_of_the_smallest_hash(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "IF(id % 10 = 0, 'bb', 'aa') AS lang")
+    got = {(r.lang, r.id) for r in langid.training_windows(docs, rows=40).collect()}
+    ranked = docs.where(~langid.held_out(langid.F.col("doc_id"))).orderBy(langid.F.xxhash64("doc_id"), "doc_id").collect()
+    want = {(lang, r.doc_id) for lang in ("aa", "bb") for r in [x for x in ranked if x.lang == lang][:20]}
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def tiny(spark):
     rows = [(i, ("kaka loko tiki " if i % 2 else "zürß schön ächzt ") * (1 + i % 5), "aa" if i % 2 else "bb") for i in range(60)]
