@@ -371,11 +371,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a, b, data, offs in tc.chunks(batch["t"]):
                 words, counts = tc.word_codes(data, offs)
                 ids, around, _ = windows(words, counts, token_ids(words, own, own_ids))
-                # whole rows of blocks: a token's products are rounded alike wherever it stands
-                full = -len(ids) % ROWS
-                ids_, around_ = np.pad(ids, (0, full)), np.pad(around, ((0, 0), (0, full)))
-                logp = np.concatenate([np.zeros(0, np.float32), *[
-                    forward(w, ids_[i:i + BATCH], around_[:, i:i + BATCH])[0] for i in range(0, len(ids_), BATCH)]])[:len(ids)]
+                logp = np.empty(len(ids), np.float32)
+                for i in range(0, len(ids), BATCH):
+                    part, near = ids[i:i + BATCH], around[:, i:i + BATCH]
+                    # in whole blocks of rows a token's products are rounded alike wherever it stands
+                    if full := -len(part) % ROWS:
+                        part, near = np.pad(part, (0, full)), np.pad(near, ((0, 0), (0, full)))
+                    logp[i:i + BATCH] = forward(w, part, near)[0][:len(logp) - i]
                 text, rare = np.repeat(np.arange(b - a), counts), np.flatnonzero(ids >= OWN)
                 logp = logp.astype(float)
                 logp[rare] -= whole[ids[rare] - OWN]
