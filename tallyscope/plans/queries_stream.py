@@ -45,13 +45,12 @@ def q_bans(spark, sf):
     return G.apply_manual_bans(log, bans).groupBy("type").agg(F.count("*").alias("allowed"))
 
 
-_RETAINED_AT = "2024-01-20 12:00:00"
-
-
-@register("activity_retention", f"""SELECT event_type AS type, count(*) AS kept FROM events
-WHERE ts > TIMESTAMP '{_RETAINED_AT}' - INTERVAL 7 DAY GROUP BY event_type""")
+@register("activity_retention", """SELECT type, count(*) AS kept FROM (
+  SELECT event_type AS type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY) GROUP BY type""")
 def q_retention(spark, sf):
-    return G.activity_retention(_log(spark, sf), _RETAINED_AT).groupBy("type").agg(F.count("*").alias("kept"))
+    log = _log(spark, sf)
+    dated = log.crossJoin(F.broadcast(log.agg(F.max("ts").alias("newest"))))  # one row
+    return G.activity_retention(dated, F.col("newest")).groupBy("type").agg(F.count("*").alias("kept"))
 
 
 @register("recent_activity", """SELECT event_id AS id, ts, CAST(user_id AS VARCHAR) AS ip, event_type AS type

@@ -189,3 +189,11 @@ def test_state_store_setting_comes_back(spark):
     with sink._state_store(spark):
         assert spark.conf.get(sink._PROVIDER) == sink._ROCKSDB
     assert spark.conf.get(sink._PROVIDER, None) == before
+
+
+def test_retention_counts_back_from_the_newest_row(spark, tmp_path):
+    import __spark_entry__ as E
+    rows = [(i, dt.datetime(2020, 5, 1) + dt.timedelta(days=i), i, "view", 1.0, "") for i in range(20)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    assert _rows(E.queries()["activity_retention"](spark, str(tmp_path))) == [("view", 7)]
