@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gate as G
+from ..session import land
 from ..streaming import jobs as S
 from .oracle import R
 from .queries import SQL, _LANDED, _stamp, load, register
@@ -221,7 +222,8 @@ def _stamped(df, *cols):
 
 @register("gate_stream", _SUMMARY_SQL)
 def q_gate_stream(spark, sf):
-    out = S.run_to_table(S.gate_stream(_burst_stream(spark, sf), _burst_bans(spark, sf), watermark="1 minute"), "gate", "append", rocksdb=True)
+    bans = land(_burst_bans(spark, sf), "bans")  # every batch reads them
+    out = S.run_to_table(S.gate_stream(_burst_stream(spark, sf), bans, watermark="1 minute"), "gate", "append", rocksdb=True)
     return _stamped(out, "window_start")
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import uuid
-from typing import Iterator
+from typing import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def arrivals(df: DataFrame, ts: str, batches: int, jitter_seconds: int, name: st
     at = dealt.agg(F.percentile_approx("_at", cuts, 1000).alias("c"), F.max(ts).alias("end")).first()
     for i, (lo, hi) in enumerate(zip([None, *(at.c or [])], [*(at.c or []), None])):
         part = dealt.where(F.lit(True) if lo is None else F.col("_at") > lo).where(F.lit(True) if hi is None else F.col("_at") <= hi)
-        part.drop("_at").coalesce(1).write.mode("append").parquet(path)
+        part.drop("_at").repartition(1).write.mode("append").parquet(path)  # one file, though all tasks read for it
     if closing is not None:
         last = {ts: F.lit(at.end) + F.expr("INTERVAL 10 DAYS"), **{k: F.lit(v) for k, v in closing.items()}}
         spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]).coalesce(1) \
@@ -129,63 +130,100 @@ def rate_limit_stream(log: DataFrame, ts: str = "ts", ip: str = "ip", type_: str
 
 # --------------------------------------------------------------------------- W2, W3 and the gate
 DECIDED = "ip string, type string, us bigint, id bigint, decision string, slot timestamp"
+TALLIED = "ip string, type string, slot timestamp, requests bigint, banned bigint, quota bigint, counted bigint"
+_DECISIONS = ("banned", "quota", "counted")
 _COUNTED = "hour bigint, count bigint, ban_end_us bigint"
-_HELD = ("us", "id", "type", "manual")
+#: Rows of one frame that a processor returns.
+_FRAME = 1 << 17
 HOUR_US = 3_600_000_000
 
 
-def _quota_processor(quota: int, ban_us: int, slice_us: int):
+def _quota_processor(quota: int, ban_us: int, slice_us: int, report: str):
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+    def decide(us: np.ndarray, manual: np.ndarray, counted: tuple) -> tuple[np.ndarray, tuple]:
+        """Decisions (index in ``_DECISIONS``) of a client's next requests in their order, and its hour, count and ban after
+        them.  A loop step is an hour or a ban, not a request."""
+        hour, count, ban_end = counted
+        out = np.zeros(len(us), np.int8)
+        rows = np.flatnonzero(~manual)
+        at = us[rows]
+        pos = 0 if ban_end is None else int(np.searchsorted(at, ban_end))
+        while pos < len(at):
+            if at[pos] // HOUR_US != hour:
+                hour, count = int(at[pos] // HOUR_US), 0
+            end = int(np.searchsorted(at, (hour + 1) * HOUR_US))
+            over = pos + quota - count  # the request that starts a ban, if it is of this hour
+            out[rows[pos:min(over, end)]] = 2
+            if over >= end:
+                count, pos = count + end - pos, end
+                continue
+            out[rows[over]] = 1
+            ban_end, count = int(at[over]) + ban_us, 0  # counting begins anew after the ban
+            pos = max(over + 1, int(np.searchsorted(at, ban_end)))
+        return out, (hour, count, ban_end)
+
     class HourlyQuota(StatefulProcessor):
-        """Per client: requests that the watermark has not passed (by slice), the hour that counts, its count and
-        the ban.  A timer at the end of each slice decides its requests in their order, so late rows within
-        the watermark take their place.  A client without waiting requests leaves the state when its hour
-        and its ban are over."""
+        """Per client: the hour that counts, its count and the ban.  Rows are whole slices that the watermark has
+        passed, so a batch of them is decided at once in the order of its requests, for a few calls of the state
+        however many requests and slices it has.  A client leaves the state when its hour and its ban are over, the
+        slice in which the ban ends included."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.counted = handle.getValueState("counted", _COUNTED)
-            self.held = handle.getMapState("held", "slice bigint", "us array<bigint>, id array<bigint>, type array<string>, "
-                                                                   "manual array<boolean>")
+
+        def _keep(self, counted: tuple, passed_us: int) -> bool:
+            hour, _, ban_end = counted
+            over = max(-(-(ban_end or 0) // slice_us) * slice_us, 0 if hour is None else (hour + 1) * HOUR_US)
+            if passed_us < over:
+                self.handle.registerTimer(-(-over // 1000))
+            return passed_us < over
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            us, ids, kind, kinds = [], [], [], {}
             for batch in rows:
-                for cut, part in batch.groupby(batch["us"] // slice_us):
-                    cut = (int(cut),)
-                    old = self.held.getValue(cut) if self.held.containsKey(cut) else ((),) * len(_HELD)
-                    self.held.updateValue(cut, tuple([*o, *part[c].tolist()] for o, c in zip(old, _HELD)))
-                    self.handle.registerTimer((cut[0] + 1) * slice_us // 1000)
-            return iter(())
+                for name, manual, u, i in zip(*(batch[c].tolist() for c in ("type", "manual", "us", "id"))):
+                    us.append(np.asarray(u, np.int64))
+                    ids.append(np.asarray(i, np.int64))
+                    kind.append(np.full(len(us[-1]), 2 * kinds.setdefault(name, len(kinds)) + manual, np.int32))
+            if not us:
+                return iter(())
+            us, ids, kind = np.concatenate(us), np.concatenate(ids), np.concatenate(kind)
+            order = np.lexsort((ids, us))
+            us, ids, kind = us[order], ids[order], kind[order]
+            done, counted = decide(us, (kind & 1) > 0, self.counted.get() or (None, 0, None))
+            if self._keep(counted, timerValues.getCurrentWatermarkInMs() * 1000):
+                self.counted.update(counted)
+            else:
+                self.counted.clear()
+            return self._report(key[0], us, ids, kind >> 1, np.array(list(kinds), object), done)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            end_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            hour, count, ban_end = self.counted.get() if self.counted.exists() else (None, 0, None)
-            cut, out = (end_us // slice_us - 1,), []
-            if self.held.containsKey(cut):
-                for us, i, kind, manual in sorted(zip(*self.held.getValue(cut)), key=lambda r: r[:2]):
-                    if manual or (ban_end is not None and us < ban_end):
-                        out.append((key[0], kind, us, i, "banned"))
-                        continue
-                    if us // HOUR_US != hour:
-                        hour, count = us // HOUR_US, 0
-                    count += 1
-                    out.append((key[0], kind, us, i, "quota" if count > quota else "counted"))
-                    if count > quota:
-                        ban_end, count = us + ban_us, 0  # counting begins anew after the ban
-                self.held.removeKey(cut)
-                self.counted.update((hour, count, ban_end))
-            over = max(ban_end or 0, 0 if hour is None else (hour + 1) * HOUR_US)
-            if end_us < over:
-                self.handle.registerTimer(-(-over // 1000))
-            elif not any(True for _ in self.held.keys()):
+            counted = self.counted.get()
+            if counted and not self._keep(counted, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000):
                 self.counted.clear()
-            if not out:
-                return iter(())
-            found = pd.DataFrame(out, columns=["ip", "type", "us", "id", "decision"])
-            # the slice's last moment, which no watermark had passed before
-            found["slot"] = pd.to_datetime(end_us - 1, unit="us")
-            return iter([found])
+            return iter(())
+
+        def _report(self, ip, us, ids, kind, kinds, done) -> Iterator[pd.DataFrame]:
+            # a slice's last moment, which no watermark had passed before
+            slot = (us // slice_us + 1) * slice_us - 1
+            if report == "tallies":
+                # one row a slice and class
+                cell, where = np.unique(slot * len(kinds) + kind, return_inverse=True)
+                n = np.bincount(where * 3 + done, minlength=3 * len(cell)).reshape(-1, 3)
+                found = pd.DataFrame({"ip": ip, "type": kinds[cell % len(kinds)], "slot": pd.to_datetime(cell // len(kinds), unit="us"),
+                                      "requests": n.sum(1)} | {d: n[:, j] for j, d in enumerate(_DECISIONS)})
+                yield found
+                return
+            if report == "bans":
+                kept = done == _DECISIONS.index("quota")
+                us, ids, kind, slot, done = us[kept], ids[kept], kind[kept], slot[kept], done[kept]
+            names = np.array(_DECISIONS, object)
+            for i in range(0, len(us), _FRAME):
+                j = slice(i, i + _FRAME)
+                yield pd.DataFrame({"ip": ip, "type": kinds[kind[j]], "us": us[j], "id": ids[j], "decision": names[done[j]],
+                                    "slot": pd.to_datetime(slot[j], unit="us")})
 
         def close(self) -> None:
             pass
@@ -193,34 +231,58 @@ def _quota_processor(quota: int, ban_us: int, slice_us: int):
     return HourlyQuota()
 
 
-def quota_stream(log: DataFrame, bans: DataFrame | None = None, quota: int = HOURLY_QUOTA, ban_seconds: int = BAN_SECONDS,
-                 ts: str = "ts", ip: str = "ip", type_: str | None = "type", id_col: str = "id", watermark: str = "10 minutes",
-                 slice_s: int = 60) -> DataFrame:
-    """W3 and W2 streaming (append mode): every request once with ``counted``, ``quota`` (it starts a ban) or
-    ``banned``, when the watermark has passed its slice.
-
-    Rows up to ``watermark`` late are decided in their order.  State holds the slices not yet passed and, for
-    a client, its hour and ban until both are over.  ``bans`` is a static table of manual bans."""
+def _requests(log: DataFrame, ts: str, ip: str, type_: str | None, id_col: str, watermark: str) -> DataFrame:
     rows = log.select(
         F.col(ip).cast("string").alias("ip"), F.col(ts).cast("timestamp").alias("ts"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"),
         (F.col(type_) if type_ else F.lit(None)).cast("string").alias("type")).withWatermark("ts", watermark)
-    rows = rows.withColumn("us", epoch_micros("ts"))
+    return rows.withColumn("us", epoch_micros("ts"))
+
+
+def _slices(rows: DataFrame, by: Sequence[str], slice_s: int) -> DataFrame:
+    """The requests of a client's slice (and of each value of ``by``) side by side, once the watermark has passed it."""
+    g = rows.groupBy("ip", *by, F.window("ts", f"{slice_s} seconds").alias("w")).agg(F.collect_list(F.struct("us", "id")).alias("_of"))
+    return g.select("ip", *by, F.window_time("w").alias("ts"), F.col("_of.us").alias("us"), F.col("_of.id").alias("id"))
+
+
+def _decided(slices: DataFrame, quota: int, ban_seconds: int, slice_s: int, report: str) -> DataFrame:
+    """The keyed state over passed slices (ip, type, manual, us, id): what ``report`` names of their decisions,
+    ``rows``, ``bans`` (the rows that start one) or ``tallies`` (counts by class and slice)."""
+    return slices.groupBy("ip").transformWithStateInPandas(
+        statefulProcessor=_quota_processor(quota, ban_seconds * 1_000_000, slice_s * 1_000_000, report),
+        outputStructType=TALLIED if report == "tallies" else DECIDED,
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="slot")
+
+
+def quota_stream(log: DataFrame, bans: DataFrame | None = None, quota: int = HOURLY_QUOTA, ban_seconds: int = BAN_SECONDS,
+                 ts: str = "ts", ip: str = "ip", type_: str | None = "type", id_col: str = "id", watermark: str = "10 minutes",
+                 slice_s: int = 60, report: str = "rows") -> DataFrame:
+    """W3 and W2 streaming (append mode): every request once with ``counted``, ``quota`` (it starts a ban) or
+    ``banned``, when the watermark has passed its slice; with ``report`` "tallies" their counts by class and slice.
+
+    Rows up to ``watermark`` late are decided in their order.  A windowed aggregate gathers the slices not yet
+    passed, so a busy client is many keys there; the keyed state is a client's hour and ban until both are over.
+    ``bans`` is a static table of manual bans."""
+    rows = _requests(log, ts, ip, type_, id_col, watermark)
     if bans is None:
         rows = rows.withColumn("manual", F.lit(False))
     else:
         rows = within(rows, ban_intervals(bans, default_seconds=ban_seconds)).withColumn("manual", F.col("start_us").isNotNull())
     keyed = rows.where("ip IS NOT NULL AND us IS NOT NULL").select("ip", "ts", "us", "id", "type", "manual")
-    return keyed.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=_quota_processor(quota, ban_seconds * 1_000_000, slice_s * 1_000_000), outputStructType=DECIDED,
-        outputMode="Append", timeMode="EventTime", eventTimeColumnName="slot")
+    return _decided(_slices(keyed, ["type", "manual"], slice_s), quota, ban_seconds, slice_s, report)
+
 
+def hourly_quota_stream(log: DataFrame, quota: int = HOURLY_QUOTA, ban_seconds: int = BAN_SECONDS, ts: str = "ts", ip: str = "ip",
+                        id_col: str = "id", watermark: str = "10 minutes") -> DataFrame:
+    """W2 streaming: the bans of :func:`quota_stream`, ``ip, ban_start_us, ban_end_us``, each once.
 
-def hourly_quota_stream(log: DataFrame, quota: int = HOURLY_QUOTA, ban_seconds: int = BAN_SECONDS, **kw) -> DataFrame:
-    """W2 streaming: the bans of :func:`quota_stream`, ``ip, ban_start_us, ban_end_us``, each once."""
-    decided = quota_stream(log, None, quota, ban_seconds, type_=None, **kw)
-    return decided.where("decision = 'quota'").select(
-        "ip", F.col("us").alias("ban_start_us"), (F.col("us") + ban_seconds * 1_000_000).alias("ban_end_us"))
+    Only an hour of more than ``quota`` requests can start a ban, as counting begins anew with the hour and a ban only
+    lowers it.  So the slices are hours here, and the busy ones alone go on to the keyed state."""
+    rows = _requests(log, ts, ip, None, id_col, watermark).where("ip IS NOT NULL AND us IS NOT NULL")
+    busy = _slices(rows, [], 3600).where(F.size("us") > quota).withColumns(
+        {"type": F.lit(None).cast("string"), "manual": F.lit(False)})
+    decided = _decided(busy, quota, ban_seconds, 3600, "bans")
+    return decided.select("ip", F.col("us").alias("ban_start_us"), (F.col("us") + ban_seconds * 1_000_000).alias("ban_end_us"))
 
 
 def gate_stream(log: DataFrame, bans: DataFrame | None = None, quota: int = HOURLY_QUOTA, ban_seconds: int = BAN_SECONDS,
@@ -228,9 +290,9 @@ def gate_stream(log: DataFrame, bans: DataFrame | None = None, quota: int = HOUR
     """The whole gate as one stream: manual bans (W3), then the quota's keyed state (W2), then the class limits by
     window (W1), stateful operators chained in one query.  Append mode: one row a class, client and window,
     as :func:`tallyscope.operators.gate.gate_summary` gives it, once the watermark has passed it."""
-    decided = quota_stream(log, bans, quota, ban_seconds, slice_s=window_s, **kw)
-    g = decided.groupBy("type", "ip", F.window("slot", f"{window_s} seconds").alias("w")).agg(
-        F.count("*").alias("requests"), *[F.count_if(F.col("decision") == d).alias(f"_{d}") for d in ("banned", "quota", "counted")])
+    tallies = quota_stream(log, bans, quota, ban_seconds, slice_s=window_s, report="tallies", **kw)
+    g = tallies.groupBy("type", "ip", F.window("slot", f"{window_s} seconds").alias("w")).agg(
+        F.sum("requests").alias("requests"), *[F.sum(d).alias(f"_{d}") for d in _DECISIONS])
     limit = limit_for(F.col("type"), limits).cast("bigint")
     return g.select("type", "ip", F.col("w.start").alias("window_start"), "requests", F.col("_banned").alias("banned"),
                     F.col("_quota").alias("over_quota"), F.greatest(F.col("_counted") - limit, F.lit(0)).alias("limited"),

@@ -191,6 +191,39 @@ def test_state_store_setting_comes_back(spark):
     assert spark.conf.get(sink._PROVIDER, None) == before
 
 
+def test_quiet_hours_do_not_reach_the_keyed_state(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(i, BASE + dt.timedelta(seconds=rnd.random() * 40_000), f"q{i % 40}", "auth") for i in range(400)]
+    rows += [(1000 + i, BASE + dt.timedelta(seconds=rnd.random() * 40_000), "hot", "auth") for i in range(500)]
+    log = spark.createDataFrame(rows, LOG)
+    stream = S.file_stream(spark, S.arrivals(log, "ts", 3, 60, closing={"ip": "", "id": -1}), log.schema, 1)
+    job, seen = S.hourly_quota_stream(stream, quota=20, ban_seconds=5000, watermark="2 minutes"), []
+    with sink._state_store(spark):
+        q = job.writeStream.outputMode("append").foreachBatch(lambda b, i: sink.write_batch(b, i, str(tmp_path / "out"))) \
+            .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    for p in q.recentProgress:
+        seen += [o["numRowsUpdated"] for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+    got = sorted((r.ip, r.ban_start_us - 1_704_067_200_000_000) for r in sink.read_sink(spark, str(tmp_path / "out")).collect())
+    decided = brute(rows, [], 20, 5000)
+    assert got == sorted((ip, us_of(t)) for i, t, ip, _ in rows if decided[i] == "quota")
+    assert {ip for ip, _ in got} == {"hot"}
+    # one client in few batches: before, each of 900 requests was a timer and a slice of its own
+    assert 0 < sum(seen) < 60
+
+
+def test_stream_of_bans_within_a_slice_equals_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(i, BASE + dt.timedelta(seconds=rnd.choice([rnd.random() * 90, 3590 + rnd.random() * 20, 3600])), rnd.choice("ab"), None)
+            for i in range(300)]
+    log, decided = spark.createDataFrame(rows, LOG), brute(rows, [], 4, 7)
+    stream = S.file_stream(spark, S.arrivals(log, "ts", 4, 20, closing={"ip": "", "id": -1}), log.schema, 1)
+    out = S.run_to_table(S.quota_stream(stream, quota=4, ban_seconds=7, watermark="1 minute"), "quota", "append", rocksdb=True)
+    got = {r.id: r.decision for r in out.where("ip <> ''").collect()}
+    assert {i: d for i, d in got.items() if d != "counted"} == {i: d for i, d in decided.items() if d in ("quota", "banned")}
+    assert set(got) == set(decided)
+
+
 def test_retention_counts_back_from_the_newest_row(spark, tmp_path):
     import __spark_entry__ as E
     rows = [(i, dt.datetime(2020, 5, 1) + dt.timedelta(days=i), i, "view", 1.0, "") for i in range(20)]
