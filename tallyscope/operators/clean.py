@@ -124,6 +124,9 @@ def build_facts(df: DataFrame, roles: Roles, by: Sequence[str] = (), as_of=None,
     facts = typed.where(keep).drop("_mult")
     if roles.revenue:
         bounds = iqr_bounds(facts, by, accuracy)
+        if land and by:
+            # a size that is known when the join is planned: a few groups are broadcast, the rows are not dealt by group
+            bounds = land_table(bounds, "bounds")
         facts = flag_outliers(facts, bounds, by)
     else:
         facts = facts.withColumn(IQR_LOWER, F.lit(None).cast("double")) \

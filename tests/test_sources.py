@@ -77,3 +77,18 @@ def test_cluster_needs_a_shared_folder(spark):
     Context.getConf = staticmethod(lambda: Conf)
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session)
+
+
+def test_bounds_of_a_few_groups_are_broadcast(spark, monkeypatch):
+    from tallyscope.model import Roles
+    from tallyscope.operators import clean
+    plans, real = {}, clean.land_table
+
+    def landed(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(clean, "land_table", landed)
+    df = spark.createDataFrame([("abc"[i % 3], float(i % 17)) for i in range(300)], "flag string, price double")
+    facts = clean.build_facts(df, Roles(revenue="price"), ["flag"], land=True).df
+    assert facts.count() == 51 and "BroadcastHashJoin" in plans["facts"] and "SortMergeJoin" not in plans["facts"]
