@@ -13,6 +13,8 @@ bracket that each round cuts into slots by an order-preserving function of the v
 3. what remains are slots of a single value, which is the answer, and slots of at most ``LEAF_ROWS``
    rows, which a window picks from.
 
+Where no group has more than ``LEAF_ROWS`` rows, one window over each group gives all ranks at once.
+
 Counts are exact in every round, so nothing is ever redone.  A window reads at most the non-empty slots
 of one bracket (271,075 in the first round, ``SLOTS`` later) or ``LEAF_ROWS`` values.  Brackets of groups
 (one row for a group and rank) are landed and the driver reads two flags a round; without groups there
@@ -148,18 +150,33 @@ def _next_round(rows: DataFrame, brackets: DataFrame, by: list[str], slots_n: in
     return _numbered(found.where(_HOLDS), by + ["_id", "_slot"]).selectExpr(*by, *_BRACKET)
 
 
+def _of_small(base: DataFrame, by: list[str], specs: list[tuple[str, float, RankFn]]) -> DataFrame:
+    """The values at all ranks where no group has more than a leaf's rows: one window over each group."""
+    each = Window.partitionBy(*by)
+    rows = base.select(*by, "_v", (F.row_number().over(each.orderBy("_v")) - 1).alias("_at"), F.count("*").over(each).alias("n"))
+    return rows.groupBy(*by).agg(*[
+        F.expr(f"max(CASE WHEN _at = least(greatest(CAST({fn_sql(fn)} AS BIGINT), 0L), n - 1) THEN _v END) + 0D").alias(name)
+        for name, _q, fn in specs])
+
+
 def order_statistics(df: DataFrame, value: str, by: Sequence[str],
                      specs: list[tuple[str, float, RankFn]], accuracy: int | None = None,
                      extra_aggs: list[Column] | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row per group: ``*by, n, <spec name>...`` with the exact value at each rank.
 
     ``accuracy`` is the number of slots of a later round (at least 2); it changes the work, never the
-    result.  ``extra_aggs`` are computed over column ``_v`` (the value).  Null values are ignored; groups
+    result; a zero has no sign.  ``extra_aggs`` are computed over column ``_v`` (the value).  Null values are ignored; groups
     without values are absent.
     """
     by, k = list(by), len(specs)
     slots_n = max(2, accuracy or SLOTS)
     base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    first = base.groupBy(*by).agg(F.count("_v").alias("n"), *(extra_aggs or []))
+    if by:
+        first = land(first, "order-groups")
+        some = {r._small: r.n for r in first.groupBy((F.col("n") <= leaf_rows).alias("_small")).agg(F.count("*").alias("n")).collect()}
+        if not some.get(False):
+            return attach(first, _of_small(base, by, specs), by, "left")
     done: list[DataFrame] = []
     brackets = _Brackets(_first_round(base, by, [fn_sql(fn) for _, _, fn in specs]), by, k, leaf_rows)
     while True:
@@ -178,6 +195,5 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str],
     for d in done[1:]:
         found = found.unionByName(d)
     wide = found.groupBy(*by).agg(*[
-        F.expr(f"max(CASE WHEN _spec = {i} THEN _x END)").alias(name) for i, (name, _q, _fn) in enumerate(specs)])
-    first = base.groupBy(*by).agg(F.count("_v").alias("n"), *(extra_aggs or []))
+        F.expr(f"max(CASE WHEN _spec = {i} THEN _x END) + 0D").alias(name) for i, (name, _q, _fn) in enumerate(specs)])
     return attach(first, wide, by, "left")

@@ -109,3 +109,15 @@ def test_describe_is_the_same_for_any_slots(spark):
     want = sorted(map(tuple, describe_measure(df, "v", ["g"]).collect()))
     assert sorted(map(tuple, describe_measure(df, "v", ["g"], accuracy=2).collect())) == want
     assert len(PERCENTILES) == 7
+
+
+def test_small_groups_take_one_window(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(f"g{rnd.randint(0, 40)}", rnd.choice([any_double(rnd), 1.0, None])) for _ in range(600)]
+    df, groups = spark.createDataFrame(rows, "g string, v double"), {}
+    for g, v in rows:
+        groups.setdefault(g, []).extend([] if v is None else [v])
+    monkeypatch.setattr(O, "_first_round", None)  # no brackets are looked for
+    for r in O.order_statistics(df, "v", ["g"], SPECS).collect():
+        xs = sorted(groups[r["g"]], key=order)
+        assert r["n"] == len(xs) and all(str(r[name]) == str(xs[at(len(xs))]) for name, at in AT.items())
